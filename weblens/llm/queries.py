@@ -7,18 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from weblens.llm.common import table
 from weblens.llm.jaccard_join import jaccard_join
 from weblens.llm.mixing import mix
+from weblens.llm.secrets import secret_scan
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op7_pareto_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_secret_ownership, op7_pareto_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
