@@ -3,27 +3,39 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weblens.llm.common import table
 from weblens.llm.jaccard_join import jaccard_join
+from weblens.llm.labelled import fold
 from weblens.llm.mixing import mix
+from weblens.llm.quality import quality
 from weblens.llm.secrets import secret_scan
+from weblens.llm.toxicity import toxicity
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op2_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) == 2)
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) == 1)
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_secret_ownership, op7_pareto_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_neighbour_quality, op3_secret_ownership, op4_segment_toxicity, op7_pareto_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
