@@ -130,21 +130,21 @@ def axes(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
 
         def read(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             weights, b = shared.value
-            total = np.zeros_like(b)
+            total = np.zeros(b.shape, dtype=np.int64)
             for batch in batches:
                 for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True):
                     at = np.array(at, dtype=np.int64)
                     if len(at):
                         w = weighted(at, np.array(n, dtype=np.int64), weights)
-                        total[at] += np.outer(w, w @ b[at])
-            yield from chunk_rows(np.rint(total.ravel() * SCALE).astype(np.int64))
+                        total[at] += np.rint(np.outer(w, w @ b[at]) * SCALE).astype(np.int64)
+            yield from chunk_rows(total.ravel())
 
         summed = summed_chunks(rows.select("at", "n").mapInArrow(read, "chunk int, blob binary"), basis.size)
         basis = np.linalg.qr(summed.reshape(basis.shape) / SCALE)[0]
     return basis
 
 
-#: Sums of products travel as integers of this unit, so that they do not depend on the order of tasks.
+#: Products are summed as integers of this unit, so that sums do not depend on the order of rows.
 SCALE = 1e9
 
 

@@ -9,8 +9,10 @@ from weblens.llm.common import table
 from weblens.llm.jaccard_join import jaccard_join
 from weblens.llm.labelled import fold
 from weblens.llm.mixing import mix
+from weblens.llm.near_vectors import near_vectors
 from weblens.llm.quality import quality
 from weblens.llm.secrets import secret_scan
+from weblens.llm.top_k import top_k
 from weblens.llm.toxicity import toxicity
 
 
@@ -30,12 +32,20 @@ def op4_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) == 1)
 
 
+def op5_grid_order_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_neighbour_quality, op3_secret_ownership, op4_segment_toxicity, op7_pareto_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_neighbour_quality, op3_secret_ownership, op4_segment_toxicity, op5_grid_order_near_dedup, op7_pareto_mixing, op8_pivot_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
