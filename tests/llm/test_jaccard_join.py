@@ -63,7 +63,7 @@ def test_as_brute_force(spark, k, num, den):
 
 
 def test_splitting_and_tiles_are_exact(spark, monkeypatch):
-    for name, value in (("SMALL_REGION", 6), ("TILE", 5), ("PIVOTS", 2), ("DEPTH", 2)):
+    for name, value in (("BLOCK", 5), ("PIVOTS", 2), ("DEPTH", 2), ("COLUMNS", 7)):
         monkeypatch.setattr(J, name, value)
     rows = corpus(8, groups=4, hot=50)
     assert run(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)

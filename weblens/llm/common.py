@@ -58,17 +58,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; fewer words make one shingle of their own kind."""
-    n = len(words)
-    if n == 0:
-        return words
-    width = min(n, k)
-    rows = n - width + 1
-    acc = np.full(rows, width, dtype=np.uint64)
-    for j in range(width):
-        acc = mixed(acc * np.uint64(0x9E3779B97F4A7C15) + words[j : j + rows])
-    return np.unique(acc)
+def shingles(texts: list[str | None], k: int, words: Words) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles; fewer words make one shingle of their own kind."""
+    found = [words.of(t) for t in texts]
+    every = np.concatenate([*found, np.zeros(k, dtype=np.uint64)])
+    total = len(every) - k
+    by_width = {k: mixed(polynomial([every[j : j + total] for j in range(k)]))}
+    out, start = [], 0
+    for w in found:
+        n = len(w)
+        if n >= k:
+            s = np.sort(by_width[k][start : start + n - k + 1])
+            s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+        else:
+            s = mixed(polynomial([w[j : j + 1] for j in range(n)])) if n else w
+        out.append(s)
+        start += n
+    return out
+
+
+def polynomial(terms: list[np.ndarray]) -> np.ndarray:
+    """Of hashed words in order, and of their number."""
+    acc = np.full(len(terms[0]), len(terms), dtype=np.uint64)
+    for t in terms:
+        acc = acc * np.uint64(0x9E3779B97F4A7C15) + t
+    return acc
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -3,18 +3,17 @@
 Jaccard distance is a metric, and every pair within ``eps = 1 - threshold`` is found:
 
 1. Copies with the same shingle set become one node, named by a 64-bit fingerprint of the set.
-2. *Outer regions.* The pivots are sets of a single shingle. Almost all documents are at distance 1 from any document
-   pivot, where the triangle inequality says nothing, but two sets within ``eps`` share one of the first
-   ``n - ceil(threshold * n) + 1`` shingles of each under any common order. A node is replicated to these regions. The
-   order puts rare shingles first, by counts over the whole corpus in a table of fixed size.
-3. *Stars.* Each region that holds different nodes has one document pivot. All its members are compared with that
-   pivot, and what links with it is one component, so big groups of near copies cost one comparison a member.
-4. *Recursion.* Regions that still hold several components are joined: small ones pair by pair across components,
-   larger ones are split into Voronoi cells of document pivots, where a node also goes to each cell whose pivot is at
-   most ``2 * eps`` farther than its nearest, and each cell into rings of width ``eps``, a node going to its ring and the
-   next. Cells too large are split again; those that do not shrink are joined exactly in tiles of bounded size.
-5. Components of the verified links give each document the smallest id that it reaches.
-
+2. *Outer regions.* Almost all documents are at distance 1 from any document pivot, where the triangle inequality says
+   nothing, so the outermost regions come from the sets themselves. Nodes fall into classes by size; a class bounds the
+   number D of shingles in which two linked sets differ. The shingle space is cut into more than D parts, so that linked
+   sets agree on a part, and what a set holds of a part names a region. A node is replicated to the regions of its parts.
+3. *Root regions.* Nodes that outer regions chain together form a root region; all links lie inside one. A root of bounded
+   size is joined in one task.
+4. *Recursion.* A larger region gets document pivots, and each node's distances from them. The nodes that link with their
+   nearest pivot are its Voronoi region, one component by those links. Whatever else may link with them lies within
+   ``2 * eps`` of the pivot by the triangle inequality: these boundary nodes are replicated to the region and joined
+   with it. The nodes that link with no pivot are a smaller region, and so on. Regions that pivots do not make smaller
+   are joined in tiles of two blocks, exactly as well.
 Every candidate is verified on whole shingle sets. Fingerprints and shingles are 64-bit hashes; two different ones among
 N coincide with probability about N * N / 2**65.
 
@@ -23,7 +22,10 @@ component. Rows that repeat an id are one document: a link of any of its texts c
 that goes in; further columns of the input are ignored.
 """
 
+import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -31,191 +33,278 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblens.llm.common import Words, bitmap, blobs, bucket_of, chunk_rows, components, keep, lists, mixed, shingles, signed, summed_chunks, texts_in_batches
+from weblens.llm.common import Words, bitmap, blobs, bucket_of, components, keep, lists, mixed, polynomial, shingles, signed, texts_in_batches
 
-#: Shingle counts are kept in 2**SKETCH_BITS counters.
-SKETCH_BITS = 18
-#: Filters of regions have 2**FILTER_BITS bits.
-FILTER_BITS = 23
-#: A region up to this size is joined pair by pair, and larger ones are split.
-SMALL_REGION = 48
-#: Members of one side of a tile.
-TILE = 192
-#: Document pivots of a region that is split, and how often a cell is split again.
-PIVOTS, DEPTH = 6, 3
+#: Sizes of a class differ by up to this factor.
+WIDTH = 1.5
+#: A task hands on its parts when it has this many; buckets of parts for each shuffle partition; bits of the filter.
+FLUSH, BUCKETS, FILTER_BITS = 1_500_000, 32, 23
+#: Sets in a block; a task joins two blocks at most. Shingles that a task compares at once.
+BLOCK, COLUMNS = 512, 16384
+#: Document pivots of a region, and how often what is left is split again.
+PIVOTS, DEPTH = 4, 4
 
 
 def fingerprint(s: np.ndarray) -> int:
-    """Of a sorted set: sums and exclusive-ors of scrambled members, scrambled again."""
+    """Of a sorted set, from its size, its sum and its exclusive or."""
     if len(s) == 0:
         return 0
-    parts = np.array([len(s), s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s + np.uint64(1)))], dtype=np.uint64)
-    h = np.zeros(1, dtype=np.uint64)
-    for p in parts:
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + p)
-    return int(signed(h)[0])
+    parts = np.array([[len(s)], [s.sum(dtype=np.uint64)], [np.bitwise_xor.reduce(s)]], dtype=np.uint64)
+    return int(signed(mixed(polynomial(list(parts))))[0])
+
+
+def size_class(n: int) -> int:
+    return int(math.log(n + 0.5, WIDTH))
+
+
+@cache
+def cut(c: int, num: int, den: int) -> tuple[int, int]:
+    """The number of parts of a class, and how many of them may be empty before empty parts name regions too.
 
+    Two linked sets, the smaller of which is in the class, differ in D shingles at most. With D + 1 + E parts they agree
+    on E + 1 of them; if a set has no more than E empty parts, they agree on one that isn't empty.
+    """
+    low = next(n for n in count(max(1, int(WIDTH**c) - 2)) if size_class(n) == c)
+    high = next(n for n in count(low) if size_class(n + 1) > c)
+    differ = (den - num) * (high + high * den // num) // (den + num)
+    empty = 0
+    for _ in range(20):
+        mean = (differ + 1 + empty) * math.exp(-low / (differ + 1 + empty))
+        empty = math.ceil(mean + 5 * math.sqrt(mean))
+    return differ + 1 + min(empty, differ), min(empty, differ)
 
-def prefix(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The rarest shingles, of which any set within the threshold shares one."""
+
+def parts(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The names of a set's outer regions."""
     n = len(s)
-    size = n - -(-num * n // den) + 1
-    if size >= n:
-        return s
-    by = counts[bucket_of(s, SKETCH_BITS)]
-    some = np.argpartition(by, size - 1)[:size]
-    edge = by[some].max()
-    first, ties = s[by < edge], s[by == edge]
-    return np.concatenate([first, ties[: size - len(first)]])  # s is sorted, so ties go by hash
+    out = []
+    scattered = s * np.uint64(0xD6E8FEB86659FD93)
+    for c in range(size_class(-(-n * num // den)), size_class(n) + 1):
+        m, spare = cut(c, num, den)
+        of = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        name = mixed((np.add.reduceat(scattered, first) * np.uint64(m + 1) + of[first]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c))
+        out.append(name)
+        if m - len(first) > spare:
+            gone = np.setdiff1d(np.arange(m, dtype=np.uint64), of[first])
+            out.append(mixed(mixed(gone + np.uint64(1)) + np.uint64(c)))
+    return np.concatenate(out)
+
+
+def sets(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, fp) for each row."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            found = shingles(b.column("text").to_pylist(), k, words)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) for s in found], pa.int64())], names=["doc_id", "n_shingles", "fp"])
 
+    return keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, n_shingles long, fp long"))
 
-def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> tuple[int, bool]:
-    """The size of the intersection, and whether the sets link."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both, den * both >= num * (len(a) + len(b) - both)
 
+def shared(names: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by name, at most two different fingerprints of each; and all fingerprints under a name that has several."""
+    order = np.lexsort((fps, names))
+    names, fps = names[order], fps[order]
+    new = np.concatenate([[True], names[1:] != names[:-1]])
+    other = new | np.concatenate([[True], fps[1:] != fps[:-1]])
+    names, fps, new = names[other], fps[other], new[other]
+    last = np.concatenate([new[1:], [True]])
+    return names[new | last], fps[new | last], np.unique(fps[~(new & last)])
 
-def sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, fp) for each row, and the corpus-wide shingle counts."""
+
+def in_company(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The fingerprints (fp) of sets that share an outer region with a different set.
+
+    Names and fingerprints travel as packed arrays by ranges of names. A task sends two fingerprints of a name at most and
+    reports the others itself, so a region may hold any share of the documents.
+    """
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS
+
+    def out(bucket: list[int], names: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), blobs(names), blobs(fps)], names=["bucket", "names", "fps"])
+
+    def flush(names: list[np.ndarray], fps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        n, f, told = shared(np.concatenate(names), np.concatenate(fps))
+        edges = np.searchsorted(n, [np.uint64(i * 2**64 // buckets) for i in range(1, buckets)])
+        each = [(i, a, b) for i, (a, b) in enumerate(zip(np.split(n, edges), np.split(f, edges), strict=True)) if len(a)]
+        for i in range(0, len(each), 256):
+            yield out(*map(list, zip(*each[i : i + 256], strict=True)))
+        yield out([-1], [told], [told])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        words, names, fps, held = Words(), [], [], 0
         for b in batches:
-            found = [shingles(words.of(t), k) for t in b.column("text").to_pylist()]
-            if any(map(len, found)):
-                counts += np.bincount(bucket_of(np.concatenate(found), SKETCH_BITS), minlength=len(counts))
-            none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) for s in found], pa.int64()), *none], names=NAMES)
-        for c in chunk_rows(counts):
-            m = c.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *c.columns], names=NAMES)
-
-    NAMES = ["doc_id", "n_shingles", "fp", "chunk", "blob"]
-    out = keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, n_shingles long, fp long, chunk int, blob binary"))
-    counts = summed_chunks(out.where("chunk is not null").select("chunk", "blob"), 1 << SKETCH_BITS)
-    return out.where("chunk is null").drop("chunk", "blob"), counts
-
-
-def keys(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
-    """(fp, keys, n, shingles) of documents that are not empty; only keys in the filter ``wanted``, if given."""
-    context = docs.sparkSession.sparkContext
-    shared, filtered = context.broadcast(counts), wanted is not None and context.broadcast(np.packbits(wanted))
+            for s in shingles(b.column("text").to_pylist(), k, words):
+                if len(s):
+                    names.append(p := parts(s, num, den))
+                    fps.append(np.full(len(p), fingerprint(s), dtype=np.int64))
+                    held += len(p)
+                if held > FLUSH:
+                    yield from flush(names, fps)
+                    names, fps, held = [], [], 0
+        if held:
+            yield from flush(names, fps)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            n, f = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x, _ in held]), np.concatenate([np.frombuffer(y, dtype=np.int64) for _, y in held])
+            return pa.RecordBatch.from_arrays([pa.array(n.view(np.int64) if at < 0 else shared(n, f)[2], pa.int64())], names=["fp"])
+
+        at, held = None, []
+        for b in batches:
+            for bucket, x, y in zip(*(b.column(c).to_pylist() for c in ("bucket", "names", "fps")), strict=True):
+                if held and (bucket != at or at < 0):
+                    yield told()
+                    held = []
+                at = bucket
+                held.append((x, y))
+        if held:
+            yield told()
+
+    sent = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(read, "bucket int, names binary, fps binary")
+    dealt = sent.repartition(buckets // BUCKETS, F.when(F.col("bucket") < 0, F.xxhash64("names")).otherwise(F.col("bucket").cast("long")))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "fp long").distinct()
+
+
+def sets_and_regions(docs: DataFrame, k: int, num: int, den: int, wanted: np.ndarray) -> DataFrame:
+    """(fp, regions, shingles), once for each set whose fingerprint is in the filter ``wanted``."""
+    filtered = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table = Words(), shared.value
-        hit = np.unpackbits(filtered.value).astype(bool) if filtered else None
+        words, hit = Words(), np.unpackbits(filtered.value).astype(bool)
         for b in batches:
-            rows = []
-            for t in b.column("text").to_pylist():
-                if len(s := shingles(words.of(t), k)):
-                    p = prefix(s, table, num, den)
-                    if hit is not None:
-                        p = p[hit[bucket_of(p, FILTER_BITS)]]
-                    if len(p):
-                        rows.append((fingerprint(s), p, s))
-            cols = [pa.array([r[0] for r in rows], pa.int64()), lists([signed(r[1]) for r in rows], pa.int64())]
-            if hit is not None:
-                cols += [pa.array([len(r[2]) for r in rows], pa.int32()), blobs([r[2] for r in rows])]
-            yield pa.RecordBatch.from_arrays(cols, names=["fp", "keys", "n", "shingles"][: len(cols)])
+            found = [(fingerprint(s), s) for s in shingles(b.column("text").to_pylist(), k, words) if len(s)]
+            at = bucket_of(np.array([f for f, _ in found], dtype=np.int64), FILTER_BITS)
+            found = [x for x, yes in zip(found, hit[at], strict=True) if yes]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), lists([signed(parts(s, num, den)) for _, s in found], pa.int64()), blobs([s for _, s in found])], names=["fp", "regions", "shingles"])
 
-    return docs.where("text is not null and doc_id is not null").select("text").mapInArrow(read, "fp long, keys array<long>" + (", n int, shingles binary" if filtered else ""))
+    return docs.where("text is not null and doc_id is not null").select("text").mapInArrow(read, "fp long, regions array<long>, shingles binary").dropDuplicates(["fp"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, distance, link) of the distinct pairs (a, b), from whole shingle sets."""
+def distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, both, n_a, n_b) of distinct pairs (a, b): the sizes of the intersection and of the sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            distance, link = [], []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both, yes = linked(x, y, num, den)
-                distance.append(1 - both / (len(x) + len(y) - both))
-                link.append(yes)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(distance, pa.float64()), pa.array(link, pa.bool_())], names=["a", "b", "distance", "link"])
+            sides = [[np.frombuffer(x, dtype=np.uint64) for x in b.column(c).to_pylist()] for c in "xy"]
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides, strict=True)]
+            sizes = [pa.array([len(x) for x in side], pa.int64()) for side in sides]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(both, pa.int64()), *sizes], names=["a", "b", "both", "n_a", "n_b"])
 
     one = nodes.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
     two = nodes.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, distance double, link boolean")
-
-
-def near_sizes(a: str, b: str, num: int, den: int):
-    """Sizes that allow a link."""
-    return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
-
-
-def split(members: DataFrame, nodes: DataFrame, num: int, den: int, depth: int = 0) -> list[DataFrame]:
-    """Links (a, b) of regions that are too large for pairs: members has (region, fp, n, label)."""
-    eps = 1 - num / den + 1e-9
-    pick = F.pmod(F.xxhash64("fp", F.lit(depth)), F.lit(PIVOTS))
-    pivots = members.groupBy("region").agg(*[F.min(F.when(pick == j, F.col("fp"))).alias(f"p{j}") for j in range(PIVOTS)], F.count("*").alias("parent"))
-    pivots = keep(pivots.select("region", "parent", F.posexplode(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("cell", "b")).where("b is not null"))
-    rows = members.withColumnRenamed("fp", "a").join(pivots, "region")
-    found = keep(verified(rows.where("a <> b").select("a", "b").distinct(), nodes, num, den))
-    links = [found.where("link").select("a", "b")]
-    far = rows.join(found.select("a", "b", "distance"), ["a", "b"], "left").withColumn("distance", F.coalesce("distance", F.when(F.col("a") == F.col("b"), 0.0)))
-    near = far.groupBy("region", "a").agg(F.min("distance").alias("least"))
-    cells = far.join(near, ["region", "a"]).where(F.col("distance") <= F.col("least") + 2 * eps)
-    ring = F.floor(F.col("distance") / eps)
-    cells = cells.withColumn("ring", F.explode(F.array(ring, ring + 1)))
-    cells = keep(cells.select(F.xxhash64("region", "cell", "ring").alias("region"), F.col("a").alias("fp"), "n", "label", "parent"))
-    return links + join_regions(cells, nodes, num, den, depth + 1)
-
-
-def tiles(members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of regions that pivots do not separate: blocks of bounded size against each other."""
-
-    def tile(frame: pd.DataFrame) -> pd.DataFrame:
-        one = [(r.fp, r.label, np.frombuffer(r.shingles, dtype=np.uint64)) for r in frame.itertuples() if r.side != 1]
-        two = [(r.fp, r.label, np.frombuffer(r.shingles, dtype=np.uint64)) for r in frame.itertuples() if r.side != 0]
-        out = [(f, g) for f, i, x in one for g, j, y in two if f != g and i != j and min(len(x), len(y)) * den >= max(len(x), len(y)) * num and linked(x, y, num, den)[1]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    sized = members.join(members.groupBy("region").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")), "region")
-    placed = sized.withColumn("block", F.pmod(F.xxhash64("fp", F.lit("tile")), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = placed.withColumn("other", other).select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "label", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-    return rows.join(nodes.select("fp", "shingles"), "fp").groupBy("region", "i", "j").applyInPandas(tile, "a long, b long")
-
-
-def join_regions(members: DataFrame, nodes: DataFrame, num: int, den: int, depth: int = 0) -> list[DataFrame]:
-    """Links (a, b) within each region between members of different components; (region, fp, n, label[, parent])."""
-    sized = members.groupBy("region").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region", "size")
-    open_ = keep(members.distinct().join(sized, "region"))
-    small = open_.where(F.col("size") <= SMALL_REGION)
-    one = small.select("region", F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l"))
-    two = small.select("region", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("m"))
-    pairs = one.join(two, "region").where((F.col("a") < F.col("b")) & (F.col("l") != F.col("m")) & near_sizes("n_a", "n_b", num, den)).select("a", "b").distinct()
-    links = [verified(pairs, nodes, num, den).where("link").select("a", "b")]
-    large = open_.where(F.col("size") > SMALL_REGION)
-    if large.limit(1).count():
-        stuck = (F.col("size") > 0.9 * F.col("parent")) | F.lit(depth >= DEPTH) if "parent" in members.columns else F.lit(False)
-        rest = large.where(~stuck).select("region", "fp", "n", "label")
-        if depth < DEPTH and rest.limit(1).count():
-            links += split(rest, nodes, num, den, depth)
-        if depth:
-            links.append(tiles(large.where(stuck).select("region", "fp", "label"), nodes, num, den))
-    return links
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, both long, n_a long, n_b long")
+
+
+def intersections(sets_: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of some sets, by products of their incidence with bounded numbers of shingles."""
+    flat, row = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), [len(s) for s in sets_])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    again = ~(new & np.concatenate([new[1:], [True]]))  # a shingle of one set only is in no intersection
+    column, row = np.cumsum(new[again]) - 1, row[again]
+    out = np.diag([len(s) for s in sets_]).astype(np.float64)
+    total = np.zeros_like(out)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        has = np.zeros((len(sets_), COLUMNS), dtype=np.float32)
+        has[row[a:b], column[a:b] - start] = 1
+        total += has @ has.T
+    return np.where(out > 0, out, total)
+
+
+def all_links(cells: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what links inside each cell (cell, fp) of two blocks at most."""
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("fp")
+        fps, members = frame.fp.to_numpy(), [np.frombuffer(x, dtype=np.uint64) for x in frame.shingles]
+        both, n = intersections(members), np.array([len(s) for s in members], dtype=np.float64)
+        link = den * both >= num * (n[:, None] + n[None] - both)
+        label = fps.copy()
+        while True:  # the smallest of a row's links, until nothing changes
+            least = np.where(link, label[None], np.iinfo(np.int64).max).min(axis=1)
+            if (least == label).all():
+                break
+            label = least
+        return pd.DataFrame({"a": fps[label != fps], "b": label[label != fps]})
+
+    return cells.join(nodes.select("fp", "shingles"), "fp").groupBy("cell").applyInPandas(join, "a long, b long")
+
+
+def in_blocks(regions: DataFrame) -> DataFrame:
+    """Regions (cell, fp, side) of any size as cells of two blocks at most that hold all pairs of different sides.
+
+    Side 0 is left, 1 right, and null both. Only what neither bounds nor pivots make smaller comes here.
+    """
+    many = lambda side: F.greatest(F.lit(1), F.ceil(F.count(F.when(side, 1)) / BLOCK)).cast("int")
+    sized = regions.groupBy("cell").agg(many(F.col("side").isNull()).alias("all"), many(F.col("side") == 0).alias("left"), many(F.col("side") == 1).alias("right"))
+    rows = regions.join(sized, "cell").withColumn("blocks", F.when(F.col("side").isNull(), F.col("all")).when(F.col("side") == 0, F.col("left")).otherwise(F.col("right")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int"))
+    others = F.when(F.col("side").isNull(), F.col("all")).when(F.col("side") == 0, F.col("right")).otherwise(F.col("left"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    # Blocks of one side meet in pairs of different blocks, if there are several.
+    rows = rows.where(F.col("side").isNotNull() | (F.col("all") == 1) | (F.col("own") != F.col("other")))
+    i = F.when(F.col("side").isNull(), F.least("own", "other")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+    j = F.when(F.col("side").isNull(), F.greatest("own", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    return rows.select(F.xxhash64("cell", i, j).alias("cell"), "fp")
+
+
+def split(regions: DataFrame, nodes: DataFrame, num: int, den: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of large regions (cell, fp, degree, size): links (a, b) with pivots; Voronoi regions and their boundaries
+    (cell, fp, side); and what links with no pivot (cell, fp, degree, parent)."""
+    of = F.pmod(F.xxhash64("fp", F.lit(depth)), F.lit(PIVOTS))
+    picked = regions.groupBy("cell").agg(*[F.max(F.when(of == j, F.struct("degree", "fp"))).alias(f"p{j}") for j in range(PIVOTS)])
+    pivots = keep(picked.select("cell", F.explode(F.array(*[F.col(f"p{j}.fp") for j in range(PIVOTS)])).alias("b")).where("b is not null"))
+    rows = regions.withColumnRenamed("fp", "a").join(pivots, "cell")
+    found = keep(distances(rows.select("a", "b").distinct(), nodes))
+    union = F.col("n_a") + F.col("n_b") - F.col("both")
+    # No distance is left out by rounding: the window is a little wider than twice eps.
+    window = 1 - F.col("both") / union <= 2 * (1 - num / den) + 1e-9
+    far = keep(rows.join(found, ["a", "b"]).select("cell", "a", "b", "degree", "size", (F.col("both") * den >= union * num).alias("link"), (F.col("both") / union).alias("near"), window.alias("window")))
+    home = far.where("link").groupBy("cell", "a").agg(F.max(F.struct("near", "b")).alias("m")).select("cell", "a", F.col("m.b").alias("home"))
+    placed = keep(far.join(home, ["cell", "a"], "left"))
+    inside = placed.where("b = home").select("cell", "b", "a", F.lit(1).alias("side"))
+    border = placed.where(F.col("window") & ((F.col("home") != F.col("b")) | F.col("home").isNull())).select("cell", "b", "a", F.lit(0).alias("side"))
+    rest = placed.where("home is null").select(F.xxhash64("cell", F.lit("rest")).alias("cell"), F.col("a").alias("fp"), "degree", F.col("size").alias("parent")).distinct()
+    return placed.where("link and a <> b").select("a", "b"), inside.union(border).select(F.xxhash64("cell", "b").alias("cell"), F.col("a").alias("fp"), "side"), rest
+
+
+def region_links(regions: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what links inside each region (cell, fp, degree)."""
+    links, cells, regions = [], [], regions.withColumn("parent", F.lit(None).cast("long"))
+    for depth in range(DEPTH + 1):
+        sized = keep(regions.join(regions.groupBy("cell").agg(F.count("*").alias("size")), "cell"))
+        done = (F.col("size") <= BLOCK) | F.coalesce(F.col("size") > 0.9 * F.col("parent"), F.lit(False)) | F.lit(depth == DEPTH)
+        cells.append(sized.where(done).select("cell", "fp", F.lit(None).cast("int").alias("side")))
+        large = sized.where(~done)
+        if not large.limit(1).count():
+            break
+        with_pivots, borders, regions = split(large.drop("parent"), nodes, num, den, depth)
+        links.append(with_pivots)
+        cells.append(borders)
+    for c in cells:
+        links.append(all_links(in_blocks(c), nodes, num, den))
+    out = links[0]
+    for x in links[1:]:
+        out = out.union(x)
+    return keep(out)
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text) that link at a similarity of num / den or more."""
     texts_in_batches(docs.sparkSession)
-    rows, counts = sets(docs, k)
-    regions = keys(docs, k, num, den, counts).select(F.explode("keys").alias("region"), "fp").groupBy("region").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot <> last").select("region", "pivot")
-    regions = keep(regions)
-    nodes = keep(keys(docs, k, num, den, counts, bitmap(regions, "region", FILTER_BITS)).dropDuplicates(["fp"]))
-    members = keep(nodes.select("fp", "n", F.explode("keys").alias("region")).join(regions, "region"))
-    size = nodes.select(F.col("fp").alias("b"), F.col("n").alias("n_b"))
-    stars = members.where("fp <> pivot").select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("pivot").alias("b")).distinct()
-    stars = stars.join(size, "b").where(near_sizes("n_a", "n_b", num, den)).select("a", "b")
-    links = keep(verified(stars, nodes, num, den).where("link").select("a", "b"))
-    labels = components(links)
-    held = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("region", "fp", "n", F.coalesce("label", "fp").alias("label"))
-    more = join_regions(held, nodes, num, den)
-    found = links
-    for x in more:
-        found = found.union(x)
+    rows = sets(docs, k)
+    nodes = keep(sets_and_regions(docs, k, num, den, bitmap(in_company(docs, k, num, den), "fp", FILTER_BITS)))
+    places = nodes.select("fp", F.explode("regions").alias("region"))
+    regions = keep(places.groupBy("region").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot <> last").select("region", "pivot"))
+    chained = keep(places.join(regions, "region").groupBy("fp", "pivot").agg(F.count("*").alias("shared")))
+    roots = components(chained.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
+    degree = chained.groupBy("fp").agg(F.sum("shared").alias("degree"))
+    found = region_links(roots.select(F.col("label").alias("cell"), F.col("node").alias("fp")).join(degree, "fp").select("cell", "fp", "degree"), nodes, num, den)
     return grouped(rows, found)
 
 
