@@ -5,11 +5,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weblens.llm.chat import chat_turns
 from weblens.llm.common import table
 from weblens.llm.jaccard_join import jaccard_join
 from weblens.llm.labelled import fold
+from weblens.llm.licenses import license_scan
 from weblens.llm.mixing import mix
 from weblens.llm.near_vectors import near_vectors
+from weblens.llm.packing import pack
 from weblens.llm.quality import quality
 from weblens.llm.secrets import secret_scan
 from weblens.llm.top_k import top_k
@@ -36,6 +39,10 @@ def op5_grid_order_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op6_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -44,8 +51,16 @@ def op8_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_turns(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_neighbour_quality, op3_secret_ownership, op4_segment_toxicity, op5_grid_order_near_dedup, op7_pareto_mixing, op8_pivot_top_k)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_neighbour_quality, op3_secret_ownership, op4_segment_toxicity, op5_grid_order_near_dedup, op6_license_paragraphs, op7_pareto_mixing, op8_pivot_top_k, op9_best_fit_packing, op10_transcript_turns)}
 
 
 def oracle_sql() -> dict[str, str]:
