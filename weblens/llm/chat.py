@@ -210,11 +210,11 @@ def edges(ordered: DataFrame, model: Model) -> dict[int, tuple]:
         leave[pid] = states[0]
         for (p, r), before, own in zip(chain[1:], states, states[1:], strict=False):
             entry[p] = before
-            if r.only:
+            if r.only and open_after[p]:
                 leave[p] = own
             else:
                 leave[("head", p)] = own
-    return {p: (entry.get(p), leave.get(("head", p), leave.get(p)), leave.get(p), open_after[p]) for p in order}
+    return {p: (entry.get(p), leave.get(("head", p)), leave.get(p), open_after[p]) for p in order}
 
 
 def chat_turns(rows: DataFrame) -> DataFrame:
