@@ -33,6 +33,8 @@ from weblens.llm.labelled import sample
 
 #: Features fall into 2**BITS counters.
 BITS = 18
+#: Characters of text that are counted at once.
+TOGETHER = 2_000_000
 #: Most labelled documents that the model is fitted on.
 SAMPLE = 20_000
 #: Lengths of a word's beginnings that count as features.
@@ -45,7 +47,8 @@ DOUBT, DRIFT = 1.28, 0.3
 
 def features(token: str) -> list[int]:
     """Buckets of a token's word and of its beginnings; none for a token without letters or digits."""
-    word = "".join(filter(str.isalnum, token.lower()))[:64]
+    word = token.lower()
+    word = (word if word.isalnum() else "".join(filter(str.isalnum, word)))[:64]
     forms = [word, *(word[:n] + "~" for n in STEMS if len(word) >= n)] if word else []
     return [int.from_bytes(blake2b(f.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> (64 - BITS) for f in forms]
 
@@ -58,20 +61,54 @@ class Features(dict):
         return got
 
 
+class Tally(dict):
+    """Numbers of tokens: each known token has a place, and its count goes to its features when the places are used up."""
+
+    def __init__(self) -> None:
+        self.seen = np.zeros(WORD_CACHE, dtype=np.int64)
+        self.counts = np.zeros(1 << BITS, dtype=np.int64)
+
+    def __missing__(self, token: str) -> int:
+        self[token] = place = len(self)
+        return place
+
+    def add(self, text: str) -> None:
+        tokens = text.split()
+        for i in range(0, len(tokens), WORD_CACHE // 4):
+            part = tokens[i : i + WORD_CACHE // 4]
+            if len(self) + len(part) > WORD_CACHE:
+                self.flush()
+            places = np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))
+            if len(part) > 2000:
+                self.seen += np.bincount(places, minlength=WORD_CACHE)
+            else:
+                np.add.at(self.seen, places, 1)
+
+    def flush(self) -> None:
+        pairs = [(f, place) for token, place in self.items() for f in features(token)]
+        if pairs:
+            at, place = np.array(pairs, dtype=np.int64).T
+            np.add.at(self.counts, at, self.seen[place])
+        self.clear()
+        self.seen[:] = 0
+
+
 def corpus_counts(docs: DataFrame) -> np.ndarray:
     """How often each feature occurs in all documents."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = Features(), np.zeros(1 << BITS, dtype=np.int64)
+        tally, held, size = Tally(), [], 0
         for b in batches:
-            tokens = Counter()
             for t in b.column("text").to_pylist():
-                tokens.update((t or "").split())
-            pairs = [(f, n) for token, n in tokens.items() for f in known[token]]
-            if pairs:
-                at, n = np.array(pairs, dtype=np.int64).T
-                counts += np.bincount(at, weights=n, minlength=len(counts)).astype(np.int64)
-        yield from chunk_rows(counts)
+                if t:
+                    held.append(t)
+                    size += len(t)
+                    if size > TOGETHER:
+                        tally.add(" ".join(held))
+                        held, size = [], 0
+        tally.add(" ".join(held))
+        tally.flush()
+        yield from chunk_rows(tally.counts)
 
     return summed_chunks(docs.select("text").mapInArrow(read, "chunk int, blob binary"), 1 << BITS)
 
