@@ -28,6 +28,8 @@ from weblens.llm.labelled import sample
 WORDS, SURFACES, SURFACE_SHARE = 8192, 1024, 0.6
 #: Most labelled documents that are broadcast, the width of their vectors, and the rounds that find the axes.
 SAMPLE, WIDTH, ROUNDS = 6000, 64, 3
+#: Tasks over the sample: each sends one matrix of the axes' size a round, and the sample does not grow with the input.
+SAMPLE_TASKS = 8
 #: Voting neighbours and the power of their similarity.
 NEAREST, POWER = 24, 4
 #: Documents in a block of cosines.
@@ -159,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most:
             yield pa.RecordBatch.from_arrays([b.column("label"), lists([x for x, _ in got], pa.int64()), lists([n for _, n in got], pa.int64())], names=["label", "at", "n"])
 
     # Texts that are alike to the letter are one neighbour.
-    rows = sample(docs, labels, label, held_out, most).dropDuplicates(["text", "label"])
+    rows = sample(docs, labels, label, held_out, most).dropDuplicates(["text", "label"]).coalesce(SAMPLE_TASKS)
     rows = keep(rows.mapInArrow(read, "label int, at array<long>, n array<long>"))
     model = Model(idf, axes(rows, idf).astype(np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
