@@ -74,7 +74,9 @@ def test_clean_keeps_columns_and_clean_documents(spark):
     kept = toxicity.clean(docs, labels, F.lit(False))
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    assert len(ids & {i for i in range(600) if i % 5}) > 470 and len(ids & {i for i in range(600) if i % 5 == 0}) < 5
+    # Repeating a text's first words may have left its toxic ones out.
+    toxic = {i for i, text, *_ in rows if i is not None and i < 600 and "vulgo" in text.lower()}
+    assert len(ids & (set(range(600)) - toxic)) > 470 and len(ids & toxic) < 5
 
 
 def test_no_rows_and_no_labels(spark):

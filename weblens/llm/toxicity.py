@@ -197,8 +197,7 @@ class Model:
     sure: np.ndarray
     rate: float = 1.0
     k: float = 1.0
-    slope: float = 1.0
-    offset: float = 0.0
+    curve: tuple[float, ...] = (1.0, 1.0, 0.0, 0.0, 0.0)
     known: bool = True
 
     def evidence(self, found: list[tuple[int, int, float]], n: int) -> float:
@@ -207,8 +206,16 @@ class Model:
         logs = [self.rate * s - expected for _, _, s in found] or [min(0.0, -expected)]
         return sum(x for x in logs if x > 0) or max(logs)
 
-    def score(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * math.asinh(evidence) + self.offset)))) if self.known else 0.0
+    def score(self, evidence: float, n: int) -> float:
+        z = sum(w * x for w, x in zip(self.curve, shape(evidence, n), strict=True))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z)))) if self.known else 0.0
+
+
+def shape(evidence: float, n: int) -> tuple[float, ...]:
+    """Terms of the curve: significant evidence, how dense it is among n tokens, and the lack of it count apart, so that toxic
+    documents without any known token do not flatten the curve where there is evidence."""
+    more = max(evidence, 0.0)
+    return math.asinh(more), math.asinh(min(evidence, 0.0)), math.log1p(100 * more / (n + 20)), float(evidence > 0), 1.0
 
 
 def karlin_rate(values: np.ndarray, counts: np.ndarray) -> float:
@@ -225,9 +232,9 @@ def karlin_rate(values: np.ndarray, counts: np.ndarray) -> float:
     return high
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset, by damped Newton steps with a weak prior that keeps them finite."""
-    a, pull, start = np.stack([x, np.ones_like(x)], axis=1), np.array([0.05, 0.01]), np.array([1.0, 0.0])
+def logistic(a: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of the columns of ``a``, by damped Newton steps with a weak prior that keeps them finite; none but the last is below 0."""
+    pull, start = np.array([0.05, 0.05, 0.05, 0.05, 0.01]), np.array([1.0, 1.0, 0.0, 0.0, 0.0])
 
     def loss(w: np.ndarray) -> float:
         z = a @ w
@@ -243,7 +250,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         w = w - size * step
         if np.abs(size * step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return (*np.maximum(w[:-1], 0).tolist(), float(w[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int = SAMPLE) -> Model:
@@ -276,8 +283,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most:
             tally.update(dict(zip(r.value, r.times, strict=True)))
         model.rate = karlin_rate(np.array(list(tally)), np.array(list(tally.values())))
         model.k = len(clean) / sum(r.n * math.exp(-model.rate * max([0.0, *r.found])) for r in clean)
-        x = np.arcsinh([model.evidence([(0, 0, s) for s in r.found], r.n) for r in got])
-        model.slope, model.offset = logistic(x, np.array([float(r.label) for r in got]))
+        x = np.array([shape(model.evidence([(0, 0, s) for s in r.found], r.n), r.n) for r in got])
+        model.curve = logistic(x, np.array([float(r.label) for r in got]))
     # The curve holds for log-odds of unseen documents; the log-odds themselves then take in all of the sample.
     model.odds, model.sure = log_odds(corpus, counts + label_counts(rows.where("calibrate")))
     return model
@@ -295,7 +302,7 @@ def scored(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
             for t in b.column("text_").to_pylist():
                 s = known.of(t)
                 found = segments(s)
-                score.append(m.score(m.evidence(found, len(s))))
+                score.append(m.score(m.evidence(found, len(s)), len(s)))
                 passages.append([{"start": a, "end": e, "score": x} for a, e, x in found if m.rate * x > math.log(m.k * len(s))])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(score, pa.float64()), pa.array(passages, kind)], names=["doc", "score", "passages"])
