@@ -28,9 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder that the session names."""
+#: Rows of ids and numbers that make a task worth its files.
+TASK_ROWS = 100_000
+
+
+def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder that the session names; a known number of rows makes as many
+    tasks as are worth it, so that rounds over small frames don't write a file for each shuffle partition."""
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(-(-rows // TASK_ROWS) or 1)
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(spark))
@@ -175,13 +181,15 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of a chain. All state stays in checkpointed frames; the driver sees one count a round.
     """
     both = keep(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct())
-    labels = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    n = both.count()
+    both = both.coalesce(-(-n // TASK_ROWS) or 1)
+    labels = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), n)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         nearer = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        nearer = keep(nearer)
+        nearer = keep(nearer, n)
         far = nearer.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = keep(nearer.join(far, "label").select("node", "was", F.least("label", "next").alias("label")))
+        jumped = keep(nearer.join(far, "label").select("node", "was", F.least("label", "next").alias("label")), n)
         moved = jumped.where("label <> was").limit(1).count()
         labels = jumped.select("node", "label")
         if not moved:

@@ -258,15 +258,16 @@ def split(regions: DataFrame, nodes: DataFrame, num: int, den: int, depth: int)
     (cell, fp, side); and what links with no pivot (cell, fp, degree, parent)."""
     of = F.pmod(F.xxhash64("fp", F.lit(depth)), F.lit(PIVOTS))
     picked = regions.groupBy("cell").agg(*[F.max(F.when(of == j, F.struct("degree", "fp"))).alias(f"p{j}") for j in range(PIVOTS)])
-    pivots = keep(picked.select("cell", F.explode(F.array(*[F.col(f"p{j}.fp") for j in range(PIVOTS)])).alias("b")).where("b is not null"))
+    n = PIVOTS * regions.count()
+    pivots = keep(picked.select("cell", F.explode(F.array(*[F.col(f"p{j}.fp") for j in range(PIVOTS)])).alias("b")).where("b is not null"), n)
     rows = regions.withColumnRenamed("fp", "a").join(pivots, "cell")
-    found = keep(distances(rows.select("a", "b").distinct(), nodes))
+    found = keep(distances(rows.select("a", "b").distinct(), nodes), n * 8)
     union = F.col("n_a") + F.col("n_b") - F.col("both")
     # No distance is left out by rounding: the window is a little wider than twice eps.
     window = 1 - F.col("both") / union <= 2 * (1 - num / den) + 1e-9
-    far = keep(rows.join(found, ["a", "b"]).select("cell", "a", "b", "degree", "size", (F.col("both") * den >= union * num).alias("link"), (F.col("both") / union).alias("near"), window.alias("window")))
+    far = keep(rows.join(found, ["a", "b"]).select("cell", "a", "b", "degree", "size", (F.col("both") * den >= union * num).alias("link"), (F.col("both") / union).alias("near"), window.alias("window")), n)
     home = far.where("link").groupBy("cell", "a").agg(F.max(F.struct("near", "b")).alias("m")).select("cell", "a", F.col("m.b").alias("home"))
-    placed = keep(far.join(home, ["cell", "a"], "left"))
+    placed = keep(far.join(home, ["cell", "a"], "left"), n)
     inside = placed.where("b = home").select("cell", "b", "a", F.lit(1).alias("side"))
     border = placed.where(F.col("window") & ((F.col("home") != F.col("b")) | F.col("home").isNull())).select("cell", "b", "a", F.lit(0).alias("side"))
     rest = placed.where("home is null").select(F.xxhash64("cell", F.lit("rest")).alias("cell"), F.col("a").alias("fp"), "degree", F.col("size").alias("parent")).distinct()
@@ -275,9 +276,9 @@ def split(regions: DataFrame, nodes: DataFrame, num: int, den: int, depth: int)
 
 def region_links(regions: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect what links inside each region (cell, fp, degree)."""
-    links, cells, regions = [], [], regions.withColumn("parent", F.lit(None).cast("long"))
+    n, links, cells, regions = regions.count(), [], [], regions.withColumn("parent", F.lit(None).cast("long"))
     for depth in range(DEPTH + 1):
-        sized = keep(regions.join(regions.groupBy("cell").agg(F.count("*").alias("size")), "cell"))
+        sized = keep(regions.join(regions.groupBy("cell").agg(F.count("*").alias("size")), "cell"), n)
         done = (F.col("size") <= BLOCK) | F.coalesce(F.col("size") > 0.9 * F.col("parent"), F.lit(False)) | F.lit(depth == DEPTH)
         cells.append(sized.where(done).select("cell", "fp", F.lit(None).cast("int").alias("side")))
         large = sized.where(~done)
@@ -287,7 +288,7 @@ def region_links(regions: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
         links.append(with_pivots)
         cells.append(borders)
     for c in cells:
-        links.append(all_links(in_blocks(c), nodes, num, den))
+        links.append(all_links(in_blocks(keep(c, n)), nodes, num, den))
     out = links[0]
     for x in links[1:]:
         out = out.union(x)
@@ -304,7 +305,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     chained = keep(places.join(regions, "region").groupBy("fp", "pivot").agg(F.count("*").alias("shared")))
     roots = components(chained.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
     degree = chained.groupBy("fp").agg(F.sum("shared").alias("degree"))
-    found = region_links(roots.select(F.col("label").alias("cell"), F.col("node").alias("fp")).join(degree, "fp").select("cell", "fp", "degree"), nodes, num, den)
+    placed = roots.select(F.col("label").alias("cell"), F.col("node").alias("fp")).join(degree, "fp").select("cell", "fp", "degree")
+    found = region_links(keep(placed, roots.count()), nodes, num, den)
     return grouped(rows, found)
 
 
