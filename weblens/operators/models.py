@@ -188,14 +188,14 @@ class BotTrees:
         got = {r.label: r["count"] for r in data.groupBy("label").count().collect()}  # two rows
         if len(got) < 2:
             return cls(None, None, float(next(iter(got), 0.0)), list(features))
-        learner = GBTClassifier(featuresCol="_x", seed=seed, maxIter=20, maxDepth=4, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c")
+        learner = GBTClassifier(featuresCol="_x", seed=seed, maxIter=20, maxDepth=4)
         isotonic = None
         if min(got.values()) >= LEAST_MINORITY:
             parts = []
             for f in range(FOLDS):
                 rest = data.where(F.col("fold") != f)
                 if rest.select("label").distinct().count() == 2:
-                    parts.append(learner.fit(rest).transform(data.where(F.col("fold") == f)).select(vector_to_array("_p")[1].alias("p"), "label"))
+                    parts.append(learner.fit(rest).transform(data.where(F.col("fold") == f)).select(vector_to_array("probability")[1].alias("p"), "label"))
             if parts:
                 out = parts[0]
                 for x in parts[1:]:
@@ -208,7 +208,7 @@ class BotTrees:
     def score(self, rows: DataFrame, out: str = "gbm_bot") -> DataFrame:
         if self.model is None:
             return rows.withColumn(out, F.lit(self.constant))
-        got = self.model.transform(assembled(rows, self.features)).withColumn("p", vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_c")
+        got = self.model.transform(assembled(rows, self.features)).withColumn("p", vector_to_array("probability")[1]).drop("_x", "probability", "rawPrediction", "prediction")
         if self.isotonic is None:
             return got.withColumnRenamed("p", out)
         return self.isotonic.transform(got).withColumnRenamed("_i", out).drop("p")
