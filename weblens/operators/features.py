@@ -123,28 +123,47 @@ def hour_entropy(seen: list[Column]) -> Column:
     return F.when((total > 1) & (kinds > 1), (F.log2(total) - weighted / total) / F.log2(F.lit(24.0))).otherwise(0.0)
 
 
-def remembered(windows: DataFrame) -> DataFrame:
-    """Windows with what a client has shown up to each window's end: hours of activity and robots.txt."""
+def remembered(windows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Windows with what a client has shown up to each window's end: hours of activity and robots.txt.
+
+    ``before`` (ENTITY, b0..b23, ever_before) is what clients have shown before these windows.
+    """
     w = Window.partitionBy(*ENTITY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = windows.withColumns({f"s{h}": F.sum(f"h{h}").over(w) for h in range(24)} | {"ever": F.max("robots").over(w)})
+    if before is not None:
+        seen = seen.join(before, ENTITY, "left").withColumns({f"s{h}": F.col(f"s{h}") + F.coalesce(f"b{h}", F.lit(0)) for h in range(24)} | {"ever": F.col("ever") | F.coalesce("ever_before", F.lit(False))})
+        seen = seen.drop("ever_before", *[f"b{h}" for h in range(24)])
     out = seen.withColumn("bot_activity_hour_entropy", hour_entropy([F.col(f"s{h}") for h in range(24)])).withColumn("bot_robots_txt_fetched", F.col("ever").cast("double"))
     return out.drop("ever", "robots", *[f"{a}{h}" for a in "sh" for h in range(24)])
 
 
-def window_features(requests: DataFrame, profile: Profile, window_s: int = fixed.WINDOW_S) -> DataFrame:
-    """All features and the evidence of each window, by (server, source_ip, ua_hash, window_start) in seconds."""
+def activity(requests: DataFrame) -> DataFrame:
+    """(ENTITY, b0..b23, ever_before): what clients have shown in these requests."""
+    robots = F.max(F.coalesce(F.col("url_path") == "/robots.txt", F.lit(False))).alias("ever_before")
+    return keyed(requests).groupBy(*ENTITY).agg(*[F.count_if(F.hour("ts") == h).alias(f"b{h}") for h in range(24)], robots)
+
+
+def window_features(requests: DataFrame, profile: Profile, window_s: int = fixed.WINDOW_S, before: DataFrame | None = None, robots_before: DataFrame | None = None) -> DataFrame:
+    """All features and the evidence of each window, by (server, source_ip, ua_hash, window_start) in seconds.
+
+    ``before`` and ``robots_before`` are what is known from earlier requests, in the forms of ``activity`` and
+    ``family_robots``; a batch over all requests needs neither.
+    """
     rows = gaps(with_unknown_ext(with_path_idf(keyed(requests, window_s), profile), profile))
     w = Window.partitionBy(*KEY).orderBy("us", "event_id")
     back = Window.partitionBy(*KEY).orderBy(F.desc("us"), F.desc("event_id"))
     rows = rows.withColumn("bytes_place", F.count("body_bytes").over(w)).withColumn("from_end", F.row_number().over(back))
     keyed_ = keyed(requests, window_s)
-    out = remembered(base(rows, window_s))
+    out = remembered(base(rows, window_s), before)
     on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in KEY]
     for side in (item_counts(keyed_, window_s), chain_depth(keyed_)):
         more = [c for c in side.columns if c not in KEY]
         out = out.alias("l").join(side.alias("r"), on, "left").select("l.*", *[F.coalesce(f"r.{c}", F.lit(0.0)).alias(c) for c in more])
     out = with_ua_rarity(out, profile)
-    robots = family_robots(keyed_).select(F.col("server").alias("s1"), F.col("family").alias("f1"), "since")
+    robots = family_robots(keyed_)
+    if robots_before is not None:
+        robots = robots.unionByName(robots_before).groupBy("server", "family").agg(F.min("since").alias("since"))
+    robots = robots.select(F.col("server").alias("s1"), F.col("family").alias("f1"), "since")
     end = (F.col("bucket") + 1) * window_s
     out = out.withColumn("crawler_family", X.crawler_family(F.col("user_agent"))).withColumn("declared_bot", X.declared_bot(F.col("user_agent")))
     # A row a server and family: small whatever the input.
