@@ -43,6 +43,8 @@ FLUSH, BUCKETS, FILTER_BITS = 1_500_000, 32, 23
 BLOCK, COLUMNS = 512, 16384
 #: Document pivots of a region, and how often what is left is split again.
 PIVOTS, DEPTH = 4, 4
+#: Bytes of pivots' shingles, and rows of cells, up to which they are sent to the sets instead of the sets to them.
+PIVOT_BYTES, CELL_ROWS = 16 << 20, 400_000
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -103,6 +105,11 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, n_shingles long, fp long"))
 
 
+def short(names: np.ndarray) -> np.ndarray:
+    """32 bits of sorted names below those that pick a bucket. Names that coincide only put more sets in company."""
+    return ((names >> np.uint64(12)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def shared(names: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by name, at most two different fingerprints of each; and all fingerprints under a name that has several."""
     order = np.lexsort((fps, names))
@@ -128,10 +135,10 @@ def in_company(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def flush(names: list[np.ndarray], fps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         n, f, told = shared(np.concatenate(names), np.concatenate(fps))
         edges = np.searchsorted(n, [np.uint64(i * 2**64 // buckets) for i in range(1, buckets)])
-        each = [(i, a, b) for i, (a, b) in enumerate(zip(np.split(n, edges), np.split(f, edges), strict=True)) if len(a)]
+        each = [(i, short(a), b) for i, (a, b) in enumerate(zip(np.split(n, edges), np.split(f, edges), strict=True)) if len(a)]
         for i in range(0, len(each), 256):
             yield out(*map(list, zip(*each[i : i + 256], strict=True)))
-        yield out([-1], [told], [told])
+        yield out([-1], [told[:0]], [told])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, names, fps, held = Words(), [], [], 0
@@ -149,8 +156,9 @@ def in_company(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told() -> pa.RecordBatch:
-            n, f = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x, _ in held]), np.concatenate([np.frombuffer(y, dtype=np.int64) for _, y in held])
-            return pa.RecordBatch.from_arrays([pa.array(n.view(np.int64) if at < 0 else shared(n, f)[2], pa.int64())], names=["fp"])
+            f = np.concatenate([np.frombuffer(y, dtype=np.int64) for _, y in held])
+            told_ = f if at < 0 else shared(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x, _ in held]), f)[2]
+            return pa.RecordBatch.from_arrays([pa.array(told_, pa.int64())], names=["fp"])
 
         at, held = None, []
         for b in batches:
@@ -164,12 +172,12 @@ def in_company(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield told()
 
     sent = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(read, "bucket int, names binary, fps binary")
-    dealt = sent.repartition(buckets // BUCKETS, F.when(F.col("bucket") < 0, F.xxhash64("names")).otherwise(F.col("bucket").cast("long")))
+    dealt = sent.repartition(buckets // BUCKETS, F.when(F.col("bucket") < 0, F.xxhash64("fps")).otherwise(F.col("bucket").cast("long")))
     return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "fp long").distinct()
 
 
-def sets_and_regions(docs: DataFrame, k: int, num: int, den: int, wanted: np.ndarray) -> DataFrame:
-    """(fp, regions, shingles), once for each set whose fingerprint is in the filter ``wanted``."""
+def wanted_sets(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """(fp, shingles), once for each set whose fingerprint is in the filter ``wanted``."""
     filtered = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +186,20 @@ def sets_and_regions(docs: DataFrame, k: int, num: int, den: int, wanted: np.nda
             found = [(fingerprint(s), s) for s in shingles(b.column("text").to_pylist(), k, words) if len(s)]
             at = bucket_of(np.array([f for f, _ in found], dtype=np.int64), FILTER_BITS)
             found = [x for x, yes in zip(found, hit[at], strict=True) if yes]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), lists([signed(parts(s, num, den)) for _, s in found], pa.int64()), blobs([s for _, s in found])], names=["fp", "regions", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), blobs([s for _, s in found])], names=["fp", "shingles"])
+
+    return docs.where("text is not null and doc_id is not null").select("text").mapInArrow(read, "fp long, shingles binary").dropDuplicates(["fp"])
+
+
+def outer_regions(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(fp, region): the outer regions of each set, once."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [signed(parts(np.frombuffer(x, dtype=np.uint64), num, den)) for x in b.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("fp"), lists(found, pa.int64())], names=["fp", "regions"])
 
-    return docs.where("text is not null and doc_id is not null").select("text").mapInArrow(read, "fp long, regions array<long>, shingles binary").dropDuplicates(["fp"])
+    return nodes.mapInArrow(read, "fp long, regions array<long>").select("fp", F.explode("regions").alias("region"))
 
 
 def distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -198,6 +217,41 @@ def distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, both long, n_a long, n_b long")
 
 
+def to_pivots(regions: DataFrame, pivots: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(a, b, both, n_a, n_b) of sets a in regions (cell, fp) and their pivots (cell, b) that have a shingle in common.
+
+    While the pivots' shingles are few enough they go to the sets, and no set is shuffled; else the pairs are joined.
+    """
+    pairs = regions.select("cell", F.col("fp").alias("a")).join(pivots, "cell").select("a", "b").distinct()
+    own = pivots.select(F.col("b").alias("fp")).distinct().join(nodes.select("fp", "shingles"), "fp")
+    if own.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0] > PIVOT_BYTES:
+        return keep(distances(pairs, nodes), most)
+    got = sorted((r.fp, np.frombuffer(bytes(r.shingles), dtype=np.uint64)) for r in own.collect())  # PIVOT_BYTES at most
+    if not got:
+        return keep(distances(pairs, nodes), most)
+    flat, of = np.concatenate([x for _, x in got]), np.repeat(np.arange(len(got)), [len(x) for _, x in got])
+    order = np.argsort(flat, kind="stable")
+    shared_ = nodes.sparkSession.sparkContext.broadcast((flat[order], of[order], np.array([f for f, _ in got]), np.array([len(x) for _, x in got])))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, of, fps, sizes = shared_.value
+        for b in batches:
+            out = []
+            for fp, x in zip(b.column("fp").to_pylist(), b.column("shingles").to_pylist(), strict=True):
+                x = np.frombuffer(x, dtype=np.uint64)
+                first, last = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                n = last - first
+                if n.any():
+                    at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    both = np.bincount(of[at], minlength=len(fps))
+                    hit = np.flatnonzero(both)
+                    out.append((np.full(len(hit), fp), fps[hit], both[hit], np.full(len(hit), len(x)), sizes[hit]))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["a", "b", "both", "n_a", "n_b"])
+
+    return keep(nodes.select("fp", "shingles").mapInArrow(compare, "a long, b long, both long, n_a long, n_b long").join(pairs, ["a", "b"]).select("a", "b", "both", "n_a", "n_b"), most)
+
+
 def intersections(sets_: list[np.ndarray]) -> np.ndarray:
     """The sizes of all intersections of some sets, by products of their incidence with bounded numbers of shingles."""
     flat, row = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), [len(s) for s in sets_])
@@ -232,7 +286,9 @@ def all_links(cells: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
             label = least
         return pd.DataFrame({"a": fps[label != fps], "b": label[label != fps]})
 
-    return cells.join(nodes.select("fp", "shingles"), "fp").groupBy("cell").applyInPandas(join, "a long, b long")
+    cells = keep(cells)
+    cells = F.broadcast(cells) if cells.count() <= CELL_ROWS else cells
+    return nodes.select("fp", "shingles").join(cells, "fp").groupBy("cell").applyInPandas(join, "a long, b long")
 
 
 def in_blocks(regions: DataFrame) -> DataFrame:
@@ -260,8 +316,8 @@ def split(regions: DataFrame, nodes: DataFrame, num: int, den: int, depth: int)
     picked = regions.groupBy("cell").agg(*[F.max(F.when(of == j, F.struct("degree", "fp"))).alias(f"p{j}") for j in range(PIVOTS)])
     n = PIVOTS * regions.count()
     pivots = keep(picked.select("cell", F.explode(F.array(*[F.col(f"p{j}.fp") for j in range(PIVOTS)])).alias("b")).where("b is not null"), n)
+    found = to_pivots(regions, pivots, nodes, n * 8)
     rows = regions.withColumnRenamed("fp", "a").join(pivots, "cell")
-    found = keep(distances(rows.select("a", "b").distinct(), nodes), n * 8)
     union = F.col("n_a") + F.col("n_b") - F.col("both")
     # No distance is left out by rounding: the window is a little wider than twice eps.
     window = 1 - F.col("both") / union <= 2 * (1 - num / den) + 1e-9
@@ -270,7 +326,8 @@ def split(regions: DataFrame, nodes: DataFrame, num: int, den: int, depth: int)
     placed = keep(far.join(home, ["cell", "a"], "left"), n)
     inside = placed.where("b = home").select("cell", "b", "a", F.lit(1).alias("side"))
     border = placed.where(F.col("window") & ((F.col("home") != F.col("b")) | F.col("home").isNull())).select("cell", "b", "a", F.lit(0).alias("side"))
-    rest = placed.where("home is null").select(F.xxhash64("cell", F.lit("rest")).alias("cell"), F.col("a").alias("fp"), "degree", F.col("size").alias("parent")).distinct()
+    # Pairs without a common shingle are not among the found ones; what has no home is left.
+    rest = regions.join(home.select("cell", F.col("a").alias("fp")), ["cell", "fp"], "left_anti").select(F.xxhash64("cell", F.lit("rest")).alias("cell"), "fp", "degree", F.col("size").alias("parent")).distinct()
     return placed.where("link and a <> b").select("a", "b"), inside.union(border).select(F.xxhash64("cell", "b").alias("cell"), F.col("a").alias("fp"), "side"), rest
 
 
@@ -299,8 +356,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     """(doc_id, n_shingles, component_id) of documents (doc_id, text) that link at a similarity of num / den or more."""
     texts_in_batches(docs.sparkSession)
     rows = sets(docs, k)
-    nodes = keep(sets_and_regions(docs, k, num, den, bitmap(in_company(docs, k, num, den), "fp", FILTER_BITS)))
-    places = nodes.select("fp", F.explode("regions").alias("region"))
+    nodes = keep(wanted_sets(docs, k, bitmap(in_company(docs, k, num, den), "fp", FILTER_BITS)))
+    places = outer_regions(nodes, num, den)
     regions = keep(places.groupBy("region").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot <> last").select("region", "pivot"))
     chained = keep(places.join(regions, "region").groupBy("fp", "pivot").agg(F.count("*").alias("shared")))
     roots = components(chained.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
