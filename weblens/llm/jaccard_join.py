@@ -11,8 +11,8 @@ Jaccard distance is a metric, and every pair within ``eps = 1 - threshold`` is f
    size is joined in one task.
 4. *Recursion.* A larger region gets document pivots, and each node's distances from them. The nodes that link with their
    nearest pivot are its Voronoi region, one component by those links. Whatever else may link with them lies within
-   ``2 * eps`` of the pivot by the triangle inequality: these boundary nodes are replicated to the region and joined
-   with it. The nodes that link with no pivot are a smaller region, and so on. Regions that pivots do not make smaller
+   ``2 * eps`` of the pivot by the triangle inequality: these boundary nodes, unless they link with the pivot itself, are
+   replicated to the region and joined with it. The nodes that link with no pivot are a smaller region, and so on. Regions that pivots do not make smaller
    are joined in tiles of two blocks, exactly as well.
 Every candidate is verified on whole shingle sets. Fingerprints and shingles are 64-bit hashes; two different ones among
 N coincide with probability about N * N / 2**65.
@@ -249,7 +249,8 @@ def to_pivots(regions: DataFrame, pivots: DataFrame, nodes: DataFrame, most: int
             columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["a", "b", "both", "n_a", "n_b"])
 
-    return keep(nodes.select("fp", "shingles").mapInArrow(compare, "a long, b long, both long, n_a long, n_b long").join(pairs, ["a", "b"]).select("a", "b", "both", "n_a", "n_b"), most)
+    met = keep(nodes.select("fp", "shingles").mapInArrow(compare, "a long, b long, both long, n_a long, n_b long"))
+    return keep(met.join(pairs, ["a", "b"]).select("a", "b", "both", "n_a", "n_b"), most)
 
 
 def intersections(sets_: list[np.ndarray]) -> np.ndarray:
@@ -296,8 +297,10 @@ def in_blocks(regions: DataFrame) -> DataFrame:
 
     Side 0 is left, 1 right, and null both. Only what neither bounds nor pivots make smaller comes here.
     """
-    many = lambda side: F.greatest(F.lit(1), F.ceil(F.count(F.when(side, 1)) / BLOCK)).cast("int")
-    sized = regions.groupBy("cell").agg(many(F.col("side").isNull()).alias("all"), many(F.col("side") == 0).alias("left"), many(F.col("side") == 1).alias("right"))
+    many = lambda side: F.ceil(F.count(F.when(side, 1)) / BLOCK).cast("int")
+    sized = regions.groupBy("cell").agg(many(F.col("side").isNull()).alias("all"), many(F.col("side") == 0).alias("left"), many(F.col("side") == 1).alias("right"), F.count("*").alias("size"))
+    # A Voronoi region without boundary nodes is one component as it is.
+    sized = sized.where("(all > 0 and size > 1) or (left > 0 and right > 0)").drop("size")
     rows = regions.join(sized, "cell").withColumn("blocks", F.when(F.col("side").isNull(), F.col("all")).when(F.col("side") == 0, F.col("left")).otherwise(F.col("right")))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int"))
     others = F.when(F.col("side").isNull(), F.col("all")).when(F.col("side") == 0, F.col("right")).otherwise(F.col("left"))
@@ -325,7 +328,8 @@ def split(regions: DataFrame, nodes: DataFrame, num: int, den: int, depth: int)
     home = far.where("link").groupBy("cell", "a").agg(F.max(F.struct("near", "b")).alias("m")).select("cell", "a", F.col("m.b").alias("home"))
     placed = keep(far.join(home, ["cell", "a"], "left"), n)
     inside = placed.where("b = home").select("cell", "b", "a", F.lit(1).alias("side"))
-    border = placed.where(F.col("window") & ((F.col("home") != F.col("b")) | F.col("home").isNull())).select("cell", "b", "a", F.lit(0).alias("side"))
+    # What links with the pivot is one component with its region already.
+    border = placed.where("window and not link").select("cell", "b", "a", F.lit(0).alias("side"))
     # Pairs without a common shingle are not among the found ones; what has no home is left.
     rest = regions.join(home.select("cell", F.col("a").alias("fp")), ["cell", "fp"], "left_anti").select(F.xxhash64("cell", F.lit("rest")).alias("cell"), "fp", "degree", F.col("size").alias("parent")).distinct()
     return placed.where("link and a <> b").select("a", "b"), inside.union(border).select(F.xxhash64("cell", "b").alias("cell"), F.col("a").alias("fp"), "side"), rest

@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ def features(token: str) -> list[int]:
     word = token.lower()
     word = (word if word.isalnum() else "".join(filter(str.isalnum, word)))[:64]
     forms = [word, *(word[:n] + "~" for n in STEMS if len(word) >= n)] if word else []
-    return [int.from_bytes(blake2b(f.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> (64 - BITS) for f in forms]
+    return [crc32(f.encode("utf-8", "surrogatepass")) >> (32 - BITS) for f in forms]
 
 
 class Features(dict):
