@@ -7,8 +7,9 @@ Jaccard distance is a metric, and every pair within ``eps = 1 - threshold`` is f
    nothing, so the outermost regions come from the sets themselves. Nodes fall into classes by size; a class bounds the
    number D of shingles in which two linked sets differ. The shingle space is cut into more than D parts, so that linked
    sets agree on a part, and what a set holds of a part names a region. A node is replicated to the regions of its parts.
-3. *Root regions.* Nodes that outer regions chain together form a root region; all links lie inside one. A root of bounded
-   size is joined in one task.
+3. *Root regions.* Nodes that outer regions chain together form a root region; all links lie inside one. Linked sets agree
+   on a known number of parts, so two sets that meet in fewer small regions and in no large one are not chained. A root of
+   bounded size is joined in one task.
 4. *Recursion.* A larger region gets document pivots, and each node's distances from them. The nodes that link with their
    nearest pivot are its Voronoi region, one component by those links. Whatever else may link with them lies within
    ``2 * eps`` of the pivot by the triangle inequality: these boundary nodes, unless they link with the pivot itself, are
@@ -43,6 +44,8 @@ FLUSH, BUCKETS, FILTER_BITS = 1_500_000, 32, 23
 BLOCK, COLUMNS = 512, 16384
 #: Document pivots of a region, and how often what is left is split again.
 PIVOTS, DEPTH = 4, 4
+#: Sets of a region up to which its pairs are counted.
+SMALL = 12
 #: Bytes of pivots' shingles, and rows of cells, up to which they are sent to the sets instead of the sets to them.
 PIVOT_BYTES, CELL_ROWS = 16 << 20, 400_000
 
@@ -76,8 +79,9 @@ def cut(c: int, num: int, den: int) -> tuple[int, int]:
     return differ + 1 + min(empty, differ), min(empty, differ)
 
 
-def parts(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The names of a set's outer regions."""
+def parts(s: np.ndarray, num: int, den: int, needs: list | None = None) -> np.ndarray:
+    """The names of a set's outer regions. ``needs`` gets, for each, in how many regions of its class a linked set meets
+    this one at least: the parts on which the two agree, less those that are empty here."""
     n = len(s)
     out = []
     scattered = s * np.uint64(0xD6E8FEB86659FD93)
@@ -87,7 +91,11 @@ def parts(s: np.ndarray, num: int, den: int) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         name = mixed((np.add.reduceat(scattered, first) * np.uint64(m + 1) + of[first]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c))
         out.append(name)
+        if needs is not None:
+            needs.append(np.full(len(name), max(1, spare + 1 - (m - len(first)))))
         if m - len(first) > spare:
+            if needs is not None:
+                needs.append(np.ones(m - len(first), dtype=np.int64))
             gone = np.setdiff1d(np.arange(m, dtype=np.uint64), of[first])
             out.append(mixed(mixed(gone + np.uint64(1)) + np.uint64(c)))
     return np.concatenate(out)
@@ -192,14 +200,34 @@ def wanted_sets(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
 
 
 def outer_regions(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(fp, region): the outer regions of each set, once."""
+    """(fp, region, need): the outer regions of each set, once, and in how many a linked set meets it at least."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [signed(parts(np.frombuffer(x, dtype=np.uint64), num, den)) for x in b.column("shingles").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("fp"), lists(found, pa.int64())], names=["fp", "regions"])
+            found, needs = [], []
+            for x in b.column("shingles").to_pylist():
+                own: list[np.ndarray] = []
+                found.append(signed(parts(np.frombuffer(x, dtype=np.uint64), num, den, own)))
+                needs.append(np.concatenate(own).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("fp"), lists(found, pa.int64()), lists(needs, pa.int32())], names=["fp", "regions", "needs"])
 
-    return nodes.mapInArrow(read, "fp long, regions array<long>").select("fp", F.explode("regions").alias("region"))
+    return nodes.mapInArrow(read, "fp long, regions array<long>, needs array<int>").select("fp", F.inline(F.arrays_zip("regions", "needs"))).toDF("fp", "region", "need")
+
+
+def chains(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, shared): sets that outer regions chain together; whatever links is connected by them.
+
+    A region of more than SMALL sets chains them to one of them. Regions of SMALL sets or fewer are counted by pairs: sets
+    that link and share no large region meet in as many small ones as ``need`` says, so pairs that meet in fewer are
+    left out. Else passages that two long documents share by chance would chain most of a corpus together.
+    """
+    places = outer_regions(nodes, num, den)
+    sized = keep(places.groupBy("region").agg(F.min("fp").alias("b"), F.max("fp").alias("last"), F.count("*").alias("sets"), F.min("need").alias("need")).where("b <> last"))
+    large = places.join(sized.where(F.col("sets") > SMALL).select("region", "b"), "region").groupBy(F.col("fp").alias("a"), "b").agg(F.count("*").alias("shared"))
+    few = places.join(sized.where(F.col("sets") <= SMALL).select("region"), "region").groupBy("region").agg(F.array_sort(F.collect_set("fp")).alias("fps"), F.min("need").alias("need"))
+    pairs = few.select("need", "fps", F.posexplode("fps").alias("i", "a")).select("need", "a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(SMALL))).alias("b"))
+    meets = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").drop("need")
+    return keep(large.where("a <> b").union(meets))
 
 
 def distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -361,11 +389,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
     texts_in_batches(docs.sparkSession)
     rows = sets(docs, k)
     nodes = keep(wanted_sets(docs, k, bitmap(in_company(docs, k, num, den), "fp", FILTER_BITS)))
-    places = outer_regions(nodes, num, den)
-    regions = keep(places.groupBy("region").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot <> last").select("region", "pivot"))
-    chained = keep(places.join(regions, "region").groupBy("fp", "pivot").agg(F.count("*").alias("shared")))
-    roots = components(chained.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
-    degree = chained.groupBy("fp").agg(F.sum("shared").alias("degree"))
+    chained = chains(nodes, num, den)
+    roots = components(chained)
+    degree = chained.select(F.col("a").alias("fp"), "shared").union(chained.select("b", "shared")).groupBy("fp").agg(F.sum("shared").alias("degree"))
     placed = roots.select(F.col("label").alias("cell"), F.col("node").alias("fp")).join(degree, "fp").select("cell", "fp", "degree")
     found = region_links(keep(placed, roots.count()), nodes, num, den)
     return grouped(rows, found)
