@@ -38,7 +38,9 @@ def parsed(raw: DataFrame) -> DataFrame:
     # A time of day alone casts to a time of today: a date must stand in front.
     ts = F.when(given.rlike(r"^\d{4}-\d\d-\d\d"), given.try_cast("timestamp"))
     reason = F.when(F.col("j").isNull() | F.col("j._bad").isNotNull(), "json").when(given.isNull(), "missing @timestamp").when(ts.isNull(), "bad @timestamp")
-    return j.select(*raw.columns, ts.alias("ts"), *[F.expr(e).alias(c) for c, e in FLAT.items()], reason.alias("reason")).withColumn("event_id", F.monotonically_increasing_id())
+    out = j.select(*raw.columns, ts.alias("ts"), *[F.expr(e).alias(c) for c, e in FLAT.items()], reason.alias("reason"))
+    # Order of arrival, where there is one; a stream names its events by what they say.
+    return out.withColumn("event_id", F.xxhash64("value", "source") if raw.isStreaming else F.monotonically_increasing_id())
 
 
 def records(lines_: DataFrame) -> DataFrame:

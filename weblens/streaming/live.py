@@ -31,8 +31,7 @@ def tailed(spark: SparkSession, path: str, pattern: str = "*.json", start_at_end
 
     spark.dataSource.register(TailSource)
     raw = spark.readStream.format("weblens_tail").option("path", path).option("pattern", pattern).option("startAtEnd", str(start_at_end).lower()).load()
-    out = ndjson.parsed(raw).drop("event_id")
-    return out.withColumn("us", F.unix_micros("ts")).withColumn("epoch", F.floor(F.col("us") / 1000000)).withColumn("event_id", F.xxhash64("value", "source"))
+    return ndjson.parsed(raw).withColumn("us", F.unix_micros("ts")).withColumn("epoch", F.floor(F.col("us") / 1000000))
 
 
 COLUMNS = ["event_id", "ts", "us", "epoch", "server", "source_ip", "user_agent", "url_path", "status_code", "http_method", "referrer", "body_bytes", "geo_country", "event_type_ecs", "original"]
