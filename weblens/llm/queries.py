@@ -12,6 +12,7 @@ from weblens.llm.labelled import fold
 from weblens.llm.licenses import license_scan
 from weblens.llm.mixing import mix
 from weblens.llm.near_vectors import near_vectors
+from weblens.llm.oracles import SQL
 from weblens.llm.packing import pack
 from weblens.llm.quality import quality
 from weblens.llm.secrets import secret_scan
@@ -64,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
