@@ -14,3 +14,15 @@ def test_validate_sessions_and_lint(spark, tmp_path, capsys):
     (tmp_path / "c.cfg").write_text(json.dumps({"input": "x", "gate_percentile": 0.9}))
     assert cli.main(["lint-config", "--config", str(tmp_path / "c.cfg")]) == 1
     assert cli.main(["status", "--registry", str(tmp_path / "none")]) == 0 and cli.main(["version"]) == 0
+
+
+def test_sinks(spark, tmp_path):
+    from weblens.plans.scalar_queries import parsed
+    from weblens.sources import ndjson, sinks
+
+    sinks.write_dead_letters(ndjson.dead_letters(parsed(spark)), str(tmp_path / "dead"))
+    sinks.write_insights(spark.createDataFrame([(1, "a")], "n int, what string"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "dead")).count() == 4 and spark.read.json(str(tmp_path / "out")).first().what == "a"
+    rows = spark.createDataFrame([("u", "d", 1), ("u", "e", 2)], "usecase string, disposition string, n int")
+    sinks.write_log(rows, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).where("disposition = 'e'").first().n == 2
