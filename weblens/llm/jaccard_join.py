@@ -39,7 +39,7 @@ from weblens.llm.common import Words, bitmap, blobs, bucket_of, components, keep
 #: Sizes of a class differ by up to this factor.
 WIDTH = 1.5
 #: A task hands on its parts when it has this many; buckets of parts for each shuffle partition; bits of the filter.
-FLUSH, BUCKETS, FILTER_BITS = 1_500_000, 32, 23
+FLUSH, BUCKETS, FILTER_BITS, FILTER_TASKS = 1_500_000, 32, 23, 8
 #: Sets in a block; a task joins two blocks at most. Shingles that a task compares at once.
 BLOCK, COLUMNS = 512, 16384
 #: Document pivots of a region, and how often what is left is split again.
@@ -199,16 +199,23 @@ def wanted_sets(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
     return docs.where("text is not null and doc_id is not null").select("text").mapInArrow(read, "fp long, shingles binary").dropDuplicates(["fp"])
 
 
-def outer_regions(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(fp, region, need): the outer regions of each set, once, and in how many a linked set meets it at least."""
+def outer_regions(nodes: DataFrame, num: int, den: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(fp, region, need): the outer regions of each set, once, and in how many a linked set meets it at least.
+
+    With ``wanted``, only regions that pass this filter: so what no other set shares is not shuffled again.
+    """
+    filtered = None if wanted is None else nodes.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = None if filtered is None else np.unpackbits(filtered.value).astype(bool)
         for b in batches:
             found, needs = [], []
             for x in b.column("shingles").to_pylist():
                 own: list[np.ndarray] = []
-                found.append(signed(parts(np.frombuffer(x, dtype=np.uint64), num, den, own)))
-                needs.append(np.concatenate(own).astype(np.int32))
+                names = signed(parts(np.frombuffer(x, dtype=np.uint64), num, den, own))
+                some = slice(None) if hit is None else hit[bucket_of(names, FILTER_BITS)]
+                found.append(names[some])
+                needs.append(np.concatenate(own).astype(np.int32)[some])
             yield pa.RecordBatch.from_arrays([b.column("fp"), lists(found, pa.int64()), lists(needs, pa.int32())], names=["fp", "regions", "needs"])
 
     return nodes.mapInArrow(read, "fp long, regions array<long>, needs array<int>").select("fp", F.inline(F.arrays_zip("regions", "needs"))).toDF("fp", "region", "need")
@@ -221,8 +228,9 @@ def chains(nodes: DataFrame, num: int, den: int) -> DataFrame:
     that link and share no large region meet in as many small ones as ``need`` says, so pairs that meet in fewer are
     left out. Else passages that two long documents share by chance would chain most of a corpus together.
     """
-    places = outer_regions(nodes, num, den)
-    sized = keep(places.groupBy("region").agg(F.min("fp").alias("b"), F.max("fp").alias("last"), F.count("*").alias("sets"), F.min("need").alias("need")).where("b <> last"))
+    sized = keep(outer_regions(nodes, num, den).groupBy("region").agg(F.min("fp").alias("b"), F.max("fp").alias("last"), F.count("*").alias("sets"), F.min("need").alias("need")).where("b <> last"))
+    # A task over shared regions fills one filter; a few tasks do.
+    places = outer_regions(nodes, num, den, bitmap(sized.coalesce(FILTER_TASKS), "region", FILTER_BITS))
     large = places.join(sized.where(F.col("sets") > SMALL).select("region", "b"), "region").groupBy(F.col("fp").alias("a"), "b").agg(F.count("*").alias("shared"))
     few = places.join(sized.where(F.col("sets") <= SMALL).select("region"), "region").groupBy("region").agg(F.array_sort(F.collect_set("fp")).alias("fps"), F.min("need").alias("need"))
     pairs = few.select("need", "fps", F.posexplode("fps").alias("i", "a")).select("need", "a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(SMALL))).alias("b"))
