@@ -62,3 +62,24 @@ def test_no_rows(corpus):
 def test_every_template_holds_an_anchor():
     assert all(any(a in t.lower() for a in licenses.ANCHORS) for ts in licenses.TEMPLATES.values() for t in ts)
     assert all(any(a in t.lower() for a in licenses.ANCHORS) for t in licenses.OTHERS)
+
+
+def test_paragraphs_without_an_anchor_are_judged(spark, corpus):
+    docs, _, _ = corpus
+    model = licenses.fit(docs)
+    line = "CC BY-NC-SA 3.0, for noncommercial use only"
+    assert not any(a in line.lower() for a in licenses.ANCHORS)
+    rows = spark.createDataFrame([(1, f"Some words.\n{line}\nMore words."), (2, "Some words.\nMore words."), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(rows, model).collect()}
+    assert got[1].n_judged == 3 and got[1].n_paragraphs == 0 and got[1].n_licenses + got[1].n_unknown == 1
+    assert got[2].n_judged == 2 and got[2].n_licenses == got[2].n_unknown == got[3].n_judged == 0
+
+
+def test_what_is_proven_none_is_called_none(spark, corpus):
+    docs, _, _ = corpus
+    model = licenses.fit(docs)
+    texts = [(t,) for ts in licenses.TEMPLATES.values() for t in ts] + [(t,) for t in [*licenses.OTHERS, *licenses.MENTIONS]] + [(" ".join(t.split()[:n]),) for ts in licenses.TEMPLATES.values() for t in ts for n in (1, 2, 4, 8)]
+    rows = spark.createDataFrame(texts, "paragraph string").union(docs.select(licenses.F.explode(licenses.paragraphs(licenses.F.col("text")))).limit(300))
+    told = licenses.judged(model.open(rows.withColumn("w", licenses.words(licenses.F.col("paragraph")))), model)
+    counts = {(r.open, r.none): r["count"] for r in told.groupBy("open", (licenses.F.col("family") == "none").alias("none")).count().collect()}
+    assert counts[False, True] > 0 and counts[True, False] > 0 and (False, False) not in counts

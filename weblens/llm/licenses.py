@@ -10,8 +10,8 @@ which accepted families are right, with notices of families that the classifier
 A paragraph is of a family if its calibrated probability reaches that bound and a template of the family confirms it: the
 paragraph holds most of the template's word trigrams (of shorter templates, of its words), or most of its own trigrams are
 the template's, as those of a wrapped notice's lines. Whatever else is not ``none``
-is of the class ``unknown``. A paragraph that holds none of the words that notices speak of (``ANCHORS``, one of which is in
-every template) is ``none`` by definition, so that only few paragraphs need the classifier. All texts are read whole.
+is of the class ``unknown``. No paragraph is left out, and all texts are read whole: a paragraph goes past the classifier only
+where the classifier's own weights prove that it calls it ``none`` (``Model.open``).
 
 Null and empty texts have no paragraphs and no licences. One row comes out for each row that goes in, rows that repeat an
 id or have a null id too. Ties of probability go to the family named first. The counts that leave a task are one row a
@@ -139,11 +139,6 @@ def anchored(text: Column) -> Column:
     return out
 
 
-def candidates(text: Column) -> Column:
-    """The paragraphs that hold an anchor; a text without one has none, and is not cut."""
-    return F.when(anchored(text), F.filter(paragraphs(text), anchored)).otherwise(F.array().cast("array<string>"))
-
-
 def words(paragraph: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(paragraph, F.lit(""))), F.lit(WORD), F.lit(0))
 
@@ -194,6 +189,29 @@ class Model:
         """Rows (terms, ...) with the array ``z`` of raw scores in the order of the classes."""
         return self.classifier.transform(self.vocabulary.transform(rows)).withColumn("z", vector_to_array("rawPrediction")).drop("features", "rawPrediction", "probability", "prediction")
 
+    def gains(self) -> tuple[float, dict[str, float]]:
+        """What the best family has over ``none`` at most: without words, and more by each word that can add to it.
+
+        A word's part is the most that it and a pair beginning with it can add, and never less than 0.
+        """
+        c, b = self.classifier.coefficientMatrix.toArray(), self.classifier.interceptVector.toArray()
+        own, pairs = {}, {}
+        for term, gain in zip(self.vocabulary.vocabulary, (c[:-1] - c[-1]).max(axis=0), strict=True):
+            if gain > 0:
+                first, _, second = term.partition(" ")
+                into = pairs if second else own
+                into[first] = max(into.get(first, 0.0), float(gain))
+        return float((b[:-1] - b[-1]).max()), {w: own.get(w, 0.0) + pairs.get(w, 0.0) for w in sorted({*own, *pairs})}
+
+    def open(self, rows: DataFrame) -> DataFrame:
+        """Rows (w, ...) with ``open``, whether the classifier may call the words other than ``none``; false proves that it does not."""
+        start, parts = self.gains()
+        adding = CountVectorizerModel.from_vocabulary([*parts] or [NONE], inputCol="w", outputCol="_adding")
+        v, part = F.unwrap_udt("_adding"), F.array(*[F.lit(x) for x in parts.values()] or [F.lit(0.0)])
+        more = F.zip_with(v["indices"], v["values"], lambda i, n: n * F.get(part, i))
+        most = F.when(F.size(v["indices"]) > 0, F.aggregate(more, F.lit(start), lambda a, x: a + x)).otherwise(start)
+        return adding.transform(rows).withColumn("open", most >= -1e-6).drop("_adding")
+
 
 def classes() -> list[str]:
     return [*TEMPLATES, NONE]
@@ -237,8 +255,9 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def judged(rows: DataFrame, model: Model) -> DataFrame:
     """Rows (paragraph, ...) with ``family`` (a family, unknown or none), ``chance`` and ``confirmed`` (share of a template)."""
-    w = words(F.col("paragraph"))
-    scored = model.logits(rows.withColumn("terms", terms(w))).drop("terms")
+    # The words are a column of their own: written into what is made of them, they would be cut out again for each use.
+    w = F.col("w")
+    scored = model.logits(rows.withColumn("w", words(F.col("paragraph"))).withColumn("terms", terms(w))).drop("terms")
     scored = scored.withColumn("guess", F.element_at(F.array(*[F.lit(c) for c in classes()]), best(F.col("z")) + 1))
     # Almost all paragraphs are of no family, and need no probability and no template.
     scored = scored.withColumn("chance", F.when(F.col("guess") != NONE, chance(F.col("z"), F.array_max("z"), model.temperature))).drop("z")
@@ -250,22 +269,28 @@ def judged(rows: DataFrame, model: Model) -> DataFrame:
     share = lambda t: F.greatest(both(t) / F.size(t), F.size(F.array_intersect(t, F.array_distinct(w))) / F.size(t), own(t))
     scored = scored.withColumn("confirmed", F.when(F.col("guess") != NONE, F.coalesce(F.array_max(F.transform("shapes", share)), F.lit(0.0)))).drop("shapes")
     sure = (F.col("chance") >= model.least) & (F.col("confirmed") >= CONFIRMS)
-    return scored.withColumn("family", F.when(F.col("guess") == NONE, NONE).when(sure, F.col("guess")).otherwise("unknown")).drop("guess")
+    return scored.withColumn("family", F.when(F.col("guess") == NONE, NONE).when(sure, F.col("guess")).otherwise("unknown")).drop("guess", "w")
 
 
 def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, n_paragraphs, n_licenses, n_unknown, families, chance) of documents (doc_id, text).
+    """(doc_id, n_judged, n_paragraphs, n_licenses, n_unknown, families, chance) of documents (doc_id, text).
 
-    n_paragraphs: those that the classifier judged, each of which holds an anchor.
+    n_judged: all paragraphs, each of which the classifier judges; n_paragraphs: those of them that hold one of ANCHORS.
     families: the confirmed families by name, comma-joined; chance: the greatest calibrated one of a confirmed family, or null.
     """
     model = model or fit(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").select("row", "doc_id", F.explode_outer(candidates(F.col("text"))).alias("paragraph"))
+    cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", anchored(F.col("text")).alias("holds"), paragraphs(F.col("text")).alias("ps"))
+    held = F.when(F.col("holds"), F.size(F.filter("ps", anchored))).otherwise(0)
+    cut = cut.select("row", "doc_id", F.size("ps").alias("n_judged"), held.alias("n_paragraphs"), "ps")
+    rows = cut.select("row", "doc_id", "n_judged", "n_paragraphs", F.posexplode_outer("ps").alias("at", "paragraph"))
+    # The first paragraph stays for its document's row; the others that are proven none add nothing to it.
+    rows = model.open(rows.withColumn("w", words(F.col("paragraph")))).where("open or at is null or at = 0").drop("open", "at", "w")
     told = judged(rows, model)
     known = ~F.col("family").isin(NONE, "unknown")
     by_row = told.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
-        F.count("paragraph").alias("n_paragraphs"),
+        F.max("n_judged").cast("long").alias("n_judged"),
+        F.max("n_paragraphs").cast("long").alias("n_paragraphs"),
         F.count(F.when(known, 1)).alias("n_licenses"),
         F.count(F.when(F.col("family") == "unknown", 1)).alias("n_unknown"),
         F.array_join(F.array_sort(F.collect_set(F.when(known, F.col("family")))), ",").alias("families"),
