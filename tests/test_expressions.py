@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weblens.functions import expressions as X
+from weblens.functions import fixed
 from weblens.operators import features as W
 from weblens.operators import profile as P
 from weblens.operators import sessions as S
@@ -85,6 +86,16 @@ def test_chain_fano_and_assets(spark):
     assert w.timing_fano_factor == 0.0 and w.bot_referrer_chain_depth == 10.0
 
 
+def test_long_chains_and_many_paths(spark):
+    n = 4 * fixed.MAX_CHAIN + 300
+    same = frame(spark, [(0, "/b", 200, "GET", None, 1)] + [(i // 100 + 1, "/a", 200, "GET", "/a", 1) for i in range(n)])
+    got = W.chain_depth(W.keyed(same, 86400)).collect()
+    assert [r.bot_referrer_chain_depth for r in got] == [float(n)]
+    # The path that fills the table is the last that counts.
+    many = [(i // 100, f"/{i}", 200, "GET", None, 1) for i in range(fixed.MAX_CHAIN - 1)] + [(99, "/x", 200, "GET", "/1", 1)] + [(100 + i, "/x", 200, "GET", "/x", 1) for i in range(9)]
+    assert W.chain_depth(W.keyed(frame(spark, many), 86400)).first().bot_referrer_chain_depth == 2.0
+
+
 def test_memory_before_a_batch(spark):
     rows = frame(spark, [(0, "/robots.txt", 200, "GET", None, 1), (3600, "/a", 200, "GET", None, 1), (7200, "/b", 200, "GET", None, 1), (7201, "/b", 200, "GET", None, 1)])
     whole = {w.window_start: w for w in W.window_features(rows, P.learn(rows)).collect()}

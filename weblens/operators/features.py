@@ -5,6 +5,9 @@ A key is (server, source_ip, ua_hash, bucket). Order within a window is by time
 sees an unbounded group. What runs over a client's windows (hours of activity, robots.txt) runs over rows a window.
 """
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,25 +62,38 @@ def item_counts(requests: DataFrame, window_s: int) -> DataFrame:
 
 
 def chain_depth(requests: DataFrame) -> DataFrame:
-    """By key: how deep navigation by referrers goes, over the first MAX_CHAIN paths of a window in order."""
-    w = Window.partitionBy(*KEY).orderBy("us", "event_id")
-    steps = requests.where("url_path <> ''").withColumn("ref_path", X.referrer_path(F.col("referrer"))).withColumn("n", F.row_number().over(w))
-    # Only windows in which some referrer was a path before can be deeper than 1.
-    rows = steps.where(F.col("n") <= fixed.MAX_CHAIN * 4).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("n", "url_path", "ref_path"))).alias("steps"))
-
-    def walk(acc: Column, s: Column) -> Column:
-        known = acc["depths"]
-        depth = F.coalesce(F.try_element_at(known, s["ref_path"]), F.lit(0)) + 1
-        grows = (depth > F.coalesce(F.try_element_at(known, s["url_path"]), F.lit(0))) & (F.size(known) < fixed.MAX_CHAIN)
-        kept = F.map_filter(known, lambda k, _: k != s["url_path"])
-        deeper = F.when(grows, F.map_concat(kept, F.create_map(s["url_path"], depth))).otherwise(known)
-        return F.struct(deeper.alias("depths"), F.when(F.size(known) < fixed.MAX_CHAIN, F.greatest(acc["most"], depth)).otherwise(acc["most"]).alias("most"))
-
-    start = F.struct(F.create_map().cast("map<string,int>").alias("depths"), F.lit(0).alias("most"))
-    paths = F.transform("steps", lambda s: s["url_path"])
-    linked = F.exists("steps", lambda s: s["ref_path"].isNotNull() & F.array_contains(paths, s["ref_path"]))
-    depth = F.when(linked, F.aggregate("steps", start, walk, lambda acc: acc["most"])).otherwise(1)
-    return rows.select(*KEY, depth.cast("double").alias("bot_referrer_chain_depth"))
+    """By key: how deep navigation by referrers goes, up to the request that brings a window's path number MAX_CHAIN.
+
+    Requests come sorted and in batches; only the depths of at most MAX_CHAIN paths of one window are held.
+    """
+    steps = requests.where("url_path <> ''").select(*KEY, "url_path", X.referrer_path(F.col("referrer")).alias("ref_path"), "us", "event_id")
+    steps = steps.repartition(*KEY).sortWithinPartitions(*KEY, "us", "event_id").drop("us", "event_id")
+    cap = fixed.MAX_CHAIN
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in steps.schema if f.name in KEY]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known, most, kind = None, {}, 0, None
+
+        def row(done: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array([d[0][i] for d in done], kind[i]) for i in range(len(KEY))], pa.array([float(d[1]) for d in done], pa.float64())], names=[*KEY, "bot_referrer_chain_depth"])
+
+        for b in batches:
+            kind, done = [b.schema.field(k).type for k in KEY], []
+            for *at, path, ref in zip(*[b.column(c).to_pylist() for c in (*KEY, "url_path", "ref_path")], strict=True):
+                if at != key:
+                    if key is not None:
+                        done.append((key, most))
+                    key, known, most = at, {}, 0
+                if len(known) < cap:
+                    depth = known.get(ref, 0) + 1
+                    known[path] = max(depth, known.get(path, 0))
+                    most = max(most, depth)
+            if done:
+                yield row(done)
+        if key is not None:
+            yield row([(key, most)])
+
+    return steps.mapInArrow(walk, ", ".join([*kinds, "bot_referrer_chain_depth double"]))
 
 
 def family_robots(requests: DataFrame) -> DataFrame:
