@@ -73,6 +73,23 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
+def test_a_root_of_many_sets_gets_pivots_at_its_production_size(spark):
+    r = random.Random(4)
+    base = [f"v{i}" for i in range(90)]
+    rows = []
+    for i in range(J.BLOCK + 300):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 9])):
+            w[r.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    assert run(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
+
+
 def test_one_of_each(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d  e f"), (3, "x y"), (None, None)], "doc_id long, text string")
-    assert sorted(map(str, (r.doc_id for r in J.one_of_each(docs).collect()))) == ["1", "3", "None"]
+    rows = [(1, "a b c d e f"), (2, "A b c d  e f"), (3, "x y"), (3, "X  y"), (3, "other text"), (4, None), (4, None)]
+    rows += [(None, None), (None, "a b c d e f"), (None, "q r s"), (None, "q r s")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, fp int")
+    got = J.one_of_each(docs)
+    assert got.columns == ["doc_id", "text", "fp"]
+    alike = lambda t: t and " ".join(t.lower().split())
+    assert sorted(((r.doc_id, alike(r.text)) for r in got.collect()), key=str) == [(1, "a b c d e f"), (3, "other text"), (3, "x y"), (4, None), (None, None), (None, "q r s")]

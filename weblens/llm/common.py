@@ -1,6 +1,7 @@
 """Helpers that several operators share: reading, checkpoints, words, shingles, bounded counters, components."""
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; a temporary one where it names none, as in tests."""
+    """The folder that the session names for checkpoints; a temporary one where it names none and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -144,53 +147,43 @@ def summed_chunks(parts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Which of 2**bits ranges of a 64-bit hash occur: a filter of fixed size with false hits but no misses."""
+class Scratch:
+    """Tables between the rounds of a job, in the shared folder; each is whole before the one it replaces goes."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, dtype=bool)
-        for b in batches:
-            seen[bucket_of(b.column(0).to_numpy(zero_copy_only=False), bits)] = True
-        packed = np.packbits(seen)
-        yield from chunk_rows(packed.view(np.int64))
-
-    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                got = np.frombuffer(blob, dtype=np.int64)
-                sums[chunk] = sums[chunk] | got if chunk in sums else got
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), blobs(list(sums.values()))], names=["chunk", "blob"])
-
-    words = np.zeros((1 << bits) // 64, dtype=np.int64)
-    parts = df.select(column).mapInArrow(mark, "chunk int, blob binary")
-    for row in parts.repartition(8, "chunk").mapInArrow(either, "chunk int, blob binary").collect():
-        got = np.frombuffer(row.blob, dtype=np.int64)
-        words[row.chunk * CHUNK : row.chunk * CHUNK + len(got)] |= got
-    return np.unpackbits(words.view(np.uint8)).astype(bool)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", 0
 
+    def put(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
-def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (np.ascontiguousarray(hashes).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    def drop(self, n: int) -> None:
+        """Delete a table by its number."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b): label is the smallest node that it reaches.
 
     Labels take the minimum of the neighbours and then jump to their label's label, so the rounds grow with the
-    logarithm of a chain. All state stays in checkpointed frames; the driver sees one count a round.
+    logarithm of a chain. All state stays in tables, of which a round leaves the last; the driver sees one count a round.
     """
-    both = keep(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct())
-    n = both.count()
-    both = both.coalesce(-(-n // TASK_ROWS) or 1)
-    labels = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), n)
+    rounds = Scratch(edges.sparkSession)
+    both = rounds.put(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct())
+    labels = rounds.put(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
+        before = rounds.n
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         nearer = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        nearer = keep(nearer, n)
+        nearer = rounds.put(nearer)
         far = nearer.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = keep(nearer.join(far, "label").select("node", "was", F.least("label", "next").alias("label")), n)
+        jumped = rounds.put(nearer.join(far, "label").select("node", "was", F.least("label", "next").alias("label")))
         moved = jumped.where("label <> was").limit(1).count()
         labels = jumped.select("node", "label")
+        rounds.drop(before)
+        rounds.drop(before + 1)
         if not moved:
+            rounds.drop(1)
             return labels

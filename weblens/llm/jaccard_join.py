@@ -7,9 +7,9 @@ Jaccard distance is a metric, and every pair within ``eps = 1 - threshold`` is f
    nothing, so the outermost regions come from the sets themselves. Nodes fall into classes by size; a class bounds the
    number D of shingles in which two linked sets differ. The shingle space is cut into more than D parts, so that linked
    sets agree on a part, and what a set holds of a part names a region. A node is replicated to the regions of its parts.
-3. *Root regions.* Nodes that outer regions chain together form a root region; all links lie inside one. Linked sets agree
-   on a known number of parts, so two sets that meet in fewer small regions and in no large one are not chained. A root of
-   bounded size is joined in one task.
+3. *Root regions.* Linked sets agree on a known number of parts, so a set with company in fewer regions stays behind, and two
+   sets that meet in fewer small regions and in no large one are not chained. Nodes that outer regions chain together form a
+   root region; all links lie inside one. A root of bounded size is joined in one task.
 4. *Recursion.* A larger region gets document pivots, and each node's distances from them. The nodes that link with their
    nearest pivot are its Voronoi region, one component by those links. Whatever else may link with them lies within
    ``2 * eps`` of the pivot by the triangle inequality: these boundary nodes, unless they link with the pivot itself, are
@@ -31,19 +31,22 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblens.llm.common import Words, bitmap, blobs, bucket_of, components, keep, lists, mixed, polynomial, shingles, signed, texts_in_batches
+from weblens.llm.common import Words, blobs, components, keep, mixed, polynomial, shingles, signed, texts_in_batches
 
 #: Sizes of a class differ by up to this factor.
 WIDTH = 1.5
-#: A task hands on its parts when it has this many; buckets of parts for each shuffle partition; bits of the filter.
-FLUSH, BUCKETS, FILTER_BITS, FILTER_TASKS = 1_500_000, 32, 23, 8
+#: A task hands on its parts when it has this many; buckets of parts for each shuffle partition.
+FLUSH, BUCKETS = 1_500_000, 16
 #: Sets in a block; a task joins two blocks at most. Shingles that a task compares at once.
 BLOCK, COLUMNS = 512, 16384
 #: Document pivots of a region, and how often what is left is split again.
 PIVOTS, DEPTH = 4, 4
+#: Ids up to which documents are told by a broadcast which of them is meant; ids of texts under a null id start here.
+IDS, NAMELESS = 1_000_000, 1 << 62
 #: Sets of a region up to which its pairs are counted.
 SMALL = 12
 #: Bytes of pivots' shingles, and rows of cells, up to which they are sent to the sets instead of the sets to them.
@@ -101,141 +104,188 @@ def parts(s: np.ndarray, num: int, den: int, needs: list | None = None) -> np.nd
     return np.concatenate(out)
 
 
-def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, fp) for each row."""
+# Documents meet in outer regions. What one task has found travels as rows (bucket, kind, x, y, z) of packed arrays.
+NAMED, DOCUMENT, NO_ID, COMPANY, PAIR, STAR = range(6)
+#: The types of y and z by kind; x has 64 bits but for names.
+TYPES = {DOCUMENT: (np.int64, np.int64), NO_ID: (np.int64, np.int64), COMPANY: (np.int32, np.uint8), PAIR: (np.int64, np.uint8), STAR: (np.int64, np.uint8)}
+PACKED = "bucket int, kind int, x binary, y binary, z binary"
+#: Set in a need: the region holds more sets than are told here. Needs are kept below.
+LARGE = 128
+
+
+def packs(rows: list[tuple]) -> pa.RecordBatch:
+    bucket, kind, *arrays = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), *map(blobs, map(list, arrays))], names=["bucket", "kind", "x", "y", "z"])
+
+
+def regions_of(names: np.ndarray, fps: np.ndarray, needs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct (name, fp) with their needs, the place of each name's first row, each row's first, and its name's rows."""
+    order = np.lexsort((needs, fps, names))
+    names, fps, needs = names[order], fps[order], needs[order]
+    last = np.concatenate([(names[1:] != names[:-1]) | (fps[1:] != fps[:-1]), [True]])
+    names, fps, needs = names[last], fps[last], needs[last]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    rows = np.diff(np.append(first, len(names)))
+    return names, fps, needs, first, np.repeat(first, rows), np.repeat(rows, rows)
+
+
+def in_company(fps: np.ndarray, needs: np.ndarray) -> tuple:
+    """A pack of sets with the number of regions in which each has company, and the least need of these."""
+    fps, at, n = np.unique(fps, return_inverse=True, return_counts=True)
+    least = np.full(len(fps), LARGE - 1, dtype=np.uint8)
+    np.minimum.at(least, at, needs & (LARGE - 1))
+    return -1, COMPANY, fps, n.astype(np.int32), least
+
+
+def star(fps: np.ndarray, centres: np.ndarray) -> tuple:
+    return -1, STAR, fps, centres, np.zeros(len(fps), dtype=np.uint8)
+
+
+def leaders(names: np.ndarray, fps: np.ndarray, needs: np.ndarray, buckets: int) -> list[tuple]:
+    """What a task sends of its sets' regions: by bucket of names, all sets of small regions and one of each large one,
+    whose other sets are told to be in company here, so a region may hold any share of the documents."""
+    names, fps, needs, first, own, size = regions_of(names, fps, needs)
+    large = size > SMALL
+    follows = large & (own != np.arange(len(names)))
+    out = [in_company(fps[follows], needs[follows]), star(fps[follows], fps[own[follows]])] if follows.any() else []
+    names, fps, needs = names[~follows], fps[~follows], np.where(large, needs | LARGE, needs)[~follows]
+    edges = np.searchsorted(names, [np.uint64(i * 2**64 // buckets) for i in range(1, buckets)])
+    # 32 bits below those that pick a bucket: names that coincide only put more sets in company.
+    low = ((names >> np.uint64(12)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    cut_ = [np.split(c, edges) for c in (low, fps, needs)]
+    return out + [(i, NAMED, *c) for i, c in enumerate(zip(*cut_, strict=True)) if len(c[0])]
+
+
+def meeting(names: np.ndarray, fps: np.ndarray, needs: np.ndarray) -> list[tuple]:
+    """Who meets in a bucket's regions: each set with its number of regions in company, pairs of sets that share a small
+    region, and the sets of a large one with the one that stands in its centre."""
+    _, fps, needs, first, own, size = regions_of(names, fps, needs)
+    large = np.repeat(np.maximum.reduceat(needs, first) >= LARGE, size[first]) | (size > SMALL)
+    needs = needs & (LARGE - 1)
+    out, company = [], large | (size > 1)
+    if company.any():
+        out.append(in_company(fps[company], needs[company]))
+    follows = large & (own != np.arange(len(fps)))
+    if follows.any():
+        out.append(star(fps[follows], fps[own[follows]]))
+    pairs = []
+    for step in range(1, SMALL):
+        i = np.flatnonzero((own[step:] == own[:-step]) & ~large[step:])
+        pairs.append((fps[i], fps[i + step], np.maximum(needs[i], needs[i + step])))
+    a, b, need = map(np.concatenate, zip(*pairs, strict=True))
+    return [*out, (-1, PAIR, a, b, need)] if len(a) else out
+
+
+def meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """One pass over the texts: packs of the documents (doc_id, fp, n_shingles), and of who meets whom."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = partitions * BUCKETS
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in batches:
-            found = shingles(b.column("text").to_pylist(), k, words)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([fingerprint(s) for s in found], pa.int64())], names=["doc_id", "n_shingles", "fp"])
-
-    return keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, n_shingles long, fp long"))
-
-
-def short(names: np.ndarray) -> np.ndarray:
-    """32 bits of sorted names below those that pick a bucket. Names that coincide only put more sets in company."""
-    return ((names >> np.uint64(12)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
-def shared(names: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by name, at most two different fingerprints of each; and all fingerprints under a name that has several."""
-    order = np.lexsort((fps, names))
-    names, fps = names[order], fps[order]
-    new = np.concatenate([[True], names[1:] != names[:-1]])
-    other = new | np.concatenate([[True], fps[1:] != fps[:-1]])
-    names, fps, new = names[other], fps[other], new[other]
-    last = np.concatenate([new[1:], [True]])
-    return names[new | last], fps[new | last], np.unique(fps[~(new & last)])
+        words, held, n = Words(), [], 0
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            sent = leaders(*map(np.concatenate, zip(*held, strict=True)), buckets)
+            for i in range(0, len(sent), 256):
+                yield packs(sent[i : i + 256])
 
-def in_company(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The fingerprints (fp) of sets that share an outer region with a different set.
-
-    Names and fingerprints travel as packed arrays by ranges of names. A task sends two fingerprints of a name at most and
-    reports the others itself, so a region may hold any share of the documents.
-    """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS
-
-    def out(bucket: list[int], names: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), blobs(names), blobs(fps)], names=["bucket", "names", "fps"])
-
-    def flush(names: list[np.ndarray], fps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        n, f, told = shared(np.concatenate(names), np.concatenate(fps))
-        edges = np.searchsorted(n, [np.uint64(i * 2**64 // buckets) for i in range(1, buckets)])
-        each = [(i, short(a), b) for i, (a, b) in enumerate(zip(np.split(n, edges), np.split(f, edges), strict=True)) if len(a)]
-        for i in range(0, len(each), 256):
-            yield out(*map(list, zip(*each[i : i + 256], strict=True)))
-        yield out([-1], [told[:0]], [told])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, names, fps, held = Words(), [], [], 0
         for b in batches:
-            for s in shingles(b.column("text").to_pylist(), k, words):
-                if len(s):
-                    names.append(p := parts(s, num, den))
-                    fps.append(np.full(len(p), fingerprint(s), dtype=np.int64))
-                    held += len(p)
-                if held > FLUSH:
-                    yield from flush(names, fps)
-                    names, fps, held = [], [], 0
+            found = shingles(b.column("text").to_pylist(), k, words)
+            fps, sizes = np.array([fingerprint(s) for s in found], dtype=np.int64), np.array([len(s) for s in found], dtype=np.int64)
+            known = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            ids = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            yield packs([(-1, kind, ids[some], fps[some], sizes[some]) for kind, some in ((DOCUMENT, known), (NO_ID, ~known))])
+            for i in np.flatnonzero(known & (sizes > 0)):
+                needs: list[np.ndarray] = []
+                names = parts(found[i], num, den, needs)
+                held.append((names, np.full(len(names), fps[i]), np.minimum(np.concatenate(needs), LARGE - 1).astype(np.uint8)))
+                n += len(names)
+                if n > FLUSH:
+                    yield from flush()
+                    held, n = [], 0
         if held:
-            yield from flush(names, fps)
+            yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told() -> pa.RecordBatch:
-            f = np.concatenate([np.frombuffer(y, dtype=np.int64) for _, y in held])
-            told_ = f if at < 0 else shared(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x, _ in held]), f)[2]
-            return pa.RecordBatch.from_arrays([pa.array(told_, pa.int64())], names=["fp"])
-
         at, held = None, []
+
+        def met() -> Iterator[pa.RecordBatch]:
+            got = meeting(*[np.frombuffer(b"".join(c), dtype=t) for c, t in zip(zip(*held, strict=True), (np.uint32, np.int64, np.uint8), strict=True)])
+            if got:
+                yield packs(got)
+
         for b in batches:
-            for bucket, x, y in zip(*(b.column(c).to_pylist() for c in ("bucket", "names", "fps")), strict=True):
-                if held and (bucket != at or at < 0):
-                    yield told()
+            apart = b.filter(pc.not_equal(b.column("kind"), NAMED))
+            if apart.num_rows:
+                yield apart
+            named = b.filter(pc.equal(b.column("kind"), NAMED))
+            for bucket, *arrays in zip(*(named.column(c).to_pylist() for c in ("bucket", "x", "y", "z")), strict=True):
+                if held and bucket != at:
+                    yield from met()
                     held = []
                 at = bucket
-                held.append((x, y))
+                held.append(arrays)
         if held:
-            yield told()
+            yield from met()
 
-    sent = docs.where("text is not null and doc_id is not null").select("text").mapInArrow(read, "bucket int, names binary, fps binary")
-    dealt = sent.repartition(buckets // BUCKETS, F.when(F.col("bucket") < 0, F.xxhash64("fps")).otherwise(F.col("bucket").cast("long")))
-    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, "fp long").distinct()
+    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, PACKED)
+    dealt = sent.repartition(partitions, F.when(F.col("bucket") < 0, F.xxhash64("x", "kind")).otherwise(F.col("bucket").cast("long")))
+    return dealt.sortWithinPartitions("bucket").mapInArrow(meet, PACKED)
 
 
-def wanted_sets(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
-    """(fp, shingles), once for each set whose fingerprint is in the filter ``wanted``."""
-    filtered = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+def unpacked(met: DataFrame, kind: int, *columns: str) -> DataFrame:
+    """The rows of one kind of packs."""
+    types = (np.int64, *TYPES[kind])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hit = Words(), np.unpackbits(filtered.value).astype(bool)
         for b in batches:
-            found = [(fingerprint(s), s) for s in shingles(b.column("text").to_pylist(), k, words) if len(s)]
-            at = bucket_of(np.array([f for f, _ in found], dtype=np.int64), FILTER_BITS)
-            found = [x for x, yes in zip(found, hit[at], strict=True) if yes]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), blobs([s for _, s in found])], names=["fp", "shingles"])
+            for arrays in zip(*(b.column(c) for c in "xyz"), strict=True):
+                flat = [np.frombuffer(a.as_buffer(), dtype=t) for a, t in zip(arrays, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)) for f in flat], names=list(columns))
+
+    return met.where(F.col("kind") == kind).select("x", "y", "z").mapInArrow(read, ", ".join(f"{c} long" for c in columns))
+
 
-    return docs.where("text is not null and doc_id is not null").select("text").mapInArrow(read, "fp long, shingles binary").dropDuplicates(["fp"])
+def documents(met: DataFrame) -> DataFrame:
+    """(doc_id, fp, n_shingles) of each row."""
+    nameless = unpacked(met, NO_ID, "doc_id", "fp", "n_shingles").withColumn("doc_id", F.lit(None).cast("long"))
+    return unpacked(met, DOCUMENT, "doc_id", "fp", "n_shingles").unionByName(nameless)
 
 
-def outer_regions(nodes: DataFrame, num: int, den: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """(fp, region, need): the outer regions of each set, once, and in how many a linked set meets it at least.
+def root_regions(met: DataFrame) -> DataFrame:
+    """(cell, fp, degree): the sets that may link with others, by the roots that outer regions chain together.
 
-    With ``wanted``, only regions that pass this filter: so what no other set shares is not shuffled again.
+    A set that links has company in as many regions as it needs at least; the others stay behind before any set is
+    shipped. Two sets that meet in small regions only are chained if they meet in as many as they need. The sets of a
+    large region are chained through its centre: each set once, with the least of its centres, and its centres with that.
     """
-    filtered = None if wanted is None else nodes.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    company = unpacked(met, COMPANY, "fp", "regions", "need").groupBy("fp").agg(F.sum("regions").alias("degree"), F.min("need").alias("need"))
+    company = keep(company.where("degree >= need").select("fp", "degree"))
+    pairs = unpacked(met, PAIR, "a", "b", "need").groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("a", "b")
+    stars = unpacked(met, STAR, "a", "b", "need").select("a", "b").distinct()
+    stars = stars.join(company.select(F.col("fp").alias("a")), "a", "left_semi").groupBy("a").agg(F.min("b").alias("b"), F.collect_set("b").alias("centres"))
+    stars = keep(stars)
+    centres = stars.select(F.explode("centres").alias("a"), "b").where("a <> b").distinct()
+    roots = components(pairs.union(stars.select("a", "b")).union(centres))
+    placed = company.join(roots.withColumnRenamed("node", "fp"), "fp").select(F.col("label").alias("cell"), "fp", "degree")
+    several = placed.groupBy("cell").agg(F.count("*").alias("sets")).where("sets > 1")
+    return keep(placed.join(several, "cell").select("cell", "fp", "degree"))
+
+
+def shipped(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(fp, shingles), once for each wanted set (fp): of each set one document is read again."""
+    one = rows.where("doc_id is not null").join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    ids = keep(one.select("doc_id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= IDS else ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = None if filtered is None else np.unpackbits(filtered.value).astype(bool)
+        words = Words()
         for b in batches:
-            found, needs = [], []
-            for x in b.column("shingles").to_pylist():
-                own: list[np.ndarray] = []
-                names = signed(parts(np.frombuffer(x, dtype=np.uint64), num, den, own))
-                some = slice(None) if hit is None else hit[bucket_of(names, FILTER_BITS)]
-                found.append(names[some])
-                needs.append(np.concatenate(own).astype(np.int32)[some])
-            yield pa.RecordBatch.from_arrays([b.column("fp"), lists(found, pa.int64()), lists(needs, pa.int32())], names=["fp", "regions", "needs"])
-
-    return nodes.mapInArrow(read, "fp long, regions array<long>, needs array<int>").select("fp", F.inline(F.arrays_zip("regions", "needs"))).toDF("fp", "region", "need")
+            found = [s for s in shingles(b.column("text").to_pylist(), k, words) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in found], pa.int64()), blobs(found)], names=["fp", "shingles"])
 
-
-def chains(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, shared): sets that outer regions chain together; whatever links is connected by them.
-
-    A region of more than SMALL sets chains them to one of them. Regions of SMALL sets or fewer are counted by pairs: sets
-    that link and share no large region meet in as many small ones as ``need`` says, so pairs that meet in fewer are
-    left out. Else passages that two long documents share by chance would chain most of a corpus together.
-    """
-    sized = keep(outer_regions(nodes, num, den).groupBy("region").agg(F.min("fp").alias("b"), F.max("fp").alias("last"), F.count("*").alias("sets"), F.min("need").alias("need")).where("b <> last"))
-    # A task over shared regions fills one filter; a few tasks do.
-    places = outer_regions(nodes, num, den, bitmap(sized.coalesce(FILTER_TASKS), "region", FILTER_BITS))
-    large = places.join(sized.where(F.col("sets") > SMALL).select("region", "b"), "region").groupBy(F.col("fp").alias("a"), "b").agg(F.count("*").alias("shared"))
-    few = places.join(sized.where(F.col("sets") <= SMALL).select("region"), "region").groupBy("region").agg(F.array_sort(F.collect_set("fp")).alias("fps"), F.min("need").alias("need"))
-    pairs = few.select("need", "fps", F.posexplode("fps").alias("i", "a")).select("need", "a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-    meets = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").drop("need")
-    return keep(large.where("a <> b").union(meets))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text")
+    return texts.mapInArrow(read, "fp long, shingles binary").dropDuplicates(["fp"])
 
 
 def distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -392,17 +442,19 @@ def region_links(regions: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
     return keep(out)
 
 
+def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, fp, n_shingles, component_id) of documents (doc_id, text)."""
+    texts_in_batches(docs.sparkSession)
+    met = keep(meetings(docs, k, num, den))
+    roots = root_regions(met)
+    rows = documents(met)
+    nodes = keep(shipped(docs, rows, roots, k))
+    return grouped(rows, region_links(roots, nodes, num, den))
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text) that link at a similarity of num / den or more."""
-    texts_in_batches(docs.sparkSession)
-    rows = sets(docs, k)
-    nodes = keep(wanted_sets(docs, k, bitmap(in_company(docs, k, num, den), "fp", FILTER_BITS)))
-    chained = chains(nodes, num, den)
-    roots = components(chained)
-    degree = chained.select(F.col("a").alias("fp"), "shared").union(chained.select("b", "shared")).groupBy("fp").agg(F.sum("shared").alias("degree"))
-    placed = roots.select(F.col("label").alias("cell"), F.col("node").alias("fp")).join(degree, "fp").select("cell", "fp", "degree")
-    found = region_links(keep(placed, roots.count()), nodes, num, den)
-    return grouped(rows, found)
+    return linked(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -412,12 +464,25 @@ def grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
     again = full.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).where("a <> last").select("doc_id", "a")
     ties = full.join(again, "doc_id").where("a <> fp").select("a", F.col("fp").alias("b"))
     labels = components(links.union(ties))
-    named = keep(rows.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "fp")).alias("label")))
+    named = keep(rows.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "fp")).alias("label")))
     least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size")
-    return named.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    return named.join(least, "label", "left").select("doc_id", "fp", "n_shingles", own)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The documents that have the smallest id of their component; copies under one id leave one row each text."""
-    keepers = jaccard_join(docs, k, num, den).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["doc_id"]), "left_semi")
+    """The documents that have the smallest id of their component, with all their columns.
+
+    Texts under a null id count as documents that come after all others, named by a hash of the text. Rows of one id leave
+    one row for each different text (case and white space made alike).
+    """
+    named = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS))).alias("doc_id"), "text")
+    rows = keep(linked(named.select("doc_id", "text"), k, num, den).select("doc_id", "component_id"))
+    gone = keep(rows.where("component_id <> doc_id").select("doc_id").distinct())
+    again = keep(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    # Rows that go and ids that repeat are broadcast up to a number of ids; beyond it they are joined.
+    gone, again = (F.broadcast(ids) if ids.count() <= IDS else ids for ids in (gone, again))
+    stay = named.join(gone, "doc_id", "left_anti")
+    alike = F.trim(F.regexp_replace(F.lower("text"), "[ \\x09-\\x0D]+", " "))
+    one = stay.join(again, "doc_id", "left_semi").withColumn("alike", alike).dropDuplicates(["doc_id", "alike"])
+    return stay.join(again, "doc_id", "left_anti").select("doc.*").union(one.select("doc.*"))
