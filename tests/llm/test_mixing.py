@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -49,12 +50,39 @@ def test_targets_and_amounts(spark, share):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(frame.repartition(3), share=share).collect()), key=str)
 
 
-def test_every_document_has_its_chance(spark):
+def test_equal_lengths_have_equal_chances(spark):
     frame = spark.createDataFrame([(i, "s", "w") for i in range(4000)], "doc_id long, source string, text string")
     copies = [r.copies for r in mixing.mix(frame, share=1.25).collect()]
     assert sum(copies) == 5000 and set(copies) == {1, 2}
 
 
+@pytest.mark.parametrize("share", [0.3, 1.2, 1.9])
+def test_the_sample_is_that_of_ranks_by_chances(spark, share):
+    """One source, by hand: c by halving, then whole copies, then the lowest ranks."""
+    r = random.Random(3)
+    rows = [(i, "s", " ".join(["w"] * r.choice([0, 1, 2, 9, 40, 700]))) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {x.doc_id: x for x in mixing.mix(frame, share=share).collect()}
+    u = {i: ((h % (1 << 50)) + 0.5) / (1 << 50) for i, h in frame.selectExpr("doc_id", "xxhash64(17, xxhash64(doc_id, text))").collect()}
+    size = {i: len(t.split()) for i, _, t in rows}
+    m = {i: 2.0 ** (math.floor(4 * math.log2(n) + 1e-9) / 16) for i, n in size.items() if n}
+    low, high, target = 0.0, 10.0, share * sum(size.values())
+    for _ in range(200):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(n * min(2.0, c * m[i]) for i, n in size.items() if n) < target else (low, c)
+    expected = {i: min(2.0, c * x) for i, x in m.items()}
+    whole = {i: math.floor(e + 1e-9) for i, e in expected.items()}
+    p = {i: e - whole[i] for i, e in expected.items() if e - whole[i] > 1e-9}
+    left, copies = sum(size[i] * x for i, x in p.items()), dict(whole)
+    for i in sorted(p, key=lambda i: u[i] / (1 - u[i]) / (p[i] / (1 - p[i]))):
+        if abs(left - size[i]) >= abs(left):
+            break
+        left -= size[i]
+        copies[i] += 1
+    assert {i: x.copies for i, x in got.items()} == {i: copies.get(i, 0) for i in size}
+    assert len(set(expected.values())) > 2
+
+
 def test_copied_rows(spark):
     frame = spark.createDataFrame([(*x, 5) for x in docs(2)], "doc_id long, source string, text string, size int")
     out = mixing.copied(frame)
