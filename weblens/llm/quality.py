@@ -43,7 +43,7 @@ def hashed(term: str, size: int) -> int:
 def surface(token: str) -> str:
     """Runs of capital, small and other letters and of digits as one sign each; other characters as they are."""
     out = ""
-    for c in token[:48]:
+    for c in token:
         sign = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         out += "" if out[-1:] == sign and sign in "Aa0" else sign
     return out
@@ -55,7 +55,7 @@ class Terms(dict):
     def __missing__(self, token: str) -> int:
         if len(self) >= WORD_CACHE:
             self.clear()
-        word = "".join(filter(str.isalnum, token.lower()))[:64]
+        word = "".join(filter(str.isalnum, token.lower()))
         self[token] = got = hashed(word, WORDS) * SURFACES + hashed(surface(token), SURFACES - 1) + 1
         return got
 
