@@ -135,5 +135,6 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     masked = F.aggregate(live, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rest = docs.where(F.size(all_spans(F.coalesce("text", F.lit("")))) == 0)
-    return rest.unionByName(rows.select("doc.*", F.when(F.size(live) > 0, masked).otherwise(text).alias("masked_text")).drop("text").withColumnRenamed("masked_text", "text").select(*docs.columns))
+    text = F.when(F.size(live) > 0, masked).otherwise(text)
+    out = rows.select(*[(text if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
+    return docs.where(F.size(all_spans(F.coalesce("text", F.lit("")))) == 0).union(out)
