@@ -4,8 +4,10 @@ A text falls into paragraphs at line breaks and at sentence ends before a capita
 paragraph are a sparse vector over the vocabulary of the training rows, and a multinomial logistic regression names its
 licence family or ``none``. Training rows are made from written notices of each family (the templates, with words left
 out in a repeatable way), from sentences that only speak of licences, and from paragraphs of a bounded sample of the
-corpus. A quarter of them is held out: on it the temperature of the probabilities is chosen, and the least probability at
-which accepted families are right, with notices of families that the classifier does not know among the rows.
+corpus that share no three words in a row with a notice. A quarter of the notices, sentences and paragraphs is held out with
+all its variants: on it the temperature of the probabilities is chosen, and the least probability at
+which accepted families are right, with notices of families that the classifier does not know among the rows. The classifier
+that serves is then fitted on all rows.
 
 A paragraph is of a family if its calibrated probability reaches that bound and a template of the family confirms it: the
 paragraph holds most of the template's word trigrams (of shorter templates, of its words), or most of its own trigrams are
@@ -171,11 +173,16 @@ def training(docs: DataFrame) -> DataFrame:
     rows = written(spark, notices).select("family", F.explode(paragraphs(F.col("text"))).alias("text")).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
     # Variant 0 is whole; the others lose up to a sixth of their words.
     lost = lambda x, i: F.pmod(F.xxhash64(x, i, F.col("variant")), F.lit(100)) >= F.pmod(F.col("variant"), F.lit(4)) * 5
-    rows = rows.select("family", F.filter(words(F.col("text")), lost).alias("w"), (F.pmod(F.xxhash64("variant", "text"), F.lit(4)) == 0).alias("calibrate"))
+    rows = rows.select("family", F.filter(words(F.col("text")), lost).alias("w"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("calibrate"))
     ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()  # SAMPLE_DOCS ids at most
     plain = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.explode(paragraphs(F.col("text"))).alias("text"))
-    plain = plain.where(~F.col("text").rlike(r"(?i)licen[sc]|copyright|permission|warrant|redistribut|public domain|all rights")).distinct()
-    plain = plain.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_PARAGRAPHS).select(F.lit(NONE).alias("family"), words(F.col("text")).alias("w"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("calibrate"))
+    # What shares three words in a row with a notice may be one, and is no example of none.
+    told = written(spark, notices).where(F.col("family") != NONE).select(F.explode(paragraphs(F.col("text"))).alias("text"))
+    # The words are kept before more is made of them, or they would be cut out for each use.
+    told, plain = (keep(df.distinct().select("text", words(F.col("text")).alias("w"))) for df in (told, plain))
+    known = sorted({g for r in told.select(confirming(F.col("w")).alias("g")).collect() for g in r.g})  # of the notices above
+    plain = plain.where(~F.arrays_overlap(confirming(F.col("w")), F.array(*map(F.lit, known))))
+    plain = plain.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_PARAGRAPHS).select(F.lit(NONE).alias("family"), "w", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("calibrate"))
     return keep(rows.where("family <> '' or calibrate").union(plain).where(F.size("w") > 0).select("family", terms(F.col("w")).alias("terms"), "calibrate"))
 
 
@@ -233,7 +240,8 @@ def fit(docs: DataFrame) -> Model:
     rows = rows.withColumn("label", index)
     vocabulary = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=VOCABULARY, minDF=1.0, binary=True).fit(rows.where("family <> ''"))
     learner = LogisticRegression(family="multinomial", regParam=3e-4, maxIter=60, standardization=False, probabilityCol="probability")
-    model = Model(vocabulary, learner.fit(vocabulary.transform(rows.where("not calibrate")).select("label", "features").coalesce(1)), 1.0, 0.5)
+    fitted = lambda part: learner.fit(vocabulary.transform(part).select("label", "features").coalesce(1))
+    model = Model(vocabulary, fitted(rows.where("not calibrate")), 1.0, 0.5)
     held = keep(model.logits(rows.where("calibrate")).select("label", "z"))
     grid = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
     own = F.element_at("z", F.col("label").cast("int") + 1)
@@ -244,6 +252,7 @@ def fit(docs: DataFrame) -> Model:
     steps = [x / 100 for x in range(30, 100, 3)]
     right = called.agg(*[F.avg(F.when(F.col("p") >= s, (F.col("c") == F.col("label")).cast("double"))).alias(f"s{i}") for i, s in enumerate(steps)]).first()
     model.least = next((s for s, x in zip(steps, right, strict=True) if x is not None and x >= PRECISION), steps[-1])
+    model.classifier = fitted(rows.where("family <> ''"))
     return model
 
 
