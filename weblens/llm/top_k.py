@@ -7,9 +7,10 @@ each query a first bound of its k-th score. A block of queries meets only annuli
 shrinks as it goes, and an annulus that cannot hold a better row is passed over. Bounds only save work: every row is
 indexed and the result is exact.
 
-Null vectors, vectors with null or non-finite components, vectors of an uncommon length and rows with a null id take no
-part. Rows of the query's own id are no candidates; a query id with several rows has the least of its vectors. Repeated
-rows are candidates each. Equal scores go by the smaller id.
+Null vectors, vectors with null or non-finite components and rows with a null id take no part. Vectors of each length have an
+index of their own, and a query is answered among those of its length. Rows of the query's own id are no candidates; a
+query id with several rows of one length has the least of its vectors. Repeated rows are candidates each. Equal scores go by
+the smaller id. Vectors whose scores could exceed 64 bits raise an error. An empty table gives no rows.
 """
 
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.llm.common import blobs, keep
-from weblens.llm.vectors import common_width, valid
+from weblens.llm.vectors import valid, widths
 
 #: Pivots, rows of the sample that gives first bounds, vectors of an annulus, and queries of a block.
 PIVOTS, SAMPLE, ANNULUS, QUERIES = 48, 4096, 1024, 128
@@ -60,15 +61,23 @@ def merged(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.ndar
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query among rows (vec_id, embedding) its k best others."""
-    spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).where(valid(F.col("vector")) & F.col("vec_id").isNotNull())
-    width = common_width(rows, "vector")
-    if not width:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for width in widths(rows, "vector"):
+        out = out.union(best_of_width(rows, width, is_query, k, scale))
+    return out
+
+
+def best_of_width(rows: DataFrame, width: int, is_query: Column, k: int, scale: int) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = rows.sparkSession
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = np.floor(scale * np.array(b.column("vector").to_pylist(), dtype=np.float64).reshape(-1, width)).astype(np.int64)
+            v = np.floor(scale * np.array(b.column("vector").to_pylist(), dtype=np.float64).reshape(-1, width))
+            if v.size and width * np.abs(v).max() ** 2 >= 2**62:
+                raise OverflowError("scores of these vectors don't fit into 64 bits")
+            v = v.astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), blobs(list(v)), pa.array(squares(v))], names=["vec_id", "v", "square"])
 
     vectors = keep(rows.where(F.size("vector") == width).mapInArrow(whole, "vec_id long, v binary, square long"))
@@ -129,8 +138,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) ->
                 low, high = (far - reach[:, None]).min(axis=0), (far + reach[:, None]).max(axis=0)
                 yield pa.RecordBatch.from_arrays([blobs([ids]), blobs([q]), blobs([bound]), pa.array([list(enumerate_bounds(low, high))], pa.list_(pa.struct([("pivot", pa.int32()), ("from", pa.float64()), ("to", pa.float64())])))], names=["q_ids", "q", "bound", "bounds"])
 
-    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = queries.repartitionByRange(max(1, partitions // 2), "vec_id").mapInArrow(ask, "q_ids binary, q binary, bound binary, bounds array<struct<pivot:int,from:double,to:double>>")
+    # Queries of a block lie close to each other, so that few annuli are of interest to it.
+    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(place, "vec_id long, v binary, pivot int, far double")
+    queries = queries.repartitionByRange(max(1, partitions // 2), "pivot", "far", "vec_id").sortWithinPartitions("pivot", "far", "vec_id").select("vec_id", "v")
+    asked = queries.mapInArrow(ask, "q_ids binary, q binary, bound binary, bounds array<struct<pivot:int,from:double,to:double>>")
     asked = keep(keep(asked).withColumn("block", F.monotonically_increasing_id()))
     need = asked.select("block", F.explode("bounds").alias("b")).select("block", "b.pivot", F.col("b.from").alias("from"), F.col("b.to").alias("to"))
     pairs = need.join(index.select("annulus", "pivot", "low", "high"), "pivot").where((F.col("high") >= F.col("from")) & (F.col("low") <= F.col("to")))
