@@ -57,12 +57,12 @@ def test_links_as_brute_force(spark, monkeypatch, seed):
 def test_top_k_as_brute_force(spark, monkeypatch, seed):
     for name, value in (("PIVOTS", 5), ("SAMPLE", 40), ("ANNULUS", 16), ("QUERIES", 4)):
         monkeypatch.setattr(top_k, name, value)
-    rows = [r for r in vectors(seed) if r[1] is None or len(r[1]) != 2]
+    rows = vectors(seed)
     full = [(i, [math.floor(1024 * x) for x in v]) for i, v, *_ in rows if i is not None and usable(v)]
     want = []
     for i, q in full:
         if i % 5 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in full if j != i)[:10]
+            scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in full if j != i and len(v) == len(q))[:10]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     got = top_k.top_k(spark.createDataFrame(rows, KIND), F.col("vec_id") % 5 == 0)
     assert sorted(map(tuple, got.collect())) == sorted(want)
@@ -73,3 +73,26 @@ def test_few_and_no_rows(spark):
     assert near_vectors.near_vectors(none).collect() == [] == top_k.top_k(none, F.lit(True)).collect()
     two = spark.createDataFrame([(0, [1.0, 0.0], 1, "x"), (1, [0.5, 0.5], 1, "x")], KIND)
     assert sorted(map(tuple, top_k.top_k(two, F.lit(True)).collect())) == [(0, 1, 1, 512 * 1024), (1, 1, 0, 512 * 1024)]
+
+
+def test_scores_that_exceed_64_bits_are_an_error(spark):
+    rows = [(0, [1e30, 0.0], 1, "x"), (1, [0.5, 0.5], 1, "x")]
+    with pytest.raises(Exception, match="64 bits"):
+        top_k.top_k(spark.createDataFrame(rows, KIND), F.lit(True)).collect()
+
+
+def test_blocks_of_production_size(spark):
+    """Some blocks of the true size: links of copies and near copies over block ends, and the ten best by plain products."""
+    r = np.random.default_rng(7)
+    v = r.standard_normal((9000, 8)).astype(np.float32)
+    v[4000:5000] = v[:1000] + 0.02 * r.standard_normal((1000, 8)).astype(np.float32)
+    frame = spark.createDataFrame([(i, x, 1, "x") for i, x in enumerate(v.tolist())], KIND)
+    u = v.astype(float) / np.sqrt((v.astype(float) ** 2).sum(axis=1, keepdims=True))
+    links = np.concatenate([(u[i : i + 500] @ u.T >= 0.95).sum(axis=1) - 1 for i in range(0, len(u), 500)])
+    got = {x.vec_id: x for x in near_vectors.near_vectors(frame).collect()}
+    assert [got[i].n_links for i in range(len(u))] == links.tolist()
+    whole = np.floor(1024 * v.astype(float)).astype(np.int64)
+    best = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in top_k.top_k(frame, F.col("vec_id") % 1000 == 0).collect()}
+    for q in range(0, 9000, 1000):
+        order = sorted((-s, i) for i, s in enumerate((whole @ whole[q]).tolist()) if i != q)[:10]
+        assert [best[q, n + 1] for n in range(10)] == [(i, -s) for s, i in order]

@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
@@ -51,6 +52,18 @@ def texts_in_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_A_BATCH))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, records: int) -> Iterator[None]:
+    """Arrow batches of so many records for what runs inside; the session's own setting holds again after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(records))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 class Words(dict):
     """64-bit hashes of words, computed once for each word of a worker."""
 

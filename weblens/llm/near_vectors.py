@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblens.llm.common import blobs, chunk_rows, components, keep, lists, summed_chunks
+from weblens.llm.common import batches_of, blobs, chunk_rows, components, keep, lists, summed_chunks
 from weblens.llm.vectors import common_width, valid
 
 #: Leading axes of the grid; vectors in a block, in a part of a block, and blocks in an interval.
@@ -59,7 +59,7 @@ def axes_for(width: int, axes: np.ndarray) -> np.ndarray:
     return axes if len(axes) == width else np.eye(width)[:, :AXES]
 
 
-def in_blocks(nodes: DataFrame, axes: np.ndarray, eps: float, partitions: int) -> DataFrame:
+def in_blocks(nodes: DataFrame, axes: np.ndarray, eps: float, partitions: int, single: bool) -> DataFrame:
     """(block, interval, width, low, high, ids, times, vectors): the sequence in grid order, cut into blocks."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +74,7 @@ def in_blocks(nodes: DataFrame, axes: np.ndarray, eps: float, partitions: int) -
         on = unit(v) @ axes_for(v.shape[1], axes)
         low, high = (np.pad(x, (0, AXES - len(x))) for x in (on.min(axis=0), on.max(axis=0)))
         ids, times = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([interval]), pa.array([v.shape[1]], pa.int32()), lists([low], pa.float64()), lists([high], pa.float64()), blobs([ids]), blobs([times]), blobs([v])], names=["block", "interval", "width", "low", "high", "ids", "times", "vectors"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([interval]), pa.array([v.shape[1]], pa.int32()), lists([low], pa.float64()), lists([high], pa.float64()), blobs([ids]), blobs([times]), blobs([v.astype(np.float32 if single else np.float64)])], names=["block", "interval", "width", "low", "high", "ids", "times", "vectors"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, interval, blocks = [], None, 0
@@ -129,62 +129,84 @@ def connected(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
         x, y = x2, y2
 
 
-def joined(pairs: DataFrame, blocks: DataFrame, axes: np.ndarray, threshold: float, eps: float) -> DataFrame:
-    """(id, links, to): link counts of nodes in a pair of blocks (to is null), and a spanning set of their links."""
-
-    def parts(ids: np.ndarray, times: np.ndarray, v: np.ndarray) -> list[tuple]:
-        u = unit(v)
-        on = u @ axes_for(u.shape[1], axes)
-        return [(s, ids[s], times[s], u[s], on[s].min(axis=0), on[s].max(axis=0)) for s in (slice(i, i + PART) for i in range(0, len(ids), PART))]
-
-    def tile(x: list[tuple], y: list[tuple], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-        for i, (_, ids, times, u, low, high) in enumerate(x):
-            for j, (_, ids2, times2, u2, low2, high2) in enumerate(y):
-                gap = np.maximum(0, np.maximum(low2 - high, low - high2))
-                if (same and j < i) or gap @ gap > (eps + 1e-9) ** 2:
-                    continue
-                mask = u @ u2.T >= threshold
-                if same and i == j:
-                    np.fill_diagonal(mask, False)
-                if mask.any():
-                    yield ids, mask @ times2, None
-                    if not (same and i == j):
-                        yield ids2, times @ mask, None
-                    for own, least in zip((ids, ids2), connected(mask, ids, ids2), strict=True):
-                        yield own[least != own], np.zeros(int((least != own).sum()), dtype=np.int64), least[least != own]
+def parts(ids: np.ndarray, times: np.ndarray, v: np.ndarray, axes: np.ndarray) -> list[tuple]:
+    """A block in parts of PART unit vectors with their boxes."""
+    u = unit(v)
+    on = u @ axes_for(u.shape[1], axes)
+    return [(ids[s], times[s], u[s], on[s].min(axis=0), on[s].max(axis=0)) for s in (slice(i, i + PART) for i in range(0, len(ids), PART))]
+
+
+def tile(x: list[tuple], y: list[tuple], same: bool, threshold: float, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of two blocks: ids with their numbers of links, and links (id, to) that span what is connected."""
+    counted, counts, linked, to = ([np.zeros(0, dtype=np.int64)] for _ in range(4))
+    for i, (ids, times, u, low, high) in enumerate(x):
+        for j, (ids2, times2, u2, low2, high2) in enumerate(y):
+            gap = np.maximum(0, np.maximum(low2 - high, low - high2))
+            if (same and j < i) or gap @ gap > (eps + 1e-9) ** 2:
+                continue
+            mask = u @ u2.T >= threshold
+            if same and i == j:
+                np.fill_diagonal(mask, False)
+            if not mask.any():
+                continue
+            sides = [(ids, mask @ times2)] if same and i == j else [(ids, mask @ times2), (ids2, times @ mask)]
+            for own, n in sides:
+                counted.append(own[n > 0])
+                counts.append(n[n > 0])
+            for own, least in zip((ids, ids2), connected(mask, ids, ids2), strict=True):
+                linked.append(own[least != own])
+                to.append(least[least != own])
+    own, at = np.unique(np.concatenate(counted), return_inverse=True)
+    n = np.zeros(len(own), dtype=np.int64)
+    np.add.at(n, at, np.concatenate(counts))
+    links = np.unique(np.stack([np.concatenate(linked), np.concatenate(to)], axis=1), axis=0)
+    return own, n, links[:, 0], links[:, 1]
+
+
+def joined(pairs: DataFrame, blocks: DataFrame, axes: np.ndarray, threshold: float, eps: float, single: bool) -> DataFrame:
+    """(id, links, to): link counts of nodes in a pair of blocks (to is null), and a spanning set of their links.
+
+    A task reads one pair of blocks at a time and keeps a block over the pairs in a row that share it.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                side = [parts(ids := np.frombuffer(r[f"ids_{s}"], dtype=np.int64), np.frombuffer(r[f"times_{s}"], dtype=np.int64), np.frombuffer(r[f"vectors_{s}"]).reshape(len(ids), -1)) for s in "ab"]
-                counts: dict[int, int] = {}
-                links: set[tuple[int, int]] = set()
-                for ids, n, to in tile(*side, r["a"] == r["b"]):
-                    if to is None:
-                        for i in np.flatnonzero(n).tolist():
-                            counts[int(ids[i])] = counts.get(int(ids[i]), 0) + int(n[i])
-                    else:
-                        links.update(zip(ids.tolist(), to.tolist(), strict=True))
-                rows = [(i, n, None) for i, n in counts.items()] + [(i, 0, t) for i, t in links]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["id", "links", "to"])
-
-    full = lambda s: blocks.select(F.col("block").alias("a" if s == "a" else "b"), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "times", "vectors")])
+        held: dict[str, tuple] = {"a": (None, []), "b": (None, [])}
+
+        def block(row: dict, s: str) -> list[tuple]:
+            ids = np.frombuffer(row[f"ids_{s}"].as_buffer(), dtype=np.int64)
+            vectors = np.frombuffer(row[f"vectors_{s}"].as_buffer(), dtype=np.float32 if single else np.float64)
+            return parts(ids, np.frombuffer(row[f"times_{s}"].as_buffer(), dtype=np.int64), vectors.reshape(len(ids), -1), axes)
+
+        for b in batches:
+            for values in zip(*b.columns, strict=True):
+                row = dict(zip(b.schema.names, values, strict=True))
+                for s in "ab":
+                    if held[s][0] != row[s].as_py():
+                        held[s] = row[s].as_py(), block(row, s)
+                (a, x), (b_, y) = held["a"], held["b"]
+                ids, n, own, to = tile(x, y, a == b_, threshold, eps)
+                if len(ids):
+                    some = [pa.concat_arrays([pa.array(x), pa.array(y)]) for x, y in ((ids, own), (n, np.zeros(len(own), dtype=np.int64)))]
+                    yield pa.RecordBatch.from_arrays([*some, pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(to)])], names=["id", "links", "to"])
+
+    full = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "times", "vectors")])
     both = pairs.join(full("a"), "a").repartition(F.col("a"), F.col("b")).join(full("b"), "b")
-    return both.mapInArrow(read, "id long, links long, to long")
+    with batches_of(blocks.sparkSession, 1):  # a row is two blocks
+        return keep(both.mapInArrow(read, "id long, links long, to long"))
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of (vec_id, embedding) linked at a cosine of ``threshold`` or more."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    # Vectors of single precision travel as such; all products are of double precision.
+    single = rows.schema["vector"].dataType.simpleString() == "array<float>"
     ok = valid(F.col("vector")) & F.exists("vector", lambda x: x != 0) & F.col("vec_id").isNotNull()
     nodes = keep(rows.where(ok).groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("times")))
     width, n = common_width(nodes, "vector"), nodes.count()
     eps = math.sqrt(2 - 2 * threshold)
     axes = principal_axes(nodes, width) if width else np.zeros((0, AXES))
-    blocks = in_blocks(nodes.select("id", "times", F.col("vector").cast("array<double>").alias("vector")), axes, eps, max(1, n // (4 * BLOCK)))
-    found = keep(joined(block_pairs(blocks, eps), blocks, axes, threshold, eps))
+    blocks = in_blocks(nodes.select("id", "times", F.col("vector").cast("array<float>" if single else "array<double>").alias("vector")), axes, eps, max(1, n // (4 * BLOCK)), single)
+    found = joined(block_pairs(blocks, eps), blocks, axes, threshold, eps, single)
     labels = components(found.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     full = nodes.join(links, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
