@@ -26,6 +26,8 @@ BUCKETS = 1024
 WEIGHTS = (3, 1, 2)
 #: Length classes to a doubling of words, and the power of the length by which chances grow.
 CLASSES, MEASURE = 4, 0.25
+#: Sources up to which their figures are broadcast.
+SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -101,7 +103,7 @@ def ended(rows: DataFrame, bucket: str, by: list[str]) -> DataFrame:
 def placed(rows: DataFrame, per: DataFrame, most: float, seed: int) -> DataFrame:
     """Rows (source, name, size, ...) with their source's figures, their copies for certain and chance, rank and its buckets.
 
-    The number of sources is not bounded, so Spark checks the size of ``per`` before it broadcasts it.
+    The number of sources is not bounded: ``per`` is broadcast only if it has few rows.
     """
     out = rows.withColumn("class", length_class(F.col("size"))).join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # A hair is forgiven, so that a chance of 1 is a whole copy.
@@ -119,7 +121,7 @@ def plan(sizes: DataFrame, weights: tuple, share: float, most: float, seed: int)
     """For each source of (source, name, size): its target, c, and the rank at which its sample ends."""
     classes = keep(sizes.groupBy("source", length_class(F.col("size")).alias("class")).agg(F.sum("size").alias("words")))
     per = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    per = keep(rates(classes, per, most))
+    per = broadcast_if_few(keep(rates(classes, per, most)))
     asked = placed(sizes, per, most, seed).where("chance > 0 and size > 0").withColumn("s", F.struct("source"))
     left = keep(asked.groupBy("s").agg(F.sum(F.col("size") * F.col("chance")).alias("left")))
     one = keep(ended(asked.join(left, "s"), "b1", ["s"]).withColumnRenamed("end", "b1"))
@@ -130,7 +132,12 @@ def plan(sizes: DataFrame, weights: tuple, share: float, most: float, seed: int)
     last = last.withColumn("upto", upto).where(F.abs(F.col("upto") - F.col("left")) < F.abs(F.col("upto") - F.col("words") - F.col("left")))
     cut = last.groupBy("s").agg(F.max(F.struct("rank", "name", "size")).alias("cut"))
     ends = two.select("s", F.col("b1").alias("end1"), F.col("b2").alias("end2")).join(cut, "s", "left")
-    return keep(per.withColumn("s", F.struct("source")).join(ends, "s", "left").drop("s"))
+    return broadcast_if_few(keep(per.withColumn("s", F.struct("source")).join(ends, "s", "left").drop("s")))
+
+
+def broadcast_if_few(per: DataFrame) -> DataFrame:
+    """A row a source: broadcast up to SOURCES rows, so that no text is shuffled; beyond that it is joined."""
+    return F.broadcast(per) if per.count() <= SOURCES else per
 
 
 def mixed_in(rows: DataFrame, ends: DataFrame, most: float, seed: int) -> DataFrame:
