@@ -26,3 +26,13 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("u", "d", 1), ("u", "e", 2)], "usecase string, disposition string, n int")
     sinks.write_log(rows, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).where("disposition = 'e'").first().n == 2
+
+
+def test_plugins_and_configuration(tmp_path, capsys):
+    (tmp_path / "mine.py").write_text("from weblens import plugins\n\n@plugins.register('sink', 'mine')\nclass Mine: pass\n")
+    (tmp_path / "broken.py").write_text("raise ValueError\n")
+    assert cli.main(["plugins", "--folder", str(tmp_path)]) == 0
+    assert "mine" in json.loads(capsys.readouterr().out)["sink"]
+    (tmp_path / "c.cfg").write_text(json.dumps({"mode": "shadow", "budget": 5}))
+    got = cli.configured(str(tmp_path / "c.cfg"), {"WEBLENS_MODE": "live", "WEBLENS_BUDGET": "0", "WEBLENS_OTHER": "1"})
+    assert got == {"mode": "live", "budget": 0} and len(cli.faults(got)) == 2

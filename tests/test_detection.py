@@ -48,7 +48,7 @@ def test_suppression_reasons(spark):
     cases = [(0.9, False, True, True, "suppress"), (0.9, False, True, False, "downweight"), (0.4, False, False, False, "downweight"), (0.9, True, False, False, "downweight"), (0.9, False, False, False, None), (None, None, None, None, None)]
     w = spark.createDataFrame([(*c[:4], i) for i, c in enumerate(cases)], "human_likeness double, is_known boolean, is_verified boolean, robots_txt boolean, i int")
     got = detect.suppression(w).orderBy("i").collect()
-    assert [r.action for r in got] == [c[4] for c in cases] and "robots.txt respected" in got[0].action_reason and got[4].action_reason is None
+    assert [r.action for r in got] == [c[4] for c in cases] and "keeps to robots.txt" in got[0].action_reason and got[4].action_reason is None
 
 
 def test_calibration_edges(spark):
@@ -172,3 +172,75 @@ def test_records_of_lines(spark):
     rows_ = parsed(spark)
     assert ndjson.records(rows_).count() == 2 and {r.reason for r in ndjson.dead_letters(rows_).collect()} == {"json", "missing @timestamp", "bad @timestamp"}
     assert ndjson.ingest_stats(rows_).first().lines == len(LINES)
+
+
+def test_neighbours_over_blocks(spark, monkeypatch):
+    """Density by blocks of a few rows equals plain distances; every row is scored and in the reference."""
+    for name, value in (("LOF_BLOCK", 7), ("LOF_STEP", 3)):
+        monkeypatch.setattr(models, name, value)
+    points = [(i, math.sin(i) * (i % 5), float(i % 3)) for i in range(60)] + [(99, 30.0, 30.0)]
+    k, near = 4, {}
+    for i, *x in points:
+        near[i] = sorted((math.dist(x, y), j) for j, *y in points if j != i)[:k]
+    lrd = {i: 1 / (sum(max(d, near[j][-1][0]) for d, j in n) / k + 1e-10) for i, n in near.items()}
+    want = {i: sum(lrd[j] for _, j in n) / k / lrd[i] for i, n in near.items()}
+    got = models.lof_scores(spark.createDataFrame(points, "id long, x double, y double"), ["x", "y"], k).collect()
+    assert {r.id: pytest.approx(r.lof) for r in got} == want
+
+
+def test_hygiene_of_equal_scores(spark):
+    pop = spark.range(500).select(F.lit(1.0).alias("s"), "id")
+    assert scoring.without_most_anomalous(pop, "s", share=0.1).count() == 450
+
+
+def test_records_and_ages(spark):
+    from weblens.operators import detect
+
+    row = spark.createDataFrame([("s", "i", "u", 0, 300, 7, 0.1234567, 0.5, None)], "server string, source_ip string, ua_hash string, window_start long, window_end long, event_count long, m double, fused_pct double, f double")
+    got = detect.score_records(row, {"m": ("m", "fused_pct")}, 0.4, ["f"]).first()
+    assert (got.fused, got.fired, got.raw, got.percentiles, got.features) == (0.5, True, {"m": 0.12346}, {"m": 0.5}, {"f": None}) and got.reasons == ["fused 0.5 at or above 0.4"]
+
+
+def test_a_use_case_that_a_deployment_adds(spark, bundles):
+    from weblens.plans import usecases
+
+    @usecases.usecase
+    class Floods(usecases.UseCase):
+        name, rule, title, gate_pct = "floods", "UC-90", "Floods", 0.9
+        features = ("web_uniq_paths_per_min", "bot_path_repeat_ratio")
+        depends_on = ("web_recon",)
+
+    requests, bots, recon = bundles
+    assert usecases.in_order(["floods", "web_recon", "bot_detection"]) == ["bot_detection", "web_recon", "floods"]
+    bundle = detection.train(requests, "floods", "v1")
+    log = detection.judged(detection.score_windows(detection.window_features(requests, bundle.profile), bundle), bundle)
+    assert log.where("fired").count() > 0 and len(bundle.metadata["feature_code_sha256"]) == 64
+
+
+def test_candidate_check(spark, bundles):
+    requests, _, recon = bundles
+    got = detection.candidate_check(requests, recon, recon).first()
+    assert got.serving_rate == got.candidate_rate and got.serving_canary and got.approve and got.reason is None
+
+
+def test_catalogue(spark, tmp_path):
+    (tmp_path / "web_recon" / "v1").mkdir(parents=True)
+    reg = registry.Registry(str(tmp_path))
+    reg.promote("web_recon", "v1")
+    got = {r.usecase: (r.implemented, r.current, r.versions) for r in registry.catalogue(spark, reg, {"planned": "Planned"}).collect()}
+    assert got["planned"] == (False, None, 0) and got["web_recon"] == (True, "v1", 1) and got["bot_detection"] == (True, None, 0)
+
+
+def test_state_store(spark, tmp_path):
+    from weblens.operators.groups import StateStore
+
+    store = StateStore(spark, str(tmp_path / "state"))
+    assert store.get().collect() == [] == store.count_unique().collect()
+    rows = spark.createDataFrame([("a", 2, 10), ("a", 3, 20), ("b", 1, 20)], "key string, n long, at long")
+    store.incr(rows, "0")
+    store.incr(rows, "0")  # a job that runs again
+    store.add_unique(rows.selectExpr("key", "cast(n as string) as member", "at"))
+    store.add_unique(rows.selectExpr("key", "cast(n as string) as member", "at"))
+    assert {r.key: r.n for r in store.get().collect()} == {"a": 5, "b": 1} and {r.key: r.n for r in store.count_unique().collect()} == {"a": 2, "b": 1}
+    left = store.expire(15)
+    assert {r.key: r.n for r in left.get().collect()} == {"a": 3, "b": 1} == {r.key: r.n + 2 * (r.key == "a") for r in left.count_unique().collect()}

@@ -2,11 +2,14 @@
 
 import argparse
 import json
+import os
+import signal
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weblens import plugins
 from weblens.functions import fixed
 from weblens.operators import sessions
 from weblens.plans import detection
@@ -45,10 +48,42 @@ def report_sessions(a) -> int:
 
 
 def lint_config(a) -> int:
-    with open(a.config, encoding="utf-8") as f:
-        unknown = sorted(set(json.load(f)) - POLICY)
-    print(json.dumps({"not_policy": unknown}))
-    return 1 if unknown else 0
+    config = configured(a.config)
+    unknown, wrong = sorted(set(config) - POLICY), faults(config)
+    print(json.dumps({"not_policy": unknown, "faults": wrong}))
+    return 1 if unknown or wrong else 0
+
+
+def configured(path: str, environ: dict[str, str] | None = None) -> dict:
+    """A JSON file of settings; ``WEBLENS_`` and a setting's name in capitals overrides it, as JSON or plain text."""
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    for name, text in (os.environ if environ is None else environ).items():
+        if name.startswith("WEBLENS_") and (key := name.removeprefix("WEBLENS_").lower()) in POLICY:
+            try:
+                config[key] = json.loads(text)
+            except ValueError:
+                config[key] = text
+    return config
+
+
+def faults(config: dict) -> list[str]:
+    """What the rules of a deployment forbid."""
+    out, live = [], config.get("mode") == "live"
+    if config.get("mode", "shadow") not in ("observe", "shadow", "live"):
+        out.append("mode is observe, shadow or live")
+    if live and not config.get("checkpoint"):
+        out.append("a live service names its checkpoint")
+    if not isinstance(config.get("budget", 1), int) or config.get("budget", 1) < 1:
+        out.append("budget is a number of alerts from 1")
+    return out + [f"no use case {u}" for u in config.get("usecases", []) if u not in plugins.names("usecase")]
+
+
+def list_plugins(a) -> int:
+    if a.folder:
+        plugins.discover(a.folder)
+    print(json.dumps({k: plugins.names(k) for k in plugins.KINDS}))
+    return 0
 
 
 def train(a) -> int:
@@ -80,7 +115,7 @@ def status(a) -> int:
 
 
 def run(a) -> int:
-    from weblens.streaming.live import Live, tailed
+    from weblens.streaming.live import Health, Live, drain, tailed
 
     spark, registry = session(), Registry(a.registry)
     bots, recon = (registry.load_current(spark, u) for u in USECASES)
@@ -91,7 +126,11 @@ def run(a) -> int:
             registry.add(detection.train(rows, u, version))
             registry.promote(u, version)
         bots, recon = (registry.load_current(spark, u) for u in USECASES)
-    query = Live(spark, a.state, bots, recon, a.mode).start(tailed(spark, a.input), f"{a.state}/checkpoint-{'+'.join(USECASES)}", once=a.once)
+    query = Live(spark, a.state, bots, recon, mode=a.mode).start(tailed(spark, a.input), f"{a.state}/checkpoint-{'+'.join(USECASES)}", once=a.once)
+    spark.streams.addListener(Health(f"{a.state}/health.json"))
+    # A signal ends the service after what has arrived is through.
+    for s in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(s, lambda *_: drain(query))
     query.awaitTermination()
     return 0
 
@@ -103,7 +142,7 @@ def parser() -> argparse.ArgumentParser:
     def command(name, run_, *flags):
         c = sub.add_parser(name)
         c.set_defaults(run=run_)
-        known = {"input": {"required": True}, "registry": {"default": "registry"}, "uc": {"choices": USECASES, "default": "web_recon"}, "limit": {"type": int}, "version": {}, "config": {"required": True}, "state": {"default": "state"}, "mode": {"choices": ("observe", "shadow", "live"), "default": "shadow"}}
+        known = {"input": {"required": True}, "registry": {"default": "registry"}, "uc": {"choices": USECASES, "default": "web_recon"}, "limit": {"type": int}, "version": {}, "config": {"required": True}, "folder": {}, "state": {"default": "state"}, "mode": {"choices": ("observe", "shadow", "live"), "default": "shadow"}}
         for f in flags:
             c.add_argument(f"--{f}", **known.get(f, {"action": "store_true"}))
 
@@ -114,6 +153,7 @@ def parser() -> argparse.ArgumentParser:
     command("backtest", backtest, "input", "uc", "limit")
     command("promote", promote, "uc", "version", "rollback", "registry")
     command("status", status, "registry")
+    command("plugins", list_plugins, "folder")
     command("run", run, "input", "registry", "state", "mode", "once")
     command("version", lambda a: print(fixed.__name__.split(".")[0], "0.1") or 0)
     return p

@@ -140,3 +140,8 @@ def drift_band(psi: Column) -> Column:
 
 def is_canary(ip: Column) -> Column:
     return F.coalesce(ip.startswith("198.51.100."), F.lit(False))
+
+
+def age_s(ts: Column, now: Column) -> Column:
+    """Whole seconds from a timestamp to now; 0 for one that lies ahead, null for none."""
+    return F.greatest(F.lit(0).cast("long"), F.unix_seconds(now) - F.unix_seconds(ts))

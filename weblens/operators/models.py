@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
@@ -15,15 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 TREES, PSI, SEED = 200, 256, 7
-LOF_K, LOF_REFERENCE = 20, 4096
+#: Neighbours, rows of a block, and queries that are compared with a block at once.
+LOF_K, LOF_BLOCK, LOF_STEP = 20, 4096, 256
 LEAST_MINORITY, FOLDS = 15, 3
 
 
-def bounded_sample(rows: DataFrame, features: list[str], n: int, seed: int = SEED) -> DataFrame:
-    """The n rows of least hash: repeatable, whatever the partitions."""
-    return rows.select(*[F.col(c).cast("double").alias(c) for c in features]).orderBy(F.xxhash64(F.lit(seed), *features), *features).limit(n)
-
-
 # Isolation forest: each tree isolates a sample of PSI rows by random cuts; what is isolated early is anomalous.
 
 
@@ -60,15 +57,19 @@ class IsolationForest:
 
     @classmethod
     def fit(cls, rows: DataFrame, features: list[str], trees: int = TREES, psi: int = PSI, seed: int = SEED) -> "IsolationForest":
-        """Each row is dealt to trees by hashes; a tree keeps the psi least, and grows in a task of its own.
+        """Each row is dealt to trees by a hash of the whole row; a tree keeps the psi least, and grows in a task of its own.
 
-        A row joins a tree only if its hash is under a bound that some 8 * psi rows pass, so no tree sees all rows.
+        Some 8 * psi rows are dealt to each tree: a row gets as many places as its share of them, the first by its hash and
+        the others after it, so a row is only written as often as it is dealt, and equal features don't go the same way.
         """
         n = rows.count()
-        share = min(1.0, 8 * psi / max(1, n))
-        dealt = rows.select(*[F.col(c).cast("double").alias(c) for c in features]).withColumn("_tie", F.xxhash64(*features)).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        places = min(float(trees), 8 * psi * trees / max(1, n))
+        named = rows.select(*[F.col(c).cast("double").alias(c) for c in features], F.xxhash64(*rows.columns).alias("_tie"))
+        first = F.xxhash64(F.lit(seed), "_tie")
+        chosen = named.where(F.pmod(first, F.lit(1 << 40)) < int(places * (1 << 40))) if places < 1 else named
+        start = F.pmod(F.shiftright(first, 40), F.lit(trees))
+        dealt = chosen.withColumn("tree", F.explode(F.transform(F.sequence(F.lit(0), F.lit(math.ceil(places) - 1)), lambda i: F.pmod(start + i, F.lit(trees)).cast("int"))))
         dealt = dealt.withColumn("_u", F.xxhash64(F.lit(seed), "tree", "_tie"))
-        dealt = dealt.where(F.pmod("_u", F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else dealt
 
         def build(frame: pd.DataFrame) -> pd.DataFrame:
             tree = int(frame.tree.iloc[0])
@@ -100,38 +101,63 @@ class IsolationForest:
         return rows.withColumn(out, apply(*[F.col(c).cast("double") for c in self.features]))
 
 
-# Local outlier factor, as joins and windows over a bounded reference.
+# Local outlier factor, over blocks of rows: each block of queries meets each block of the reference once.
 
 
-def squared_distance(features: list[str], a: str, b: str):
-    return sum([(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in features[1:]], (F.col(f"{a}.{features[0]}") - F.col(f"{b}.{features[0]}")) * (F.col(f"{a}.{features[0]}") - F.col(f"{b}.{features[0]}")))
+def blocks(rows: DataFrame, features: list[str], n: int) -> DataFrame:
+    """(block, ids, x): rows dealt to blocks of some LOF_BLOCK by a hash of their id, as packed arrays."""
+    many = max(1, -(-n // LOF_BLOCK))
+    one = rows.select(F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias("block"), F.struct(F.col("id").cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("x")).alias("row"))
+    packs = one.groupBy("block").agg(F.collect_list("row").alias("rows"))  # LOF_BLOCK rows or so
+    return packs.select("block", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x"))
 
 
 def nearest(queries: DataFrame, reference: DataFrame, features: list[str], k: int) -> DataFrame:
-    """(q, r, d): for each query id its k nearest others of a reference of bounded size, which is broadcast."""
-    pairs = queries.alias("a").join(F.broadcast(reference).alias("b"), F.col("a.id") != F.col("b.id"))
-    d = F.sqrt(squared_distance(features, "a", "b"))
-    rows = pairs.select(F.col("a.id").alias("q"), F.col("b.id").alias("r"), d.alias("d"))
+    """(q, r, d): for each query id its k nearest others of the reference, exactly; equal distances go by the smaller id."""
+    width = len(features)
+    two = blocks(reference, features, reference.count()).select(F.col("block").alias("with"), F.col("ids").alias("r_ids"), F.col("x").alias("r_x"))
+    many = max(1, two.count())
+    one = blocks(queries, features, queries.count()).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, x, r_ids, r_x in zip(*b.columns, strict=True):
+                q, r = (np.asarray(i.values, dtype=np.int64) for i in (ids, r_ids))
+                a, c = (np.asarray(v.values, dtype=float).reshape(-1, width) for v in (x, r_x))
+                for i in range(0, len(q), LOF_STEP):
+                    part = a[i : i + LOF_STEP]
+                    d = np.zeros((len(part), len(r)))
+                    for f in range(width):
+                        d += (part[:, f, None] - c[None, :, f]) ** 2
+                    d[q[i : i + LOF_STEP, None] == r[None]] = np.inf
+                    # All that are no farther than the k-th are ordered by distance and id.
+                    edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                    row, at = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+                    order = np.lexsort((r[at], d[row, at], row))
+                    row, at = row[order], at[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, at = row[place < k], at[place < k]
+                    yield pa.RecordBatch.from_arrays([pa.array(q[i + row]), pa.array(r[at]), pa.array(np.sqrt(d[row, at]))], names=["q", "r", "d"])
+
+    found = one.join(two, "with").select("ids", "x", "r_ids", "r_x").mapInArrow(search, "q long, r long, d double")
     w = Window.partitionBy("q").orderBy("d", "r")
-    return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
 def lof_scores(rows: DataFrame, features: list[str], k: int | None = None, reference: DataFrame | None = None) -> DataFrame:
-    """(id, lof) of rows (id, features): how much sparser a row lies than its neighbours.
+    """(id, lof) of rows (id, features): how much sparser a row lies than its neighbours in a reference of any size.
 
-    Without a reference the rows are their own; then at most LOF_REFERENCE rows of least id hash are neighbours, which is
-    the method's bound: density is measured on a sample, every row is scored.
+    Without a reference the rows are their own. Work grows with rows times reference; for a large table give a sample as
+    reference and score all rows against it.
     """
     reference = rows if reference is None else reference
-    reference = reference.orderBy(F.xxhash64("id"), "id").limit(LOF_REFERENCE)
     k = k or min(LOF_K, max(2, reference.count() - 1))
-    near_r = nearest(reference, reference, features, k)
-    reach_r = near_r.groupBy("q").agg(F.max("d").alias("kd"))
-    small = F.broadcast(reach_r.withColumnRenamed("q", "r"))
-    density = near_r.join(small, "r").groupBy("q").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
-    near_q = nearest(rows, reference, features, k)
-    own = near_q.join(small, "r").groupBy("q").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("own"))
-    around = near_q.join(F.broadcast(density.withColumnRenamed("q", "r").withColumnRenamed("lrd", "theirs")), "r").groupBy("q").agg(F.avg("theirs").alias("theirs"))
+    near_r = nearest(reference, reference, features, k).persist()
+    reach_r = near_r.groupBy("q").agg(F.max("d").alias("kd")).withColumnRenamed("q", "r")
+    density = near_r.join(reach_r, "r").groupBy("q").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
+    near_q = near_r if reference is rows else nearest(rows, reference, features, k)
+    own = near_q.join(reach_r, "r").groupBy("q").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("own"))
+    around = near_q.join(density.withColumnRenamed("q", "r").withColumnRenamed("lrd", "theirs"), "r").groupBy("q").agg(F.avg("theirs").alias("theirs"))
     return own.join(around, "q").select(F.col("q").alias("id"), (F.col("theirs") / F.col("own")).alias("lof"))
 
 

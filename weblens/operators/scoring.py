@@ -1,10 +1,15 @@
 """Population statistics, percentile calibration and hygiene of the training rows."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import fixed
 
+#: Buckets of scores, counted to find a rank.
+BUCKETS = 4096
+
 
 def feature_stats(long: DataFrame) -> DataFrame:
     """(feature, p50, p99) of rows (feature, value), by linear interpolation."""
@@ -33,17 +38,33 @@ def zscores(rows: DataFrame, features: list[str]) -> DataFrame:
 def without_most_anomalous(rows: DataFrame, score: str, share: float = fixed.DROP_SHARE, least: int = fixed.DROP_FROM) -> DataFrame:
     """Rows without the top ``share`` by score (one at least) if there are more than ``least``; ties go by the row's hash.
 
-    The n-th score is found first (a sorted head of n rows), then rows are compared with it; no task ranks all rows.
+    The bucket of the n-th score is found by counts of BUCKETS buckets, twice; only what lies in the last small bucket with
+    it is ordered, by one task. Rows of one score are told apart by their hash, so equal scores don't fill a bucket.
     """
     n = rows.count()
     if n <= least:
         return rows
     k = max(1, int(share * n))
-    tie = F.xxhash64(*[c for c in rows.columns])
-    ranked = rows.withColumn("_tie", tie)
-    last = ranked.orderBy(F.desc(score), "_tie").limit(k).agg(F.min(F.struct(F.col(score), -F.col("_tie").cast("decimal(20)"))).alias("m")).select("m.*").first()
-    cut, at = last[0], -int(last[1])
-    return ranked.where((F.col(score) < cut) | ((F.col(score) == cut) & (F.col("_tie") > at))).drop("_tie")
+    ranked = rows.withColumn("_tie", F.xxhash64(*rows.columns))
+    span = ranked.agg(F.min(score).alias("low"), F.max(score).alias("high")).first()
+    width = (span.high - span.low) / BUCKETS
+    # Places fall with the score: by value first, by hash where all scores are one.
+    place = F.floor((F.lit(span.high) - F.col(score)) / width) if width > 0 else F.lit(0)
+    level, left, held = [], k, ranked.withColumn("_b0", place).withColumn("_b1", F.shiftrightunsigned("_tie", 52) if width <= 0 else F.lit(0))
+    for b in ("_b0", "_b1"):
+        at = None
+        for r in sorted(reduce(lambda d, x: d.where(F.col(x[0]) == x[1]), level, held).groupBy(b).count().collect()):  # a row a bucket
+            at = r[b]
+            if r["count"] >= left:
+                break
+            left -= r["count"]
+        level.append((b, at))
+    inside = reduce(lambda d, x: d.where(F.col(x[0]) == x[1]), level, held)
+    last = inside.orderBy(F.desc(score), "_tie").limit(left).agg(F.min(F.struct(F.col(score), -F.col("_tie").cast("decimal(20)"))).alias("m")).select("m.*").first()
+    before = (F.col("_b0") < level[0][1]) | ((F.col("_b0") == level[0][1]) & (F.col("_b1") < level[1][1]))
+    same = (F.col("_b0") == level[0][1]) & (F.col("_b1") == level[1][1])
+    gone = before | (same & ((F.col(score) > last[0]) | ((F.col(score) == last[0]) & (F.col("_tie") <= -int(last[1])))))
+    return held.where(~gone).drop("_tie", "_b0", "_b1")
 
 
 def grid(rows: DataFrame, score: str) -> DataFrame:

@@ -51,3 +51,13 @@ def session_report(features: DataFrame) -> DataFrame:
         out += [F.median(name).alias(f"{name}_p50"), F.expr(f"percentile_disc(0.95) within group (order by {name})").alias(f"{name}_p95"), F.max(name).alias(f"{name}_max")]
     out.append(F.expr("percentile_disc(0.05) within group (order by cv_inter_arrival)").alias("cv_p05"))
     return features.agg(*out, ratio(F.count_if(F.col("event_count") == 1), F.count("*")).alias("single_event_share"))
+
+
+def in_order(rows: DataFrame, order: list[str], out: str = "place") -> DataFrame:
+    """Sorted rows with their place from 1: by sorted ranges, whose sizes are summed on the driver, so no task holds all."""
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33)).persist()
+    before, starts = 0, {}
+    for p, n in sorted((r["_p"], r["count"]) for r in spread.groupBy("_p").count().collect()):  # a row a partition
+        starts[p], before = before, before + n
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("_p")) if starts else F.lit(0)
+    return spread.withColumn(out, (start + F.col("_i") + 1).cast("long")).drop("_p", "_i")

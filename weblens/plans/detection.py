@@ -1,6 +1,9 @@
 """Training, scoring and backtests, composed of the operators."""
 
+import hashlib
 from dataclasses import dataclass, field
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -8,9 +11,9 @@ from pyspark.sql import functions as F
 from weblens.functions import fixed
 from weblens.functions.expressions import is_canary
 from weblens.operators import detect, models, scoring
-from weblens.operators.features import complete, long_form, window_features
+from weblens.operators.features import long_form, window_features
 from weblens.operators.profile import Profile, learn
-from weblens.sources.canaries import scan_canary, spoof_canary
+from weblens.plans import usecases
 
 ENTITY = detect.ENTITY
 
@@ -34,23 +37,16 @@ class Bundle:
     metadata: dict = field(default_factory=dict)
 
 
-def recon_vectors(windows: DataFrame, stats: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Complete vectors with what a window's share of 404 has above the population's median."""
-    row = stats.where("feature = 'web_ratio_404'").select("p50").first()  # one row
-    out = complete(windows, fixed.RECON_FEATURES).withColumn("web_ratio_404_delta", F.col("web_ratio_404") - F.lit(row.p50 if row else 0.0))
-    return out, [*fixed.RECON_FEATURES, "web_ratio_404_delta"]
+def vectors(name: str, windows: DataFrame, stats: DataFrame) -> tuple[DataFrame, list[str]]:
+    return usecases.named(name).vector(windows, stats)
 
 
-def vectors(usecase: str, windows: DataFrame, stats: DataFrame) -> tuple[DataFrame, list[str]]:
-    return recon_vectors(windows, stats) if usecase == "web_recon" else (complete(windows, fixed.BOT_FEATURES), list(fixed.BOT_FEATURES))
+def feature_code() -> str:
+    """The hash of the code that makes features: bundles of different hashes may see different vectors."""
+    from weblens.functions import expressions
+    from weblens.operators import features as made
 
-
-def fitted(usecase: str, rows: DataFrame, features: list[str]) -> dict[str, object]:
-    """The available models of a use case."""
-    if usecase == "web_recon":
-        return {"iforest": models.IsolationForest.fit(rows, features)}
-    behaviour = list(fixed.BEHAVIOUR)
-    return {"gbm_bot": models.BotTrees.fit(rows, behaviour), "gmm": models.BotMixture.fit(rows, behaviour)}
+    return hashlib.sha256(b"".join(Path(m.__file__).read_bytes() for m in (fixed, expressions, made))).hexdigest()
 
 
 def train(requests: DataFrame, usecase: str, version: str, window_s: int = fixed.WINDOW_S) -> Bundle:
@@ -65,13 +61,12 @@ def train(requests: DataFrame, usecase: str, version: str, window_s: int = fixed
     rows = scoring.clipped(rows, tuple(features))
     first = models.IsolationForest.fit(rows, features).score(rows, "_anomaly")
     kept = scoring.without_most_anomalous(first, "_anomaly").drop("_anomaly").persist()
-    found = fitted(usecase, kept, features)
-    base = scoring.calibration_rows(kept) if usecase == "bot_detection" else kept
+    case = usecases.named(usecase)
+    found, base = case.fit(kept, features), case.calibration_rows(kept)
     grids = {name: scoring.grid(m.score(base, "raw"), "raw").persist() for name, m in found.items()}
     reference = long_form(scoring.reference_sample(kept, [*ENTITY, "window_start"]), [], tuple(features)).persist()
-    rule, title = detect.USECASES[usecase]
-    meta = {"usecase": usecase, "rule_id": rule, "title": title, "version": version, "train_windows": n, "usable_vectors": rows.count(), "clip_quantile": fixed.CLIP_Q, "windows_dropped": n - kept.count(), "models": sorted(found), "window_s": window_s}
-    meta["models_skipped"] = ["hdbscan_cluster"] if usecase == "bot_detection" and not models.CrawlerClusters.available() else []
+    meta = {"usecase": usecase, "rule_id": case.rule, "title": case.title, "feature_code_sha256": feature_code(), "version": version, "train_windows": n, "usable_vectors": rows.count(), "clip_quantile": fixed.CLIP_Q, "windows_dropped": n - kept.count(), "models": sorted(found), "window_s": window_s}
+    meta["models_skipped"] = list(case.skipped)
     return Bundle(usecase, version, profile, features, stats, found, grids, reference, meta)
 
 
@@ -80,20 +75,13 @@ def score_windows(windows: DataFrame, bundle: Bundle) -> DataFrame:
     rows, _ = vectors(bundle.usecase, windows, bundle.stats)
     for name, model in bundle.models.items():
         rows = scoring.calibrated(model.score(rows, name), name, bundle.grids[name], f"{name}_pct")
-    return rows.withColumn("fused_pct", detect.fused([f"{n}_pct" for n in bundle.models]))
+    return rows.withColumn("fused_pct", usecases.named(bundle.usecase).fuse([f"{n}_pct" for n in bundle.models]))
 
 
 def judged(scored: DataFrame, bundle: Bundle, annotations: DataFrame | None = None) -> DataFrame:
-    """Scored windows with ``fired`` and, for reconnaissance, what bot detection says of the client (joined as of the window)."""
-    if bundle.usecase == "bot_detection":
-        rows = detect.streaks(scored, "fused_pct", bundle.metadata["window_s"])
-        rows = rows.withColumn("fired", F.col("streak") >= fixed.BOT_STREAK)
-    else:
-        rows = scored.withColumn("fired", F.coalesce(detect.recon_gate(F.col("fused_pct")), F.lit(False)))
-    fields = ["human_likeness", "is_known", "is_verified", "robots_txt"]
-    if annotations is not None:
-        return detect.suppression(detect.as_of(rows, annotations, fields))
-    return rows.withColumn("action", F.lit(None).cast("string")).withColumn("action_reason", F.lit(None).cast("string"))
+    """Scored windows with ``fired`` and what others say of the client (joined as of the window)."""
+    case = usecases.named(bundle.usecase)
+    return case.suppression(case.gate(scored, bundle.metadata["window_s"]), annotations)
 
 
 def alerts(rows: DataFrame, bundle: Bundle, budget: int | None = fixed.DAILY_BUDGET) -> DataFrame:
@@ -112,16 +100,22 @@ def dispositions(rows: DataFrame, sent: DataFrame, usecase: str) -> DataFrame:
     return rows.join(told, ids, "left").select(F.lit(usecase).alias("usecase"), *ids, "window_end", "event_count", F.round("fused_pct", 5).alias("fused_pct"), "fired", F.coalesce("disposition", F.lit("scored")).alias("disposition"), "severity_score", "severity", "action_reason")
 
 
+def all_usecases(requests: DataFrame, bundles: list[Bundle]) -> tuple[DataFrame, DataFrame]:
+    """Alerts and log of all use cases in one plan, exporters first."""
+    by_name, export, docs, logs = {b.usecase: b for b in bundles}, None, [], []
+    for name in usecases.in_order([*by_name]):
+        b = by_name[name]
+        rows = judged(score_windows(window_features(requests, b.profile, b.metadata["window_s"]), b), b, export)
+        told = usecases.named(name).annotate(rows)
+        export = export if told is None else told
+        sent = alerts(rows, b)
+        docs.append(detect.alert_documents(sent, name, b.version, sorted(b.models)))
+        logs.append(dispositions(rows, sent, name))
+    return reduce(DataFrame.unionByName, docs), reduce(DataFrame.unionByName, logs)
+
+
 def both_usecases(requests: DataFrame, bots: Bundle, recon: Bundle) -> tuple[DataFrame, DataFrame]:
-    """Alerts and log of both use cases in one plan: bot detection first, reconnaissance reads its export."""
-    window_s = recon.metadata["window_s"]
-    bot_rows = judged(score_windows(window_features(requests, bots.profile, window_s), bots), bots)
-    export = detect.crawler_export(bot_rows, "gbm_bot")
-    recon_rows = judged(score_windows(window_features(requests, recon.profile, window_s), recon), recon, export)
-    sent = [(rows, alerts(rows, b), b) for rows, b in ((bot_rows, bots), (recon_rows, recon))]
-    docs = [detect.alert_documents(s, b.usecase, b.version, sorted(b.models)) for _, s, b in sent]
-    logs = [dispositions(rows, s, b.usecase) for rows, s, b in sent]
-    return docs[0].unionByName(docs[1]), logs[0].unionByName(logs[1])
+    return all_usecases(requests, [bots, recon])
 
 
 def time_span(events: DataFrame) -> DataFrame:
@@ -140,7 +134,7 @@ def backtest(requests: DataFrame, usecase: str, share: float = 0.6, window_s: in
     before, after, cut = split_by_time(requests, share)
     bundle = train(before, usecase, "backtest", window_s)
     spark, server = requests.sparkSession, bundle.profile.path_totals.orderBy(F.desc("n"), "server").first().server
-    canary = (scan_canary if usecase == "web_recon" else spoof_canary)(spark, server, (cut // window_s + 1) * window_s)
+    canary = usecases.named(usecase).canary(spark, server, (cut // window_s + 1) * window_s)
     held = after.select(*canary.columns).unionByName(canary)
     rows = judged(score_windows(window_features(held, bundle.profile, window_s), bundle), bundle).persist()
     sent = alerts(rows, bundle, None)
@@ -161,10 +155,31 @@ def compared(windows: DataFrame, serving: Bundle, candidate: Bundle) -> DataFram
     """One row: how often each of two bundles would fire on the same windows, and how often both."""
     a, b = score_windows(windows, serving), score_windows(windows, candidate).select(*ENTITY, "window_start", F.col("fused_pct").alias("other_pct"))
     rows = a.join(b, [*ENTITY, "window_start"])
-    gate = fixed.RECON_GATE if serving.usecase == "web_recon" else fixed.BOT_GATE
+    gate = usecases.named(serving.usecase).gate_pct
     return rows.agg(F.count("*").alias("windows"), F.count_if(F.col("fused_pct") >= gate).alias("serving"), F.count_if(F.col("other_pct") >= gate).alias("candidate"), F.count_if((F.col("fused_pct") >= gate) & (F.col("other_pct") >= gate)).alias("both"))
 
 
+def candidate_check(requests: DataFrame, serving: Bundle, candidate: Bundle, most: float = 3.0) -> DataFrame:
+    """One row: fire rates and the canary of both bundles over the same requests, and whether the candidate may serve.
+
+    Not if it misses the canary, or fires more than ``most`` times as often as the serving bundle (1 in 1000 windows at least).
+    """
+    case, window_s = usecases.named(serving.usecase), serving.metadata["window_s"]
+    spark, server = requests.sparkSession, serving.profile.path_totals.orderBy(F.desc("n"), "server").first().server
+    first = requests.agg(F.min("epoch")).first()[0] or 0
+    canary = case.canary(spark, server, (first // window_s + 1) * window_s)
+    held = requests.select(*canary.columns).unionByName(canary)
+    parts = []
+    for role, b in (("serving", serving), ("candidate", candidate)):
+        rows = judged(score_windows(window_features(held, b.profile, window_s), b), b)
+        hit = F.col("fired") & is_canary(F.col("source_ip"))
+        parts.append(rows.agg(F.count("*").alias(f"{role}_windows"), (F.count_if(F.col("fired") & ~is_canary(F.col("source_ip"))) / F.greatest(F.count("*"), F.lit(1))).alias(f"{role}_rate"), (F.count_if(hit) > 0).alias(f"{role}_canary")))
+    out = parts[0].withColumn("one", F.lit(1)).join(parts[1].withColumn("one", F.lit(1)), "one").drop("one")  # a row each
+    fires = F.col("candidate_rate") <= most * F.greatest("serving_rate", F.lit(0.001))
+    reason = F.when(~F.col("candidate_canary"), "the canary did not fire").when(~fires, "it fires too often")
+    return out.withColumn("approve", F.col("candidate_canary") & fires).withColumn("reason", reason)
+
+
 def overview(log: DataFrame) -> DataFrame:
     """(usecase, day, windows, fired, delivered, suppressed, folded, digested, fire_rate_pct)."""
     of = lambda d: F.count_if(F.col("disposition") == d)

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from weblens.functions import expressions as X
 from weblens.functions import fixed
 from weblens.operators import features as W
 from weblens.operators import profile as P
 from weblens.operators import sessions as S
+from weblens.operators.groups import FeatureGroup, grouped_features
 from weblens.plans.scalar_queries import BOT_SQL, EXT_SQL, FAMILY_SQL, IDF_SQL, NUMBER_SQL, PROFILE_SQL, SCAN_SQL, ranges_sql, requests  # noqa: F401
 from weblens.sources import web_view
 
@@ -226,3 +228,29 @@ REPORT = ", ".join(f"median({c}) as {c}_p50, quantile_disc({c}, 0.95) as {c}_p95
 @query(f"{SESSION_SQL}, sf as (select {SKEY}, {', '.join(f'{e} as {c}' for c, e in SESSION_COLUMNS.items())} from s1 group by {SKEY}) select count(*) as sessions, {REPORT}, round(quantile_disc(cv_inter_arrival, 0.05), 6) as cv_p05, count_if(event_count = 1) / count(*) as single_event_share from sf")
 def session_report(spark, d):
     return S.session_report(S.session_features(S.sessionized(requests(spark, d)))).withColumn("cv_p05", F.round("cv_p05", 6))
+
+
+@query(f" select {WIN_IDS}, count(*) as n, row_number() over (order by bucket, server, source_ip, ua_hash) as place from kd group by {KEY}")
+def windows_by_start(spark, d):
+    """Windows in the order of their start: sorted by ranges, numbered by the sizes of those before."""
+    rows = W.keyed(requests(spark, d), DAY).groupBy(*W.KEY).agg(F.count("*").alias("n")).select(*IDS[:3], (F.col("bucket") * DAY).alias("window_start"), "n")
+    return S.in_order(rows, ["window_start", "server", "source_ip", "ua_hash"])
+
+
+class Errors(FeatureGroup):
+    name = "errors"
+
+    def aggregates(self):
+        failed = F.col("status_code") >= 400
+        return {"failed": F.count_if(failed), "last_failed": F.max(F.when(failed, F.col("epoch")))}
+
+
+@query(f" select {WIN_IDS}, count_if(status_code >= 400)::bigint as failed, max(case when status_code >= 400 then epoch end) as last_failed from kd group by {KEY}")
+def feature_group(spark, d):
+    """A group of features that a deployment adds."""
+    return grouped_features(requests(spark, d), [Errors()], DAY)
+
+
+@query(" select event_id, greatest(0, 1735689600 - epoch) as age_s from req")
+def record_age(spark, d):
+    return requests(spark, d).select("event_id", X.age_s(F.col("ts"), F.timestamp_seconds(F.lit(1735689600))).alias("age_s"))

@@ -165,7 +165,7 @@ def top_alerts(spark, d):
     return delivered(spark, d).where("disposition = 'delivered'").orderBy(F.desc("fused_pct"), "window_end", "server", "source_ip", "ua_hash").limit(10).select("server", "source_ip", "ua_hash", "window_end", "fused_pct")
 
 
-@query(" select server, source_ip, ua_hash, window_start, 'Web reconnaissance: ' || source_ip || ' on ' || server || ' made ' || event_count || ' requests (' || distinct_paths || ' distinct paths, ' || n404 || ' were 404) in 1440 minutes.' as narrative from sw")
+@query(" select server, source_ip, ua_hash, window_start, 'Web reconnaissance. Within 1440 minutes ' || source_ip || ' sent ' || server || ' ' || event_count || ' requests to ' || distinct_paths || ' paths; ' || n404 || ' got a 404.' as narrative from sw")
 def narrative(spark, d):
     return scored(spark, d).select(*IDS, D.narrative(F.lit("Web reconnaissance"), 1440).alias("narrative"))
 
@@ -208,6 +208,12 @@ def fleet_share(spark, d):
     return D.fleet_share(scored(spark, d).withColumn("fired", F.col("fused_pct") >= FIRE), "fired")
 
 
-@query(f" select {ENT}, window_start, fused_pct, event_count, round(fused_pct, 5) as pct5 from sw")
+@query(
+    f" select {ENT}, window_start, window_end, event_count, round(fused_pct, 5) as fused, fused_pct >= {FIRE} as fired, 'low_k=' || round(low_k::double, 5)::varchar as raw, 'low_k=' || round(fused_pct, 5)::varchar as percentiles,"
+    f" 'fused ' || round(fused_pct, 5)::varchar || case when fused_pct >= {FIRE} then ' at or above ' else ' below ' end || '{FIRE}' as reason from sw"
+)
 def score_record(spark, d):
-    return scored(spark, d).select(*IDS, "fused_pct", "event_count", F.round("fused_pct", 5).alias("pct5"))
+    """The audit row, its maps as text for comparison."""
+    rows = D.score_records(scored(spark, d).withColumn("low_pct", F.col("fused_pct")), {"low_k": ("low_k", "low_pct")}, FIRE, [])
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return rows.select(*IDS, "window_end", "event_count", "fused", "fired", text("raw").alias("raw"), text("percentiles").alias("percentiles"), F.array_join("reasons", "; ").alias("reason"))

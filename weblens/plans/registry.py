@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.clustering import GaussianMixtureModel
 from pyspark.ml.regression import IsotonicRegressionModel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weblens import plugins
 from weblens.operators.models import BotMixture, BotTrees, IsolationForest
 from weblens.operators.profile import Profile
 from weblens.plans.detection import Bundle
@@ -24,15 +26,18 @@ def new_version(now: datetime | None = None) -> str:
 
 
 def save(bundle: Bundle, folder: str) -> None:
-    """Tables as Parquet, Spark models by their writers, the rest as JSON."""
+    """Tables and forests as Parquet, Spark models by their writers, the rest as a line of JSON: all of it by Spark."""
+    spark = bundle.stats.sparkSession
     os.makedirs(folder)
     bundle.profile.save(f"{folder}/profile")
-    for name, df in {"stats": bundle.stats, "reference": bundle.reference} | {f"grid_{n}": g for n, g in bundle.grids.items()}.items():
+    tables = {"stats": bundle.stats, "reference": bundle.reference} | {f"grid_{n}": g for n, g in bundle.grids.items()}
+    for name, df in tables.items():
         df.write.parquet(f"{folder}/{name}")
     told = {}
     for name, m in bundle.models.items():
         if isinstance(m, IsolationForest):
-            np.savez(f"{folder}/{name}.npz", *m.trees)
+            trees = [(i, bytearray(np.ascontiguousarray(t).tobytes())) for i, t in enumerate(m.trees)]
+            spark.createDataFrame(trees, "tree int, nodes binary").coalesce(1).write.parquet(f"{folder}/{name}")
             told[name] = {"features": m.features, "psi": m.psi}
         elif isinstance(m, BotMixture):
             m.model.write().save(f"{folder}/{name}")
@@ -43,18 +48,17 @@ def save(bundle: Bundle, folder: str) -> None:
                 m.model.write().save(f"{folder}/{name}")
             if m.isotonic is not None:
                 m.isotonic.write().save(f"{folder}/{name}_isotonic")
-    with open(f"{folder}/metadata.json", "w", encoding="utf-8") as f:
-        json.dump({"metadata": bundle.metadata, "usecase": bundle.usecase, "version": bundle.version, "features": bundle.features, "models": told}, f)
+    doc = {"metadata": bundle.metadata, "usecase": bundle.usecase, "version": bundle.version, "features": bundle.features, "models": told}
+    spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.text(f"{folder}/metadata")
 
 
 def load(spark: SparkSession, folder: str) -> Bundle:
-    with open(f"{folder}/metadata.json", encoding="utf-8") as f:
-        doc = json.load(f)
+    doc = json.loads(spark.read.text(f"{folder}/metadata").first().value)
     models: dict[str, object] = {}
     for name, m in doc["models"].items():
         if "psi" in m:
-            with np.load(f"{folder}/{name}.npz") as z:
-                models[name] = IsolationForest(m["features"], [z[k] for k in z.files], m["psi"])
+            trees = sorted((r.tree, bytes(r.nodes)) for r in spark.read.parquet(f"{folder}/{name}").collect())  # a fixed number
+            models[name] = IsolationForest(m["features"], [np.frombuffer(t).reshape(-1, 5) for _, t in trees], m["psi"])
         elif "shares" in m:
             models[name] = BotMixture(GaussianMixtureModel.load(f"{folder}/{name}"), m["shares"], m["features"])
         else:
@@ -134,3 +138,22 @@ class Registry:
 
     def describe(self, usecase: str) -> dict:
         return {"usecase": usecase, "current": self.current(usecase), "candidate": self.candidate(usecase), "versions": self.versions(usecase)}
+
+    def models(self) -> list[dict]:
+        """All versions of all use cases, with what they are used for."""
+        out = []
+        for usecase in sorted(os.listdir(self.root)) if os.path.isdir(self.root) else []:
+            held = {self.current(usecase): "current", self.candidate(usecase): "candidate"}
+            out += [{"usecase": usecase, "version": v, "role": held.get(v, "kept")} for v in self.versions(usecase)]
+        return out
+
+
+def catalogue(spark: SparkSession, registry: Registry, planned: dict[str, str]) -> DataFrame:
+    """(usecase, title, implemented, current, versions): planned and implemented use cases, left-joined with what is deployed."""
+    known = {n: plugins.get("usecase", n).title for n in plugins.names("usecase")}
+    rows = [(n, t, n in known) for n, t in sorted((planned | known).items())]
+    deployed = [(m["usecase"], m["version"], m["role"]) for m in registry.models()]
+    cases = spark.createDataFrame(rows, "usecase string, title string, implemented boolean")
+    bundles = spark.createDataFrame(deployed, "usecase string, version string, role string").groupBy("usecase")
+    held = bundles.agg(F.max(F.when(F.col("role") == "current", F.col("version"))).alias("current"), F.count("*").alias("versions"))
+    return cases.join(held, "usecase", "left").withColumn("versions", F.coalesce("versions", F.lit(0).cast("long"))).orderBy("usecase")

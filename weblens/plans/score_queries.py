@@ -126,22 +126,24 @@ def drift_report(spark, d):
     return r.select(F.round("max_psi", 6).alias("max_psi"), F.array_join("drifted", ",").alias("drifted"), "band", "retrain")
 
 
-LOF_N, LOF_K = 500, 10
+LOF_K = 10
 
 
 @query(
-    f"""with p as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings where vec_id < {LOF_N}),
-pd as (select a.id as q, b.id as r, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) as d from p a join p b on a.id <> b.id),
+    f"""with p as (select vec_id as id, embedding::double[] as e from embeddings where embedding is not null),
+pd as (select a.id as q, b.id as r, list_distance(a.e, b.e) as d from p a join p b on a.id <> b.id),
 nn as (select * from (select *, row_number() over (partition by q order by d, r) as n from pd) where n <= {LOF_K}), kd as (select q, max(d) as kd from nn group by 1),
 ld as (select nn.q as q, 1.0 / (avg(greatest(d, kd)) + 1e-10) as lrd from nn join kd on kd.q = nn.r group by 1)
-select nn.q as id, round(avg(o.lrd) / max(s.lrd), 6) as lof from nn join ld o on o.q = nn.r join ld s on s.q = nn.q group by 1""",
+select nn.q as id, round(avg(o.lrd) / max(s.lrd), 5) as lof from nn join ld o on o.q = nn.r join ld s on s.q = nn.q group by 1""",
     web=False,
 )
 def lof_scores(spark, d):
-    """Among the first vectors of the table, which are this query's fixed reference and its rows."""
-    e = table(spark, d, "embeddings").where(F.col("vec_id") < LOF_N)
-    rows = e.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
-    return models.lof_scores(rows, ["x", "y", "z"], LOF_K).select("id", F.round("lof", 6).alias("lof"))
+    """All vectors of the table with all their components; those of the first one's length are points of one space."""
+    e = table(spark, d, "embeddings").where("embedding is not null")
+    width = e.select(F.size("embedding").alias("n")).first()
+    names = [f"x{i}" for i in range(width.n if width else 1)]
+    rows = e.where(F.size("embedding") == len(names)).select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    return models.lof_scores(rows, names, LOF_K).select("id", F.round("lof", 5).alias("lof"))
 
 
 # Fitted models, training and backtests: no SQL.
@@ -150,19 +152,19 @@ def lof_scores(spark, d):
 @query()
 def iforest_scores(spark, d):
     w = windows(spark, d)
-    return models.IsolationForest.fit(w, list(SOME), trees=50).score(w).select(*IDS, "iforest")
+    return models.IsolationForest.fit(w, list(SOME)).score(w).select(*IDS, "iforest")
 
 
 @query()
 def gmm_association(spark, d):
     w = windows(spark, d)
-    return models.BotMixture.fit(w, list(SOME[:3]), most=3).score(w).select(*IDS, "gmm")
+    return models.BotMixture.fit(w, list(SOME)).score(w).select(*IDS, "gmm")
 
 
 @query()
 def gbm_bot(spark, d):
     w = windows(spark, d)
-    return models.BotTrees.fit(w, list(SOME[:3])).score(w).select(*IDS, "gbm_bot")
+    return models.BotTrees.fit(w, list(SOME)).score(w).select(*IDS, "gbm_bot")
 
 
 @query()

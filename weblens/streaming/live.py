@@ -7,6 +7,11 @@ a batch, so that a batch that runs again overwrites what it wrote: clients' acti
 families, the export, and the scored windows, of which the last two days carry streaks, folds and budgets on.
 """
 
+import json
+import os
+import time
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -16,7 +21,7 @@ from weblens.functions.expressions import is_request
 from weblens.operators import detect
 from weblens.operators.drift import drift_report, stability
 from weblens.operators.features import activity, family_robots, keyed, long_form, window_features
-from weblens.plans import detection
+from weblens.plans import detection, usecases
 from weblens.plans.detection import Bundle
 from weblens.sources import ndjson
 
@@ -63,10 +68,12 @@ class Tables:
 
 
 class Live:
-    """Scores micro-batches with the serving bundles of both use cases."""
+    """Scores micro-batches with the serving bundles of all use cases, exporters first."""
 
-    def __init__(self, spark: SparkSession, root: str, bots: Bundle, recon: Bundle, mode: str = "live"):
-        self.tables, self.bots, self.recon, self.mode = Tables(spark, root), bots, recon, mode
+    def __init__(self, spark: SparkSession, root: str, *bundles: Bundle, mode: str = "live"):
+        by_name = {b.usecase: b for b in bundles}
+        self.tables, self.bundles, self.mode = Tables(spark, root), [by_name[n] for n in usecases.in_order([*by_name])], mode
+        self.window_s = self.bundles[-1].metadata["window_s"]
 
     def batch(self, requests: DataFrame, number: int) -> None:
         requests = requests.persist()
@@ -77,41 +84,50 @@ class Live:
             requests.unpersist()
 
     def score(self, requests: DataFrame, number: int) -> None:
-        t, window_s = self.tables, self.recon.metadata["window_s"]
+        t, held = self.tables, []
+
+        def once(df: DataFrame) -> DataFrame:
+            """Computed once for all that this batch writes, and released at its end."""
+            held.append(df.persist())
+            return held[-1]
+
         known = t.get("activity", number)
         if known is not None:
             # Only clients of this batch are looked up; their rows are summed over the batches before.
             now = keyed(requests).select("server", "source_ip", "ua_hash").distinct()
             known = known.join(now, detect.ENTITY, "left_semi").groupBy(*detect.ENTITY).agg(*[F.sum(f"b{h}").alias(f"b{h}") for h in range(24)], F.max("ever_before").alias("ever_before"))
+            known = once(known)
         robots = t.get("robots", number)
-        logs, docs = [], []
-        export = None
-        for bundle in (self.bots, self.recon):
-            rows = detection.score_windows(window_features(requests, bundle.profile, window_s, known, robots), bundle)
-            name = bundle.usecase
-            before = t.get(f"scored_{name}", number)
-            first = F.lit(requests.agg(F.min("epoch")).first()[0] - HORIZON_S)
-            new = rows.withColumn("_new", F.lit(True))
-            both = new if before is None else new.unionByName(before.where(F.col("window_end") > first).withColumn("_new", F.lit(False)))
-            judged = detection.judged(both, bundle, export)
-            if name == "bot_detection":
-                export = detect.crawler_export(judged, "gbm_bot")
-            judged = judged.persist()
-            sent = detection.alerts(judged, bundle).where("_new")
-            docs.append(detect.alert_documents(sent, name, bundle.version, sorted(bundle.models)))
-            logs.append(detection.dispositions(judged.where("_new"), sent, name))
-            t.put(rows, f"scored_{name}", number)
-        log, documents = logs[0].unionByName(logs[1]), docs[0].unionByName(docs[1])
-        if self.mode != "observe":
-            t.put(log, "log", number)
-            # In shadow mode everything is judged and nothing is delivered.
-            t.put(documents if self.mode == "live" else documents.where("false"), "alerts", number)
-        t.put(activity(requests), "activity", number)
-        t.put(family_robots(keyed(requests)), "robots", number)
+        first = F.lit(requests.agg(F.min("epoch")).first()[0] - HORIZON_S)
+        logs, docs, export = [], [], None
+        try:
+            for bundle in self.bundles:
+                name = bundle.usecase
+                rows = once(detection.score_windows(window_features(requests, bundle.profile, self.window_s, known, robots), bundle))
+                t.put(rows, f"scored_{name}", number)
+                before = t.get(f"scored_{name}", number)
+                new = rows.withColumn("_new", F.lit(True))
+                both = new if before is None else new.unionByName(before.where(F.col("window_end") > first).withColumn("_new", F.lit(False)))
+                judged = once(detection.judged(both, bundle, export))
+                told = usecases.named(name).annotate(judged)
+                export = export if told is None else told
+                sent = once(detection.alerts(judged, bundle).where("_new"))
+                docs.append(detect.alert_documents(sent, name, bundle.version, sorted(bundle.models)))
+                logs.append(detection.dispositions(judged.where("_new"), sent, name))
+            if self.mode != "observe":
+                documents = reduce(DataFrame.unionByName, docs)
+                t.put(reduce(DataFrame.unionByName, logs), "log", number)
+                # In shadow mode everything is judged and nothing is delivered.
+                t.put(documents if self.mode == "live" else documents.where("false"), "alerts", number)
+            t.put(activity(requests), "activity", number)
+            t.put(family_robots(keyed(requests)), "robots", number)
+        finally:
+            for df in held:
+                df.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str, window_s: int | None = None, once: bool = False, grace_s: int = fixed.GRACE_S) -> StreamingQuery:
         """Follow a stream; the checkpoint holds position and open windows."""
-        writer = closed_requests(stream, window_s or self.recon.metadata["window_s"], grace_s).writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
+        writer = closed_requests(stream, window_s or self.window_s, grace_s).writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
@@ -124,10 +140,18 @@ def drift_check(live: Live, bundle: Bundle, newest: int = 4000, least: int = 50)
 
 
 class Health(StreamingQueryListener):
-    """Keeps the last progress of each query: rows in, rows dropped as late, batch."""
+    """Keeps the last progress of each query (rows in, rows dropped as late, batch), and writes it to a file if one is named."""
 
-    def __init__(self) -> None:
+    def __init__(self, path: str | None = None) -> None:
         self.last: dict[str, dict] = {}
+        self.path = path
+
+    def write(self) -> None:
+        """The snapshot replaces the one before at once, never half-written."""
+        if self.path:
+            with open(f"{self.path}.tmp", "w", encoding="utf-8") as f:
+                json.dump({"at": int(time.time()), "queries": self.last}, f)
+            os.replace(f"{self.path}.tmp", self.path)
 
     def onQueryStarted(self, event) -> None:
         self.last[str(event.id)] = {"status": "started"}
@@ -136,12 +160,21 @@ class Health(StreamingQueryListener):
         p = event.progress
         late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
         self.last[str(p.id)] = {"status": "running", "batch": p.batchId, "rows": p.numInputRows, "late": late}
+        self.write()
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
         self.last[str(event.id)] = {"status": "failed" if event.exception else "stopped", "reason": event.exception}
+        self.write()
+
+
+def drain(query: StreamingQuery) -> None:
+    """Process what has arrived, then stop: offsets, open windows and tables stay whole for the next start."""
+    if query.isActive:
+        query.processAllAvailable()
+        query.stop()
 
 
 def sessions(stream: DataFrame, gap_s: int = fixed.SESSION_GAP_S, grace_s: int = fixed.GRACE_S) -> DataFrame:
