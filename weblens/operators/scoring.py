@@ -1,5 +1,6 @@
 """Population statistics, percentile calibration and hygiene of the training rows."""
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,15 +74,20 @@ def grid(rows: DataFrame, score: str) -> DataFrame:
 
 
 def percentile_of(raw: Column, grid_: Column) -> Column:
-    """The share of a grid that a raw score reaches, at most 1."""
-    return F.least(F.lit(1.0), F.size(F.filter(grid_, lambda g: g <= raw)) / float(fixed.GRID - 1))
+    """The share of a grid that a raw score reaches, at most 1; no score reaches nothing.
+
+    A grid ascends, so the number of its scores that are not above ``raw`` is found by bisection, not by reading all of them.
+    """
+    halves = [1 << b for b in reversed(range(fixed.GRID.bit_length()))]
+    reached = lambda at, step: F.when((at + step <= F.size(grid_)) & (F.get(grid_, at + step - 1) <= raw), at + step).otherwise(at)
+    return F.least(F.lit(1.0), F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), reached) / float(fixed.GRID - 1))
 
 
 def calibrated(rows: DataFrame, score: str, grid_: DataFrame, out: str) -> DataFrame:
-    """Rows with the percentile of a score. The grid is one row of fixed width, broadcast as a value."""
+    """Rows with the percentile of a score. The grid is one row of fixed width, and goes into the plan as one literal."""
     got = grid_.first()
-    values = got.grid if got and got.grid else []
-    return rows.withColumn(out, percentile_of(F.col(score), F.array(*map(F.lit, values)) if values else F.array().cast("array<double>")))
+    values = F.from_json(F.lit(json.dumps(got.grid if got and got.grid else [])), "array<double>")
+    return rows.withColumn(out, percentile_of(F.col(score), values))
 
 
 def calibration_rows(rows: DataFrame, least: int = fixed.LEAST_WINDOWS) -> DataFrame:
