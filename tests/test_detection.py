@@ -136,6 +136,15 @@ def test_both_canaries_fire(spark, bundles):
     assert doc["event"]["kind"] == "alert" and doc["rule"]["id"] == "UC-02" and doc["explanation"]["top_features"] and "requests" in doc["explanation"]["narrative"]
 
 
+@pytest.mark.parametrize("population", [[], [0.0] * 5 + [1.0] * 3, [0.1 * i * i for i in range(40)], [1.0, 2.0, float("nan"), float("inf")]])
+def test_percentiles_count_the_grid(spark, population):
+    grid = scoring.grid(spark.createDataFrame([(x,) for x in population], "s double"), "s")
+    rows = spark.createDataFrame([(x,) for x in [*population, None, -9.0, 9.0, 0.0, -0.0, float("inf"), float("-inf")]], "s double")
+    counted = F.least(F.lit(1.0), F.size(F.filter("grid", lambda g: g <= F.col("s"))) / 1000.0)
+    both = scoring.calibrated(rows, "s", grid, "p").crossJoin(F.broadcast(grid)).select("p", F.when(F.col("grid").isNull(), 0.0).otherwise(counted).alias("q"))
+    assert all(r.p == r.q for r in both.collect()) and both.count() == len(population) + 7
+
+
 def test_too_little_to_train(spark):
     with pytest.raises(detection.TrainingError):
         detection.train(traffic(spark, 1, 5).limit(5), "web_recon", "v1")
