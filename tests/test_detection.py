@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,25 @@ def test_bot_models_and_their_ladder(spark):
     assert plugins.available({"gbm": models.BotTrees, "clusters": models.CrawlerClusters}) == {"gbm": models.BotTrees}
 
 
+def test_mixture_finds_its_parts_and_repeats(spark):
+    rng = np.random.default_rng(1)
+    near, far = rng.normal(0, 1, (400, 2)), rng.normal(0, 0.5, (200, 2)) + [40, 10]
+    rows = [(*map(float, x), float(bot)) for part, bot in ((near, 0), (far, 1)) for x in part]
+    data = spark.createDataFrame(rows, "a double, b double, bot_declared_bot double")
+    got = models.BotMixture.fit(data, ["a", "b"])
+    again = models.BotMixture.fit(data.repartition(5), ["a", "b"])
+    assert len(got.shares) == 2 and np.allclose(sorted(got.shares), [0, 1], atol=1e-9)
+    order = np.argsort(got.parts[1][:, 0])
+    means = got.parts[1][order] * got.shape[1] + got.shape[0]
+    assert np.allclose(means, [near.mean(axis=0), far.mean(axis=0)], atol=1e-6)
+    assert np.allclose(got.parts[2][order] * got.shape[1] ** 2, [near.var(axis=0), far.var(axis=0)] + 1e-4 * got.shape[1] ** 2, rtol=1e-6)
+    assert all(np.allclose(a, b) for a, b in zip(got.parts, again.parts, strict=True))
+    scored = got.score(data).groupBy("bot_declared_bot").agg(F.min("gmm").alias("low"), F.max("gmm").alias("high"))
+    assert {r[0]: (round(r.low, 6), round(r.high, 6)) for r in scored.collect()} == {0.0: (0.0, 0.0), 1.0: (1.0, 1.0)}
+    one = models.BotMixture.fit(data.where("bot_declared_bot = 0").limit(9), ["a", "b"])
+    assert one.shares == [0.0] and len(one.parts[0]) == 1
+
+
 def traffic(spark, humans=40, pages=60, start=1_700_000_000):
     """Browsing clients: a page, its assets, pauses; and declared bots that crawl like clocks."""
     i = F.col("id")

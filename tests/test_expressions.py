@@ -8,6 +8,7 @@ from weblens.functions import fixed
 from weblens.operators import features as W
 from weblens.operators import profile as P
 from weblens.operators import sessions as S
+from weblens.plans import feature_queries, scalar_queries
 from weblens.sources import canaries
 
 COLUMNS = "event_id long, epoch long, server string, source_ip string, user_agent string, url_path string, status_code int, http_method string, referrer string, body_bytes long, geo_country string, event_type_ecs string"
@@ -116,3 +117,18 @@ def test_canaries(spark):
     scan, spoof = canaries.scan_canary(spark, "s", 0), canaries.spoof_canary(spark, "s", 0)
     assert scan.count() == 150 and spoof.count() == 1350
     assert scan.where("status_code = 404").count() == 135 and scan.agg(F.max("epoch")).first()[0] == 298 + (149 * 7) % 3
+
+
+def test_chain_depth_of_the_query_equals_a_walk(spark):
+    d = "/root/testdata/sf0.001"
+    rows = W.keyed(scalar_queries.requests(spark, d), 86400).withColumn("ref", X.referrer_path(F.col("referrer"))).where("url_path <> ''").orderBy("us", "event_id")
+    known, most = {}, {}
+    for r in rows.select("server", "source_ip", "ua_hash", "bucket", "url_path", "ref").collect():
+        key = (r.server, r.source_ip, r.ua_hash, r.bucket * 86400)
+        paths = known.setdefault(key, {})
+        if len(paths) < fixed.MAX_CHAIN:
+            depth = paths.get(r.ref, 0) + 1
+            paths[r.url_path] = max(depth, paths.get(r.url_path, 0))
+            most[key] = max(depth, most.get(key, 0))
+    got = {tuple(r[:4]): r[4] for r in feature_queries.win_ref_chain(spark, d).collect()}
+    assert most and got == {k: float(most.get(k, 0)) for k in got} and set(most) <= set(got)

@@ -1,8 +1,9 @@
-"""The 22 features of a client's window, as one aggregate by key and side aggregates of distinct items.
+"""The 22 features of a client's window, as one aggregate by key and side aggregates of distinct paths.
 
-A key is (server, source_ip, ua_hash, bucket). Order within a window is by time and event id. Items that need a count each
-(path segments, sub-bins) share one two-level aggregate: a row an item first, then a row a key, so neither level
-sees an unbounded group. What runs over a client's windows (hours of activity, robots.txt) runs over rows a window.
+A key is (server, source_ip, ua_hash, bucket). Order within a window is by time and event id. Requests are shuffled by key once for
+what depends on their order, and counted by key and path before anything meets the profile: a page that everybody asks for joins
+with one row a window, not one a request. Path segments come from the same counts. What runs over a client's windows (hours of
+activity, robots.txt) runs over rows a window.
 """
 
 from collections.abc import Iterator
@@ -45,20 +46,45 @@ def entropy(total: Column, kinds: Column, weighted: Column) -> Column:
     return F.when((total > 1) & (kinds > 1), (F.log2(total) - weighted / total) / F.log2(kinds)).otherwise(0.0)
 
 
-def item_counts(requests: DataFrame, window_s: int) -> DataFrame:
-    """By key: token_entropy and fano."""
-    items = F.concat(
-        F.transform(X.tokens(F.coalesce("url_path", F.lit(""))), lambda t: F.struct(F.lit("t").alias("kind"), t.alias("item"))),
-        F.array(F.struct(F.lit("b").alias("kind"), F.floor((F.col("epoch") - F.col("bucket") * window_s) / fixed.FANO_BIN_S).cast("string").alias("item"))),
-    )
-    each = requests.select(*KEY, F.explode(items).alias("i")).groupBy(*KEY, "i.kind", "i.item").agg(F.count("*").alias("c"))
-    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
-    c = F.col("c").cast("double")
-    sums = each.groupBy(*KEY).agg(of("t", c).alias("total"), F.count_if(F.col("kind") == "t").alias("kinds"), of("t", c * F.log2(c)).alias("weighted"), of("b", c).alias("b1"), of("b", c * c).alias("b2"))
+def paths_by_key(requests: DataFrame) -> DataFrame:
+    """(KEY, url_path, c): how often a window asks for each path; counted before the shuffle."""
+    return requests.where("url_path <> ''").groupBy(*KEY, "url_path").agg(F.count("*").alias("c"))
+
+
+def path_sums(counts: DataFrame, profile: Profile) -> DataFrame:
+    """By key, from counts by path: paths, and the requests' sum of idf, of unknown file types and of assets."""
+    rows = with_unknown_ext(with_path_idf(counts, profile), profile)
+    of = lambda at: F.coalesce(F.sum(F.when(at, F.col("c"))), F.lit(0))
+    return rows.groupBy(*KEY).agg(F.count("*").alias("paths"), F.sum(F.col("idf") * F.col("c")).alias("idf_sum"), of(F.col("unknown_ext")).alias("unknown"), of(F.col("ext").isin(*fixed.ASSET_EXTENSIONS)).alias("assets"))
+
+
+def token_entropy(counts: DataFrame) -> DataFrame:
+    """By key, from counts by path: the entropy of path segments."""
+    each = counts.select(*KEY, "c", F.explode(X.tokens(F.col("url_path"))).alias("token")).groupBy(*KEY, "token").agg(F.sum("c").cast("double").alias("c"))
+    sums = each.groupBy(*KEY).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("c") * F.log2("c")).alias("weighted"))
+    return sums.select(*KEY, entropy(F.col("total"), F.col("kinds"), F.col("weighted")).alias("web_path_token_entropy"))
+
+
+def fano(n: Column, squares: Column, window_s: int) -> Column:
+    """Variance by mean of the requests in sub-bins, from their number and the sum of the bins' squares."""
     bins = window_s // fixed.FANO_BIN_S
-    mean = F.col("b1") / bins
-    fano = F.when(F.lit(bins > 1) & (mean > 0), (F.col("b2") / bins - mean * mean) / mean).otherwise(0.0)
-    return sums.select(*KEY, F.coalesce(entropy(F.col("total"), F.col("kinds"), F.col("weighted")), F.lit(0.0)).alias("web_path_token_entropy"), fano.alias("timing_fano_factor"))
+    mean = n / bins
+    return F.when(F.lit(bins > 1) & (mean > 0), (squares / bins - mean * mean) / mean).otherwise(0.0)
+
+
+def ordered(requests: DataFrame, window_s: int) -> DataFrame:
+    """Keyed requests with their place in the window and what comes of it; one shuffle by key and one sort serve all but ``from_end``.
+
+    ``odd`` is 1, 3, 5, ... within a sub-bin, so that its sum over a bin of c requests is c squared.
+    """
+    rows = requests.withColumn("bin", F.floor((F.col("epoch") - F.col("bucket") * window_s) / fixed.FANO_BIN_S))
+    w = Window.partitionBy(*KEY).orderBy("bin", "us", "event_id")  # bins ascend with time
+    inside = Window.partitionBy(*KEY, "bin").orderBy("us", "event_id")
+    back = Window.partitionBy(*KEY).orderBy(F.desc("us"), F.desc("event_id"))
+    return rows.select(
+        "*", ((F.col("us") - F.lag("us").over(w)) / 1e6).alias("gap"), F.row_number().over(w).alias("place"), F.count("body_bytes").over(w).alias("bytes_place"),
+        (2 * F.row_number().over(inside) - 1).alias("odd"), F.row_number().over(back).alias("from_end"),
+    )
 
 
 def chain_depth(requests: DataFrame) -> DataFrame:
@@ -104,25 +130,18 @@ def family_robots(requests: DataFrame) -> DataFrame:
 
 
 def base(requests: DataFrame, window_s: int) -> DataFrame:
-    """One aggregate by key over requests with idf, ext and unknown_ext."""
+    """One aggregate by key over ordered requests."""
     n, status = F.count("*"), F.col("status_code")
-    paths = F.count_distinct(F.nullif("url_path", F.lit("")))
-    capped = F.least(paths, F.lit(fixed.MAX_PATHS))
     size = F.when(F.col("bytes_place") <= fixed.MAX_BYTES, F.col("body_bytes"))
     hours = [F.count_if(F.hour("ts") == h).alias(f"h{h}") for h in range(24)]
-    low = F.nullif("url_path", F.lit(""))
     return requests.groupBy(*KEY).agg(
-        n.alias("event_count"), capped.alias("distinct_paths"), (paths > fixed.MAX_PATHS).alias("distinct_paths_capped"), F.count_if(status == 404).alias("n404"),
+        n.alias("event_count"), F.count_if(status == 404).alias("n404"),
         ratio(F.count_if(status == 404), n).alias("web_ratio_404"),
         *[ratio(F.count_if(status.between(a, b)), n).alias(f"web_status_{a // 100}xx_ratio") for a, b in ((200, 299), (300, 399), (400, 499), (500, 10**6))],
-        (F.sum(F.when(low.isNotNull(), F.col("idf")).otherwise(0.0)) / n).alias("web_mean_path_idf"),
-        (capped / (window_s / 60.0)).alias("web_uniq_paths_per_min"),
-        ratio(F.count_if("unknown_ext"), n).alias("web_unknown_ext_ratio"),
         ratio(F.count_if(F.col("referrer").isNull()), n).alias("web_referrer_absent_ratio"),
         F.max("user_agent").alias("user_agent"),
         cv(F.when(F.col("place") <= fixed.MAX_GAPS + 1, F.col("gap"))).alias("timing_interarrival_cv"),
-        ratio(F.count_if(F.col("ext").isin(*fixed.ASSET_EXTENSIONS)), n).alias("bot_asset_fetch_ratio"),
-        ((n - capped) / n).alias("bot_path_repeat_ratio"),
+        fano(n, F.sum("odd"), window_s).alias("timing_fano_factor"),
         ratio(F.count_if(F.upper("http_method") == "GET"), F.count_if(F.col("http_method") != "")).alias("bot_method_get_ratio"),
         F.coalesce(F.percentile(size, F.lit(0.5)), F.lit(0.0)).alias("bot_bytes_per_req_p50"),
         F.max(F.coalesce(F.col("url_path") == "/robots.txt", F.lit(False))).alias("robots"),
@@ -131,6 +150,17 @@ def base(requests: DataFrame, window_s: int) -> DataFrame:
     )
 
 
+def with_path_features(windows: DataFrame, window_s: int) -> DataFrame:
+    """Windows with ``path_sums`` (null where none has a path) with the features that come of them."""
+    n, paths = F.col("event_count"), F.coalesce("paths", F.lit(0))
+    capped = F.least(paths, F.lit(fixed.MAX_PATHS))
+    out = windows.withColumns({
+        "distinct_paths": capped, "distinct_paths_capped": paths > fixed.MAX_PATHS, "web_mean_path_idf": F.coalesce("idf_sum", F.lit(0.0)) / n, "web_uniq_paths_per_min": capped / (window_s / 60.0),
+        "web_unknown_ext_ratio": F.coalesce("unknown", F.lit(0)) / n, "bot_asset_fetch_ratio": F.coalesce("assets", F.lit(0)) / n, "bot_path_repeat_ratio": (n - capped) / n,
+    })
+    return out.drop("paths", "idf_sum", "unknown", "assets")
+
+
 def hour_entropy(seen: list[Column]) -> Column:
     """Entropy of activity over the hours of a day by log2 24; 0 of one event or one hour."""
     total = sum(seen[1:], seen[0]).cast("double")
@@ -165,16 +195,14 @@ def window_features(requests: DataFrame, profile: Profile, window_s: int = fixed
     ``before`` and ``robots_before`` are what is known from earlier requests, in the forms of ``activity`` and
     ``family_robots``; a batch over all requests needs neither.
     """
-    rows = gaps(with_unknown_ext(with_path_idf(keyed(requests, window_s), profile), profile))
-    w = Window.partitionBy(*KEY).orderBy("us", "event_id")
-    back = Window.partitionBy(*KEY).orderBy(F.desc("us"), F.desc("event_id"))
-    rows = rows.withColumn("bytes_place", F.count("body_bytes").over(w)).withColumn("from_end", F.row_number().over(back))
     keyed_ = keyed(requests, window_s)
-    out = remembered(base(rows, window_s), before)
-    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in KEY]
-    for side in (item_counts(keyed_, window_s), chain_depth(keyed_)):
-        more = [c for c in side.columns if c not in KEY]
-        out = out.alias("l").join(side.alias("r"), on, "left").select("l.*", *[F.coalesce(f"r.{c}", F.lit(0.0)).alias(c) for c in more])
+    counts = paths_by_key(keyed_)
+    out = base(ordered(keyed_, window_s), window_s)
+    for side in (path_sums(counts, profile), token_entropy(counts), chain_depth(keyed_)):
+        on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in KEY]
+        out = out.alias("l").join(side.alias("r"), on, "left").select("l.*", *[f"r.{c}" for c in side.columns if c not in KEY])
+    out = out.fillna(0.0, ["web_path_token_entropy", "bot_referrer_chain_depth"])
+    out = remembered(with_path_features(out, window_s), before)
     out = with_ua_rarity(out, profile)
     robots = family_robots(keyed_)
     if robots_before is not None:

@@ -7,7 +7,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -19,6 +18,8 @@ TREES, PSI, SEED = 200, 256, 7
 #: Neighbours, rows of a block, and queries that are compared with a block at once.
 LOF_K, LOF_BLOCK, LOF_STEP = 20, 4096, 256
 LEAST_MINORITY, FOLDS = 15, 3
+#: The mixture: rows that it starts from, rounds at most, least gain of a round in log likelihood a row, least variance.
+START, ROUNDS, TOLERANCE, LEAST_VARIANCE = 2048, 100, 1e-3, 1e-4
 
 
 # Isolation forest: each tree isolates a sample of PSI rows by random cuts; what is isolated early is anomalous.
@@ -164,45 +165,129 @@ def lof_scores(rows: DataFrame, features: list[str], k: int | None = None, refer
 # Mixture of behaviours, each with its share of declared bots.
 
 
-def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep").transform(rows)
+def log_parts(x: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log of weight times density of each row under each part of a mixture with diagonal covariances."""
+    weights, means, spread = parts
+    far = ((x[:, None, :] - means[None]) ** 2 / spread[None]).sum(axis=2)
+    return np.log(weights)[None] - 0.5 * (far + np.log(2 * math.pi * spread).sum(axis=1)[None])
+
+
+def shared_out(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Responsibilities of the parts for each row, and the row's log likelihood."""
+    top = logs.max(axis=1, keepdims=True)
+    raised = np.exp(logs - top)
+    total = raised.sum(axis=1, keepdims=True)
+    return raised / total, (top + np.log(total))[:, 0]
+
+
+def moments(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """A row a part: its weight, and the weighted sums of the features and of their squares."""
+    return np.column_stack([by.sum(axis=0), by.T @ x, by.T @ (x * x)])
+
+
+def parts_of(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and variances from moments."""
+    width, mass = (sums.shape[1] - 1) // 2, sums[:, :1] + 1e-12
+    means = sums[:, 1 : 1 + width] / mass
+    return mass[:, 0] / mass.sum(), means, np.maximum(sums[:, 1 + width :] / mass - means**2, 0.0) + LEAST_VARIANCE
+
+
+def first_parts(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the rounds over all rows begin: k means of a sample, each drawn far from those before."""
+    centres = x[[rng.integers(len(x))]]
+    for _ in range(k - 1):
+        d = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+        centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum()) if d.sum() else rng.integers(len(x))]])
+    for _ in range(10):
+        own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([x[own == i].mean(axis=0) if (own == i).any() else centres[i] for i in range(k)])
+    return parts_of(moments(x, np.eye(k)[own]))
 
 
 class BotMixture:
-    """Likeness to bots: responsibilities of the mixture's parts, weighted by the share of declared bots in each."""
+    """Likeness to bots: responsibilities of the mixture's parts, weighted by the share of declared bots in each.
+
+    ``shape`` holds the features' means and deviations; ``parts`` the weights, means and variances of the parts (diagonal covariances).
+    """
 
-    def __init__(self, model, shares: list[float], features: list[str]):
-        self.model, self.shares, self.features = model, shares, features
+    def __init__(self, features: list[str], shape: list, parts: list, shares: list[float]):
+        self.features, self.shares = list(features), list(shares)
+        self.shape, self.parts = tuple(np.array(v, dtype=float) for v in shape), tuple(np.array(v, dtype=float) for v in parts)
 
     @classmethod
     def fit(cls, rows: DataFrame, features: list[str], label: str = "bot_declared_bot", most: int = 8, seed: int = SEED) -> "BotMixture":
-        """The number of parts is the one of least BIC."""
-        data = assembled(rows, features).select("_x", F.col(label).cast("double").alias("y")).cache()
-        n, d, best = data.count(), len(features), None
-        for k in range(1, max(2, min(most, max(1, n // 10)) + 1)):
-            if k == 1:
-                continue
-            model = GaussianMixture(featuresCol="_x", probabilityCol="_p", predictionCol="_c", k=k, seed=seed, maxIter=50).fit(data)
-            bic = -2 * model.summary.logLikelihood + (k - 1 + k * d + k * d * (d + 1) / 2) * math.log(max(2, n))
-            if best is None or bic < best[0]:
-                best = (bic, model)
-        if best is None:
-            best = (0.0, GaussianMixture(featuresCol="_x", probabilityCol="_p", predictionCol="_c", k=2, seed=seed, maxIter=50).fit(data))
-        model, k = best[1], best[1].getK()
-        p = vector_to_array("_p")
-        sums = model.transform(data).agg(*[F.sum(p[i]).alias(f"w{i}") for i in range(k)], *[F.sum(p[i] * F.col("y")).alias(f"b{i}") for i in range(k)]).first()
+        """The number of parts, 1 to ``most``, is the one of least BIC.
+
+        All numbers of parts are fitted at once: each round is one pass over the rows, from which a task returns sums of fixed
+        size. Rounds begin at means of START rows with the least hashes; they and all that follows them see all rows.
+        """
+        width = len(features)
+        data = rows.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("y")).persist()
+        told = data.agg(F.count("*").alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(width)], *[F.stddev_pop(F.col("x")[i]).alias(f"d{i}") for i in range(width)]).first()
+        if not told.n:
+            data.unpersist()
+            raise ValueError("a mixture needs rows")
+        shape = np.array([told[f"m{i}"] for i in range(width)]), np.array([told[f"d{i}"] for i in range(width)]) + 1e-9
+        start = (np.array([r.x for r in data.orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(START).select("x").collect()]) - shape[0]) / shape[1]
+        found = {k: first_parts(start, k, np.random.default_rng([seed, k])) for k in range(1, max(1, min(most, told.n // 10)) + 1)}
+
+        def sums(models: dict[int, tuple]) -> dict[int, tuple[float, np.ndarray]]:
+            """By number of parts: log likelihood, and for each part its moments and its mass of declared bots."""
+
+            def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held = dict.fromkeys(models, 0.0)
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    x = (np.asarray(b.column(0).flatten(), dtype=float).reshape(-1, width) - shape[0]) / shape[1]
+                    y = np.asarray(b.column(1), dtype=float)
+                    for k, m in models.items():
+                        by, likely = shared_out(log_parts(x, m))
+                        held[k] = held[k] + np.append(np.column_stack([moments(x, by), by.T @ y]).ravel(), likely.sum())
+                for k, v in held.items():
+                    if not np.isscalar(v):
+                        yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), pa.int32()), pa.array(range(len(v)), pa.int32()), pa.array(v)], names=["k", "at", "v"])
+
+            out: dict[int, np.ndarray] = {k: np.zeros(k * (2 * width + 2) + 1) for k in models}
+            for r in data.mapInArrow(step, "k int, at int, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect():  # a fixed number
+                out[r.k][r.at] = r.v
+            return {k: (v[-1], v[:-1].reshape(k, -1)) for k, v in out.items()}
+
+        open_, last, done = dict(found), {}, {}
+        for turn in range(ROUNDS + 1):
+            for k, (likely, got) in sums(open_).items():
+                if turn == ROUNDS or (k in last and abs(likely - last[k]) / told.n < TOLERANCE):
+                    done[k] = (likely, found[k], got)
+                    del open_[k]
+                else:
+                    last[k], found[k] = likely, parts_of(got[:, :-1])
+                    open_[k] = found[k]
+            if not open_:
+                break
         data.unpersist()
-        return cls(model, [float(sums[f"b{i}"] / sums[f"w{i}"]) if sums[f"w{i}"] else 0.0 for i in range(k)], list(features))
+        bic = {k: -2 * d[0] + (k - 1 + 2 * k * width) * math.log(told.n) for k, d in done.items()}
+        _, parts, got = done[min(bic, key=lambda k: (bic[k], k))]
+        return cls(features, shape, parts, [float(b / w) if w > 0 else 0.0 for w, b in got[:, [0, -1]]])
 
     def score(self, rows: DataFrame, out: str = "gmm") -> DataFrame:
-        p = vector_to_array("_p")
-        likeness = sum([p[i] * s for i, s in enumerate(self.shares)], F.lit(0.0))
-        return self.model.transform(assembled(rows, self.features)).withColumn(out, likeness).drop("_x", "_p", "_c")
+        shape, parts, shares = self.shape, self.parts, np.array(self.shares)
+
+        @pandas_udf("double")
+        def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            for columns in batches:
+                x = (np.column_stack([c.to_numpy(float) for c in columns]) - shape[0]) / shape[1]
+                yield pd.Series(shared_out(log_parts(x, parts))[0] @ shares)
+
+        return rows.withColumn(out, apply(*[F.col(c).cast("double") for c in self.features]))
 
 
 # Boosted trees for P(declares itself a bot | behaviour), made a probability by isotonic regression on scores out of fold.
 
 
+def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep").transform(rows)
+
+
 class BotTrees:
     def __init__(self, model, isotonic, constant: float | None, features: list[str]):
         self.model, self.isotonic, self.constant, self.features = model, isotonic, constant, features

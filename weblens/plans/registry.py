@@ -7,7 +7,6 @@ from datetime import datetime, timezone
 
 import numpy as np
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.clustering import GaussianMixtureModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +39,7 @@ def save(bundle: Bundle, folder: str) -> None:
             spark.createDataFrame(trees, "tree int, nodes binary").coalesce(1).write.parquet(f"{folder}/{name}")
             told[name] = {"features": m.features, "psi": m.psi}
         elif isinstance(m, BotMixture):
-            m.model.write().save(f"{folder}/{name}")
-            told[name] = {"features": m.features, "shares": m.shares}
+            told[name] = {"features": m.features, "shape": [v.tolist() for v in m.shape], "parts": [v.tolist() for v in m.parts], "shares": m.shares}
         else:
             told[name] = {"features": m.features, "constant": m.constant, "isotonic": m.isotonic is not None}
             if m.model is not None:
@@ -60,7 +58,7 @@ def load(spark: SparkSession, folder: str) -> Bundle:
             trees = sorted((r.tree, bytes(r.nodes)) for r in spark.read.parquet(f"{folder}/{name}").collect())  # a fixed number
             models[name] = IsolationForest(m["features"], [np.frombuffer(t).reshape(-1, 5) for _, t in trees], m["psi"])
         elif "shares" in m:
-            models[name] = BotMixture(GaussianMixtureModel.load(f"{folder}/{name}"), m["shares"], m["features"])
+            models[name] = BotMixture(m["features"], m["shape"], m["parts"], m["shares"])
         else:
             trees = GBTClassificationModel.load(f"{folder}/{name}") if m["constant"] is None else None
             models[name] = BotTrees(trees, IsotonicRegressionModel.load(f"{folder}/{name}_isotonic") if m["isotonic"] else None, m["constant"], m["features"])
