@@ -1,5 +1,6 @@
 """Scalar expressions over request columns. All of them are built-in functions, so they stay in generated code."""
 
+import json
 from ipaddress import ip_network
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,8 +97,8 @@ def ipv6_prefix(ip: Column, groups: int) -> Column:
     return F.when(known & (~short | F.contains(ip, F.lit("::"))), F.array_join(zeros, ""))
 
 
-def crawler_ranges(spark: SparkSession) -> DataFrame:
-    """(family, lo, hi, prefix): published ranges; version 6 ones as a prefix of three groups. A table of fixed size."""
+def range_rows() -> list[tuple[str, int | None, int | None, str | None]]:
+    """(family, lo, hi, prefix) of the published ranges; version 6 ones as a prefix of three groups."""
     rows = []
     for family, text in fixed.CRAWLER_RANGES.items():
         for block in map(ip_network, text.split()):
@@ -105,19 +106,24 @@ def crawler_ranges(spark: SparkSession) -> DataFrame:
                 rows.append((family, int(block.network_address), int(block.broadcast_address), None))
             else:
                 rows.append((family, None, None, block.network_address.exploded.replace(":", "")[: block.prefixlen // 4]))
-    return spark.createDataFrame(rows, "family string, lo long, hi long, prefix string")
+    return rows
+
+
+def crawler_ranges(spark: SparkSession) -> DataFrame:
+    """The published ranges as a table of fixed size."""
+    return spark.createDataFrame(range_rows(), "family string, lo long, hi long, prefix string")
 
 
 def in_family(ip: Column, family: Column) -> Column:
-    """Whether an address lies in a range of a crawler family: one comparison for each published range."""
-    out = F.lit(False)
-    number, head = ipv4(ip), ipv6_prefix(ip, 3)
-    for name, text in fixed.CRAWLER_RANGES.items():
-        hit = F.lit(False)
-        for block in map(ip_network, text.split()):
-            hit = hit | (number.between(int(block.network_address), int(block.broadcast_address)) if block.version == 4 else head == block.network_address.exploded.replace(":", "")[: block.prefixlen // 4])
-        out = F.when(family == name, hit).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+    """Whether an address lies in a published range of a crawler family.
+
+    An address is read once, and only for clients that claim a family: it is bound as the one item of an array, and compared
+    with a literal list of ranges, so that the plan holds the expressions of address and family once.
+    """
+    asked = F.array(F.struct(family.alias("family"), ipv4(ip).alias("number"), ipv6_prefix(ip, 3).alias("prefix")))
+    ranges = F.from_json(F.lit(json.dumps([dict(zip(("family", "lo", "hi", "prefix"), r, strict=True)) for r in range_rows()])), "array<struct<family: string, lo: long, hi: long, prefix: string>>")
+    inside = lambda a, r: (a["family"] == r["family"]) & (a["number"].between(r["lo"], r["hi"]) | (a["prefix"] == r["prefix"]))
+    return F.coalesce(F.when(family.isNotNull(), F.exists(asked, lambda a: F.exists(ranges, lambda r: inside(a, r)))), F.lit(False))
 
 
 def verified_crawler(ip: Column, ua: Column) -> Column:

@@ -18,6 +18,7 @@ from weblens.operators.profile import Profile, with_path_idf, with_ua_rarity, wi
 
 ENTITY = ["server", "source_ip", "ua_hash"]
 KEY = [*ENTITY, "bucket"]
+HOURS = range(24)
 
 
 def keyed(requests: DataFrame, window_s: int = fixed.WINDOW_S) -> DataFrame:
@@ -133,7 +134,6 @@ def base(requests: DataFrame, window_s: int) -> DataFrame:
     """One aggregate by key over ordered requests."""
     n, status = F.count("*"), F.col("status_code")
     size = F.when(F.col("bytes_place") <= fixed.MAX_BYTES, F.col("body_bytes"))
-    hours = [F.count_if(F.hour("ts") == h).alias(f"h{h}") for h in range(24)]
     return requests.groupBy(*KEY).agg(
         n.alias("event_count"), F.count_if(status == 404).alias("n404"),
         ratio(F.count_if(status == 404), n).alias("web_ratio_404"),
@@ -146,7 +146,7 @@ def base(requests: DataFrame, window_s: int) -> DataFrame:
         F.coalesce(F.percentile(size, F.lit(0.5)), F.lit(0.0)).alias("bot_bytes_per_req_p50"),
         F.max(F.coalesce(F.col("url_path") == "/robots.txt", F.lit(False))).alias("robots"),
         F.array_sort(F.collect_list(F.when(F.col("from_end") <= fixed.MAX_RAW, F.struct("us", "event_id", "original")))).alias("raw"),
-        *hours,
+        *[F.expr(f"count_if(hour(ts) = {h}) as h{h}") for h in HOURS],
     )
 
 
@@ -161,12 +161,12 @@ def with_path_features(windows: DataFrame, window_s: int) -> DataFrame:
     return out.drop("paths", "idf_sum", "unknown", "assets")
 
 
-def hour_entropy(seen: list[Column]) -> Column:
+def hour_entropy(seen: list[str]) -> Column:
     """Entropy of activity over the hours of a day by log2 24; 0 of one event or one hour."""
-    total = sum(seen[1:], seen[0]).cast("double")
-    kinds = sum([F.when(c > 0, 1).otherwise(0) for c in seen[1:]], F.when(seen[0] > 0, 1).otherwise(0))
-    weighted = sum([F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0) for c in seen[1:]], F.when(seen[0] > 0, seen[0] * F.log2(seen[0].cast("double"))).otherwise(0.0))
-    return F.when((total > 1) & (kinds > 1), (F.log2(total) - weighted / total) / F.log2(F.lit(24.0))).otherwise(0.0)
+    total = f"cast({' + '.join(seen)} as double)"
+    kinds = " + ".join(f"if({c} > 0, 1, 0)" for c in seen)
+    weighted = " + ".join(f"if({c} > 0, {c} * log2({c}), 0d)" for c in seen)
+    return F.expr(f"case when {total} > 1 and {kinds} > 1 then (log2({total}) - ({weighted}) / {total}) / log2(24d) else 0d end")
 
 
 def remembered(windows: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -174,19 +174,19 @@ def remembered(windows: DataFrame, before: DataFrame | None = None) -> DataFrame
 
     ``before`` (ENTITY, b0..b23, ever_before) is what clients have shown before these windows.
     """
-    w = Window.partitionBy(*ENTITY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = windows.withColumns({f"s{h}": F.sum(f"h{h}").over(w) for h in range(24)} | {"ever": F.max("robots").over(w)})
+    w = f"over (partition by {', '.join(ENTITY)} order by bucket rows unbounded preceding)"
+    seen = windows.select("*", *[F.expr(f"sum(h{h}) {w} as s{h}") for h in HOURS], F.expr(f"max(robots) {w} as ever"))
     if before is not None:
-        seen = seen.join(before, ENTITY, "left").withColumns({f"s{h}": F.col(f"s{h}") + F.coalesce(f"b{h}", F.lit(0)) for h in range(24)} | {"ever": F.col("ever") | F.coalesce("ever_before", F.lit(False))})
-        seen = seen.drop("ever_before", *[f"b{h}" for h in range(24)])
-    out = seen.withColumn("bot_activity_hour_entropy", hour_entropy([F.col(f"s{h}") for h in range(24)])).withColumn("bot_robots_txt_fetched", F.col("ever").cast("double"))
-    return out.drop("ever", "robots", *[f"{a}{h}" for a in "sh" for h in range(24)])
+        seen = seen.join(before, ENTITY, "left").withColumns({f"s{h}": F.expr(f"s{h} + coalesce(b{h}, 0)") for h in HOURS} | {"ever": F.expr("ever or coalesce(ever_before, false)")})
+        seen = seen.drop("ever_before", *[f"b{h}" for h in HOURS])
+    out = seen.withColumns({"bot_activity_hour_entropy": hour_entropy([f"s{h}" for h in HOURS]), "bot_robots_txt_fetched": F.col("ever").cast("double")})
+    return out.drop("ever", "robots", *[f"{a}{h}" for a in "sh" for h in HOURS])
 
 
 def activity(requests: DataFrame) -> DataFrame:
     """(ENTITY, b0..b23, ever_before): what clients have shown in these requests."""
     robots = F.max(F.coalesce(F.col("url_path") == "/robots.txt", F.lit(False))).alias("ever_before")
-    return keyed(requests).groupBy(*ENTITY).agg(*[F.count_if(F.hour("ts") == h).alias(f"b{h}") for h in range(24)], robots)
+    return keyed(requests).groupBy(*ENTITY).agg(*[F.expr(f"count_if(hour(ts) = {h}) as b{h}") for h in HOURS], robots)
 
 
 def window_features(requests: DataFrame, profile: Profile, window_s: int = fixed.WINDOW_S, before: DataFrame | None = None, robots_before: DataFrame | None = None) -> DataFrame:
