@@ -17,6 +17,7 @@ from weblens.llm.near_vectors import near_vectors
 from weblens.llm.oracles import SQL
 from weblens.llm.packing import pack
 from weblens.llm.periodic import periodic_runs
+from weblens.llm.prefix_trie import prefix_trie
 from weblens.llm.quality import quality
 from weblens.llm.secrets import secret_scan
 from weblens.llm.top_k import top_k
@@ -91,9 +92,13 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(slim, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = (
     op1_ngram_jaccard_join, op2_neighbour_quality, op3_secret_ownership, op4_segment_toxicity, op5_grid_order_near_dedup, op6_license_paragraphs, op7_pareto_mixing,
-    op8_pivot_top_k, op9_best_fit_packing, op10_transcript_turns, op11_periodic_runs, op12_byte_bpe,
+    op8_pivot_top_k, op9_best_fit_packing, op10_transcript_turns, op11_periodic_runs, op12_byte_bpe, op13_prefix_trie,
 )
 
 
