@@ -39,4 +39,45 @@ r as (select query_id, row_number() over (partition by query_id order by score d
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
-SQL = {"op1_ngram_jaccard_join": OP1, "op5_grid_order_near_dedup": OP5, "op8_pivot_top_k": OP8}
+
+
+def crc(text: str) -> str:
+    """The unsigned crc32 of a string of ASCII characters, bit by bit."""
+    byte = "list_reduce(list_concat([xor(acc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    codes = f"list_transform(range(1, len({text}) + 1), lambda i: ascii(({text})[i])::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295]::bigint[], {codes}), lambda acc, b: {byte}), 4294967295)"
+
+
+OP11 = f"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') as w, {crc("doc_id::varchar")} as h from documents),
+g as (select doc_id, w, len(w) as n, h, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from d),
+p as (select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from g),
+v as (select doc_id, n, case when a is null then w else list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) end as w from p),
+e as (select doc_id, n, unnest(w) as x, unnest(range(0, n)) as i from v),
+same as (select l.doc_id, r.i - l.i as q, l.i from e l join e r on l.doc_id = r.doc_id and l.x = r.x and r.i > l.i and 4 * (r.i - l.i) <= l.n),
+isles as (select *, i - row_number() over (partition by doc_id, q order by i) as isle from same),
+reps as (select doc_id, q, min(i) as s, count(*) + q as l from isles group by doc_id, q, isle having count(*) + q >= greatest(6, 4 * q)),
+runs as (select doc_id, s, l, min(q) as q from reps group by doc_id, s, l),
+best as (select doc_id, count(*) as n_runs, max({{'l': l, 's': -s, 'q': -q}}) as b, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as t from runs group by doc_id),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) as i from runs),
+kept as (select doc_id, string_agg(x, ' ' order by i) as t from e anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, -b.s as start, b.l as length, -b.q as period, (1000 * b.l // -b.q)::bigint as exponent_milli,
+  sha256(coalesce(best.t, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256
+from d left join best using (doc_id) left join kept using (doc_id)
+"""
+
+OP13 = f"""
+with c as (
+  select conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} order by turn nulls first, role, text) as p, {crc("any_value(conv_id)::varchar")} % 4 as h from conversations where conv_id is not null group by conv_id
+),
+r as (select c.conv_id, list_concat(list_slice(coalesce(f.p, []), 1, c.h), list_slice(c.p, c.h + 1, len(c.p))) as p from c left join c f on f.conv_id = c.conv_id - (c.conv_id % 20 + 20) % 20),
+m as (select conv_id, p, unnest(range(0, len(p) + 1)) as d from r),
+n as (select list_slice(p, 1, d) as p, d, min(conv_id) as conv_id, count(*) as n_convs, string_agg(conv_id::varchar, ',' order by conv_id) filter (len(p) = d) as ends from m group by all),
+kids as (select list_slice(p, 1, d - 1) as p, count(*) as k from n where d > 0 group by 1),
+own as (select n.*, coalesce(k, 0) as k, (n_convs - 1) * case when d = 0 then 0 else len(list_filter(regexp_split_to_array(p[d].t, '[ \\x09-\\x0D]+'), lambda x: x <> '')) end as s from n left join kids using (p)),
+sums as (select list_slice(p, 1, a) as p, sum((k = 0)::int) as l, sum(s) as s from (select *, unnest(range(0, d + 1)) as a from own) group by 1)
+select own.conv_id, own.d as depth, up.conv_id as parent_conv_id, own.n_convs, own.k as n_children, sums.l::bigint as n_leaves, sums.s::bigint as saved_tokens, sha256(coalesce(own.ends, '')) as ends_sha256
+from own join sums using (p) left join n up on own.d > 0 and up.p = list_slice(own.p, 1, own.d - 1)
+"""
+
+SQL = {"op1_ngram_jaccard_join": OP1, "op5_grid_order_near_dedup": OP5, "op8_pivot_top_k": OP8, "op11_periodic_runs": OP11, "op13_prefix_trie": OP13}
