@@ -62,6 +62,30 @@ def test_held_out_accuracy_and_edges(spark, kind):
     assert sorted(map(str, got)) == sorted(map(str, run(docs.repartition(3), labels, held).collect()))
 
 
+def test_neighbours_and_votes_equal_brute_force():
+    """All cosines by hand, sorted; blocks of any size give the same scores, and equal cosines go by the sample's order."""
+    rng = np.random.default_rng(3)
+    size = quality.WORDS + quality.SURFACES
+    axes = np.linalg.qr(rng.standard_normal((size, quality.WIDTH)))[0]
+    vectors = rng.standard_normal((900, quality.WIDTH))
+    vectors[1::3] = vectors[::3] + 1e-9 * rng.standard_normal((300, quality.WIDTH))
+    vectors[2::3] = vectors[::3]
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    labels = rng.integers(0, 2, 900).astype(float)
+    model = quality.Model(rng.random(size) + 0.1, axes, vectors, labels, 0.4)
+    rows = [(np.sort(rng.choice(size, n, replace=False)), rng.integers(1, 5, n)) for n in (0, 1, 3, 50, 400) * 8]
+    got = model.votes(rows)
+    for (at, n), score in zip(rows, got, strict=True):
+        own = np.zeros(quality.WIDTH) if not len(at) else quality.weighted(at, n, model.idf) @ axes[at]
+        own /= np.linalg.norm(own) or 1
+        cosines = [float(np.dot(own, v)) for v in vectors]
+        near = sorted(range(900), key=lambda i: (-round(cosines[i], 15), i))[: quality.NEAREST]
+        weights = [max(cosines[i], 0) ** quality.POWER for i in near]
+        assert abs(score - (sum(w * labels[i] for w, i in zip(weights, near, strict=True)) + 4e-4) / (sum(weights) + 1e-3)) < 1e-9
+    for step in (1, 7):
+        assert np.concatenate([model.votes(rows[i : i + step]) for i in range(0, len(rows), step)]).tolist() == got.tolist()
+
+
 def test_passages(spark):
     docs, labels, _ = corpus(spark)
     text = "abel " * 100 + "vulgos vulgone vulgoem " + "abel " * 100

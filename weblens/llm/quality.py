@@ -5,8 +5,9 @@ and whether a token repeats the one before). Both fall into tables of fixed size
 document frequencies over the whole corpus, and each kind is brought to its share of the length, so that long texts do not
 drown their surface. Latent axes are the leading right singular vectors of a bounded sample of labelled rows, found by
 subspace iteration over the sample's rows in tasks. The sample's projected and normalised vectors are broadcast: their
-number and width are fixed. Every document is compared with all of them, block by block, by exact cosines, and the
-nearest ones vote, weighted by a power of their similarity.
+number and width are fixed. Every document is compared with all of them, block by block: products in single precision name
+all that may be among the nearest, whose cosines are then computed in double precision, so that blocks don't change a score.
+The nearest ones vote, weighted by a power of their similarity; equal cosines go by the order of the sample's vectors.
 
 Null and empty texts, and texts that share nothing with the sample, get the sample's share of label 1. One row comes out for
 each row that goes in. Without labels that share is 0.
@@ -32,8 +33,8 @@ SAMPLE, WIDTH, ROUNDS = 6000, 64, 3
 SAMPLE_TASKS = 8
 #: Voting neighbours and the power of their similarity.
 NEAREST, POWER = 24, 4
-#: Documents in a block of cosines.
-BLOCK = 256
+#: Documents in a block of cosines, and a bound of what single precision may get wrong in one.
+BLOCK, DOUBT = 256, 2e-5
 
 
 def hashed(term: str, size: int) -> int:
@@ -102,7 +103,7 @@ class Model:
     share: float
 
     def projected(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        out = np.zeros((len(rows), self.axes.shape[1]), dtype=np.float32)
+        out = np.zeros((len(rows), self.axes.shape[1]))
         for i, (at, n) in enumerate(rows):
             if len(at):
                 v = weighted(at, n, self.idf) @ self.axes[at]
@@ -110,17 +111,27 @@ class Model:
                 out[i] = v / length if length > 1e-9 else 0
         return out
 
+    def nearest(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in the sample, cosine) of the nearest of each row, the nearest first."""
+        k = min(NEAREST, len(self.labels))
+        about = own.astype(np.float32) @ self.vectors.astype(np.float32).T
+        edge = np.partition(about, -k, axis=1)[:, -k]
+        row, at = np.nonzero(about >= edge[:, None] - np.float32(DOUBT))
+        cosine = np.einsum("ij,ij->i", own[row], self.vectors[at])
+        order = np.lexsort((at, -cosine, row))
+        row, at, cosine = row[order], at[order], cosine[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[first], at[first], cosine[first]
+
     def votes(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """The share of label 1 among the nearest, weighted by similarity."""
         if not len(self.labels):
             return np.full(len(rows), self.share)
-        cosines = self.projected(rows) @ self.vectors.T
-        k = min(NEAREST, len(self.labels))
-        near = np.argpartition(cosines, -k, axis=1)[:, -k:]
-        weights = np.maximum(np.take_along_axis(cosines, near, axis=1).astype(np.float64), 0) ** POWER
-        total = weights.sum(axis=1)
+        row, at, cosine = self.nearest(self.projected(rows))
+        weights = np.maximum(cosine, 0) ** POWER
+        total, ones = (np.bincount(row, weights=w, minlength=len(rows)) for w in (weights, weights * self.labels[at]))
         # A thousandth of a full vote for the sample's share settles the case of no similarity.
-        return ((weights * self.labels[near]).sum(axis=1) + 1e-3 * self.share) / (total + 1e-3)
+        return (ones + 1e-3 * self.share) / (total + 1e-3)
 
 
 def axes(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
@@ -163,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most:
     # Texts that are alike to the letter are one neighbour.
     rows = sample(docs, labels, label, held_out, most).dropDuplicates(["text", "label"]).coalesce(SAMPLE_TASKS)
     rows = keep(rows.mapInArrow(read, "label int, at array<long>, n array<long>"))
-    model = Model(idf, axes(rows, idf).astype(np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0), 0.0)
+    model = Model(idf, axes(rows, idf), np.zeros((0, WIDTH)), np.zeros(0), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most:
 
     got = sorted((r.vector, r.label) for r in rows.mapInArrow(project, "label int, vector binary").collect())  # no more rows than the sample
     if got:
-        model.vectors = np.stack([np.frombuffer(bytes(v), dtype=np.float32) for v, _ in got])
+        model.vectors = np.stack([np.frombuffer(bytes(v)) for v, _ in got])
         model.labels = np.array([float(y) for _, y in got])
         model.share = float(model.labels.mean())
     return model
