@@ -5,12 +5,19 @@ from pyspark.sql import functions as F
 
 from weblens.functions import fixed
 from weblens.functions.expressions import drift_band
+from weblens.operators.quantiles import quantiles
 
 
 def edges(reference: DataFrame, bins: int = fixed.PSI_BINS) -> DataFrame:
     """(feature, edges, ref_n): distinct inner and outer edges of even shares of rows (feature, value)."""
-    q = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return reference.groupBy("feature").agg(F.array_distinct(F.percentile("value", q)).alias("edges"), F.count("*").alias("ref_n"))
+    got = at_even_shares(reference, bins)
+    numbers = reference.groupBy("feature").agg(F.count("*").alias("ref_n"))
+    named = reference.sparkSession.createDataFrame(sorted(got.items()), "feature string, edges array<double>")
+    return numbers.join(named, "feature", "left").select("feature", F.array_distinct(F.coalesce("edges", F.array().cast("array<double>"))).alias("edges"), "ref_n")
+
+
+def at_even_shares(reference: DataFrame, bins: int) -> dict[str, list[float]]:
+    return quantiles(reference, [i / bins for i in range(bins + 1)])
 
 
 def stability(reference: DataFrame, current: DataFrame, bins: int = fixed.PSI_BINS) -> DataFrame:

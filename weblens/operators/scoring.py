@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import fixed
+from weblens.operators.quantiles import long_of, quantiles
+from weblens.operators.sessions import in_order
 
 #: Buckets of scores, counted to find a rank.
 BUCKETS = 4096
@@ -14,20 +16,21 @@ BUCKETS = 4096
 
 def feature_stats(long: DataFrame) -> DataFrame:
     """(feature, p50, p99) of rows (feature, value), by linear interpolation."""
-    q = long.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.5), F.lit(0.99))).alias("q"))
-    return q.select("feature", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p99"))
+    got = quantiles(long, [0.5, 0.99])
+    return long.sparkSession.createDataFrame([(f, *q) for f, q in sorted(got.items())], "feature string, p50 double, p99 double")
 
 
 def clip_bounds(long: DataFrame, q: float = fixed.CLIP_Q) -> DataFrame:
     """(feature, bound): an upper bound of each feature that is not a flag."""
-    got = long.groupBy("feature").agg(F.percentile("value", F.lit(q)).alias("bound"), F.bool_and(F.col("value").isin(0.0, 1.0)).alias("flag"))
-    return got.where("not flag").select("feature", "bound")
+    flags = {r.feature for r in long.groupBy("feature").agg(F.bool_and(F.col("value").isin(0.0, 1.0)).alias("flag")).where("flag").collect()}  # a row a feature
+    got = quantiles(long, [q])
+    return long.sparkSession.createDataFrame([(f, b) for f, (b,) in sorted(got.items()) if f not in flags], "feature string, bound double")
 
 
 def clipped(vectors: DataFrame, features: tuple[str, ...], q: float = fixed.CLIP_Q) -> DataFrame:
     """Vectors with each feature cut at its bound; flags stay, so that a rare label is not lost."""
-    bounds = vectors.agg(*[F.when(F.bool_and(F.col(c).isin(0.0, 1.0)), None).otherwise(F.percentile(c, F.lit(q))).alias(c) for c in features]).first()
-    return vectors.withColumns({c: F.least(F.col(c), F.lit(bounds[c])) for c in features if bounds[c] is not None})
+    bounds = {r.feature: r.bound for r in clip_bounds(long_of(vectors, list(features)), q).collect()}  # a row a feature
+    return vectors.withColumns({c: F.least(F.col(c), F.lit(bounds[c])) for c in features if c in bounds})
 
 
 def zscores(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -69,8 +72,9 @@ def without_most_anomalous(rows: DataFrame, score: str, share: float = fixed.DRO
 
 
 def grid(rows: DataFrame, score: str) -> DataFrame:
-    """One row: ``grid``, the scores at 1001 even shares of the population."""
-    return rows.agg(F.percentile(score, F.array(*[F.lit(i / (fixed.GRID - 1)) for i in range(fixed.GRID)])).alias("grid"))
+    """One row: ``grid``, the scores at 1001 even shares of the population; null without scores."""
+    got = quantiles(long_of(rows, [score]), [i / (fixed.GRID - 1) for i in range(fixed.GRID)])
+    return rows.sparkSession.createDataFrame([(got.get(score),)], "grid array<double>")
 
 
 def percentile_of(raw: Column, grid_: Column) -> Column:
@@ -97,19 +101,10 @@ def calibration_rows(rows: DataFrame, least: int = fixed.LEAST_WINDOWS) -> DataF
 
 
 def reference_sample(rows: DataFrame, order: list[str], cap: int = fixed.REFERENCE_CAP) -> DataFrame:
-    """Every step-th row in order, ``cap`` at most."""
-    n = rows.count()
-    step = max(1, n // cap)
-    if step == 1:
-        return rows.orderBy(*order).limit(cap)
-    # Even spacing over the order: rows are numbered by sorted ranges, whose sizes are summed on the driver.
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
-    sizes = sorted((r["_p"], r["count"]) for r in spread.groupBy("_p").count().collect())  # a row a partition
-    before, starts = 0, {}
-    for p, c in sizes:
-        starts[p], before = before, before + c
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("_p"))
-    return spread.where((start + F.col("_i")) % step == 0).drop("_p", "_i").limit(cap)
+    """Every step-th row in order, ``cap`` at most; rows that tie are any of them."""
+    step = max(1, rows.count() // cap)
+    placed = in_order(rows, order, "_place")
+    return placed.where(((F.col("_place") - 1) % step == 0) & (F.col("_place") <= step * cap)).drop("_place")
 
 
 def ranked(rows: DataFrame, by: list[str], order: list, out: str = "place") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from weblens.functions import expressions as X
 from weblens.functions import fixed
 from weblens.operators.features import cv, keyed, ratio
+from weblens.operators.quantiles import long_of, quantiles, steps
 
 ENTITY = ["server", "source_ip", "ua_hash"]
 
@@ -46,10 +47,13 @@ def session_features(rows: DataFrame, by: list[str] = ENTITY) -> DataFrame:
 def session_report(features: DataFrame) -> DataFrame:
     """One row: sessions, median, 95 % and greatest values, the 5 % value of the gaps' CV, and the share of sessions of one
     request. The p-th value is the first that at least p of the sessions do not exceed."""
+    names = ("event_count", "duration_s", "unique_paths")
+    middle, steep = quantiles(long_of(features, [*names]), [0.5]), steps(long_of(features, [*names, "cv_inter_arrival"]), [0.05, 0.95])
+    value = lambda got, name, i: F.lit(got[name][i] if name in got else None).cast("double")
     out = [F.count("*").alias("sessions")]
-    for name in ("event_count", "duration_s", "unique_paths"):
-        out += [F.median(name).alias(f"{name}_p50"), F.expr(f"percentile_disc(0.95) within group (order by {name})").alias(f"{name}_p95"), F.max(name).alias(f"{name}_max")]
-    out.append(F.expr("percentile_disc(0.05) within group (order by cv_inter_arrival)").alias("cv_p05"))
+    for name in names:
+        out += [value(middle, name, 0).alias(f"{name}_p50"), value(steep, name, 1).alias(f"{name}_p95"), F.max(name).alias(f"{name}_max")]
+    out.append(value(steep, "cv_inter_arrival", 0).alias("cv_p05"))
     return features.agg(*out, ratio(F.count_if(F.col("event_count") == 1), F.count("*")).alias("single_event_share"))
 
 
