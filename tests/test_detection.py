@@ -92,7 +92,8 @@ def test_bot_models_and_their_ladder(spark):
     assert models.BotTrees.fit(data.where("bot_declared_bot = 0"), ["a", "b"]).score(data).first().gbm_bot == 0.0
     likeness = models.BotMixture.fit(data, ["a", "b"], most=3).score(data)
     assert likeness.where("gmm < -0.001 or gmm > 1.001").count() == 0
-    assert plugins.available({"gbm": models.BotTrees, "clusters": models.CrawlerClusters}) == {"gbm": models.BotTrees}
+    absent = type("Absent", (), {"available": staticmethod(lambda: False)})
+    assert plugins.available({"gbm": models.BotTrees, "clusters": models.CrawlerClusters, "absent": absent}) == {"gbm": models.BotTrees, "clusters": models.CrawlerClusters}
 
 
 def test_mixture_finds_its_parts_and_repeats(spark):

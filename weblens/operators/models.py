@@ -6,14 +6,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from weblens import plugins
+from weblens.operators import density
+
 TREES, PSI, SEED = 200, 256, 7
 #: Neighbours, rows of a block, and queries that are compared with a block at once.
 LOF_K, LOF_BLOCK, LOF_STEP = 20, 4096, 256
@@ -81,6 +84,16 @@ class IsolationForest:
         got = sorted(dealt.groupBy("tree").applyInPandas(build, "tree int, psi int, nodes binary").collect())  # one row a tree
         return cls(list(features), [np.frombuffer(r.nodes).reshape(-1, 5) for r in got], max((r.psi for r in got), default=1))
 
+    def save(self, spark: SparkSession, folder: str) -> dict:
+        trees = [(i, bytearray(np.ascontiguousarray(t).tobytes())) for i, t in enumerate(self.trees)]
+        spark.createDataFrame(trees, "tree int, nodes binary").coalesce(1).write.parquet(folder)
+        return {"features": self.features, "psi": self.psi}
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, told: dict) -> "IsolationForest":
+        trees = sorted((r.tree, bytes(r.nodes)) for r in spark.read.parquet(folder).collect())  # a fixed number
+        return cls(told["features"], [np.frombuffer(t).reshape(-1, 5) for _, t in trees], told["psi"])
+
     def score(self, rows: DataFrame, out: str = "iforest") -> DataFrame:
         """Rows with a score near 1 for what is isolated early; the forest is of fixed size and broadcast."""
         shared = rows.sparkSession.sparkContext.broadcast((self.trees, mean_path(self.psi) or 1.0))
@@ -269,6 +282,13 @@ class BotMixture:
         _, parts, got = done[min(bic, key=lambda k: (bic[k], k))]
         return cls(features, shape, parts, [float(b / w) if w > 0 else 0.0 for w, b in got[:, [0, -1]]])
 
+    def save(self, spark: SparkSession, folder: str) -> dict:
+        return {"features": self.features, "shape": [v.tolist() for v in self.shape], "parts": [v.tolist() for v in self.parts], "shares": self.shares}
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, told: dict) -> "BotMixture":
+        return cls(told["features"], told["shape"], told["parts"], told["shares"])
+
     def score(self, rows: DataFrame, out: str = "gmm") -> DataFrame:
         shape, parts, shares = self.shape, self.parts, np.array(self.shares)
 
@@ -316,6 +336,17 @@ class BotTrees:
         data.unpersist()
         return cls(model, isotonic, None, list(features))
 
+    def save(self, spark: SparkSession, folder: str) -> dict:
+        for part, name in ((self.model, folder), (self.isotonic, f"{folder}_isotonic")):
+            if part is not None:
+                part.write().save(name)
+        return {"features": self.features, "constant": self.constant, "isotonic": self.isotonic is not None}
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, told: dict) -> "BotTrees":
+        model = GBTClassificationModel.load(folder) if told["constant"] is None else None
+        return cls(model, IsotonicRegressionModel.load(f"{folder}_isotonic") if told["isotonic"] else None, told["constant"], told["features"])
+
     def score(self, rows: DataFrame, out: str = "gbm_bot") -> DataFrame:
         if self.model is None:
             return rows.withColumn(out, F.lit(self.constant))
@@ -325,12 +356,76 @@ class BotTrees:
         return self.isotonic.transform(got).withColumnRenamed("_i", out).drop("p")
 
 
-# Density clusters of known crawlers need a library that is not here; a use case runs without them.
+# Known crawlers: density clusters in which declared bots are the majority.
 
 
 class CrawlerClusters:
-    """Optional: absent, so that factories skip it and say so."""
+    """How firmly a row belongs to a cluster of declared bots, 0 outside.
+
+    ``rows`` are the fitted ones in deviations (``shape``: means and deviations), ``core`` how far each has its k-th other,
+    ``label`` the cluster of each, ``born`` and ``last`` the clusters' densities, ``bots`` whether bots are their majority.
+    """
+
+    #: Rows that are fitted at most, those with the least hashes: a documented bound of the tree and of what is broadcast.
+    FIT_ROWS, LEAST, MAJORITY = 20_000, 10, 0.5
+
+    def __init__(self, features: list[str], shape: list, k: int, rows: list, core: list, label: list, born: list, last: list, bots: list[bool]):
+        self.features, self.k, self.bots = list(features), k, list(bots)
+        self.shape = tuple(np.array(v, dtype=float) for v in shape)
+        self.rows = np.array(rows, dtype=float).reshape(-1, len(self.features))
+        self.core, self.born, self.last, self.label = (np.array(v, dtype=t) for v, t in ((core, float), (born, float), (last, float), (label, np.int64)))
+
+    @classmethod
+    def fit(cls, rows: DataFrame, features: list[str], label: str = "bot_declared_bot", least: int = LEAST, most: int = FIT_ROWS, seed: int = SEED) -> "CrawlerClusters":
+        spark = rows.sparkSession
+        x = F.array(*[F.col(c).cast("double") for c in features])
+        named = rows.select(x.alias("x"), F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("y"), F.xxhash64(F.lit(seed), *rows.columns).alias("u"))
+        got = named.orderBy("u", "x", "y").limit(most).collect()  # no more rows than the bound
+        if not got:
+            raise ValueError("clusters need rows")
+        raw, bot = np.array([r.x for r in got], dtype=float), np.array([r.y >= 0.5 for r in got])
+        shape = raw.mean(axis=0), raw.std(axis=0) + 1e-9
+        points = (raw - shape[0]) / shape[1]
+        core = density.core_distances(spark, points, least)
+        found = density.condensed(len(points), *density.spanning_tree(spark, points, core), least)
+        bots = [bool(bot[found.label == i].mean() > cls.MAJORITY) for i in range(len(found.born))]
+        return cls(features, list(shape), least, points, core, found.label, found.born, found.last, bots)
+
+    def strengths(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        if not len(self.born) or not any(self.bots):
+            return out
+        for i in range(0, len(x), LOF_STEP):
+            at, dense = density.nearest_by_reach((x[i : i + LOF_STEP] - self.shape[0]) / self.shape[1], self.rows, self.core, self.k)
+            cluster = self.label[at]
+            inside = (cluster >= 0) & (dense >= self.born[cluster]) & np.array(self.bots)[cluster]
+            out[i : i + LOF_STEP] = np.where(inside, np.minimum(dense / self.last[cluster], 1.0), 0.0)
+        return out
+
+    def score(self, rows: DataFrame, out: str = "hdbscan_cluster") -> DataFrame:
+        """The fitted rows are of bounded number and broadcast."""
+        shared = rows.sparkSession.sparkContext.broadcast(self)
+
+        @pandas_udf("double")
+        def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for x in batches:
+                yield pd.Series(shared.value.strengths(np.array(x.tolist(), dtype=float).reshape(-1, len(shared.value.features))))
+
+        return rows.withColumn(out, apply(F.array(*[F.col(c).cast("double") for c in self.features])))
+
+    def save(self, spark: SparkSession, folder: str) -> dict:
+        rows = [(i, x.tolist(), float(c), int(n)) for i, (x, c, n) in enumerate(zip(self.rows, self.core, self.label, strict=True))]
+        spark.createDataFrame(rows, "id long, x array<double>, core double, label long").coalesce(1).write.parquet(folder)
+        return {"features": self.features, "shape": [v.tolist() for v in self.shape], "k": self.k, "born": self.born.tolist(), "last": self.last.tolist(), "bots": self.bots}
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, told: dict) -> "CrawlerClusters":
+        got = sorted(spark.read.parquet(folder).collect(), key=lambda r: r.id)  # no more rows than FIT_ROWS
+        return cls(told["features"], told["shape"], told["k"], [r.x for r in got], [r.core for r in got], [r.label for r in got], told["born"], told["last"], told["bots"])
+
 
-    @staticmethod
-    def available() -> bool:
-        return False
+#: Models by the name that a bundle keeps of their kind. A model has fit, score, save (which returns what the bundle's own
+#: description holds) and load; a deployment registers more.
+for _name, _model in (("iforest", IsolationForest), ("mixture", BotMixture), ("trees", BotTrees), ("clusters", CrawlerClusters)):
+    _model.kind = _name
+    plugins.register("model", _name)(_model)

@@ -63,7 +63,7 @@ def train(requests: DataFrame, usecase: str, version: str, window_s: int = fixed
     kept = scoring.without_most_anomalous(first, "_anomaly").drop("_anomaly").persist()
     case = usecases.named(usecase)
     found, base = case.fit(kept, features), case.calibration_rows(kept)
-    grids = {name: scoring.grid(m.score(base, "raw"), "raw").persist() for name, m in found.items()}
+    grids = {name: scoring.grid(m.score(base if case.votes(name) else kept, "raw"), "raw") for name, m in found.items()}
     reference = long_form(scoring.reference_sample(kept, [*ENTITY, "window_start"]), [], tuple(features)).persist()
     meta = {"usecase": usecase, "rule_id": case.rule, "title": case.title, "feature_code_sha256": feature_code(), "version": version, "train_windows": n, "usable_vectors": rows.count(), "clip_quantile": fixed.CLIP_Q, "windows_dropped": n - kept.count(), "models": sorted(found), "window_s": window_s}
     meta["models_skipped"] = list(case.skipped)
@@ -72,10 +72,11 @@ def train(requests: DataFrame, usecase: str, version: str, window_s: int = fixed
 
 def score_windows(windows: DataFrame, bundle: Bundle) -> DataFrame:
     """Windows with each model's raw score and percentile, and the fused percentile."""
-    rows, _ = vectors(bundle.usecase, windows, bundle.stats)
+    case = usecases.named(bundle.usecase)
+    rows, _ = case.vector(windows, bundle.stats)
     for name, model in bundle.models.items():
         rows = scoring.calibrated(model.score(rows, name), name, bundle.grids[name], f"{name}_pct")
-    return rows.withColumn("fused_pct", usecases.named(bundle.usecase).fuse([f"{n}_pct" for n in bundle.models]))
+    return rows.withColumn("fused_pct", case.fuse([f"{n}_pct" for n in bundle.models if case.votes(n)]))
 
 
 def judged(scored: DataFrame, bundle: Bundle, annotations: DataFrame | None = None) -> DataFrame:

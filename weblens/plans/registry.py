@@ -5,14 +5,11 @@ import os
 import shutil
 from datetime import datetime, timezone
 
-import numpy as np
-from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblens import plugins
-from weblens.operators.models import BotMixture, BotTrees, IsolationForest
+from weblens.operators import models as _models  # noqa: F401  (registers the kinds of models)
 from weblens.operators.profile import Profile
 from weblens.plans.detection import Bundle
 
@@ -32,36 +29,14 @@ def save(bundle: Bundle, folder: str) -> None:
     tables = {"stats": bundle.stats, "reference": bundle.reference} | {f"grid_{n}": g for n, g in bundle.grids.items()}
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{name}")
-    told = {}
-    for name, m in bundle.models.items():
-        if isinstance(m, IsolationForest):
-            trees = [(i, bytearray(np.ascontiguousarray(t).tobytes())) for i, t in enumerate(m.trees)]
-            spark.createDataFrame(trees, "tree int, nodes binary").coalesce(1).write.parquet(f"{folder}/{name}")
-            told[name] = {"features": m.features, "psi": m.psi}
-        elif isinstance(m, BotMixture):
-            told[name] = {"features": m.features, "shape": [v.tolist() for v in m.shape], "parts": [v.tolist() for v in m.parts], "shares": m.shares}
-        else:
-            told[name] = {"features": m.features, "constant": m.constant, "isotonic": m.isotonic is not None}
-            if m.model is not None:
-                m.model.write().save(f"{folder}/{name}")
-            if m.isotonic is not None:
-                m.isotonic.write().save(f"{folder}/{name}_isotonic")
+    told = {name: {"kind": m.kind} | m.save(spark, f"{folder}/{name}") for name, m in bundle.models.items()}
     doc = {"metadata": bundle.metadata, "usecase": bundle.usecase, "version": bundle.version, "features": bundle.features, "models": told}
     spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.text(f"{folder}/metadata")
 
 
 def load(spark: SparkSession, folder: str) -> Bundle:
     doc = json.loads(spark.read.text(f"{folder}/metadata").first().value)
-    models: dict[str, object] = {}
-    for name, m in doc["models"].items():
-        if "psi" in m:
-            trees = sorted((r.tree, bytes(r.nodes)) for r in spark.read.parquet(f"{folder}/{name}").collect())  # a fixed number
-            models[name] = IsolationForest(m["features"], [np.frombuffer(t).reshape(-1, 5) for _, t in trees], m["psi"])
-        elif "shares" in m:
-            models[name] = BotMixture(m["features"], m["shape"], m["parts"], m["shares"])
-        else:
-            trees = GBTClassificationModel.load(f"{folder}/{name}") if m["constant"] is None else None
-            models[name] = BotTrees(trees, IsotonicRegressionModel.load(f"{folder}/{name}_isotonic") if m["isotonic"] else None, m["constant"], m["features"])
+    models = {name: plugins.get("model", m["kind"]).load(spark, f"{folder}/{name}", m) for name, m in doc["models"].items()}
     read = lambda n: spark.read.parquet(f"{folder}/{n}")
     return Bundle(doc["usecase"], doc["version"], Profile.load(spark, f"{folder}/profile"), doc["features"], read("stats"), models, {n: read(f"grid_{n}") for n in models}, read("reference"), doc["metadata"])
 

@@ -167,6 +167,12 @@ def gbm_bot(spark, d):
     return models.BotTrees.fit(w, list(SOME)).score(w).select(*IDS, "gbm_bot")
 
 
+@query()
+def crawler_clusters(spark, d):
+    w = windows(spark, d)
+    return models.CrawlerClusters.fit(w, [c for c in SOME if c != "bot_declared_bot"]).score(w).select(*IDS, "hdbscan_cluster")
+
+
 @query()
 def train_summary(spark, d):
     bundle = detection.train(requests(spark, d), "web_recon", "v1", DAY)

@@ -21,6 +21,8 @@ class UseCase:
     features: tuple[str, ...] = ()
     depends_on: tuple[str, ...] = ()
     skipped: tuple[str, ...] = ()
+    #: Models that vote on the gate and are calibrated on ``calibration_rows``; others only say more of a client. Empty: all.
+    voters: tuple[str, ...] = ()
     gate_pct = 0.995
 
     def vector(self, windows: DataFrame, stats: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -33,6 +35,9 @@ class UseCase:
     def calibration_rows(self, rows: DataFrame) -> DataFrame:
         return rows
 
+    def votes(self, model: str) -> bool:
+        return not self.voters or model in self.voters
+
     def fuse(self, percentiles: list[str]) -> Column:
         return detect.fused(percentiles)
 
@@ -63,11 +68,11 @@ def usecase(cls: type[UseCase]) -> type[UseCase]:
 class BotDetection(UseCase):
     name, rule, title, gate_pct = "bot_detection", *detect.USECASES["bot_detection"], fixed.BOT_GATE
     features = fixed.BOT_FEATURES
-    skipped = () if models.CrawlerClusters.available() else ("hdbscan_cluster",)
+    voters = ("gbm_bot", "gmm")
 
     def fit(self, rows, features):
         behaviour = list(fixed.BEHAVIOUR)
-        return {"gbm_bot": models.BotTrees.fit(rows, behaviour), "gmm": models.BotMixture.fit(rows, behaviour)}
+        return {"gbm_bot": models.BotTrees.fit(rows, behaviour), "gmm": models.BotMixture.fit(rows, behaviour), "hdbscan_cluster": models.CrawlerClusters.fit(rows, behaviour)}
 
     def calibration_rows(self, rows):
         return scoring.calibration_rows(rows)
@@ -76,7 +81,7 @@ class BotDetection(UseCase):
         return detect.streaks(scored, "fused_pct", window_s).withColumn("fired", F.col("streak") >= fixed.BOT_STREAK)
 
     def annotate(self, judged):
-        return detect.crawler_export(judged, "gbm_bot")
+        return detect.crawler_export(judged, "gbm_bot", "hdbscan_cluster")
 
     def canary(self, spark, server, start):
         return spoof_canary(spark, server, start)
