@@ -67,6 +67,18 @@ def test_empty_table(spark):
     assert prefix_trie.prefix_trie(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_shards_are_built_as_they_end():
+    """A forest is built whenever the rows at hand hold whole shards enough, whatever the batches."""
+    import pyarrow as pa
+
+    names = [*prefix_trie.PREFIX, "top", "s1", "s2"]
+    rows = [(c, d, 3, *([c * 10 + d] * 2), *([c * 10 + d - 1] * 2), 1, 1, c, c) for c in range(1, 40) for d in (1, 2, 3)]
+    for step in (1, 4, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + step], strict=True)], names=names) for i in range(0, len(rows), step)]
+        got = [r for b in prefix_trie.shards(iter(batches), 6) for r in b.to_pylist()]
+        assert sorted((r["conv_id"], r["depth"], r["n_children"]) for r in got) == [(c, d, int(d < 3)) for c in range(1, 40) for d in (1, 2, 3)]
+
+
 def test_level_order_bits():
     # Two trees: a(c, d), b(); c(e).
     trie = prefix_trie.Louds([np.array([0, 0]), np.array([0, 0]), np.array([0])])

@@ -7,7 +7,7 @@ of a conversation are running sums, wherever its rows lie. It is called by its s
 Rows of ids and hashes, without texts, are sorted into ranges by conversation and turn; a conversation may run through many
 tasks, whose edges (a row or two a task) the driver chains. Each conversation has a row for each of its prefixes. A node
 whose subtree has more than ``SHARD`` of these rows is heavy, as is the root. The subtrees below heavy nodes are shards; a task
-reads whole shards of together about ``SHARD`` rows and builds one forest of them: bits and labels level by level, parents
+reads whole shards of together about ``FOREST`` rows and builds one forest of them: bits and labels level by level, parents
 and degrees by rank and select on the bits, sums from the last level to the first. Heavy nodes, whatever their number or
 depth, get the sums of their subtrees by doubling: in round k each adds what those 2^k below it have, so rounds grow with the
 logarithm of the depth. Members that end in a heavy node are joined in ranges and their digest reads these pieces in a stream.
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from weblens.llm.common import Scratch, keep, mixed, signed
 from weblens.llm.mixing import word_count
 
-#: Prefix rows of a subtree that is built in one task; a subtree with more is split at its top.
-SHARD = 200_000
+#: Prefix rows of a subtree that stays together; one with more is split at its top, however many share its beginning.
+SHARD = 2_000
+#: Rows of whole shards that a task builds at once, at least a shard's most.
+FOREST = 100_000
 #: Ids in one piece of a heavy node's digest.
 PIECE = 50_000
 #: Conversations that share their beginning with the first of them, and the turns that may be shared.
@@ -308,7 +310,8 @@ NO_ENDS = digest([])
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Forests of whole shards, of rows that come shard by shard. A shard has ``size`` rows at most, so twice as many end one."""
+    """Forests of whole shards, of rows that come shard by shard. A shard has ``size`` rows at most, so twice as many
+    hold the end of one."""
     names = (*PREFIX, "top", "s1", "s2")
     held: list[list[np.ndarray]] = []
     n = 0
@@ -391,7 +394,7 @@ def prefix_trie(conversations: DataFrame, shard_rows: int = SHARD) -> DataFrame:
     shard = members.where("shard is not null").select("conv_id", F.col("shard.depth").alias("top"), F.col("shard.p1").alias("s1"), F.col("shard.p2").alias("s2"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     light = rows.join(shard, "conv_id").where("depth >= top").select(*PREFIX, "top", "s1", "s2")
-    light = tables.put(light.repartition(n, "s1", "s2").sortWithinPartitions("s1", "s2").mapInArrow(lambda batches: shards(batches, shard_rows), NODE))
+    light = tables.put(light.repartition(n, "s1", "s2").sortWithinPartitions("s1", "s2").mapInArrow(lambda batches: shards(batches, max(shard_rows, FOREST)), NODE))
 
     # What heavy nodes have from the shards below them and from heavy children.
     up = [(F.col("depth") - 1).alias("depth"), F.col("q1").alias("p1"), F.col("q2").alias("p2")]
