@@ -12,7 +12,7 @@ have not seen. A segment is significant if it is expected less than once in a do
 significant segments' log expectations, or the best segment's if there is none, becomes a score by a logistic curve
 fitted on the same documents.
 
-Words are split at white space. Null and empty texts have no tokens and get the score of no evidence. One row comes out for
+Tokens are split at white space, their words at what is no letter or digit, whatever their length. Null and empty texts have no tokens and get the score of no evidence. One row comes out for
 each row that goes in. Labels of unknown ids are ignored. Without labels of both kinds all scores are 0.
 """
 
@@ -38,8 +38,8 @@ BITS = 18
 TOGETHER = 2_000_000
 #: Most labelled documents that the model is fitted on.
 SAMPLE = 20_000
-#: Lengths of a word's beginnings that count as features, and the length above which a token is read in parts.
-STEMS, LONG = (5, 4), 64
+#: Lengths of a word's beginnings that count as features.
+STEMS = (5, 4)
 #: Least strength of a prior in documents, and the strength that the whole corpus shares among its features.
 PRIOR, CORPUS_PRIOR = 2.0, 2000.0
 #: Deviations by which an estimate is drawn in, and what each token loses.
@@ -47,17 +47,9 @@ DOUBT, DRIFT = 1.28, 0.3
 
 
 def features(token: str) -> list[int]:
-    """Buckets of a token's word and of its beginnings; none for a token without letters or digits.
-
-    A token of more than LONG characters, such as text without white space, counts by all its runs of letters and digits and
-    by the parts of LONG characters into which these fall, so that each of its characters is read.
-    """
-    low = token.lower()
-    if len(low) <= LONG:
-        words = [low if low.isalnum() else "".join(filter(str.isalnum, low))]
-    else:
-        words = [run[i : i + LONG] for run in "".join(c if c.isalnum() else " " for c in low).split() for i in range(0, len(run), LONG)]
-    forms = [form for word in words if word for form in (word, *(word[:n] + "~" for n in STEMS if len(word) >= n))]
+    """Buckets of a token's words, the runs of its letters and digits, and of their beginnings; none for other tokens."""
+    words = "".join(c if c.isalnum() else " " for c in token.lower()).split()
+    forms = [form for word in words for form in (word, *(word[:n] + "~" for n in STEMS if len(word) >= n))]
     return [crc32(f.encode("utf-8", "surrogatepass")) >> (32 - BITS) for f in forms]
 
 
