@@ -118,8 +118,6 @@ MENTIONS = [
     "A software company sued its former partner over the distribution of profits.",
     "The council may refuse a liquor license without giving reasons.",
 ]
-# What a notice speaks of. Every template holds one of these, in small letters.
-ANCHORS = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain", "proprietary", "rights reserved", "creative commons", "software")
 #: Variants of each notice; documents of the corpus sample and the most paragraphs taken from them; size of the vocabulary.
 VARIANTS, SAMPLE_DOCS, SAMPLE_PARAGRAPHS, VOCABULARY = 12, 400, 3000, 16384
 #: Share of a template that confirms, and the precision that calibration asks for.
@@ -134,13 +132,6 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(unwrapped, r"[\r\n]+|(?<=[.!?;])\s+(?=\p{Lu})"), lambda p: F.length(p) > 0)
 
 
-def anchored(text: Column) -> Column:
-    low, out = F.lower(text), F.lit(False)
-    for a in ANCHORS:
-        out = out | F.contains(low, F.lit(a))
-    return out
-
-
 def words(paragraph: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(paragraph, F.lit(""))), F.lit(WORD), F.lit(0))
 
@@ -282,16 +273,14 @@ def judged(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, n_judged, n_paragraphs, n_licenses, n_unknown, families, chance) of documents (doc_id, text).
+    """(doc_id, n_judged, n_licenses, n_unknown, families, chance) of documents (doc_id, text).
 
-    n_judged: all paragraphs, each of which the classifier judges; n_paragraphs: those of them that hold one of ANCHORS.
-    families: the confirmed families by name, comma-joined; chance: the greatest calibrated one of a confirmed family, or null.
+    n_judged: all paragraphs, each of which the classifier judges; families: the confirmed families by name, comma-joined;
+    chance: the greatest calibrated one of a confirmed family, or null.
     """
     model = model or fit(docs)
-    cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", anchored(F.col("text")).alias("holds"), paragraphs(F.col("text")).alias("ps"))
-    held = F.when(F.col("holds"), F.size(F.filter("ps", anchored))).otherwise(0)
-    cut = cut.select("row", "doc_id", F.size("ps").alias("n_judged"), held.alias("n_paragraphs"), "ps")
-    rows = cut.select("row", "doc_id", "n_judged", "n_paragraphs", F.posexplode_outer("ps").alias("at", "paragraph"))
+    cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", paragraphs(F.col("text")).alias("ps"))
+    rows = cut.select("row", "doc_id", F.size("ps").alias("n_judged"), F.posexplode_outer("ps").alias("at", "paragraph"))
     # The first paragraph stays for its document's row; the others that are proven none add nothing to it.
     rows = model.open(rows.withColumn("w", words(F.col("paragraph")))).where("open or at is null or at = 0").drop("open", "at", "w")
     told = judged(rows, model)
@@ -299,7 +288,6 @@ def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     by_row = told.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("n_judged").cast("long").alias("n_judged"),
-        F.max("n_paragraphs").cast("long").alias("n_paragraphs"),
         F.count(F.when(known, 1)).alias("n_licenses"),
         F.count(F.when(F.col("family") == "unknown", 1)).alias("n_unknown"),
         F.array_join(F.array_sort(F.collect_set(F.when(known, F.col("family")))), ",").alias("families"),
