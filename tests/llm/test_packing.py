@@ -52,14 +52,11 @@ def test_the_query_packs_each_task_by_best_fit(spark):
         assert sorted([i for _, i in b] for b in bins.values()) == brute(pieces, 100, 2)
 
 
-def test_closing_bins_loses_no_piece(monkeypatch):
-    monkeypatch.setattr(packing, "OPEN", 3)
-    rows = [(i, "s", 0, 30 - i % 30, None) for i in range(200)]
-    rows.sort(key=lambda x: -x[3])
-    left = defaultdict(lambda: 50)
-    for b, *_, words in packing.packed(iter(rows), 50, 2):
-        left[b] -= words
-    assert min(left.values()) >= 0 and sum(50 - x for x in left.values()) == sum(x[3] for x in rows)
+def test_many_rows_are_dealt_to_more_tasks(spark):
+    frame = spark.createDataFrame([(i, "s", "w " * (i % 30)) for i in range(500)], "doc_id long, source string, text string")
+    got = packing.pack(frame, capacity=50, task_rows=40).collect()
+    tasks = Counter(p.bin_id >> 40 for p in got)
+    assert len(tasks) == 13 and max(tasks.values()) <= 40 and sum(p.words for p in got) == sum(i % 30 for i in range(500))
 
 
 def test_whole_and_without_conflicts(spark):

@@ -7,8 +7,8 @@ holds, which the exact set confirms, and the set of sources that it holds as oft
 together by that set. The search goes from the tightest bin that is large enough to the next until one is compatible,
 the oldest of equal ones, and opens a bin if there is none. A run of copies goes on where the search for the last one ended.
 
-The scope of best fit is a task: bins are not shared between tasks, so the packing depends on how many there are. A task keeps
-``OPEN`` bins open at most; beyond them the fullest is closed. Every piece is in exactly one bin all the same.
+The scope of best fit is a task: bins are not shared between tasks, so the packing depends on how many there are. A row opens
+one bin at most, so the rows of a task, which a count bounds, bound its open bins.
 
 A text longer than a bin fills whole bins of its own first; its last piece is packed like a document. A bin holds no two
 documents of one duplicate cluster and at most ``per_source`` of one source. The cluster is a hash of the text with case and
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from weblens.llm.mixing import word_count
 
-#: Bins that a task keeps open at most.
-OPEN = 50_000
+#: Rows of a task at most, and so its open bins.
+TASK_ROWS = 50_000
 NOT_FULL: frozenset = frozenset()
 
 
@@ -101,12 +101,6 @@ class Bins:
         return i
 
     def new(self) -> int:
-        if len(self.marks) >= OPEN:
-            left = (self.occupied & -self.occupied).bit_length() - 1
-            closed = self.take(left, next(iter(self.by_left[left])), 0)
-            for held in (self.clusters, self.marks, self.sources):
-                del held[closed]
-            self.run = None
         i = self.whole()
         self.clusters[i], self.marks[i], self.sources[i] = set(), 0, Counter()
         return i
@@ -126,7 +120,7 @@ def packed(rows: Iterator[tuple], capacity: int, per_source: int) -> Iterator[tu
         yield bins.place(last, source, cluster), doc_id, pieces, pieces * capacity, last
 
 
-def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 2, cluster: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 2, cluster: str | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """(bin_id, doc_id, piece, start, words) of documents (doc_id, source, text); start and words count words."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +145,6 @@ def pack(docs: DataFrame, capacity: int = 2048, per_source: int = 2, cluster: st
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), name.alias("cluster"))
     pieces = F.floor(F.greatest(F.lit(0), F.col("size") - 1) / capacity)
     slim = slim.withColumn("pieces", pieces).select("doc_id", "source", "pieces", (F.col("size") - F.col("pieces") * capacity).alias("last"), "cluster")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // task_rows))
     dealt = slim.repartition(partitions).sortWithinPartitions(F.desc("last"), "cluster", "source", "doc_id", "pieces")
     return dealt.mapInArrow(read, "bin_id long, doc_id long, piece long, start long, words long")
