@@ -54,6 +54,14 @@ def test_redaction(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "é [SECRET] end", "a", 1)] * 2 + [(2, "nothing", "a", 2), (3, None, None, 3), (4, "k=[SECRET] [SECRET]", "b", 4)], key=str)
 
 
+def test_owners_of_another_corpus(spark):
+    before = spark.createDataFrame([(i, f"token=copied{'q' * 9}", f"o{i}/r") for i in range(5)], "doc_id long, text string, source string")
+    left = spark.createDataFrame([(1, f"token=copied{'q' * 9}", "o1/r"), (7, "token=owned4Zz81kq", "o7/r")], "doc_id long, text string, source string")
+    owned = secrets.ownership(secrets.candidates(before))
+    assert {r.doc_id: r.text for r in secrets.redacted(left, owned).collect()} == {1: f"token=copied{'q' * 9}", 7: "[SECRET]"}
+    assert {r.text for r in secrets.redacted(left).collect()} == {"[SECRET]"}
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, source string")
     assert secrets.secret_scan(frame).collect() == [] == secrets.redacted(frame).collect()

@@ -95,10 +95,15 @@ def ownership(rows: DataFrame) -> DataFrame:
     return each.groupBy("hash", "owner").agg(F.count("*").alias("here")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("here").alias("repositories"))
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """Candidates' rows with spans that tell how many owners a value has and whether it looks live."""
+def judged(rows: DataFrame, owned: DataFrame | None = None) -> DataFrame:
+    """Candidates' rows with spans that tell how many owners a value has and whether it looks live.
+
+    ``owned`` (hash, owners, repositories) counts another corpus, such as the one before copies went; values that it does
+    not hold are one owner's. Without it these rows count.
+    """
     spans = rows.select("row", F.explode("spans").alias("s")).withColumn("hash", F.col("s.hash"))
-    owned = spans.join(ownership(rows), "hash")
+    known = spans.join(ownership(rows) if owned is None else owned, "hash", "left")
+    owned = known.withColumns({c: F.coalesce(c, F.lit(1).cast("long")) for c in ("owners", "repositories")})
     live = (F.col("owners") < MANY_OWNERS) & ~F.col("s.sample")
     told = F.struct("s.start", "s.order", "s.end", "s.kind", "owners", "repositories", live.alias("live"))
     by_row = owned.groupBy("row").agg(F.array_sort(F.collect_list(told)).alias("judged"))
@@ -115,8 +120,9 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("judged")).alias("spans"), live.alias("n_live"), (F.size("judged") - live).cast("long").alias("n_example"))
 
 
-def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, owned: DataFrame | None = None, mask: str = "[SECRET]") -> DataFrame:
     """The documents (text, source, ...) with values that look live replaced by a mask; all else stays as it is.
+    Owners are counted in these documents, or given.
 
     Live spans of one text may overlap across kinds; each run of them leaves one mask. Only documents with candidates are
     kept aside for the counts; the others pass.
@@ -124,7 +130,7 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     whole = F.struct(*docs.columns).alias("doc")
     spans = docs.select(whole, all_spans(F.coalesce("text", F.lit(""))).alias("spans"))
     rows = spans.where(F.size("spans") > 0).select("doc", "spans", owner(F.col("doc.source")).alias("owner"), F.col("doc.source").alias("repository"))
-    rows = judged(keep(rows).withColumn("row", F.monotonically_increasing_id()))
+    rows = judged(keep(rows).withColumn("row", F.monotonically_increasing_id()), owned)
     text = F.col("doc.text")
     live = F.filter("judged", lambda s: s["live"])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
