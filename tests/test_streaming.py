@@ -70,17 +70,65 @@ def test_live_batches_score_like_the_batch_plan(spark, tmp_path):
 
     requests = traffic(spark, 12, 40)
     bots, recon = detection.train(requests, "bot_detection", "v1"), detection.train(requests, "web_recon", "v1")
-    service = live.Live(spark, str(tmp_path / "state"), bots, recon)
+    service = live.Live(spark, str(tmp_path / "state"), bots, recon, drift_s=0.0)
     first = requests.agg(F.min("epoch")).first()[0]
     cut = (first // 300 + 3) * 300
-    service.batch(requests.where(F.col("epoch") < cut), 0)
-    service.batch(requests.where(F.col("epoch") >= cut), 1)
-    service.batch(requests.where(F.col("epoch") >= cut), 1)  # a batch that runs again
+    # Two micro-batches of whole windows pass the keyed memory; the second runs twice.
+    for i, part in enumerate((requests.where(F.col("epoch") < cut), requests.where(F.col("epoch") >= cut))):
+        part.select(*live.COLUMNS).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+        stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in" / "part=0")).schema).parquet(str(tmp_path / "in" / "part=*"))
+
+        def batch(rows, number):
+            if not rows.isEmpty():
+                for _ in range(number + 1):
+                    service.batch(rows, number)
+
+        with live.state_in_rocksdb(spark):
+            timed = stream.withColumn("closes", F.col("ts")).withWatermark("closes", "0 seconds")
+            live.remembering(timed).writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     log = spark.read.parquet(str(tmp_path / "state" / "log"))
     windows = window_features(requests, recon.profile).count()
     assert log.count() == 2 * windows and log.select("usecase", "server", "source_ip", "ua_hash", "window_start").distinct().count() == 2 * windows
     whole = detection.score_windows(window_features(requests, bots.profile), bots)
     got = log.where("usecase = 'bot_detection'").withColumnRenamed("fused_pct", "live_pct").join(whole, [*detection.ENTITY, "window_start"])
     assert got.where(F.abs(F.col("live_pct") - F.round("fused_pct", 5)) > 1e-9).count() == 0
+    assert spark.read.parquet(str(tmp_path / "state" / "drift")).where("usecase = 'web_recon'").count() >= 1
     assert live.drift_check(service, recon, least=5).first().band in ("stable", "moderate", "significant")
     assert fixed.GRACE_S == 120
+
+
+def test_memory_by_client_lies_in_the_state_store(spark, tmp_path):
+    """Five micro-batches: each row leaves with what its client had shown in the batches before, and nothing is read but state."""
+    got = []
+    for i in range(5):
+        rows = [(i * 10 + k, "s", f"10.0.0.{k % 2}", "curl/8", "/robots.txt" if (i, k) == (3, 0) else "/p", 200, "GET", None, 5, "US", "access", "raw", 1704067200 + 3600 * i) for k in range(4)]
+        names = "event_id long, server string, source_ip string, user_agent string, url_path string, status_code int, http_method string, referrer string, body_bytes long, geo_country string, event_type_ecs string, original string, epoch long"
+        frame = spark.createDataFrame(rows, names).withColumn("us", F.col("epoch") * 1000000).withColumn("ts", F.timestamp_micros("us"))
+        frame.select(*live.COLUMNS).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    stream = spark.readStream.schema(frame.select(*live.COLUMNS).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    told = live.remembering(stream.withColumn("closes", F.col("ts")).withWatermark("closes", "0 seconds"))
+    with live.state_in_rocksdb(spark):
+        query = told.writeStream.foreachBatch(lambda df, n: got.extend((n, r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(got) == 20 and len({n for n, _ in got}) == 5
+    for _, r in got:
+        n = (r.epoch - 1704067200) // 3600
+        assert [r[f"b{h}"] for h in range(24)] == [2 if h < n else 0 for h in range(24)]
+        assert r.ever_before == (n > 3 and r.source_ip == "10.0.0.0")
+
+
+def test_drain_ends_under_steady_input(spark, tmp_path):
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 100).load()
+    query = rate.writeStream.foreachBatch(lambda df, n: df.count()).option("checkpointLocation", str(tmp_path / "ck")).start()
+    live.drain(query, 30.0)
+    assert not query.isActive and query.exception() is None
+
+
+def test_days_and_snapshots(spark, tmp_path):
+    t = live.Tables(spark, str(tmp_path))
+    for n in range(6):
+        t.put_days(spark.createDataFrame([(n * 86400 + 5, n)], "window_end long, n long"), "scored", n, "window_end")
+        t.put_snapshot(spark.createDataFrame([(n,)], "n long"), "robots", n)
+    got = t.get_days("scored", 5, 3 * 86400)
+    assert sorted(r.n for r in got.collect()) == [3, 4] and all("/day=0/" not in f for f in got.inputFiles())
+    assert t.get_snapshot("robots", 6).first().n == 5 and t.get_snapshot("robots", 2) is None

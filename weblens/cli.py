@@ -126,9 +126,9 @@ def run(a) -> int:
             registry.add(detection.train(rows, u, version))
             registry.promote(u, version)
         bots, recon = (registry.load_current(spark, u) for u in USECASES)
-    query = Live(spark, a.state, bots, recon, mode=a.mode).start(tailed(spark, a.input), f"{a.state}/checkpoint-{'+'.join(USECASES)}", once=a.once)
     spark.streams.addListener(Health(f"{a.state}/health.json"))
-    # A signal ends the service after what has arrived is through.
+    query = Live(spark, a.state, bots, recon, mode=a.mode).start(tailed(spark, a.input), f"{a.state}/checkpoint-{'+'.join(USECASES)}", once=a.once)
+    # A signal ends the service after the batch that runs.
     for s in (signal.SIGINT, signal.SIGTERM):
         signal.signal(s, lambda *_: drain(query))
     query.awaitTermination()
