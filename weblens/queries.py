@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weblens.plans import feature_queries, flow_queries, scalar_queries, score_queries
+from weblens.plans import analytics_queries, feature_queries, flow_queries, scalar_queries, score_queries
 
-MODULES = (scalar_queries, feature_queries, flow_queries, score_queries)
+MODULES = (scalar_queries, feature_queries, flow_queries, score_queries, analytics_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
