@@ -59,12 +59,26 @@ LINES = [
     "not json at all",
     '{"@timestamp": ',
 ]
-PARSED = f""" v(value) as (values {values(LINES)}),
+#: The rows of ``events`` as lines of JSON, some of them broken; WHEN writes a time in each engine's own way.
+LINE = """case when event_id % 17 = 3 then concat('not json ', event_id) when event_id % 19 = 4 then '{"@timestamp": '
+when event_id % 23 = 5 then concat('{"@timestamp":"garbage","url":{"path":"/y/', event_id, '"}}') when event_id % 29 = 6 then concat('{"url":{"path":"/z/', event_id, '"}}')
+else concat('{"@timestamp":"', WHEN, case when event_id % 7 = 0 then '+05:30' else 'Z' end, '","observer":{"server":"srv', user_id % 3, '"},"source":{"ip":"203.0.113.', user_id % 250,
+'"},"http":{"request":{"method":"GET","referrer":"', case when event_id % 5 = 0 then '-' else '/a' end, '"},"response":{"status_code":', 200 + event_id % 300, '}},"url":{"path":"/p/', event_id % 50,
+'"},"event":{"type":"', case when event_type = 'error' then 'error' else 'access' end, '"}}') end"""
+PARSED = f""" v(value) as (select * from (values {values(LINES)}) union all select {LINE.replace("WHEN", "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')")} from events),
 j as (select value, case when json_valid(value) then value end as doc from v),
 p as (select value, doc, try_cast(json_extract_string(doc, '$."@timestamp"') as timestamptz) as ts, json_extract_string(doc, '$."@timestamp"') as given, json_extract_string(doc, '$.event.type') as type from j),
 r as (select *, case when doc is null then 'json' when given is null then 'missing @timestamp' when ts is null then 'bad @timestamp' end as reason from p)"""
 
 
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reason, raw, ...): the table's lines and those of odd forms, read as a source reads them."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    lines = table(spark, sf_dir, "events").withColumn("at", stamp).select(F.expr(LINE.replace("WHEN", "at")).alias("value"))
+    return ndjson.parsed(lines.union(literal_rows(spark, LINES)).withColumn("source", F.lit("events")))
+
+
 def parsed(spark) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return ndjson.parsed(literal_rows(spark, LINES).withColumn("source", F.lit("fixture")))
@@ -72,23 +86,23 @@ def parsed(spark) -> DataFrame:
 
 @query(f"with {PARSED} select reason, value as raw from r where reason is not null", web=False)
 def dead_letter(spark, d):
-    return ndjson.dead_letters(parsed(spark)).select("reason", "raw")
+    return ndjson.dead_letters(event_lines(spark, d)).select("reason", "raw")
 
 
 @query(f"with {PARSED} select count(*) as lines, count_if(reason is null)::bigint as parsed, count_if(reason is not null)::bigint as failed, count_if(reason is null and type <> 'access')::bigint as skipped, count_if(reason is not null) / count(*) as failure_rate from r", web=False)
 def ingest_stats(spark, d):
-    return ndjson.ingest_stats(parsed(spark))
+    return ndjson.ingest_stats(event_lines(spark, d))
 
 
 @query(f"with {PARSED} select epoch_us(ts) as us, json_extract_string(doc, '$.observer.server') as server, json_extract_string(doc, '$.source.ip') as source_ip, json_extract_string(doc, '$.url.path') as url_path, try_cast(json_extract_string(doc, '$.http.response.status_code') as int) as status_code, nullif(json_extract_string(doc, '$.http.request.referrer'), '-') as referrer from r where reason is null", web=False)
 def parse_ts(spark, d):
-    rows = parsed(spark).where("reason is null")
+    rows = event_lines(spark, d).where("reason is null")
     return rows.select(F.unix_micros("ts").alias("us"), "server", "source_ip", "url_path", "status_code", "referrer")
 
 
 @query(f"with {PARSED} select reason, count(*) as n from r where reason is not null group by 1 order by n desc, reason limit 5", web=False)
 def top_reasons(spark, d):
-    return ndjson.failure_reasons(parsed(spark))
+    return ndjson.failure_reasons(event_lines(spark, d))
 
 
 @query("select event_id, try_cast(json_extract_string(props, '$.k') as int) as k from events", web=False)
@@ -114,14 +128,26 @@ SCAN_SQL = (
 )
 
 
-@query(f"select * from {SCAN_SQL}", web=False)
+#: A burst begins with the first full hour after the log, on the server with most requests.
+PLACE_SQL = ", place as (select (max(epoch) // 3600 + 1) * 3600 as start, (select server from req group by 1 order by count(*) desc, server limit 1) as server from req)"
+
+
+def place(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """Where and when a canary is put among the table's requests."""
+    rows = requests(spark, sf_dir)
+    most = rows.groupBy("server").count().orderBy(F.desc("count"), "server").first()
+    last = rows.agg(F.max("epoch")).first()[0]
+    return (most.server, (last // 3600 + 1) * 3600) if most else ("_", START)
+
+
+@query(f"{PLACE_SQL} select server, epoch - {START} + start as epoch, url_path, status_code from {SCAN_SQL}, place")
 def canary_scan(spark, d):
-    return canaries.scan_canary(spark, "srv0", START).select("epoch", "url_path", "status_code")
+    return canaries.scan_canary(spark, *place(spark, d)).select("server", "epoch", "url_path", "status_code")
 
 
-@query(f"select {START} + i * 2 as epoch, case i % 3 when 0 then '/catalog/items' when 1 then '/api/list' else '/export/data' end as url_path, 512::bigint as body_bytes from range(1350) t(i)", web=False)
+@query(f"{PLACE_SQL} select server, start + i * 2 as epoch, case i % 3 when 0 then '/catalog/items' when 1 then '/api/list' else '/export/data' end as url_path, 512::bigint as body_bytes from range(1350) t(i), place")
 def canary_spoof(spark, d):
-    return canaries.spoof_canary(spark, "srv0", START).select("epoch", "url_path", "body_bytes")
+    return canaries.spoof_canary(spark, *place(spark, d)).select("server", "epoch", "url_path", "body_bytes")
 
 
 @query(f" select epoch, url_path, status_code, 'log' as origin from req union all select epoch, url_path, status_code, 'canary' as origin from {SCAN_SQL}")
