@@ -41,3 +41,14 @@ def test_reference_sample_of_wide_rows(spark):
         assert scoring.reference_sample(wide.limit(150), ["o"], 200).count() == 150
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_heads_of_servers_without_ordering_all_items(spark):
+    from weblens.operators.profile import most_frequent
+
+    rows = [("a", f"/p{i:04d}", 1 + (i % 50 == 0) + (i == 7)) for i in range(900)] + [("b", f"/q{i}", i + 1) for i in range(30)] + [("c", "/one", 1)]
+    counts = spark.createDataFrame(rows, "server string, url_path string, df long").repartition(6)
+    for cap in (1, 5, 20, 400, 1000):
+        want = sorted(r for s in "abc" for r in sorted((r for r in rows if r[0] == s), key=lambda r: (-r[2], r[1]))[:cap])
+        assert sorted(map(tuple, most_frequent(counts, "df", "url_path", cap).collect())) == want
+    assert most_frequent(counts.where("false"), "df", "url_path", 3).collect() == []

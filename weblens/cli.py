@@ -12,15 +12,29 @@ from pyspark.sql import functions as F
 from weblens import plugins
 from weblens.functions import fixed
 from weblens.operators import sessions
-from weblens.plans import detection
-from weblens.plans.registry import Registry, new_version
+from weblens.plans import detection, usecases
+from weblens.plans.registry import Registry, load, new_version
 from weblens.sources import ndjson
 
-USECASES = ("bot_detection", "web_recon")
 #: Thresholds are part of the rules, not of a configuration.
 POLICY = {"input", "registry", "usecases", "mode", "budget", "state", "checkpoint", "pattern"}
 
 
+#: Requests from which a service without bundles learns at most.
+WARM_UP = 2_000_000
+
+
+def newest(rows: DataFrame, most: int) -> DataFrame:
+    """The newest ``most`` requests or so: those from the hour on in which that many are reached."""
+    hours = sorted(map(tuple, rows.where("epoch is not null").groupBy(F.floor(F.col("epoch") / 3600).alias("hour")).count().collect()), reverse=True)  # a row an hour
+    n = 0
+    for hour, count in hours:
+        n += count
+        if n >= most:
+            return rows.where(F.col("epoch") >= hour * 3600)
+    return rows
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("weblens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -110,24 +124,44 @@ def promote(a) -> int:
 
 
 def status(a) -> int:
-    print(json.dumps([Registry(a.registry).describe(u) for u in USECASES]))
+    print(json.dumps([Registry(a.registry).describe(u) for u in deployed()]))
     return 0
 
 
+def check(a) -> int:
+    """Compare a candidate with the serving bundle over the same requests; 1 if it may not serve."""
+    spark, registry = session(), Registry(a.registry)
+    serving, version = registry.load_current(spark, a.uc), a.version or registry.candidate(a.uc)
+    if serving is None or version is None:
+        print(json.dumps({"approve": False, "reason": "nothing to compare"}))
+        return 1
+    report = detection.candidate_check(requests(spark, a.input, a.limit), serving, load(spark, registry.folder(a.uc, version))).persist()
+    show(report)
+    return 0 if report.first().approve else 1
+
+
+def deployed() -> list[str]:
+    """All registered use cases, exporters first."""
+    return usecases.in_order(plugins.names("usecase"))
+
+
 def run(a) -> int:
     from weblens.streaming.live import Health, Live, drain, tailed
 
     spark, registry = session(), Registry(a.registry)
-    bots, recon = (registry.load_current(spark, u) for u in USECASES)
-    if bots is None or recon is None:  # a cold start learns from what is there
-        rows = requests(spark, a.input).persist()
+    names = deployed()
+    bundles = [registry.load_current(spark, u) for u in names]
+    if None in bundles:  # a cold start learns from what is there, the newest WARM_UP requests at most
+        rows = newest(requests(spark, a.input), WARM_UP).persist()
         version = new_version()
-        for u in USECASES:
-            registry.add(detection.train(rows, u, version))
-            registry.promote(u, version)
-        bots, recon = (registry.load_current(spark, u) for u in USECASES)
+        for u, b in zip(names, bundles, strict=True):
+            if b is None:
+                registry.add(detection.train(rows, u, version))
+                registry.promote(u, version)
+        rows.unpersist()
+        bundles = [registry.load_current(spark, u) for u in names]
     spark.streams.addListener(Health(f"{a.state}/health.json"))
-    query = Live(spark, a.state, bots, recon, mode=a.mode).start(tailed(spark, a.input), f"{a.state}/checkpoint-{'+'.join(USECASES)}", once=a.once)
+    query = Live(spark, a.state, *bundles, mode=a.mode).start(tailed(spark, a.input), f"{a.state}/checkpoint-{'+'.join(names)}", once=a.once)
     # A signal ends the service after the batch that runs.
     for s in (signal.SIGINT, signal.SIGTERM):
         signal.signal(s, lambda *_: drain(query))
@@ -142,7 +176,7 @@ def parser() -> argparse.ArgumentParser:
     def command(name, run_, *flags):
         c = sub.add_parser(name)
         c.set_defaults(run=run_)
-        known = {"input": {"required": True}, "registry": {"default": "registry"}, "uc": {"choices": USECASES, "default": "web_recon"}, "limit": {"type": int}, "version": {}, "config": {"required": True}, "folder": {}, "state": {"default": "state"}, "mode": {"choices": ("observe", "shadow", "live"), "default": "shadow"}}
+        known = {"input": {"required": True}, "registry": {"default": "registry"}, "uc": {"choices": deployed(), "default": "web_recon"}, "limit": {"type": int}, "version": {}, "config": {"required": True}, "folder": {}, "state": {"default": "state"}, "mode": {"choices": ("observe", "shadow", "live"), "default": "shadow"}}
         for f in flags:
             c.add_argument(f"--{f}", **known.get(f, {"action": "store_true"}))
 
@@ -153,6 +187,7 @@ def parser() -> argparse.ArgumentParser:
     command("backtest", backtest, "input", "uc", "limit")
     command("promote", promote, "uc", "version", "rollback", "registry")
     command("status", status, "registry")
+    command("check", check, "input", "uc", "limit", "version", "registry")
     command("plugins", list_plugins, "folder")
     command("run", run, "input", "registry", "state", "mode", "once")
     command("version", lambda a: print(fixed.__name__.split(".")[0], "0.1") or 0)

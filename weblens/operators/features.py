@@ -210,8 +210,8 @@ def window_features(requests: DataFrame, profile: Profile, window_s: int = fixed
     robots = robots.select(F.col("server").alias("s1"), F.col("family").alias("f1"), "since")
     end = (F.col("bucket") + 1) * window_s
     out = out.withColumn("crawler_family", X.crawler_family(F.col("user_agent"))).withColumn("declared_bot", X.declared_bot(F.col("user_agent")))
-    # A row a server and family: small whatever the input.
-    out = out.join(F.broadcast(robots), (F.col("server") == F.col("s1")) & (F.col("crawler_family") == F.col("f1")) & (F.col("since") < end), "left")
+    # A row a server and family; Spark broadcasts it where it is small.
+    out = out.join(robots, (F.col("server") == F.col("s1")) & (F.col("crawler_family") == F.col("f1")) & (F.col("since") < end), "left")
     return out.select(
         *ENTITY, (F.col("bucket") * window_s).alias("window_start"), end.alias("window_end"), "event_count", "distinct_paths", "distinct_paths_capped", "n404", "user_agent", "declared_bot", "crawler_family",
         X.in_family(F.col("source_ip"), F.col("crawler_family")).alias("verified_crawler"), F.col("since").isNotNull().alias("family_robots_txt"),

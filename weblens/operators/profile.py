@@ -32,9 +32,31 @@ class Profile:
 
 
 def most_frequent(counts: DataFrame, n: str, item: str, cap: int) -> DataFrame:
-    """The ``cap`` most frequent items of each server. The window sees counts, one row an item, and keeps the head of each."""
-    w = Window.partitionBy("server").orderBy(F.desc(n), item)
-    return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap).drop("place")
+    """The ``cap`` most frequent items of each server; equal ones by name.
+
+    How many items occur how often says which count a server's head ends in; all above it stay. Of those with just that
+    count the first by name fill what is left: they lie in sorted ranges, whose sizes are chained on the driver (a row for
+    each range and server in it), so that no task orders all items of a server.
+    """
+    often = counts.groupBy("server", F.col(n).alias("_n")).agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy("server").orderBy(F.desc("_n")))
+    # Different counts of a server are few: they add up to its requests.
+    full = often.withColumn("_upto", upto).where(F.col("_upto") > cap)
+    ends = full.groupBy("server").agg(F.max(F.struct("_n", (F.lit(cap) - F.col("_upto") + F.col("_m")).alias("_left"))).alias("_end")).select("server", "_end.*")
+    if not ends.limit(1).count():
+        return counts
+    rows = counts.join(ends, "server", "left")
+    above = rows.where(F.col("_n").isNull() | (F.col(n) > F.col("_n"))).select(*counts.columns)
+    ties = rows.where(F.col(n) == F.col("_n")).repartitionByRange("server", item).withColumn("_p", F.spark_partition_id()).persist()
+    before: dict[str, int] = {}
+    starts = []
+    for server, p, m in sorted(map(tuple, ties.groupBy("server", "_p").agg(F.count("*")).collect()), key=lambda r: (r[0] or "", r[1])):
+        starts.append((server, p, before.get(server, 0)))
+        before[server] = before.get(server, 0) + m
+    placed = ties.join(counts.sparkSession.createDataFrame(starts, "server string, _p int, _before long"), ["server", "_p"])
+    within = F.row_number().over(Window.partitionBy("server", "_p").orderBy(item))
+    kept = placed.where(F.col("_before") < F.col("_left")).withColumn("_i", F.col("_before") + within).where(F.col("_i") <= F.col("_left"))
+    return above.unionByName(kept.select(*counts.columns))
 
 
 def path_counts(requests: DataFrame) -> DataFrame:

@@ -130,11 +130,19 @@ def split_by_time(events: DataFrame, share: float = 0.6) -> tuple[DataFrame, Dat
     return events.where(F.col("epoch") < cut), events.where(F.col("epoch") >= cut), cut
 
 
+def busiest(bundle: Bundle) -> str:
+    """The server with most requests of a bundle's profile."""
+    most = bundle.profile.path_totals.orderBy(F.desc("n"), "server").first()
+    if most is None:
+        raise TrainingError(f"{bundle.usecase}: the profile has no server")
+    return most.server
+
+
 def backtest(requests: DataFrame, usecase: str, share: float = 0.6, window_s: int = fixed.WINDOW_S) -> tuple[DataFrame, DataFrame, Bundle]:
     """Train on the first part, score the rest with a canary among it; log, alerts and bundle. No budget applies."""
     before, after, cut = split_by_time(requests, share)
     bundle = train(before, usecase, "backtest", window_s)
-    spark, server = requests.sparkSession, bundle.profile.path_totals.orderBy(F.desc("n"), "server").first().server
+    spark, server = requests.sparkSession, busiest(bundle)
     canary = usecases.named(usecase).canary(spark, server, (cut // window_s + 1) * window_s)
     held = after.select(*canary.columns).unionByName(canary)
     rows = judged(score_windows(window_features(held, bundle.profile, window_s), bundle), bundle).persist()
@@ -166,7 +174,7 @@ def candidate_check(requests: DataFrame, serving: Bundle, candidate: Bundle, mos
     Not if it misses the canary, or fires more than ``most`` times as often as the serving bundle (1 in 1000 windows at least).
     """
     case, window_s = usecases.named(serving.usecase), serving.metadata["window_s"]
-    spark, server = requests.sparkSession, serving.profile.path_totals.orderBy(F.desc("n"), "server").first().server
+    spark, server = requests.sparkSession, busiest(serving)
     first = requests.agg(F.min("epoch")).first()[0] or 0
     canary = case.canary(spark, server, (first // window_s + 1) * window_s)
     held = requests.select(*canary.columns).unionByName(canary)
