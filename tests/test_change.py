@@ -70,3 +70,39 @@ def test_pauses_and_breadth(spark):
     got = behaviour.rhythm(frame).collect()
     assert len(got) == 1 and got[0].patterns == 9 and 0 <= got[0].permutation_entropy <= 1
     assert behaviour.sequence_likelihood(frame).first().steps == 11
+
+
+def plain_walk(values, delta=0.002, width=5):
+    """The same window with its values kept: groups of 1, 2, 4, ... values, two joined when there are more than ``width``."""
+    import math
+
+    groups, out = [], []
+    for x in values:
+        groups.append([x])
+        for size in (2**k for k in range(20)):
+            while sum(len(g) == size for g in groups) > width:
+                i = [len(g) for g in groups].index(size)
+                groups = groups[:i] + [groups[i] + groups[i + 1]] + groups[i + 2 :]
+        changed = False
+        while len(groups) > 1:
+            every = [v for g in groups for v in g]
+            n, mean = len(every), sum(every) / len(every)
+            variance, log = sum((v - mean) ** 2 for v in every) / n, math.log(2 * math.log(n + 1) / delta)
+            cuts = [sum(len(g) for g in groups[:i]) for i in range(1, len(groups))]
+            far = [c for c in cuts if abs(sum(every[:c]) / c - sum(every[c:]) / (n - c)) > math.sqrt(2 * variance * log * (1 / c + 1 / (n - c))) + 2 / 3 * log * (1 / c + 1 / (n - c))]
+            if not far:
+                break
+            groups, changed = groups[1:], True
+        out.append((sum(map(len, groups)), pytest.approx(sum(map(sum, groups)) / sum(map(len, groups))), changed))
+    return out
+
+
+def test_windows_that_shrink_at_a_change(spark):
+    r = random.Random(4)
+    series = {"step": [r.random() * 0.2 + (0.7 if i > 150 else 0) for i in range(300)], "calm": [r.random() for _ in range(200)], "one": [0.5]}
+    rows = [(s, i, v) for s, vs in series.items() for i, v in enumerate(vs)] + [("calm", 999, None)]
+    got = change.adaptive_means(spark.createDataFrame(rows, "series string, at long, value double").repartition(5)).collect()
+    for s, vs in series.items():
+        mine = sorted((g for g in got if g.series == s), key=lambda g: g.at)
+        assert [(g.width, g["mean"], g.changed) for g in mine] == plain_walk(vs)
+    assert any(g.changed for g in got if g.series == "step") and not any(g.changed for g in got if g.series == "calm")

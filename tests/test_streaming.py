@@ -70,7 +70,7 @@ def test_live_batches_score_like_the_batch_plan(spark, tmp_path):
 
     requests = traffic(spark, 12, 40)
     bots, recon = detection.train(requests, "bot_detection", "v1"), detection.train(requests, "web_recon", "v1")
-    service = live.Live(spark, str(tmp_path / "state"), bots, recon, drift_s=0.0)
+    service = live.Live(spark, str(tmp_path / "state"), bots, recon)
     first = requests.agg(F.min("epoch")).first()[0]
     cut = (first // 300 + 3) * 300
     # Two micro-batches of whole windows pass the keyed memory; the second runs twice.
@@ -92,6 +92,8 @@ def test_live_batches_score_like_the_batch_plan(spark, tmp_path):
     whole = detection.score_windows(window_features(requests, bots.profile), bots)
     got = log.where("usecase = 'bot_detection'").withColumnRenamed("fused_pct", "live_pct").join(whole, [*detection.ENTITY, "window_start"])
     assert got.where(F.abs(F.col("live_pct") - F.round("fused_pct", 5)) > 1e-9).count() == 0
+    service.drift_s = 0.0
+    service.check_drift(2)
     assert spark.read.parquet(str(tmp_path / "state" / "drift")).where("usecase = 'web_recon'").count() >= 1
     assert live.drift_check(service, recon, least=5).first().band in ("stable", "moderate", "significant")
     assert fixed.GRACE_S == 120

@@ -1,7 +1,9 @@
 """How distributions and series change: two-sample distances, smoothed and summed deviations, seasonal breaches."""
 
+import math
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -134,3 +136,69 @@ def seasonal_breach(rows: DataFrame) -> DataFrame:
 def sent_within(by: list[str], seconds: int, size: str = "size", at: str = "epoch") -> Column:
     """What a client has sent in the last ``seconds``, its rows of the same second included."""
     return F.sum(size).over(Window.partitionBy(*by).orderBy(at).rangeBetween(-seconds, 0))
+
+
+class AdaptiveWindow:
+    """ADWIN: the mean of a window that is cut at its oldest end when two parts of it differ by more than chance allows.
+
+    Values (from 0 to 1) lie in buckets of 1, 2, 4, ... values, ``WIDTH`` of each size at most, so a window of n takes about
+    log n of them; two buckets of one size too many become one of the next. A bucket is its number, sum and sum of squares.
+    """
+
+    WIDTH = 5
+
+    def __init__(self, delta: float = 0.002):
+        self.delta = delta
+        #: Oldest first.
+        self.buckets: list[tuple[int, float, float]] = []
+
+    def add(self, x: float) -> bool:
+        """Take a value; whether the window was cut."""
+        self.buckets.append((1, x, x * x))
+        size = 1
+        while sum(b[0] == size for b in self.buckets) > self.WIDTH:
+            i = next(i for i, b in enumerate(self.buckets) if b[0] == size)
+            self.buckets[i : i + 2] = [tuple(a + b for a, b in zip(self.buckets[i], self.buckets[i + 1], strict=True))]
+            size *= 2
+        cut = False
+        while self._differs():
+            self.buckets.pop(0)
+            cut = True
+        return cut
+
+    def _differs(self) -> bool:
+        n, total, squares = (sum(b[k] for b in self.buckets) for k in range(3))
+        if n < 2:
+            return False
+        log = math.log(2 * math.log(n + 1) / self.delta)
+        variance = max(0.0, squares / n - (total / n) ** 2)
+        n0 = s0 = 0.0
+        for b in self.buckets[:-1]:
+            n0, s0 = n0 + b[0], s0 + b[1]
+            m = 1 / (1 / n0 + 1 / (n - n0))
+            if abs(s0 / n0 - (total - s0) / (n - n0)) > math.sqrt(2 * variance * log / m) + 2 * log / (3 * m):
+                return True
+        return False
+
+    @property
+    def width(self) -> int:
+        return sum(b[0] for b in self.buckets)
+
+    @property
+    def mean(self) -> float:
+        return sum(b[1] for b in self.buckets) / self.width if self.buckets else 0.0
+
+
+def adaptive_means(series: DataFrame, delta: float = 0.002) -> DataFrame:
+    """(series, at, value, width, mean, changed) of rows (series, at, value): one row a series and step of time, such as hourly
+    shares, so that a series is as long as its time and fits a task. Null values are left out."""
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        window, out = AdaptiveWindow(delta), []
+        for r in frame.sort_values("at", kind="stable").itertuples(index=False):
+            changed = window.add(float(r.value))
+            out.append((r.series, r.at, r.value, window.width, window.mean, changed))
+        return pd.DataFrame(out, columns=["series", "at", "value", "width", "mean", "changed"])
+
+    rows = series.select("series", F.col("at").cast("long").alias("at"), F.col("value").cast("double").alias("value")).where("value is not null")
+    return rows.groupBy("series").applyInPandas(walk, "series string, at long, value double, width long, mean double, changed boolean")

@@ -117,3 +117,12 @@ def campaigns(spark, d):
 
 
 SQL["campaigns"] = SQL["campaigns"].replace("with ", "with recursive ", 1)
+
+
+def adaptive_errors(spark, d):
+    """The share of failed requests by server and hour, as a mean that follows changes; no SQL."""
+    hours = requests(spark, d).groupBy(F.col("server").alias("series"), F.floor(F.col("epoch") / 3600).alias("at"))
+    return change.adaptive_means(hours.agg((F.count_if(F.col("status_code") >= 400) / F.count("*")).alias("value"))).select("series", "at", F.round("value", 6).alias("value"), "width", F.round("mean", 6).alias("mean"), "changed")
+
+
+QUERIES["adaptive_errors"] = adaptive_errors
