@@ -280,7 +280,9 @@ def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or fit(docs)
     cut = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", paragraphs(F.col("text")).alias("ps"))
-    rows = cut.select("row", "doc_id", F.size("ps").alias("n_judged"), F.posexplode_outer("ps").alias("at", "paragraph"))
+    # Counted before it is taken apart, or each paragraph would carry its document's whole list.
+    cut = cut.select("row", "doc_id", F.size("ps").alias("n_judged"), "ps")
+    rows = cut.select("row", "doc_id", "n_judged", F.posexplode_outer("ps").alias("at", "paragraph"))
     # The first paragraph stays for its document's row; the others that are proven none add nothing to it.
     rows = model.open(rows.withColumn("w", words(F.col("paragraph")))).where("open or at is null or at = 0").drop("open", "at", "w")
     told = judged(rows, model)
