@@ -51,3 +51,19 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     for b in bins:
         full[b.bin_id] += b.words
     assert max(full.values()) <= 2048
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_of_odd_tables(spark, tmp_path, empty):
+    """Empty tables; nulls in any column, repeated rows, and columns that operators might use themselves."""
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, f"{words} {i} and {i * 7} more of text{i}", "en", "a" if i % 3 else None, 9, "x", i, 1, True) for i in range(60)]
+    rows += [(5, rows[5][1], "en", "a", 9, "x", 5, 1, True), (100, None, None, None, None, None, None, None, None), (None, words, "en", "b", 3, "y", 1, 0, False), (101, "", "en", "b", 0, "y", 1, 0, False), (102, rows[7][1], None, "b", 9, "z", 7, 1, True)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, cluster string, size long, label int, held_out boolean"
+    spark.createDataFrame([] if empty else rows, names).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, int(i % 10 == 0)) for i in range(40)] + [(None, 1, 1), (3, None, None)]
+    spark.createDataFrame([] if empty else labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(got) != empty and all(r.words >= 0 for r in got)
+    ids = {r.doc_id for r in got}
+    assert empty or (len(ids & set(range(60))) > 20 and not {7, 102} <= ids)
