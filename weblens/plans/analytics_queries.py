@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weblens.operators import behaviour, change
+from weblens.operators import behaviour, change, seasons
 from weblens.plans.scalar_queries import requests
 from weblens.sources import web_view
 
@@ -126,3 +126,23 @@ def adaptive_errors(spark, d):
 
 
 QUERIES["adaptive_errors"] = adaptive_errors
+
+
+def hourly_counts(spark, d):
+    rows = requests(spark, d).groupBy(F.col("server").alias("series"), F.floor(F.col("epoch") / 3600).alias("at"))
+    return rows.agg(F.count("*").alias("value"))
+
+
+def seasonal_traffic(spark, d):
+    """Requests by server and hour as trend, day, week and rest; an hour without requests is 0. No SQL."""
+    got = seasons.seasonal_parts(hourly_counts(spark, d), (24, 168), fill=0.0)
+    return got.select("series", "at", "value", *[F.round(c, 6).alias(c) for c in ("trend", "seasonal_24", "seasonal_168", "remainder")])
+
+
+def traffic_regimes(spark, d):
+    """Stretches of one level of requests by server and hour, once the day's course is taken out. No SQL."""
+    got = seasons.regimes(hourly_counts(spark, d), (24,), fill=0.0)
+    return got.select("series", "regime", "start", "end", "steps", F.round("mean", 6).alias("mean"), F.round("change", 6).alias("change"))
+
+
+QUERIES |= {q.__name__: q for q in (seasonal_traffic, traffic_regimes)}
