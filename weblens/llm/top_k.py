@@ -3,9 +3,9 @@
 Vectors become integers ``floor(scale * x)``. With one more component ``sqrt(M - |x|^2)``, M the greatest squared length,
 larger inner products are smaller distances, so the triangle inequality serves. Each vector is keyed by its nearest pivot
 and its distance from it; sorted by both, the sequence is cut into annuli of bounded size. A bounded sample of rows gives
-each query a first bound of its k-th score. A block of queries meets only annuli within its bound, nearest first, its bound
-shrinks as it goes, and an annulus that cannot hold a better row is passed over. Bounds only save work: every row is
-indexed and the result is exact.
+each query a first bound of its k-th score. Queries, which are few, travel in blocks to the annuli within their bounds: first
+to the nearest annulus of each pivot, which tightens the bounds, then to those that still may hold a better row. Bounds only
+save work: every row is indexed and the result is exact.
 
 Null vectors, vectors with null or non-finite components and rows with a null id take no part. Vectors of each length have an
 index of their own, and a query is answered among those of its length. Rows of the query's own id are no candidates; a
@@ -52,13 +52,6 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def merged(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    other = ids != own
-    ids, scores = np.concatenate([held[0], ids[other]]), np.concatenate([held[1], scores[other]])
-    first = best(scores, ids, k)
-    return ids[first], scores[first]
-
-
 def top_k(rows: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query among rows (vec_id, embedding) its k best others."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector")).where(valid(F.col("vector")) & F.col("vec_id").isNotNull())
@@ -86,7 +79,7 @@ def best_of_width(rows: DataFrame, width: int, is_query: Column, k: int, scale:
     some, some_ids = matrix([r.v for r in sample], width), np.array([r.vec_id for r in sample])
     pivots = np.unique(some[:PIVOTS], axis=0)
     shared = spark.sparkContext.broadcast((some, some_ids, pivots))
-    rest = np.sqrt((most - squares(pivots)).astype(np.float64))
+    lift = np.sqrt((most - squares(pivots)).astype(np.float64))
     slack = SLACK * (1 + float(most) ** 0.5)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +87,7 @@ def best_of_width(rows: DataFrame, width: int, is_query: Column, k: int, scale:
         for b in batches:
             if b.num_rows:
                 v = matrix(b.column("v").to_pylist(), width)
-                square = 2 * float(most) - 2 * (products(v, p, most) + np.sqrt((most - squares(v)).astype(np.float64))[:, None] * rest[None])
+                square = 2 * float(most) - 2 * (products(v, p, most) + np.sqrt((most - squares(v)).astype(np.float64))[:, None] * lift[None])
                 far = np.sqrt(np.maximum(square, 0))
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(far.argmin(axis=1).astype(np.int32)), pa.array(far.min(axis=1))], names=["vec_id", "v", "pivot", "far"])
 
@@ -121,8 +114,8 @@ def best_of_width(rows: DataFrame, width: int, is_query: Column, k: int, scale:
     index = keep(index)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of queries with, for each pivot, the distances from it between which they must look."""
-        x, x_ids, p = shared.value
+        """Blocks of queries, each query with the k-th score that the sample gives it."""
+        x, x_ids, _ = shared.value
         for b in batches:
             for i in range(0, b.num_rows, QUERIES):
                 part = b.slice(i, QUERIES)
@@ -133,37 +126,36 @@ def best_of_width(rows: DataFrame, width: int, is_query: Column, k: int, scale:
                     other = scores[j][x_ids != ids[j]]
                     if len(other) >= k:
                         bound[j] = np.partition(other, -k)[-k]
+                yield pa.RecordBatch.from_arrays([blobs([ids]), blobs([q]), blobs([bound])], names=["q_ids", "q", "bound"])
+
+    def tighten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same blocks with the k-th scores that were found, where those are greater."""
+        for b in batches:
+            for r in b.to_pylist():
+                bound, got = np.frombuffer(r["bound"]).copy(), {g["query_id"]: g["score"] for g in r["got"] or []}
+                for j, q in enumerate(np.frombuffer(r["q_ids"], dtype=np.int64).tolist()):
+                    bound[j] = max(bound[j], got.get(q, -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([r["q_ids"]]), pa.array([r["q"]]), blobs([bound])], names=["block", "q_ids", "q", "bound"])
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block and pivot the distances from it between which the block must look."""
+        p = shared.value[2]
+        for b in batches:
+            for block, q, bound in zip(*(b.column(c).to_pylist() for c in ("block", "q", "bound")), strict=True):
+                q, bound = matrix([q], width), np.frombuffer(bound)
                 reach = np.sqrt(np.maximum(squares(q) + float(most) - 2 * bound, 0)) + slack
                 far = np.sqrt(np.maximum(squares(q)[:, None] + float(most) - 2.0 * products(q, p, most), 0))
                 low, high = (far - reach[:, None]).min(axis=0), (far + reach[:, None]).max(axis=0)
-                yield pa.RecordBatch.from_arrays([blobs([ids]), blobs([q]), blobs([bound]), pa.array([list(enumerate_bounds(low, high))], pa.list_(pa.struct([("pivot", pa.int32()), ("from", pa.float64()), ("to", pa.float64())])))], names=["q_ids", "q", "bound", "bounds"])
-
-    # Queries of a block lie close to each other, so that few annuli are of interest to it.
-    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(place, "vec_id long, v binary, pivot int, far double")
-    queries = queries.repartitionByRange(max(1, partitions // 2), "pivot", "far", "vec_id").sortWithinPartitions("pivot", "far", "vec_id").select("vec_id", "v")
-    asked = queries.mapInArrow(ask, "q_ids binary, q binary, bound binary, bounds array<struct<pivot:int,from:double,to:double>>")
-    asked = keep(keep(asked).withColumn("block", F.monotonically_increasing_id()))
-    need = asked.select("block", F.explode("bounds").alias("b")).select("block", "b.pivot", F.col("b.from").alias("from"), F.col("b.to").alias("to"))
-    pairs = need.join(index.select("annulus", "pivot", "low", "high"), "pivot").where((F.col("high") >= F.col("from")) & (F.col("low") <= F.col("to")))
-    middle = (F.col("from") + F.col("to")) / 2
-    pairs = pairs.select("block", "annulus", "pivot", F.greatest(F.lit(0.0), F.col("low") - middle, middle - F.col("high")).alias("gap"))
+                names = ["block", "pivot", "from", "to"]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(p), pa.int64()), pa.array(range(len(p)), pa.int32()), pa.array(low), pa.array(high)], names=names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best rows of an annulus for each query of a block that may find some there."""
         p = shared.value[2]
-        at, held = None, {}
-
-        def told() -> pa.RecordBatch:
-            out = [(q, int(i), int(s)) for q, (_, ids, scores) in held.items() for i, s in zip(ids, scores, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
-
         for b in batches:
             for r in b.to_pylist():
-                if at != (r["block"], r["pivot"]):
-                    if held:
-                        yield told()
-                    at, held = (r["block"], r["pivot"]), {}
-                    q_ids, q, bound = np.frombuffer(r["q_ids"], dtype=np.int64), matrix([r["q"]], width), np.frombuffer(r["bound"]).copy()
-                    far = np.sqrt(np.maximum(squares(q) + float(most) - 2.0 * products(q, p[r["pivot"]][None], most)[:, 0], 0))
+                q_ids, q, bound = np.frombuffer(r["q_ids"], dtype=np.int64), matrix([r["q"]], width), np.frombuffer(r["bound"])
+                far = np.sqrt(np.maximum(squares(q) + float(most) - 2.0 * products(q, p[r["pivot"]][None], most)[:, 0], 0))
                 reach = np.sqrt(np.maximum(squares(q) + float(most) - 2 * bound, 0)) + slack
                 open_ = np.flatnonzero((far - reach <= r["high"]) & (far + reach >= r["low"]))
                 if not len(open_):
@@ -171,24 +163,36 @@ def best_of_width(rows: DataFrame, width: int, is_query: Column, k: int, scale:
                 ids = np.frombuffer(r["ids"], dtype=np.int64)
                 scores = products(q[open_], matrix([r["v"]], width), most)
                 for j, s in zip(open_.tolist(), scores, strict=True):
-                    some = s >= bound[j]
+                    some = (s >= bound[j]) & (ids != q_ids[j])
                     if some.any():
-                        got = merged(held.get(int(q_ids[j]), (0, EMPTY, EMPTY))[1:], ids[some], s[some], int(q_ids[j]), k)
-                        held[int(q_ids[j])] = (0, *got)
-                        if len(got[1]) == k:
-                            bound[j] = max(bound[j], got[1][-1])
-        if held:
-            yield told()
-
-    full = pairs.join(index.select("annulus", "low", "high", "ids", "v"), "annulus").join(asked.select("block", "q_ids", "q", "bound"), "block")
-    full = full.repartition(partitions, "block", "pivot").sortWithinPartitions("block", "pivot", "gap", "annulus")
-    found = full.select("block", "pivot", "low", "high", "ids", "v", "q_ids", "q", "bound").mapInArrow(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+                        there, s = ids[some], s[some]
+                        first = best(s, there, k)
+                        yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(first)), pa.array([int(q_ids[j])] * len(first)), pa.array(there[first]), pa.array(s[first])], names=["block", "query_id", "vec_id", "score"])
+
+    def meeting(blocks: DataFrame) -> DataFrame:
+        """(block, annulus, gap): annuli within a block's ranges, and how far each is from the middle of its range."""
+        need = blocks.select("block", "q", "bound").mapInArrow(ranges, "block long, pivot int, from double, to double")
+        met = need.join(index.select("annulus", "pivot", "low", "high"), "pivot").where((F.col("high") >= F.col("from")) & (F.col("low") <= F.col("to")))
+        middle = (F.col("from") + F.col("to")) / 2
+        return met.select("block", "pivot", "annulus", F.greatest(F.lit(0.0), F.col("low") - middle, middle - F.col("high")).alias("gap"))
+
+    def found(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+        # Blocks of queries are shuffled for each pair; an annulus is shuffled once.
+        sent = pairs.select("block", "annulus").join(blocks, "block")
+        return index.join(sent, "annulus").select("block", "pivot", "low", "high", "ids", "v", "q_ids", "q", "bound").mapInArrow(search, "block long, query_id long, vec_id long, score long")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-EMPTY = np.zeros(0, dtype=np.int64)
-
-
-def enumerate_bounds(low: np.ndarray, high: np.ndarray) -> Iterator[dict]:
-    return ({"pivot": i, "from": a, "to": b} for i, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)))
+    # Queries of a block lie close to each other, so that few annuli are of interest to it.
+    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(place, "vec_id long, v binary, pivot int, far double")
+    queries = queries.repartitionByRange(max(1, partitions // 2), "pivot", "far", "vec_id").sortWithinPartitions("pivot", "far", "vec_id").select("vec_id", "v")
+    asked = keep(keep(queries.mapInArrow(ask, "q_ids binary, q binary, bound binary")).withColumn("block", F.monotonically_increasing_id()))
+    near = keep(meeting(asked).groupBy("block", "pivot").agg(F.min(F.struct("gap", "annulus")).alias("best")).select("block", F.col("best.annulus").alias("annulus")))
+    first = keep(ranked(found(asked, near)))
+    got = first.where(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("query_id", "score")).alias("got"))  # QUERIES at most
+    tighter = keep(asked.join(got, "block", "left").mapInArrow(tighten, "block long, q_ids binary, q binary, bound binary"))
+    rest = meeting(tighter).join(near, ["block", "annulus"], "left_anti")
+    names = ("query_id", "vec_id", "score")
+    return ranked(first.select(*names).union(found(tighter, rest).select(*names))).select("query_id", "rank", "vec_id", "score")
