@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weblens import plugins
-from weblens.operators import detect, drift, models, scoring
+from weblens.operators import detect, drift, models, neighbours, scoring
 from weblens.plans import detection, registry
 from weblens.sources import canaries, ndjson
 
@@ -206,8 +206,8 @@ def test_records_of_lines(spark):
 
 def test_neighbours_over_blocks(spark, monkeypatch):
     """Density by blocks of a few rows equals plain distances; every row is scored and in the reference."""
-    for name, value in (("LOF_BLOCK", 7), ("LOF_STEP", 3)):
-        monkeypatch.setattr(models, name, value)
+    for name, value in (("BLOCK", 7), ("STEP", 3), ("SAMPLE", 12), ("PIVOTS", 4)):
+        monkeypatch.setattr(neighbours, name, value)
     points = [(i, math.sin(i) * (i % 5), float(i % 3)) for i in range(60)] + [(99, 30.0, 30.0)]
     k, near = 4, {}
     for i, *x in points:
@@ -274,3 +274,32 @@ def test_state_store(spark, tmp_path):
     assert {r.key: r.n for r in store.get().collect()} == {"a": 5, "b": 1} and {r.key: r.n for r in store.count_unique().collect()} == {"a": 2, "b": 1}
     left = store.expire(15)
     assert {r.key: r.n for r in left.get().collect()} == {"a": 3, "b": 1} == {r.key: r.n + 2 * (r.key == "a") for r in left.count_unique().collect()}
+
+
+def test_neighbours_of_a_reference_and_on_one_scale(spark, monkeypatch):
+    """Queries outside the reference, more neighbours than there are, copies, nulls, and a scale from the reference."""
+    for name, value in (("BLOCK", 9), ("STEP", 4), ("SAMPLE", 20), ("PIVOTS", 6)):
+        monkeypatch.setattr(neighbours, name, value)
+    r = np.random.default_rng(2)
+    points = {i: (r.normal(size=3) * [1, 9, 0.1] + r.integers(4) * 6).tolist() for i in range(150)} | {200 + i: [1.0, 2.0, 3.0] for i in range(15)}
+    points[300] = [None, math.nan, 1.0]
+    asked = {i: x for i, x in points.items() if i % 3 == 0} | {1000 + i: (r.normal(size=3) * 20).tolist() for i in range(20)}
+    frame = lambda d: spark.createDataFrame([(i, *x) for i, x in d.items()], "id long, x double, y double, z double")
+    zero = lambda x: [0.0 if v is None or math.isnan(v) else v for v in x]
+    for k in (3, 170):
+        got = {}
+        for q, i, d in neighbours.nearest(frame(asked), frame(points), ["x", "y", "z"], k).collect():
+            got.setdefault(q, []).append((d, i))
+        for q, x in asked.items():
+            want = sorted((math.dist(zero(x), zero(y)), i) for i, y in points.items() if i != q)[:k]
+            mine = sorted(got[q])
+            assert [d for d, _ in mine] == pytest.approx([d for d, _ in want]) and len({i for _, i in mine}) == len(want)
+            assert {i for d, i in mine if d < want[-1][0] - 1e-9} == {i for d, i in want if d < want[-1][0] - 1e-9}
+    plain = {i: x for i, x in points.items() if i != 300}
+    v = np.array(list(plain.values()))
+    scale = dict(zip(plain, ((v - v.mean(axis=0)) / v.std(axis=0)).tolist(), strict=True))
+    a = {x.id: x.lof for x in models.lof_scores(frame(plain), ["x", "y", "z"], 5, scale=True).collect()}
+    b = {x.id: x.lof for x in models.lof_scores(frame(scale), ["x", "y", "z"], 5).collect()}
+    assert a == {i: pytest.approx(x, rel=1e-6) for i, x in b.items()}
+    assert neighbours.nearest(frame(points).where("false"), frame(points), ["x", "y", "z"], 3).collect() == []
+    assert neighbours.nearest(frame(asked), frame(points).where("false"), ["x", "y", "z"], 3).collect() == []

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from weblens import plugins
-from weblens.operators import density
+from weblens.operators import density, neighbours
+from weblens.operators.lineage import cut
 
 TREES, PSI, SEED = 200, 256, 7
-#: Neighbours, rows of a block, and queries that are compared with a block at once.
-LOF_K, LOF_BLOCK, LOF_STEP = 20, 4096, 256
+#: Neighbours, and queries of the clusters that are compared with their rows at once.
+LOF_K, LOF_STEP = 20, 256
 LEAST_MINORITY, FOLDS = 15, 3
 #: The mixture: rows that it starts from, rounds at most, least gain of a round in log likelihood a row, least variance.
 START, ROUNDS, TOLERANCE, LEAST_VARIANCE = 2048, 100, 1e-3, 1e-4
@@ -115,61 +116,24 @@ class IsolationForest:
         return rows.withColumn(out, apply(*[F.col(c).cast("double") for c in self.features]))
 
 
-# Local outlier factor, over blocks of rows: each block of queries meets each block of the reference once.
-
-
-def blocks(rows: DataFrame, features: list[str], n: int) -> DataFrame:
-    """(block, ids, x): rows dealt to blocks of some LOF_BLOCK by a hash of their id, as packed arrays."""
-    many = max(1, -(-n // LOF_BLOCK))
-    one = rows.select(F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias("block"), F.struct(F.col("id").cast("long").alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("x")).alias("row"))
-    packs = one.groupBy("block").agg(F.collect_list("row").alias("rows"))  # LOF_BLOCK rows or so
-    return packs.select("block", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x"))
-
-
-def nearest(queries: DataFrame, reference: DataFrame, features: list[str], k: int) -> DataFrame:
-    """(q, r, d): for each query id its k nearest others of the reference, exactly; equal distances go by the smaller id."""
-    width = len(features)
-    two = blocks(reference, features, reference.count()).select(F.col("block").alias("with"), F.col("ids").alias("r_ids"), F.col("x").alias("r_x"))
-    many = max(1, two.count())
-    one = blocks(queries, features, queries.count()).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, x, r_ids, r_x in zip(*b.columns, strict=True):
-                q, r = (np.asarray(i.values, dtype=np.int64) for i in (ids, r_ids))
-                a, c = (np.asarray(v.values, dtype=float).reshape(-1, width) for v in (x, r_x))
-                for i in range(0, len(q), LOF_STEP):
-                    part = a[i : i + LOF_STEP]
-                    d = np.zeros((len(part), len(r)))
-                    for f in range(width):
-                        d += (part[:, f, None] - c[None, :, f]) ** 2
-                    d[q[i : i + LOF_STEP, None] == r[None]] = np.inf
-                    # All that are no farther than the k-th are ordered by distance and id.
-                    edge = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                    row, at = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
-                    order = np.lexsort((r[at], d[row, at], row))
-                    row, at = row[order], at[order]
-                    place = np.arange(len(row)) - np.searchsorted(row, row)
-                    row, at = row[place < k], at[place < k]
-                    yield pa.RecordBatch.from_arrays([pa.array(q[i + row]), pa.array(r[at]), pa.array(np.sqrt(d[row, at]))], names=["q", "r", "d"])
-
-    found = one.join(two, "with").select("ids", "x", "r_ids", "r_x").mapInArrow(search, "q long, r long, d double")
-    w = Window.partitionBy("q").orderBy("d", "r")
-    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
-
-
-def lof_scores(rows: DataFrame, features: list[str], k: int | None = None, reference: DataFrame | None = None) -> DataFrame:
+# Local outlier factor.
+
+
+def lof_scores(rows: DataFrame, features: list[str], k: int | None = None, reference: DataFrame | None = None, scale: bool = False) -> DataFrame:
     """(id, lof) of rows (id, features): how much sparser a row lies than its neighbours in a reference of any size.
 
-    Without a reference the rows are their own. Work grows with rows times reference; for a large table give a sample as
-    reference and score all rows against it.
+    Without a reference the rows are their own. Neighbours are exact; see ``neighbours`` for what is skipped. With ``scale``
+    features are first put on the reference's scale. A row without any other in the reference has no score.
     """
-    reference = rows if reference is None else reference
+    same = reference is None or reference is rows
+    if scale:
+        rows, reference = neighbours.scaled(rows, features, reference), None if same else neighbours.scaled(reference, features)
+    reference = rows if same else reference
     k = k or min(LOF_K, max(2, reference.count() - 1))
-    near_r = nearest(reference, reference, features, k).persist()
+    near_r = cut(neighbours.nearest(reference, reference, features, k))
     reach_r = near_r.groupBy("q").agg(F.max("d").alias("kd")).withColumnRenamed("q", "r")
     density = near_r.join(reach_r, "r").groupBy("q").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
-    near_q = near_r if reference is rows else nearest(rows, reference, features, k)
+    near_q = near_r if same else neighbours.nearest(rows, reference, features, k)
     own = near_q.join(reach_r, "r").groupBy("q").agg((1.0 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("own"))
     around = near_q.join(density.withColumnRenamed("q", "r").withColumnRenamed("lrd", "theirs"), "r").groupBy("q").agg(F.avg("theirs").alias("theirs"))
     return own.join(around, "q").select(F.col("q").alias("id"), (F.col("theirs") / F.col("own")).alias("lof"))

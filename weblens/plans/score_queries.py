@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from weblens.functions import fixed
 from weblens.operators import detect as D
-from weblens.operators import drift, models, scoring
+from weblens.operators import drift, models, neighbours, scoring
 from weblens.operators import features as W
 from weblens.plans import detection
 from weblens.plans.scalar_queries import BOT_SQL, requests, table
@@ -138,12 +138,35 @@ select nn.q as id, round(avg(o.lrd) / max(s.lrd), 5) as lof from nn join ld o on
     web=False,
 )
 def lof_scores(spark, d):
-    """All vectors of the table with all their components; those of the first one's length are points of one space."""
+    """All vectors of the table with all their components; those of one length are points of one space."""
     e = table(spark, d, "embeddings").where("embedding is not null")
-    width = e.select(F.size("embedding").alias("n")).first()
-    names = [f"x{i}" for i in range(width.n if width else 1)]
-    rows = e.where(F.size("embedding") == len(names)).select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
-    return models.lof_scores(rows, names, LOF_K).select("id", F.round("lof", 5).alias("lof"))
+    widths = sorted(r.n for r in e.select(F.size("embedding").alias("n")).distinct().collect() if r.n)  # a row a length
+    out = spark.createDataFrame([], "id long, lof double")
+    for width in widths:
+        names = [f"x{i}" for i in range(width)]
+        rows = e.where(F.size("embedding") == width).select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+        out = out.union(models.lof_scores(rows, names, LOF_K))
+    return out.select("id", F.round("lof", 5).alias("lof"))
+
+
+CLIENT_FEATURES = ("requests", "paths", "mean_bytes", "failed")
+
+
+@query(
+    f""", c as (select server, source_ip, min(event_id) as id, count(*)::double as requests, count(distinct url_path)::double as paths, avg(body_bytes)::double as mean_bytes, (count_if(status_code >= 400) / count(*))::double as failed from req group by all),
+s as (select {", ".join(f"avg({f}) as m_{f}, coalesce(nullif(stddev_pop({f}), 0), 1) as s_{f}" for f in CLIENT_FEATURES)} from c),
+p as (select id, {", ".join(f"coalesce(round(({f} - m_{f}) / s_{f}, 9), 0) as {f}" for f in CLIENT_FEATURES)} from c, s),
+pd as (select a.id as q, b.id as r, sqrt({" + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in CLIENT_FEATURES)}) as d from p a join p b on a.id <> b.id),
+nn as (select * from (select *, row_number() over (partition by q order by d, r) as n from pd) where n <= {LOF_K}), kd as (select q, max(d) as kd from nn group by 1),
+ld as (select nn.q as q, 1.0 / (avg(greatest(d, kd)) + 1e-10) as lrd from nn join kd on kd.q = nn.r group by 1)
+select nn.q as id, round(avg(o.lrd) / max(s.lrd), 4) as lof from nn join ld o on o.q = nn.r join ld s on s.q = nn.q group by 1"""
+)
+def lof_clients(spark, d):
+    """How sparse each client lies among all clients by what it asked for, features on one scale."""
+    by = requests(spark, d).groupBy("server", "source_ip")
+    rows = by.agg(F.min("event_id").alias("id"), F.count("*").cast("double").alias("requests"), F.countDistinct("url_path").cast("double").alias("paths"), F.avg("body_bytes").alias("mean_bytes"), (F.count_if(F.col("status_code") >= 400) / F.count("*")).alias("failed"))
+    points = neighbours.scaled(rows, list(CLIENT_FEATURES)).select("id", *[F.round(f, 9).alias(f) for f in CLIENT_FEATURES])
+    return models.lof_scores(points, list(CLIENT_FEATURES), LOF_K).select("id", F.round("lof", 4).alias("lof"))
 
 
 # Fitted models, training and backtests: no SQL.
