@@ -3,8 +3,8 @@
 Unit vectors with cosine t are ``eps = sqrt(2 - 2 t)`` apart. Vectors are sorted by their grid cells of width eps on the
 leading principal axes of all vectors. The sequence is cut into blocks, and blocks into intervals of several, each with
 its bounding box on these axes. Intervals whose boxes are within eps are found by the first axis' cells and box distance,
-then their blocks likewise; a pair of blocks is joined in one task, which again skips provably distant parts before it
-takes exact cosines in double precision. Any orthonormal axes give right results; principal ones skip most.
+then their blocks likewise. Pairs whose blocks lie in the same two groups of neighbours in the sequence are one tile: each block is sent
+once a tile, not once a pair. A pair again skips provably distant parts before it takes exact cosines in double precision. Any orthonormal axes give right results; principal ones skip most.
 
 Identical vectors become one node with a count first. A task sends link counts and a spanning set of links for each pair
 of parts, so a dense group costs rows in proportion to its nodes.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from weblens.llm.common import batches_of, blobs, chunk_rows, components, keep, lists, summed_chunks
 from weblens.llm.vectors import common_width, valid
 
-#: Leading axes of the grid; vectors in a block, in a part of a block, and blocks in an interval.
-AXES, BLOCK, PART, INTERVAL = 6, 4096, 512, 16
+#: Leading axes of the grid; vectors in a block, in a part of a block, blocks in an interval, and in a group (a task holds one group).
+AXES, BLOCK, PART, INTERVAL, GROUP = 6, 4096, 512, 16, 4
 SCALE = 1e9
 
 
@@ -60,7 +60,7 @@ def axes_for(width: int, axes: np.ndarray) -> np.ndarray:
 
 
 def in_blocks(nodes: DataFrame, axes: np.ndarray, eps: float, partitions: int, single: bool) -> DataFrame:
-    """(block, interval, width, low, high, ids, times, vectors): the sequence in grid order, cut into blocks."""
+    """(block, interval, group, width, low, high, ids, times, vectors): the sequence in grid order, cut into blocks."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,31 +69,35 @@ def in_blocks(nodes: DataFrame, axes: np.ndarray, eps: float, partitions: int, s
             at = [np.pad(a, (0, AXES - len(a))) for a in at]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "times", "vector")), pa.array([len(v) for v in rows], pa.int32()), lists(at, pa.int64())], names=["id", "times", "vector", "width", "cell"])
 
-    def block(rows: list[tuple], interval: int) -> pa.RecordBatch:
+    def block(rows: list[tuple], interval: int, group: int) -> pa.RecordBatch:
         v = np.stack([x for *_, x in rows])
         on = unit(v) @ axes_for(v.shape[1], axes)
         low, high = (np.pad(x, (0, AXES - len(x))) for x in (on.min(axis=0), on.max(axis=0)))
         ids, times = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([interval]), pa.array([v.shape[1]], pa.int32()), lists([low], pa.float64()), lists([high], pa.float64()), blobs([ids]), blobs([times]), blobs([v.astype(np.float32 if single else np.float64)])], names=["block", "interval", "width", "low", "high", "ids", "times", "vectors"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([interval]), pa.array([group]), pa.array([v.shape[1]], pa.int32()), lists([low], pa.float64()), lists([high], pa.float64()), blobs([ids]), blobs([times]), blobs([v.astype(np.float32 if single else np.float64)])], names=["block", "interval", "group", "width", "low", "high", "ids", "times", "vectors"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, interval, blocks = [], None, 0
+        held, interval, group, blocks = [], None, None, 0
         for b in batches:
             for i, n, v in zip(b.column("id").to_pylist(), b.column("times").to_pylist(), arrays(b.column("vector")), strict=True):
                 if held and (len(held) == BLOCK or len(held[0][2]) != len(v)):
-                    yield block(held, interval)
-                    held, blocks = [], blocks + 1
-                if not held and (blocks % INTERVAL == 0 or interval is None):
+                    yield block(held, interval, group)
+                    # Intervals and groups hold vectors of one length.
+                    blocks = blocks + 1 if len(held[0][2]) == len(v) else 0
+                    held = []
+                if not held and blocks % INTERVAL == 0:
                     interval = i
+                if not held and blocks % INTERVAL % GROUP == 0:
+                    group = i
                 held.append((i, n, v))
         if held:
-            yield block(held, interval)
+            yield block(held, interval, group)
 
     kind = nodes.schema["vector"].dataType.simpleString()
     placed = nodes.mapInArrow(place, f"id long, times long, vector {kind}, width int, cell array<long>")
     order = ["width", *[F.get("cell", F.lit(i)) for i in range(AXES)], "id"]
     dealt = placed.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    return keep(dealt.mapInArrow(cut, "block long, interval long, width int, low array<double>, high array<double>, ids binary, times binary, vectors binary"))
+    return keep(dealt.mapInArrow(cut, "block long, interval long, group long, width int, low array<double>, high array<double>, ids binary, times binary, vectors binary"))
 
 
 def near_boxes(eps: float):
@@ -103,8 +107,8 @@ def near_boxes(eps: float):
 
 
 def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """(a, b) of blocks, a not after b, whose boxes are within eps: first between intervals, then inside those that are."""
-    boxes = keep(blocks.select("block", "interval", "width", "low", "high"))
+    """(a, b, group_a, group_b) of blocks, each pair once, whose boxes are within eps: first between intervals, then inside those that are."""
+    boxes = keep(blocks.select("block", "interval", "group", "width", "low", "high"))
     bound = lambda least_or_most, column: F.array(*[least_or_most(F.get(column, F.lit(i))) for i in range(AXES)]).alias(column)
     spans = boxes.groupBy("interval", "width").agg(bound(F.min, "low"), bound(F.max, "high"))
     cells = lambda reach: F.explode(F.sequence(F.floor(F.get("low", F.lit(0)) / eps), F.floor(F.get("high", F.lit(0)) / eps) + reach)).alias("cell")
@@ -112,9 +116,9 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     one = named(spans.select("*", cells(1)), "a", "interval")
     two = named(spans.select("*", cells(1)), "b", "interval")
     near = one.join(two, ["width", "cell"]).where((F.col("interval_a") <= F.col("interval_b")) & near_boxes(eps)).select("interval_a", "interval_b").distinct()
-    pairs = near.join(named(boxes, "a", "block", "interval").drop("width"), "interval_a").join(named(boxes, "b", "block", "interval"), "interval_b")
+    pairs = near.join(named(boxes, "a", "block", "interval", "group").drop("width"), "interval_a").join(named(boxes, "b", "block", "interval", "group"), "interval_b")
     inner = (F.col("interval_a") < F.col("interval_b")) | (F.col("block_a") <= F.col("block_b"))
-    return pairs.where(inner & near_boxes(eps)).select(F.col("block_a").alias("a"), F.col("block_b").alias("b"))
+    return pairs.where(inner & near_boxes(eps)).select(F.col("block_a").alias("a"), F.col("block_b").alias("b"), "group_a", "group_b")
 
 
 def connected(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,33 +170,39 @@ def tile(x: list[tuple], y: list[tuple], same: bool, threshold: float, eps: floa
 def joined(pairs: DataFrame, blocks: DataFrame, axes: np.ndarray, threshold: float, eps: float, single: bool) -> DataFrame:
     """(id, links, to): link counts of nodes in a pair of blocks (to is null), and a spanning set of their links.
 
-    A task reads one pair of blocks at a time and keeps a block over the pairs in a row that share it.
+    A tile's blocks come one by one: first those of its first group, which the task holds, then each of the others with the
+    blocks that it is to be joined with.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple] = {"a": (None, []), "b": (None, [])}
-
-        def block(row: dict, s: str) -> list[tuple]:
-            ids = np.frombuffer(row[f"ids_{s}"].as_buffer(), dtype=np.int64)
-            vectors = np.frombuffer(row[f"vectors_{s}"].as_buffer(), dtype=np.float32 if single else np.float64)
-            return parts(ids, np.frombuffer(row[f"times_{s}"].as_buffer(), dtype=np.int64), vectors.reshape(len(ids), -1), axes)
-
+        at, held = None, {}
         for b in batches:
             for values in zip(*b.columns, strict=True):
                 row = dict(zip(b.schema.names, values, strict=True))
-                for s in "ab":
-                    if held[s][0] != row[s].as_py():
-                        held[s] = row[s].as_py(), block(row, s)
-                (a, x), (b_, y) = held["a"], held["b"]
-                ids, n, own, to = tile(x, y, a == b_, threshold, eps)
-                if len(ids):
-                    some = [pa.concat_arrays([pa.array(x), pa.array(y)]) for x, y in ((ids, own), (n, np.zeros(len(own), dtype=np.int64)))]
-                    yield pa.RecordBatch.from_arrays([*some, pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(to)])], names=["id", "links", "to"])
-
-    full = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "times", "vectors")])
-    both = pairs.join(full("a"), "a").repartition(F.col("a"), F.col("b")).join(full("b"), "b")
-    with batches_of(blocks.sparkSession, 1):  # a row is two blocks
-        return keep(both.mapInArrow(read, "id long, links long, to long"))
+                key = row["group_a"].as_py(), row["group_b"].as_py()
+                if key != at:
+                    at, held = key, {}
+                own_ids = np.frombuffer(row["ids"].as_buffer(), dtype=np.int64)
+                vectors = np.frombuffer(row["vectors"].as_buffer(), dtype=np.float32 if single else np.float64)
+                number = row["block"].as_py()
+                y = parts(own_ids, np.frombuffer(row["times"].as_buffer(), dtype=np.int64), vectors.reshape(len(own_ids), -1), axes)
+                if row["side"].as_py() == 0:
+                    held[number] = y
+                    continue
+                for a in row["with"].as_py():
+                    ids, n, own, to = tile(held[a], y, a == number, threshold, eps)
+                    if len(ids):
+                        some = [pa.concat_arrays([pa.array(u), pa.array(v)]) for u, v in ((ids, own), (n, np.zeros(len(own), dtype=np.int64)))]
+                        yield pa.RecordBatch.from_arrays([*some, pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(to)])], names=["id", "links", "to"])
+
+    spark, key = blocks.sparkSession, ["group_a", "group_b"]
+    first = pairs.select(*key, F.lit(0).alias("side"), F.col("a").alias("block"), F.lit(None).cast("array<long>").alias("with")).distinct()
+    then = pairs.groupBy(*key, F.col("b").alias("block")).agg(F.sort_array(F.collect_list("a")).alias("with"))  # GROUP at most
+    rows = first.union(then.select(*key, F.lit(1).alias("side"), "block", "with")).join(blocks.select("block", "ids", "times", "vectors"), "block")
+    # A given number of partitions: tiles are work for processors, whatever their bytes.
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "side", "block")
+    with batches_of(spark, 1):  # a row is a block
+        return keep(dealt.mapInArrow(read, "id long, links long, to long"))
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -206,7 +216,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     eps = math.sqrt(2 - 2 * threshold)
     axes = principal_axes(nodes, width) if width else np.zeros((0, AXES))
     blocks = in_blocks(nodes.select("id", "times", F.col("vector").cast("array<float>" if single else "array<double>").alias("vector")), axes, eps, max(1, n // (4 * BLOCK)), single)
-    found = joined(block_pairs(blocks, eps), blocks, axes, threshold, eps, single)
+    found = joined(keep(block_pairs(blocks, eps)), blocks, axes, threshold, eps, single)
     labels = components(found.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     full = nodes.join(links, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
