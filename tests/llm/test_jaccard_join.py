@@ -69,6 +69,13 @@ def test_splitting_and_tiles_are_exact(spark, monkeypatch):
     assert run(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
 
 
+def test_what_is_too_large_to_broadcast_is_joined(spark, monkeypatch):
+    for name, value in (("IDS", 0), ("CELL_ROWS", 0), ("PIVOT_BYTES", 0), ("BLOCK", 5), ("PIVOTS", 2), ("DEPTH", 2), ("COLUMNS", 7)):
+        monkeypatch.setattr(J, name, value)
+    rows = corpus(9, groups=4, hot=50)
+    assert run(spark, rows, 3, 90, 100) == brute(rows, 3, 90, 100)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 

@@ -93,3 +93,10 @@ def test_copied_rows(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(frame).collect() == [] == mixing.copied(frame).collect()
+
+
+def test_too_many_sources_to_broadcast_are_joined(spark, monkeypatch):
+    frame = spark.createDataFrame(docs(3), "doc_id long, source string, text string")
+    want = sorted(map(tuple, mixing.mix(frame).collect()), key=str)
+    monkeypatch.setattr(mixing, "SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(frame).collect()), key=str) == want
