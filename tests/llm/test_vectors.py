@@ -96,3 +96,19 @@ def test_blocks_of_production_size(spark):
     for q in range(0, 9000, 1000):
         order = sorted((-s, i) for i, s in enumerate((whole @ whole[q]).tolist()) if i != q)[:10]
         assert [best[q, n + 1] for n in range(10)] == [(i, -s) for s, i in order]
+
+
+def test_several_lengths_at_production_size(spark):
+    """Vectors of three lengths in one table, blocks as in production: links and best scores stay among equal lengths."""
+    r = np.random.default_rng(11)
+    v = [x.astype(np.float32).astype(float) for d in (2, 5, 8) for x in r.standard_normal((80, d))]
+    frame = spark.createDataFrame([(i, x.tolist(), 1, "x") for i, x in enumerate(v)], KIND)
+    unit = [x / np.sqrt(x @ x) for x in v]
+    links = [sum(j != i and len(b) == len(a) and a @ b >= 0.95 for j, b in enumerate(unit)) for i, a in enumerate(unit)]
+    got = {x.vec_id: x.n_links for x in near_vectors.near_vectors(frame).collect()}
+    assert [got[i] for i in range(len(v))] == links
+    whole = [np.floor(1024 * x).astype(np.int64) for x in v]
+    best = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in top_k.top_k(frame, F.col("vec_id") % 40 == 0).collect()}
+    for q in range(0, len(v), 40):
+        order = sorted((-int(x @ whole[q]), i) for i, x in enumerate(whole) if i != q and len(x) == len(whole[q]))[:10]
+        assert [best[q, n + 1] for n in range(10)] == [(i, -s) for s, i in order]
