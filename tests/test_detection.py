@@ -218,6 +218,41 @@ def test_neighbours_over_blocks(spark, monkeypatch):
     assert {r.id: pytest.approx(r.lof) for r in got} == want
 
 
+def test_neighbours_send_a_block_once_a_group(spark, monkeypatch):
+    """Vectors without clusters in 63 blocks that all meet: what is shuffled follows the groups, not the pairs of blocks; distances are exact."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "SAMPLE", 128)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for blocks that are too large to broadcast
+    x = np.random.default_rng(5).normal(size=(4000, 64))
+    x[1::500] = x[::500]  # copies
+    names = [f"x{i}" for i in range(64)]
+    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(x.tolist())], ["id", *names]).persist()
+    rows.count()
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
+    written = lambda: sum(s.shuffleWriteBytes() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())))
+    before = written()
+    got = neighbours.nearest(rows, rows, names, 5).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert written() - before < 30 * x.nbytes  # 63 times while a block was sent for each pair
+    d = neighbours.squared(x, x)
+    np.fill_diagonal(d, np.inf)
+    found = {}
+    for r in sorted(got, key=lambda r: (r.q, r.d, r.r)):
+        found.setdefault(r.q, []).append(r.r)
+    assert found == dict(enumerate(np.argsort(d, axis=1, kind="stable")[:, :5].tolist()))
+
+
+def test_possible_pairs_miss_none():
+    rng = np.random.default_rng(6)
+    for scale in (1e-30, 1e-3, 1.0, 1e6, 1e18, 1e25):
+        a, c = rng.normal(size=(40, 9)) * scale, rng.normal(size=(50, 9)) * scale
+        c[:10] = a[:10]
+        d = neighbours.squared(a, c)
+        for bound in (np.zeros(40), neighbours.kth(d, 3), np.full(40, np.inf)):
+            assert set(zip(*np.nonzero(d <= bound[:, None]), strict=True)) <= set(zip(*neighbours.possible(a, c, bound), strict=True))
+
+
 def test_hygiene_of_equal_scores(spark):
     pop = spark.range(500).select(F.lit(1.0).alias("s"), "id")
     assert scoring.without_most_anomalous(pop, "s", share=0.1).count() == 450

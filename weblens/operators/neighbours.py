@@ -3,19 +3,25 @@
 Rows are keyed by their nearest pivot and their distance from it, sorted by both, and cut into blocks of bounded size, each with its
 bounding box. What a row finds in its own block and in a bounded sample bounds its k-th distance; a block then meets only blocks that
 the triangle inequality at their pivot and the distance of the boxes leave within the greatest bound of its rows. Bounds only save work.
+
+Blocks that follow each other form groups of bounded bytes. A block is sent once for each group that it meets, not for each block, and
+a task that has two groups hands on the k nearest of them for a query, so what is shuffled grows with the number of groups. Products in
+single precision name the pairs that may be within a query's bound; only these get their distance, feature by feature in double precision.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.operators.lineage import cut
 
 #: Rows of a block, queries that are compared with a block at once, rows of the sample that gives first bounds, pivots among them.
 BLOCK, STEP, SAMPLE, PIVOTS = 1024, 256, 2048, 32
+#: Bytes of a group's features at most, and groups (if there are as many blocks) that keep all cores busy.
+GROUP_BYTES, LEAST_GROUPS = 32 << 20, 6
 INNER = "pivot int, low double, high double, box_low array<double>, box_high array<double>, ids binary, x binary"
 
 
@@ -32,6 +38,29 @@ def kth(d: np.ndarray, k: int) -> np.ndarray:
     return np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(d), np.inf)
 
 
+def possible(a: np.ndarray, c: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of a, row of c) of all pairs whose squared distance may be within the bound of a's row, and few others."""
+    n, m = (a * a).sum(axis=1), (c * c).sum(axis=1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        about = a.astype(np.float32) @ c.astype(np.float32).T
+        about *= -2
+        about += n.astype(np.float32)[:, None]
+        about += m.astype(np.float32)[None]
+        # What rounding may get wrong in sums of so many products of such lengths; what overflows is left to be computed.
+        doubt = (a.shape[1] + 16) * np.finfo(np.float32).eps * (np.sqrt(n) + np.sqrt(m.max(initial=0.0))) ** 2 + 1e-30
+        edge = np.nextafter((bound + doubt).astype(np.float32), np.float32(np.inf))
+        return np.nonzero((about <= edge[:, None]) | ~np.isfinite(about))
+
+
+def joined(sides: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, squared distance) of the k nearest of each row of all sides, by row, distance and id."""
+    row, ids, d = (np.concatenate(x) for x in zip(*sides, strict=True))
+    order = np.lexsort((ids, d, row))
+    row, ids, d = row[order], ids[order], d[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], ids[kept], d[kept]
+
+
 def in_blocks(rows: DataFrame, features: list[str], pivots: np.ndarray) -> DataFrame:
     """(number, pivot, low, high, box_low, box_high, ids, x) of rows (id, features), written; nulls and NaN are 0."""
     spark, width = rows.sparkSession, len(features)
@@ -69,6 +98,16 @@ def in_blocks(rows: DataFrame, features: list[str], pivots: np.ndarray) -> DataF
     return cut(cut(dealt.mapInArrow(packed, INNER)).withColumn("number", F.monotonically_increasing_id()))
 
 
+def group_of(blocks: DataFrame, width: int) -> Callable[[Column], Column]:
+    """The group of a block by its number; numbers ascend within each partition, and the partitions' sizes are chained on the driver."""
+    starts, n = {}, 0
+    for p, m in sorted((r["p"], r["count"]) for r in blocks.groupBy(F.shiftright("number", 33).alias("p")).count().collect()):  # a row a partition
+        starts[p], n = n, n + m
+    each = max(1, min(GROUP_BYTES // (8 * BLOCK * max(1, width)), -(-n // LEAST_GROUPS)))
+    known = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]) if starts else F.create_map().cast("map<bigint,int>")
+    return lambda number: F.floor((F.element_at(known, F.shiftright(number, 33)) + number % (1 << 33)) / each).cast("int")
+
+
 def packed_features(features: list[str]):
     value = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
     return F.array(*[value(c) for c in features]).alias("x")
@@ -118,27 +157,36 @@ def nearest(queries: DataFrame, reference: DataFrame, features: list[str], k: in
     apart = F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), F.lit(0.0), lambda total, i: total + gap(i) * gap(i))
     pairs = met.where((F.col("high") >= F.col("from")) & (F.col("low") <= F.col("to")) & (apart <= F.col("most") * (1 + 1e-9))).select("a", "b")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for q_ids, q_x, bound, r_ids, r_x in zip(*(b.column(c).to_pylist() for c in ("q_ids", "q_x", "bound", "r_ids", "r_x")), strict=True):
-                (q, a), (r, c), bound = unpacked(q_ids, q_x), unpacked(r_ids, r_x), np.frombuffer(bound)
-                for i in range(0, len(q), STEP):
-                    part = slice(i, i + STEP)
-                    d = squared(a[part], c)
-                    d[q[part, None] == r[None]] = np.inf
-                    # All that are within the bound and no farther than the k-th here are ordered by distance and id.
-                    edge = np.minimum(kth(d, k), bound[part])
-                    row, at = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
-                    order = np.lexsort((r[at], d[row, at], row))
-                    row, at = row[order], at[order]
-                    place = np.arange(len(row)) - np.searchsorted(row, row)
-                    row, at = row[place < k], at[place < k]
-                    yield pa.RecordBatch.from_arrays([pa.array(q[i + row]), pa.array(r[at]), pa.array(np.sqrt(d[row, at]))], names=["q", "r", "d"])
-
-    # A block of the reference is shuffled once, a block of queries once for each block that it meets.
-    asked = pairs.join(ours.select(F.col("number").alias("a"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x")).join(bounds.select(F.col("number").alias("a"), "bound"), "a"), "a")
-    full = asked.join(theirs.select(F.col("number").alias("b"), F.col("ids").alias("r_ids"), F.col("x").alias("r_x")), "b")
-    found = full.select("q_ids", "q_x", "bound", "r_ids", "r_x").mapInArrow(search, "q long, r long, d double")
+    # Which blocks of a group of the reference a block meets: a row for each block and group.
+    group_a, group_b = group_of(ours, width), group_of(theirs, width)
+    met = cut(pairs.withColumn("ga", group_a(F.col("a"))).withColumn("gb", group_b(F.col("b"))).groupBy("a", "ga", "gb").agg(F.collect_list("b").alias("bs")))
+
+    def search(asked: pa.Table, there: pa.Table) -> pa.Table:
+        blocks = {b: unpacked(ids, x) for b, ids, x in zip(*(there.column(c).to_pylist() for c in ("b", "r_ids", "r_x")), strict=True)}
+        out: list[pa.Table] = []
+        for packed_ids, packed_x, packed_bound, bs in zip(*(asked.column(c).to_pylist() for c in ("ids", "x", "bound", "bs")), strict=True):
+            (q, a), bounds_ = unpacked(packed_ids, packed_x), np.frombuffer(packed_bound)
+            for i in range(0, len(q), STEP):
+                mine, x, bound = q[i : i + STEP], a[i : i + STEP], bounds_[i : i + STEP].copy()
+                held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                for r, c in map(blocks.__getitem__, sorted(bs)):
+                    row, at = possible(x, c, bound)
+                    d = np.zeros(len(row))
+                    for f in range(width):
+                        d += (x[row, f] - c[at, f]) ** 2
+                    fits = (d <= bound[row]) & np.isfinite(d) & (mine[row] != r[at])
+                    held = joined([held, (row[fits], r[at[fits]], d[fits])], k)
+                    # A row that has k others has its k-th as bound.
+                    full = np.searchsorted(held[0], np.arange(len(mine)), side="right") - 1
+                    full = full[np.bincount(held[0], minlength=len(mine)) == k]
+                    bound[held[0][full]] = np.minimum(bound[held[0][full]], held[2][full])
+                out.append(pa.table({"q": mine[held[0]], "r": held[1], "d": np.sqrt(held[2])}))
+        return pa.concat_tables(out)
+
+    asked = met.join(ours.select(F.col("number").alias("a"), "ids", "x").join(bounds.select(F.col("number").alias("a"), "bound"), "a"), "a")
+    there = met.select(F.col("ga").alias("ra"), F.col("gb").alias("rb"), F.explode("bs").alias("b")).distinct()
+    there = there.join(theirs.select(F.col("number").alias("b"), F.col("ids").alias("r_ids"), F.col("x").alias("r_x")), "b")
+    found = asked.groupBy("ga", "gb").cogroup(there.groupBy("ra", "rb")).applyInArrow(search, "q long, r long, d double")
     w = Window.partitionBy("q").orderBy("d", "r")
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
