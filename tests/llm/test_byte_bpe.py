@@ -99,3 +99,26 @@ def test_the_query_over_its_whole_table(spark, library):
         ids = library.encode_ordinary(r.text or "")
         want.append((r.doc_id, len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256((r.text or "").encode()).hexdigest()))
     assert sorted(map(tuple, op12_byte_bpe(spark, sf).collect())) == sorted(want)
+
+
+def test_spelling_many_tokens_at_once(ranks):
+    """Nulls, empty rows, slices and numbers with holes; ids without a token are an error; no step a token in Python."""
+    import time
+
+    import pyarrow as pa
+
+    token = {2 * i + 5: t for t, i in ranks.items()}
+    numbers, of = np.array(sorted(token)), pa.array([token[i] for i in sorted(token)], pa.large_binary())
+    rng = random.Random(3)
+    rows = [None, [], [None], [5, None, 7], *([rng.choice(numbers).item() for _ in range(rng.randrange(400))] for _ in range(1000))]
+    column = pa.array(rows, pa.list_(pa.int32()))
+    began = time.process_time()
+    got = byte_bpe.spelt(column, numbers, of)
+    took = time.process_time() - began
+    began = time.process_time()
+    want = [b"".join(token[t] for t in (column[i].as_py() or ()) if t is not None) for i in range(len(column))]
+    assert got.to_pylist() == want and took < (time.process_time() - began) / 2
+    assert byte_bpe.spelt(column.slice(3, 9), numbers, of).to_pylist() == want[3:12]
+    assert byte_bpe.spelt(column.slice(0, 0), numbers, of).to_pylist() == []
+    with pytest.raises(KeyError):
+        byte_bpe.spelt(pa.array([[6]], pa.list_(pa.int32())), numbers, of)

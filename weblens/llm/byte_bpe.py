@@ -26,6 +26,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from weblens.llm.common import lists
 
 #: Characters of whole texts that are cut together.
 CHARS_AT_ONCE = 2_000_000
+#: Tokens of whole rows that are decoded together.
+TOKENS_AT_ONCE = 500_000
 #: Pieces with their tokens that a worker remembers; beyond that it starts anew.
 PIECES = 500_000
 #: Longest piece in bytes that is merged in rounds with others; a longer one is merged by itself with a heap.
@@ -97,13 +101,14 @@ def scanned(functions: np.ndarray, then: np.ndarray) -> np.ndarray:
         for i in range(1, n):
             out[i] = then[out[i - 1], out[i]]
         return out
-    width = 64
+    width, flat = 64, then.ravel()
+    both = lambda f, g: flat.take(f.astype(np.intp) * len(then) + g)
     blocks = np.zeros((width, -(-n // width)), dtype=np.uint16)  # column by column: block j holds places j * width and on
     blocks.T.flat[:n] = functions
     for i in range(1, width):
-        blocks[i] = then[blocks[i - 1], blocks[i]]
+        blocks[i] = both(blocks[i - 1], blocks[i])
     totals = scanned(blocks[-1], then)
-    blocks[:, 1:] = then[totals[:-1][None, :], blocks[:, 1:]]
+    blocks[:, 1:] = both(totals[:-1][None, :], blocks[:, 1:])
     return np.ascontiguousarray(blocks.T).reshape(-1)[:n]
 
 
@@ -278,23 +283,28 @@ def encoded(texts: list[str], merges: Merges) -> list[tuple[np.ndarray, np.ndarr
     cuts = at[starts]
     bounds = np.searchsorted(starts, ends_of - 1)
     # The place between texts begins a piece of no bytes, which is left out.
-    places = cuts.tolist()
     spaces = np.zeros(len(starts), dtype=bool)
     spaces[bounds] = True
     inside = np.flatnonzero(~spaces)
-    ids, ends, counts = merges.of([data[places[i] : places[i + 1]] for i in inside.tolist()])
+    ids, ends, counts = merges.of([data[a:b] for a, b in zip(cuts[inside].tolist(), cuts[inside + 1].tolist(), strict=True)])
     ends += np.repeat(cuts[inside], counts)
     tokens = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(inside, bounds)]
     base = np.concatenate([[0], at[ends_of[:-1]]])
     return [(ids[a:b], ends[a:b] - shift) for a, b, shift in zip([0, *tokens[:-1].tolist()], tokens.tolist(), base.tolist(), strict=True)]
 
 
+@lru_cache(1)
+def merges_of(shared: Broadcast) -> Merges:
+    """The tables of a broadcast rank file, made once a worker; what it learns in a task is forgotten after it."""
+    return Merges(shared.value)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(doc_id, ids, ends) of documents: the tokens of each text and where they end, in bytes of its UTF-8."""
     shared = docs.sparkSession.sparkContext.broadcast(rank_file(path))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(shared.value)
+        merges = merges_of(shared)
         for b in batches:
             ids, raw = b.column("doc_id"), b.column("text").cast(pa.binary())
             begin = 0
@@ -308,23 +318,42 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 columns = [ids.slice(begin, len(texts)), lists([i for i, _ in found], pa.int32()), lists([e for _, e in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "ends"])
                 begin += len(texts)
+        merges.forget()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(tokens, "doc_id long, ids array<int>, ends array<long>")
 
 
+def spelt(rows: pa.ListArray, numbers: np.ndarray, of: pa.Array) -> pa.Array:
+    """The bytes of each row's tokens, laid end to end; rows without a list have none. Ids that ``numbers`` lacks are an error."""
+    # Rows without a list take no place among the values; a null id is no token.
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))])
+    flat = rows.flatten()
+    null = flat.is_null().to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(flat, int(numbers[0])).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.minimum(np.searchsorted(numbers, ids), len(numbers) - 1)
+    if (wrong := numbers[at] != ids).any():
+        raise KeyError(f"no token has the id {ids[wrong][0]}")
+    taken = of.take(pa.array(at, mask=null))
+    data, places = taken.buffers()[2], np.frombuffer(taken.buffers()[1], dtype=np.int64, count=len(at) + 1)
+    return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(places[ends].tobytes()), data]).cast(pa.binary())
+
+
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """The table with ``decoded``, the bytes of the tokens in ``ids``, in place of its ids; other columns stay."""
-    shared = tokens.sparkSession.sparkContext.broadcast({i: t for t, i in rank_file(path).items()})
+    known = sorted((i, t) for t, i in rank_file(path).items())
+    shared = tokens.sparkSession.sparkContext.broadcast((np.array([i for i, _ in known], dtype=np.int64), [t for _, t in known]))
     kept = [c for c in tokens.columns if c not in ("ids", "decoded")]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
+        numbers, of = shared.value[0], pa.array(shared.value[1], pa.large_binary())
         for b in batches:
-            ids = b.column("ids")
-            # Rows without a list have no tokens.
-            joined = [b"".join([of[t] for t in row if t is not None]) for row in (ids[i].as_py() or () for i in range(len(ids)))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(joined, pa.binary())], names=[*kept, "decoded"])
+            ends, begin = np.cumsum(pc.fill_null(pc.list_value_length(b.column("ids")), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while begin < b.num_rows:
+                upto = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + TOKENS_AT_ONCE, side="right"))
+                part = b.slice(begin, max(1, upto - begin))
+                begin += part.num_rows
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), spelt(part.column("ids"), numbers, of)], names=[*kept, "decoded"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields if f.name in kept]
     return tokens.select(*(F.col(f"`{c}`") for c in kept), "ids").mapInArrow(texts, ", ".join([*fields, "decoded binary"]))
