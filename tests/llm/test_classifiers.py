@@ -109,3 +109,14 @@ def test_no_rows_and_no_labels(spark):
     for run in (toxicity.toxicity, quality.quality):
         assert run(docs.limit(0), labels, none).collect() == []
         assert {r.score for r in run(docs, labels.limit(0), none).collect()} == {0.0}
+
+
+def test_words_of_one_form_are_taken_apart_once(monkeypatch):
+    """Counters are the same as by the definition; the surface is found once a form, not once a word."""
+    calls = []
+    plain = quality.surface
+    words = [f"Word{i:05d}," for i in range(3000)] + ["é²Ⓐx", "\ud800A", "ǅa", "日本", "a-B_c!", "İ"]
+    want = [quality.hashed("".join(filter(str.isalnum, w.lower())), quality.WORDS) * quality.SURFACES + quality.hashed(plain(w), quality.SURFACES - 1) + 1 for w in words]
+    monkeypatch.setattr(quality, "surface", lambda token: calls.append(token) or plain(token))
+    terms = quality.Terms()
+    assert [terms[w] for w in words] == want and len(calls) < 100

@@ -50,14 +50,37 @@ def surface(token: str) -> str:
     return out
 
 
+class Signs(dict):
+    """The sign of each code point in a surface."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = got = surface(chr(point))
+        return got
+
+
+class Forms(dict):
+    """The counter of the surface of tokens whose characters are replaced by their signs: many tokens share a form."""
+
+    def __missing__(self, form: str) -> int:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        self[form] = got = hashed(surface(form), SURFACES - 1) + 1
+        return got
+
+
 class Terms(dict):
     """For each token the counter of its word, and the one of its surface."""
 
+    def __init__(self):
+        super().__init__()
+        self.signs, self.forms = Signs(), Forms()
+
     def __missing__(self, token: str) -> int:
         if len(self) >= WORD_CACHE:
             self.clear()
-        word = "".join(filter(str.isalnum, token.lower()))
-        self[token] = got = hashed(word, WORDS) * SURFACES + hashed(surface(token), SURFACES - 1) + 1
+        low = token.lower()
+        word = low if low.isalnum() else "".join(filter(str.isalnum, low))
+        self[token] = got = hashed(word, WORDS) * SURFACES + self.forms[token.translate(self.signs)]
         return got
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
