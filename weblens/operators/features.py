@@ -8,7 +8,9 @@ activity, robots.txt) runs over rows a window.
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,24 +76,35 @@ def fano(n: Column, squares: Column, window_s: int) -> Column:
 
 
 def ordered(requests: DataFrame, window_s: int) -> DataFrame:
-    """Keyed requests with their place in the window and what comes of it; one shuffle by key and one sort serve all but ``from_end``.
+    """Keyed requests with their place in the window and what comes of it; one shuffle by key and one sort serve all.
 
     ``odd`` is 1, 3, 5, ... within a sub-bin, so that its sum over a bin of c requests is c squared.
     """
     rows = requests.withColumn("bin", F.floor((F.col("epoch") - F.col("bucket") * window_s) / fixed.FANO_BIN_S))
     w = Window.partitionBy(*KEY).orderBy("bin", "us", "event_id")  # bins ascend with time
     inside = Window.partitionBy(*KEY, "bin").orderBy("us", "event_id")
-    back = Window.partitionBy(*KEY).orderBy(F.desc("us"), F.desc("event_id"))
     return rows.select(
         "*", ((F.col("us") - F.lag("us").over(w)) / 1e6).alias("gap"), F.row_number().over(w).alias("place"), F.count("body_bytes").over(w).alias("bytes_place"),
-        (2 * F.row_number().over(inside) - 1).alias("odd"), F.row_number().over(back).alias("from_end"),
+        (2 * F.row_number().over(inside) - 1).alias("odd"), (F.count("*").over(Window.partitionBy(*KEY)) - F.row_number().over(w) + 1).alias("from_end"),
     )
 
 
+def first_of_keys(columns: list[pa.Array]) -> list[int]:
+    """The rows of sorted columns at which a key begins; nulls are equal to each other."""
+    n = len(columns[0])
+    new = np.zeros(max(0, n - 1), bool)
+    for c in columns:
+        one, two = c.slice(0, max(0, n - 1)), c.slice(1)
+        other = pc.fill_null(pc.not_equal(one, two), False).to_numpy(zero_copy_only=False)
+        new |= other | (one.is_null().to_numpy(zero_copy_only=False) != two.is_null().to_numpy(zero_copy_only=False))
+    return [0, *(np.flatnonzero(new) + 1).tolist()] if n else []
+
+
 def chain_depth(requests: DataFrame) -> DataFrame:
     """By key: how deep navigation by referrers goes, up to the request that brings a window's path number MAX_CHAIN.
 
-    Requests come sorted and in batches; only the depths of at most MAX_CHAIN paths of one window are held.
+    Requests come sorted and in batches; only the depths of at most MAX_CHAIN paths of one window are held. Keys are compared
+    column by column, and only read where a window ends.
     """
     steps = requests.where("url_path <> ''").select(*KEY, "url_path", X.referrer_path(F.col("referrer")).alias("ref_path"), "us", "event_id")
     steps = steps.repartition(*KEY).sortWithinPartitions(*KEY, "us", "event_id").drop("us", "event_id")
@@ -106,15 +119,22 @@ def chain_depth(requests: DataFrame) -> DataFrame:
 
         for b in batches:
             kind, done = [b.schema.field(k).type for k in KEY], []
-            for *at, path, ref in zip(*[b.column(c).to_pylist() for c in (*KEY, "url_path", "ref_path")], strict=True):
+            paths, refs = b.column("url_path").to_pylist(), b.column("ref_path").to_pylist()
+            starts = first_of_keys([b.column(k) for k in KEY])
+            for start, end in zip(starts, [*starts[1:], len(paths)], strict=True):
+                at = [b.column(k)[start].as_py() for k in KEY]
                 if at != key:
                     if key is not None:
                         done.append((key, most))
                     key, known, most = at, {}, 0
-                if len(known) < cap:
+                for path, ref in zip(paths[start:end], refs[start:end], strict=True):
+                    if len(known) >= cap:
+                        break
                     depth = known.get(ref, 0) + 1
-                    known[path] = max(depth, known.get(path, 0))
-                    most = max(most, depth)
+                    if depth > known.get(path, 0):
+                        known[path] = depth
+                        if depth > most:
+                            most = depth
             if done:
                 yield row(done)
         if key is not None:
@@ -124,8 +144,12 @@ def chain_depth(requests: DataFrame) -> DataFrame:
 
 
 def family_robots(requests: DataFrame) -> DataFrame:
-    """(server, family, since): when a verified crawler of a family first fetched robots.txt of a server, in seconds."""
-    robots = requests.where(F.col("url_path") == "/robots.txt").withColumn("family", X.crawler_family(F.col("user_agent")))
+    """(server, family, since): when a verified crawler of a family first fetched robots.txt of a server, in seconds.
+
+    Filters on the family move down to the scan, ahead of the one on the path: the family itself asks for the path first.
+    """
+    fetched = F.col("url_path") == "/robots.txt"
+    robots = requests.where(fetched).withColumn("family", F.when(fetched, X.crawler_family(F.col("user_agent"))))
     robots = robots.where(F.col("family").isNotNull() & X.in_family(F.col("source_ip"), F.col("family")))
     return robots.groupBy("server", "family").agg(F.min("epoch").alias("since"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weblens.functions import fixed
 from weblens.functions.expressions import extension
+from weblens.operators.lineage import cut
 
 
 @dataclass
@@ -59,18 +60,23 @@ def most_frequent(counts: DataFrame, n: str, item: str, cap: int) -> DataFrame:
     return above.unionByName(kept.select(*counts.columns))
 
 
-def path_counts(requests: DataFrame) -> DataFrame:
-    return requests.where("url_path <> ''").groupBy("server", "url_path").agg(F.count("*").alias("df"))
+def asked(requests: DataFrame) -> DataFrame:
+    """(server, url_path, user_agent, n, ok): how often an agent asked a server for a path, and how often with success."""
+    return requests.groupBy("server", "url_path", "user_agent").agg(F.count("*").alias("n"), F.count_if(F.col("status_code").between(200, 299)).alias("ok"))
 
 
-def ua_counts(requests: DataFrame) -> DataFrame:
-    return requests.where("user_agent <> ''").groupBy("server", "user_agent").agg(F.count("*").alias("freq"))
+def path_counts(asked_: DataFrame) -> DataFrame:
+    return asked_.where("url_path <> ''").groupBy("server", "url_path").agg(F.sum("n").alias("df"))
 
 
-def ext_counts(requests: DataFrame) -> DataFrame:
+def ua_counts(asked_: DataFrame) -> DataFrame:
+    return asked_.where("user_agent <> ''").groupBy("server", "user_agent").agg(F.sum("n").alias("freq"))
+
+
+def ext_counts(asked_: DataFrame) -> DataFrame:
     """File types that answered with success, with how often; those of at least SERVED_MIN are served."""
-    ok = requests.where("status_code between 200 and 299").select("server", extension(F.col("url_path")).alias("ext"))
-    return ok.where("ext is not null").groupBy("server", "ext").agg(F.count("*").alias("hits"))
+    ok = asked_.where("ok > 0").select("server", extension(F.col("url_path")).alias("ext"), "ok")
+    return ok.where("ext is not null").groupBy("server", "ext").agg(F.sum("ok").alias("hits"))
 
 
 def totals(counts: DataFrame, n: str) -> DataFrame:
@@ -78,10 +84,11 @@ def totals(counts: DataFrame, n: str) -> DataFrame:
 
 
 def learn(requests: DataFrame) -> Profile:
-    """Totals count everything; tables keep the most frequent items."""
-    paths, uas = path_counts(requests), ua_counts(requests)
+    """Totals count everything; tables keep the most frequent items. One pass over the requests serves all tables."""
+    seen = cut(asked(requests))
+    paths, uas = path_counts(seen), ua_counts(seen)
     kept_paths, kept_uas = most_frequent(paths, "df", "url_path", fixed.MAX_PROFILE_PATHS), most_frequent(uas, "freq", "user_agent", fixed.MAX_PROFILE_UAS)
-    return Profile(kept_paths, totals(paths, "df"), kept_uas, totals(uas, "freq"), ext_counts(requests))
+    return Profile(kept_paths, totals(paths, "df"), kept_uas, totals(uas, "freq"), ext_counts(seen))
 
 
 def servers(profile: Profile) -> DataFrame:
