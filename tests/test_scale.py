@@ -4,9 +4,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from weblens.functions import fixed
 from weblens.operators import features as W
+from weblens.operators import models
 from weblens.operators import profile as P
 from weblens.operators.features import first_of_keys
+from weblens.plans import detection
 from weblens.plans.scalar_queries import requests
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +54,16 @@ def test_chain_depth_over_many_windows_and_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {k: float(v[""]) for k, v in want.items()}
+
+
+def test_hygiene_scores_each_row_once(spark, monkeypatch):
+    scored, plain = spark.sparkContext.accumulator(0), models.IsolationForest.score
+
+    def counting(self, rows, out="iforest"):
+        got = plain(self, rows, out)
+        return got.withColumn(out, F.udf(lambda v: (scored.add(1), v)[1], "double")(F.col(out))) if out == "_anomaly" else got
+
+    monkeypatch.setattr(models.IsolationForest, "score", counting)
+    bundle = detection.train(requests(spark, SF), "web_recon", "v", 86400)
+    assert scored.value == bundle.metadata["usable_vectors"] > 100
+    assert bundle.metadata["windows_dropped"] >= 1

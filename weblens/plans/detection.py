@@ -59,13 +59,15 @@ def train(requests: DataFrame, usecase: str, version: str, window_s: int = fixed
     stats = scoring.feature_stats(long_form(windows, [])).persist()
     rows, features = vectors(usecase, windows, stats)
     rows = scoring.clipped(rows, tuple(features))
-    first = models.IsolationForest.fit(rows, features).score(rows, "_anomaly")
+    first = models.IsolationForest.fit(rows, features).score(rows, "_anomaly").persist()  # hygiene reads the scores many times
     kept = scoring.without_most_anomalous(first, "_anomaly").drop("_anomaly").persist()
+    n_kept = kept.count()  # made here, so that no later task runs this forest beside a model of its own
+    first.unpersist()
     case = usecases.named(usecase)
     found, base = case.fit(kept, features), case.calibration_rows(kept)
     grids = {name: scoring.grid(m.score(base if case.votes(name) else kept, "raw"), "raw") for name, m in found.items()}
     reference = long_form(scoring.reference_sample(kept, [*ENTITY, "window_start"]), [], tuple(features)).persist()
-    meta = {"usecase": usecase, "rule_id": case.rule, "title": case.title, "feature_code_sha256": feature_code(), "version": version, "train_windows": n, "usable_vectors": rows.count(), "clip_quantile": fixed.CLIP_Q, "windows_dropped": n - kept.count(), "models": sorted(found), "window_s": window_s}
+    meta = {"usecase": usecase, "rule_id": case.rule, "title": case.title, "feature_code_sha256": feature_code(), "version": version, "train_windows": n, "usable_vectors": rows.count(), "clip_quantile": fixed.CLIP_Q, "windows_dropped": n - n_kept, "models": sorted(found), "window_s": window_s}
     meta["models_skipped"] = list(case.skipped)
     return Bundle(usecase, version, profile, features, stats, found, grids, reference, meta)
 
