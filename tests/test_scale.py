@@ -56,6 +56,25 @@ def test_chain_depth_over_many_windows_and_batches(spark):
     assert got == {k: float(v[""]) for k, v in want.items()}
 
 
+def test_forest_walks_like_a_row_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(300, 3)), [[np.nan, 0.0, np.inf]], np.zeros((4, 3))])
+    trees = [np.array(models.grow(x[rng.choice(300, 64, replace=False)], rng), dtype=float) for _ in range(5)] + [np.array([(-1, 0.0, 0, 0, 1.5)])]
+    want = []
+    for row in x:
+        total = 0.0
+        for nodes in trees:
+            at = 0
+            while nodes[at, 0] >= 0:
+                at = int(nodes[at, 2] if row[int(nodes[at, 0])] < nodes[at, 1] else nodes[at, 3])
+            total += nodes[at, 4]
+        want.append(2.0 ** (-(total / 6) / models.mean_path(64)))
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    got = sorted(map(tuple, models.IsolationForest(["a", "b", "c"], trees, 64).score(rows, "s").select("id", "s").collect()))
+    assert [s for _, s in got] == want
+    assert max(models.walked(t)[4] for t in trees) <= 6 and models.walked(trees[-1])[4] == 0
+
+
 def test_hygiene_scores_each_row_once(spark, monkeypatch):
     scored, plain = spark.sparkContext.accumulator(0), models.IsolationForest.score
 

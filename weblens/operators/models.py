@@ -56,6 +56,16 @@ def mean_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
+def walked(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Feature, cut, children (left and right of each in turn) and path length of a tree's nodes, and how deep it is."""
+    leaf, own = nodes[:, 0] < 0, np.arange(len(nodes))
+    children = np.where(leaf[:, None], own[:, None], nodes[:, 2:4]).astype(np.intp)
+    deep, level = 0, np.zeros(1, np.intp)
+    while not leaf[level].all():
+        deep, level = deep + 1, np.unique(children[level])
+    return np.where(leaf, 0, nodes[:, 0]).astype(np.intp), nodes[:, 1].copy(), children.ravel(), nodes[:, 4].copy(), deep
+
+
 class IsolationForest:
     def __init__(self, features: list[str], trees: list[np.ndarray], psi: int):
         self.features, self.trees, self.psi = features, trees, psi
@@ -96,21 +106,25 @@ class IsolationForest:
         return cls(told["features"], [np.frombuffer(t).reshape(-1, 5) for _, t in trees], told["psi"])
 
     def score(self, rows: DataFrame, out: str = "iforest") -> DataFrame:
-        """Rows with a score near 1 for what is isolated early; the forest is of fixed size and broadcast."""
+        """Rows with a score near 1 for what is isolated early; the forest is of fixed size and broadcast.
+
+        A leaf is its own child, so all rows of a batch go as many steps as a tree is deep.
+        """
         shared = rows.sparkSession.sparkContext.broadcast((self.trees, mean_path(self.psi) or 1.0))
 
         @pandas_udf("double")
         def apply(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             trees, normal = shared.value
+            walks = [walked(nodes) for nodes in trees]
             for columns in batches:
-                x, total = np.column_stack([c.to_numpy(float) for c in columns]), 0.0
-                for nodes in trees:
-                    at = np.zeros(len(x), dtype=int)
-                    while (inner := nodes[at, 0] >= 0).any():
-                        i = np.flatnonzero(inner)
-                        n = nodes[at[i]]
-                        at[i] = np.where(x[i, n[:, 0].astype(int)] < n[:, 1], n[:, 2], n[:, 3]).astype(int)
-                    total = total + nodes[at, 4]
+                x, total = np.concatenate([c.to_numpy(float) for c in columns]), 0.0
+                rows_ = np.arange(len(columns[0]))
+                for feature, cuts, children, path, deep in walks:
+                    at = np.zeros(len(rows_), dtype=np.intp)
+                    for _ in range(deep):
+                        right = ~(x[feature[at] * len(rows_) + rows_] < cuts[at])
+                        at = children[2 * at + right]
+                    total = total + path[at]
                 yield pd.Series(2.0 ** (-(total / max(1, len(trees))) / normal))
 
         return rows.withColumn(out, apply(*[F.col(c).cast("double") for c in self.features]))
