@@ -86,3 +86,24 @@ def test_hygiene_scores_each_row_once(spark, monkeypatch):
     bundle = detection.train(requests(spark, SF), "web_recon", "v", 86400)
     assert scored.value == bundle.metadata["usable_vectors"] > 100
     assert bundle.metadata["windows_dropped"] >= 1
+
+
+def test_two_bundles_score_the_windows_of_one_scan(spark, tmp_path):
+    class Raw:
+        def __init__(self, column):
+            self.column = column
+
+        def score(self, rows, out):
+            return rows.withColumn(out, F.col(self.column).cast("double"))
+
+    def bundle(column):
+        grid = spark.createDataFrame([([i / 1000 for i in range(1001)],)], "grid array<double>")
+        return detection.Bundle("web_recon", "v", None, [], spark.createDataFrame([("web_ratio_404", 0.0, 1.0)], "feature string, p50 double, p99 double"), {"iforest": Raw(column)}, {"iforest": grid}, None)
+
+    # Over both gates, over one, over the other, over none; not whole; without a start.
+    values = [(1.0, 1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.5, 0.5, 0.0), (1.0, 1.0, None), (1.0, 1.0, 0.0)]
+    rows = spark.createDataFrame([("s", "i", "h", 60 * i if i < 5 else None, *v) for i, v in enumerate(values)], "server string, source_ip string, ua_hash string, window_start long, one double, two double, ua_len double")
+    rows.withColumns({c: F.lit(0.0) for c in fixed.RECON_FEATURES if c != "ua_len"}).write.parquet(str(tmp_path / "w"))
+    got = detection.compared(spark.read.parquet(str(tmp_path / "w")), bundle("one"), bundle("two"))
+    assert scans(got) == 1
+    assert tuple(got.first()) == (4, 2, 2, 1)

@@ -164,10 +164,11 @@ def backtest_report(log: DataFrame) -> DataFrame:
 
 def compared(windows: DataFrame, serving: Bundle, candidate: Bundle) -> DataFrame:
     """One row: how often each of two bundles would fire on the same windows, and how often both."""
-    a, b = score_windows(windows, serving), score_windows(windows, candidate).select(*ENTITY, "window_start", F.col("fused_pct").alias("other_pct"))
-    rows = a.join(b, [*ENTITY, "window_start"])
+    # A window is one row, so the second bundle scores what the first has scored; no key is joined.
+    a = score_windows(windows.dropna(subset=[*ENTITY, "window_start"]), serving)
+    rows = score_windows(a.select(*windows.columns, F.col("fused_pct").alias("serving_pct")), candidate)
     gate = usecases.named(serving.usecase).gate_pct
-    return rows.agg(F.count("*").alias("windows"), F.count_if(F.col("fused_pct") >= gate).alias("serving"), F.count_if(F.col("other_pct") >= gate).alias("candidate"), F.count_if((F.col("fused_pct") >= gate) & (F.col("other_pct") >= gate)).alias("both"))
+    return rows.agg(F.count("*").alias("windows"), F.count_if(F.col("serving_pct") >= gate).alias("serving"), F.count_if(F.col("fused_pct") >= gate).alias("candidate"), F.count_if((F.col("serving_pct") >= gate) & (F.col("fused_pct") >= gate)).alias("both"))
 
 
 def candidate_check(requests: DataFrame, serving: Bundle, candidate: Bundle, most: float = 3.0) -> DataFrame:
