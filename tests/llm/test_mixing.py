@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weblens.llm import mixing
 
@@ -100,3 +101,16 @@ def test_too_many_sources_to_broadcast_are_joined(spark, monkeypatch):
     want = sorted(map(tuple, mixing.mix(frame).collect()), key=str)
     monkeypatch.setattr(mixing, "SOURCES", 0)
     assert sorted(map(tuple, mixing.mix(frame).collect()), key=str) == want
+
+
+def test_words_of_a_long_text_are_counted_without_listing_them(spark):
+    """A list of these words does not fit the session's memory."""
+    text = F.repeat(F.concat(F.lit("a "), F.repeat(F.lit("b"), F.col("id").cast("int"))), 50_000_000)
+    assert spark.range(1).select(mixing.word_count(text).alias("n")).first().n == 50_000_000
+
+
+def test_words_of_odd_texts(spark):
+    texts = [None, "", " ", "\t\n", "a", " a", "a ", "a\tb", "\x0b\x0ca\r\nb  c ", "a\xa0b 　 \U0001f600x $1 \\", "\x1c \x85"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.n for r in rows.select("i", mixing.word_count(F.col("t")).alias("n")).collect()}
+    assert got == {i: len((t or "").encode().split()) for i, t in enumerate(texts)}

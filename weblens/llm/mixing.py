@@ -31,9 +31,10 @@ SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
-    """The number of words: spaces are made alike, and each word but the first starts after one."""
+    """The number of words: spaces are made alike, and each word with those after it becomes one mark. Matches are not listed, as
+    the list of a long text's words takes many times its memory."""
     alike = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.regexp_count(alike, F.lit("[^ ]+")).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.length(F.regexp_replace(F.ltrim(alike), "[^ ]+ *", "x")).cast("long"), F.lit(0).cast("long"))
 
 
 def numbered(sizes: DataFrame) -> DataFrame:
