@@ -117,15 +117,17 @@ class IsolationForest:
             trees, normal = shared.value
             walks = [walked(nodes) for nodes in trees]
             for columns in batches:
-                x, total = np.concatenate([c.to_numpy(float) for c in columns]), 0.0
+                x = np.concatenate([c.to_numpy(float) for c in columns])
                 rows_ = np.arange(len(columns[0]))
+                total = np.zeros(len(rows_))
                 for feature, cuts, children, path, deep in walks:
                     at = np.zeros(len(rows_), dtype=np.intp)
                     for _ in range(deep):
                         right = ~(x[feature[at] * len(rows_) + rows_] < cuts[at])
                         at = children[2 * at + right]
                     total = total + path[at]
-                yield pd.Series(2.0 ** (-(total / max(1, len(trees))) / normal))
+                # One at a time: numpy's powers of arrays differ in the last bit from those of single numbers on some processors.
+                yield pd.Series([math.pow(2.0, e) for e in (-(total / max(1, len(trees))) / normal).tolist()], dtype=float)
 
         return rows.withColumn(out, apply(*[F.col(c).cast("double") for c in self.features]))
 
